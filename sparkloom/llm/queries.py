@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import mixing, posindex
+from sparkloom.llm import gifmedia, mixing, notices, posindex
 from sparkloom.session import ready, table
 
 
+def op3_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return notices.op3_notices(table(spark, sf_dir, "documents"))
+
+
+def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return gifmedia.op4_gif(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return posindex.op5_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -21,7 +31,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontamination, op8_mixing)}
+    return {f.__name__: f for f in (op3_notices, op4_gif, op5_decontamination, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
