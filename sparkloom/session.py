@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
+#: Rows that a Python worker is handed at a time.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: What a session of ours sets; a cluster's own values win where they are already there.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,6 +36,8 @@ def ready(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":  # Spark's own default: ten thousand long texts at once
+        spark.conf.set(BATCH_ROWS, "1000")
     return spark
 
 
