@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import gifmedia, mixing, notices, posindex
+from sparkloom.llm import gifmedia, langid, mixing, notices, posindex, toxicity
 from sparkloom.session import ready, table
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return langid.op1_langid(table(spark, sf_dir, "documents"))
+
+
 def op3_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return notices.op3_notices(table(spark, sf_dir, "documents"))
@@ -25,13 +30,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posindex.op5_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return toxicity.op6_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return mixing.op8_mixing(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_notices, op4_gif, op5_decontamination, op8_mixing)}
+    return {f.__name__: f for f in (op1_langid, op3_notices, op4_gif, op5_decontamination, op6_toxicity, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
