@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sparkloom.llm.arrowtext import coded, counts_by_text, remainder, steps, words
+from sparkloom.llm.arrowtext import LOWER, coded, counts_by_text, remainder, steps, words
 
 UND = "und"
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 60_000
@@ -96,8 +96,14 @@ class SuffixAutomaton:
         return n + (state != 0)
 
 
+#: ASCII letters in lower case; other ASCII bytes divide words.
+LETTERS = bytes(LOWER[b] if 97 <= LOWER[b] <= 122 or b >= 128 else 32 for b in range(256))
+
+
 def letters(word: str) -> str:
-    """The letters and marks of a word, composed and in lower case; a word edge on both sides."""
+    """The letters and marks of a word, composed and in lower case; empty if it has no letter."""
+    if word.isascii():
+        return word
     own = "".join(c for c in unicodedata.normalize("NFC", word).lower() if unicodedata.category(c)[0] in "LM")
     return own if any(unicodedata.category(c)[0] == "L" for c in own) else ""
 
@@ -120,7 +126,7 @@ def training_words(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SA
         for batch in batches:
             for part in steps(batch, most=1 << 20):
                 langs = part.column("lang").to_pylist()
-                flat, at = words(part.column("text"))
+                flat, at = words(part.column("text"), LETTERS)
                 by: dict[tuple[str, str], int] = {}
                 own = flat.to_pylist()
                 for i, lang in enumerate(langs):
@@ -167,7 +173,7 @@ def predict(docs: DataFrame, sample: dict[str, list[str]], keep: tuple[str, ...]
         kept: dict[str, tuple] = {}
         for batch in batches:
             for part in steps(batch):
-                flat, at = words(part.column("text"))
+                flat, at = words(part.column("text"), LETTERS)
                 code, distinct = coded(flat)
                 table = np.zeros((len(distinct), k + 1), np.int64)
                 for i, w in enumerate(distinct.to_pylist()):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import gifmedia, langid, mixing, notices, posindex, simhash, toxicity
+from sparkloom.llm import anchors, gifmedia, langid, mixing, notices, posindex, simhash, toxicity
 from sparkloom.session import ready, table
 
 
@@ -40,14 +40,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op8_mixing(table(spark, sf_dir, "documents"))
 
 
+def op9_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return anchors.op9_anchors(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return simhash.op10_simhash(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op3_notices, op4_gif, op5_decontamination, op6_toxicity, op8_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_langid, op3_notices, op4_gif, op5_decontamination, op6_toxicity, op8_mixing, op9_anchors, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": posindex.OP5_SQL, "op8_mixing": mixing.OP8_SQL}
+    return {"op5_decontamination": posindex.OP5_SQL, "op8_mixing": mixing.OP8_SQL, "op9_anchors": anchors.OP9_SQL}
