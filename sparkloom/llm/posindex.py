@@ -258,6 +258,14 @@ def op5_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     return digest(matches(index(docs), test_blocks(items)))
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents that hold no window of a test item."""
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))
+    keyed = docs.withColumn("_key", key)
+    met = matches(index(keyed.select(F.col("_key").alias("doc_id"), "text")), test_blocks(items)).where("size(ranges) > 0")
+    return keyed.join(met.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*docs.columns)
+
+
 OP5_SQL = r"""
 WITH dw AS (
   SELECT rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

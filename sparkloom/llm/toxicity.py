@@ -140,14 +140,25 @@ def learned(labelled: DataFrame, seeds=SEEDS) -> dict[str, float]:
         return {s + " ": SEED_WEIGHT for s in seeds}
     odds = F.log((F.col("t") + 0.5) / (total["t"] + 1.0)) - F.log((F.col("c") + 0.5) / (total["c"] + 1.0))
     strong = entries.where(F.col("t") >= LEAST_TOXIC).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("t") * F.col("odds")), "form").limit(5000)
-    found = {r["form"]: r["odds"] for r in strong.collect()}
+    found = {r["form"]: (r["odds"], r["t"]) for r in strong.collect()}
     out: dict[str, float] = {s + " ": SEED_WEIGHT for s in seeds}
+    strongest: set[str] = set()
     for form in sorted(found, key=len):
-        if not any(form[:k] in out for k in range(low, len(form))):  # what extends a strong entry adds nothing
-            out[form] = found[form]
+        if not any(form[:k] in strongest for k in range(low, len(form))):  # what extends a strong entry adds nothing
+            strongest.add(form)
+            out[_specific(form, found)] = found[form][0]
     return out
 
 
+def _specific(form: str, found: dict[str, tuple[float, int]], share: float = 0.9) -> str:
+    """The longest entry that extends this one and keeps nine tenths of its toxic documents at each step."""
+    while True:
+        longer = [(f, t) for f, (_, t) in found.items() if len(f) > len(form) and f.startswith(form) and t >= share * found[form][1]]
+        if not longer:
+            return form
+        form = min(longer, key=lambda x: (len(x[0]), -x[1], x[0]))[0]
+
+
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Logistic weights by Newton's method."""
     a = np.column_stack([np.ones(len(x)), x])
