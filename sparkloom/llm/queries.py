@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import anchors, gifmedia, langid, mixing, notices, posindex, simhash, toxicity
+from sparkloom.llm import anchors, gifmedia, hmm, langid, mixing, notices, posindex, simhash, toolcalls, toxicity
 from sparkloom.session import ready, table
 
 
@@ -15,6 +15,11 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op1_langid(table(spark, sf_dir, "documents"))
 
 
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return hmm.op2_hmm(table(spark, sf_dir, "documents"))
+
+
 def op3_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return notices.op3_notices(table(spark, sf_dir, "documents"))
@@ -35,6 +40,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op6_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return toolcalls.op7_toolcalls(table(spark, sf_dir, "conversations"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return mixing.op8_mixing(table(spark, sf_dir, "documents"))
@@ -51,7 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op3_notices, op4_gif, op5_decontamination, op6_toxicity, op8_mixing, op9_anchors, op10_simhash)}
+    return {f.__name__: f for f in (op1_langid, op2_hmm, op3_notices, op4_gif, op5_decontamination, op6_toxicity, op7_toolcalls, op8_mixing, op9_anchors, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
