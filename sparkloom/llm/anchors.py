@@ -90,8 +90,16 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(step.view(np.uint64).ravel())
 
 
-def _range_bits(groups: int) -> int:
-    return max(4, (2 * groups - 1).bit_length())
+#: Text bytes of a group of documents and of a range of hashes. Both follow from the size of the input, so that a
+#: row between a group and a range holds hundreds of hashes at 50 GB and still tens at a hundred times that.
+GROUP_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+
+
+def _shape(docs: DataFrame, n: int) -> tuple[int, int]:
+    """How many groups, and bits of the range number; small inputs are split finer to use up to n tasks."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    split = lambda by: max(1, -(-size // by), min(n, size >> 20))
+    return split(GROUP_BYTES), min(32, (split(RANGE_BYTES) - 1).bit_length())
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -312,7 +320,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, digest: bool = False) ->
     spark = docs.sparkSession
     block = window // 2
     n = partitions(spark)
-    groups, bits = 8 * n, _range_bits(n)
+    groups, bits = _shape(docs, n)
     id_hash = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
     columns = ["doc_id"] if digest else docs.columns
     dealt = docs.select(*dict.fromkeys([*columns, "doc_id", "text"])).withColumn("_g", F.pmod(id_hash, F.lit(groups)).cast("int")).repartition(n, "_g").sortWithinPartitions("_g")
