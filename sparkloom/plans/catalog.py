@@ -1 +1,334 @@
-"""Query modules, imported for their registrations."""
+"""The engine's queries over the driver's tables.
+
+Most are one SQL text that both engines read, over stand-in views (VIEWS) for the relations that the tables do not
+hold; `both` adapts the few functions that are named differently. Queries on ordered operators are DataFrame
+plans with an SQL twin of their own.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.operators import ordered as op
+from sparkloom.plans.registry import query
+from sparkloom.session import ready, table
+from sparkloom.streaming import state
+
+TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
+
+VIEWS = {
+    "v_packages": "SELECT p_partkey AS ord, p_name AS name, concat(cast(p_size AS VARCHAR(9)), '.', cast(p_partkey % 10 AS VARCHAR(9)), '.0') AS version, lower(p_type) AS ecosystem, p_brand AS source_file, concat('@', p_brand, '/', p_name) AS full_name FROM part",
+    "v_hotspots": "SELECT p_partkey AS ord, concat(lower(p_type), '/', lower(p_brand), '/', replace(p_name, ' ', '_'), '.ts') AS path, p_brand AS module, p_size AS complexity, p_partkey % 100 AS symbols FROM part",
+    "v_nodes": "SELECT s_name AS id, n_name AS module, s_acctbal AS importance, s_suppkey % 50 AS symbols, s_suppkey AS ord FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "v_steps": "SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS b FROM lineitem WHERE l_orderkey % 400 = 0",
+    "v_edges": "SELECT DISTINCT f.s_name AS src, t.s_name AS dst FROM v_steps JOIN supplier f ON f.s_suppkey = a JOIN supplier t ON t.s_suppkey = b WHERE a <> b",
+    "v_jobs": "SELECT o_orderkey AS id, 6 - cast(substr(o_orderpriority, 1, 1) AS INT) AS priority, o_orderdate AS created_at, CASE o_orderstatus WHEN 'F' THEN 'claimed' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, o_orderkey % 4 AS attempt, o_custkey AS owner FROM orders",
+    "v_costs": "SELECT l_orderkey AS item, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS session, concat(l_returnflag, '/', l_linestatus) AS model, l_quantity AS prompt, l_quantity * 2 AS completion, cast(l_extendedprice AS DECIMAL(18,4)) * cast(l_discount AS DECIMAL(18,4)) AS cost FROM lineitem",
+    "v_issues": "SELECT d.doc_id AS id, concat('P', cast(d.doc_id % 6 AS VARCHAR(9))) AS tier, d.doc_id % 12 AS cat, CASE WHEN toxic = 1 THEN 'dismissed' WHEN quality = 1 THEN 'done' WHEN quality = 0 THEN 'queued' ELSE 'open' END AS status, substr(text, 1, 60) AS title, lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "v_todos": "SELECT o_orderkey AS id, o_custkey AS owner, CASE o_orderkey % 10 WHEN 0 THEN 'pending' WHEN 1 THEN 'ready' WHEN 2 THEN 'running' WHEN 3 THEN 'implemented' WHEN 4 THEN 'validating' WHEN 5 THEN 'passed' WHEN 6 THEN 'failed' WHEN 7 THEN 'merged' WHEN 8 THEN 'cancelled' ELSE 'blocked' END AS status FROM orders",
+    "v_deps": "SELECT id, id - 1 AS dep FROM v_todos WHERE id > 1 UNION ALL SELECT id, id - 7 AS dep FROM v_todos WHERE id > 7",
+    "v_catalog": "SELECT * FROM (VALUES (1, 'C1', 'NAME1', '4', 'critical'), (1, 'C1', 'NAME1', '1', 'critical'), (2, 'C2', 'NAME2', '*', 'high'), (3, 'C3', 'NAME3', '3', 'low')) AS c(cid, catalog_id, package, ver, severity)",
+}
+#: Which stand-ins each stand-in is made of.
+_NEEDS = {"v_edges": ["v_steps"], "v_deps": ["v_todos"]}
+
+
+def _used(sql: str) -> list[str]:
+    found: list[str] = []
+    for v in VIEWS:
+        if re.search(rf"\b{v}\b", sql):
+            found += [x for x in (*_NEEDS.get(v, []), v) if x not in found]
+    return found
+
+
+def _with_views(sql: str) -> str:
+    ctes = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in _used(sql))
+    if not ctes:
+        return sql
+    return f"WITH {ctes},{sql.strip()[4:]}" if sql.strip().upper().startswith("WITH") else f"WITH {ctes}\n{sql}"
+
+
+def _duck(sql: str) -> str:
+    sql = re.sub(r"\bMS\(([^()]*)\)", r"(epoch_us(\1) // 1000)", sql)
+    return sql.replace("BOOL_ANY(", "bool_or(").replace("LAST_PART(", "list_extract(reverse(list_value(").replace("RX(", "regexp_matches(").replace("JOINED(", "string_agg(")
+
+
+def _spark(sql: str) -> str:
+    sql = re.sub(r"\bMS\(([^()]*)\)", r"unix_millis(CAST(\1 AS TIMESTAMP))", sql)
+    return sql.replace("BOOL_ANY(", "bool_or(").replace(", 'g')", ")").replace("RX(", "regexp_like(").replace("VARCHAR(9)", "STRING").replace("VARCHAR)", "STRING)").replace("DOUBLE PRECISION", "DOUBLE")
+
+
+def sql_frame(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    ready(spark)
+    for t in TABLES:
+        if re.search(rf"\b{t}\b", sql):
+            table(spark, d, t).createOrReplaceTempView(t)
+    return spark.sql(_spark(sql))
+
+
+def both(name: str, sql: str) -> None:
+    full = _with_views(sql)
+    query(name, _duck(full))(lambda spark, d: sql_frame(spark, d, full))
+
+
+def view(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return sql_frame(spark, d, _with_views(f"SELECT * FROM {name}"))
+
+
+def duck(sql: str) -> str:
+    return _duck(_with_views(sql))
+
+
+# -- sources and projections ---------------------------------------------------------------------------------
+
+
+@query("src_json_events", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def _json(spark, d):
+    ready(spark)
+    return table(spark, d, "events").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"))
+
+
+both("prj_coalesce_defaults", "SELECT d.doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, 0) AS toxic, coalesce(nullif(source, ''), 'unknown') AS source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+both("prj_event_case", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'Account opened' WHEN 'purchase' THEN 'Order placed' WHEN 'error' THEN 'Something failed' WHEN 'view' THEN 'Page seen' ELSE concat('Event ', event_type) END AS summary FROM events")
+both("flt_issue_list", "SELECT id, tier, status FROM v_issues WHERE tier = 'P1' AND status <> 'dismissed' AND position(lower('The') IN lower(concat(title, ' ', cast(cat AS VARCHAR(9))))) > 0")
+both("flt_actionable_case", "SELECT id, CASE WHEN tier IN ('P0', 'P1', 'P2') THEN true WHEN status = 'queued' THEN true WHEN cat IN (9, 10, 11) THEN false ELSE tier = 'P3' END AS actionable FROM v_issues")
+both("flt_path_prefix", "SELECT path FROM v_hotspots WHERE left(path, 9) = 'economy/b' OR path = 'small' OR left(path, 6) = 'small/' OR left(path, 9) = 'standard/'")
+both("flt_regex_classify", "SELECT p_partkey, RX(lower(p_name), '^(part|name)') AS ui_like, RX(p_type, '(?i)^(eco|sta)') AS data_like, RX(p_brand, '^Brand#[1-3]') AS low_brand FROM part")
+
+# -- joins ---------------------------------------------------------------------------------------------------
+
+both("join_index_lookup", "SELECT c_custkey, o_orderkey, cast(row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS BIGINT) AS pos FROM customer JOIN orders ON c_custkey = o_custkey")
+
+
+@query("join_theta_catalog", duck("SELECT DISTINCT c.cid, c.catalog_id, p.ord, p.name, p.version, c.severity FROM v_catalog c JOIN v_packages p ON (p.name LIKE concat('%', lower(right(c.package, 1))) OR p.source_file = concat('Brand#1', right(c.package, 1))) AND (c.ver IN ('*', 'all') OR left(p.version, length(c.ver)) = c.ver)"))
+def _theta(spark, d):
+    """An OR of two keys as a union of two equi-joins; the version test stays a residual filter."""
+    c = view(spark, d, "v_catalog").withColumns({"by_name": F.lower(F.expr("right(package, 1)")), "by_brand": F.concat(F.lit("Brand#1"), F.expr("right(package, 1)"))})
+    p = view(spark, d, "v_packages").withColumn("tail", F.expr("right(name, 1)"))
+    met = op.either_key_join(c, p, [("by_name", "tail"), ("by_brand", "source_file")], ["cid", "catalog_id", "ver", "ord"])
+    return met.where("ver IN ('*', 'all') OR startswith(version, ver)").select("cid", "catalog_id", "ord", "name", "version", "severity").distinct()
+
+
+both("join_broadcast_dim", "SELECT p.ord, p.name, r.risk FROM v_packages p JOIN (VALUES ('economy', 'low'), ('standard', 'medium'), ('promo', 'high'), ('large', 'high')) AS r(eco, risk) ON p.ecosystem = r.eco OR left(p.ecosystem, length(r.eco) + 1) = concat(r.eco, ' ')")
+both("join_anti_orphans", "SELECT id FROM v_nodes n WHERE NOT EXISTS (SELECT 1 FROM v_edges e WHERE e.dst = n.id) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_name = n.id)")
+both("join_anti_tombstone", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+
+
+def _nodes(spark, d):
+    return view(spark, d, "v_nodes").where("importance > 5000").select("id")
+
+
+@query("join_semi_edges_or", duck("SELECT src, dst FROM v_edges WHERE src IN (SELECT id FROM v_nodes WHERE importance > 5000) OR dst IN (SELECT id FROM v_nodes WHERE importance > 5000)"))
+def _semi_or(spark, d):
+    e, n = view(spark, d, "v_edges"), _nodes(spark, d)
+    return e.join(n, e["src"] == n["id"], "left_semi").unionByName(e.join(n, e["dst"] == n["id"], "left_semi")).distinct()
+
+
+@query("join_semi_edges_and", duck("SELECT src, dst FROM v_edges WHERE src IN (SELECT id FROM v_nodes WHERE importance > 5000) AND dst IN (SELECT id FROM v_nodes WHERE importance > 5000)"))
+def _semi_and(spark, d):
+    e, n = view(spark, d, "v_edges"), _nodes(spark, d)
+    return e.join(n, e["src"] == n["id"], "left_semi").join(n, F.col("dst") == n["id"], "left_semi")
+
+
+@query("join_cascade_resolve", duck("""WITH want AS (SELECT ord AS k, CASE WHEN ord % 2 = 0 THEN path ELSE concat(module, '!') END AS p FROM v_hotspots WHERE ord <= 200),
+m AS (SELECT k, 0 AS stage, complexity AS score, h.ord, h.path AS hit FROM want JOIN v_hotspots h ON h.path = p UNION ALL SELECT k, 1, complexity, h.ord, h.path FROM want JOIN v_hotspots h ON concat(h.module, '!') = p),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY stage, score DESC, ord) AS rn FROM m) SELECT want.k, coalesce(hit, p) AS resolved, coalesce(stage, 9) AS stage FROM want LEFT JOIN r ON want.k = r.k AND rn = 1"""))
+def _cascade(spark, d):
+    h = view(spark, d, "v_hotspots")
+    want = h.where("ord <= 200").select(F.col("ord").alias("k"), F.when(F.col("ord") % 2 == 0, F.col("path")).otherwise(F.concat("module", F.lit("!"))).alias("p"))
+    exact = want.join(h, F.col("p") == F.col("path")).select("k", "complexity", "ord", "path")
+    by_module = want.join(h, F.col("p") == F.concat("module", F.lit("!"))).select("k", "complexity", "ord", "path")
+    out = op.ranked_lookup(want, ["k"], [exact, by_module], [F.desc("complexity"), F.col("ord")])
+    return out.select("k", F.coalesce("path", "p").alias("resolved"), F.coalesce("stage", F.lit(9)).alias("stage"))
+
+
+both("join_anti_dependencies", "SELECT t.id FROM v_todos t WHERE t.status = 'pending' AND NOT EXISTS (SELECT 1 FROM v_deps d LEFT JOIN v_todos x ON x.id = d.dep WHERE d.id = t.id AND (x.status IS NULL OR x.status NOT IN ('passed', 'merged', 'cancelled')))")
+
+
+@query("join_contains", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))")
+def _contains(spark, d):
+    """A stated, small set of passages against all texts: looked up together in one reading of each text."""
+    ready(spark)
+    items = [(r["item_id"], r["p"]) for r in table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("p")).toLocalIterator() if r["p"] is not None]
+    tests = F.array(*[F.when(F.contains("text", F.lit(p)), F.lit(i).cast("long")) for i, p in items]) if items else F.array().cast("array<bigint>")
+    return table(spark, d, "documents").select("doc_id", F.explode(F.array_compact(tests)).alias("item_id")).select("item_id", "doc_id")
+
+
+both("join_anti_synthesize", "SELECT d.doc_id, l.quality AS verdict, 'given' AS kind FROM documents d JOIN labels l ON d.doc_id = l.doc_id UNION ALL SELECT d.doc_id, 0 AS verdict, 'synthetic' AS kind FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+both("join_hydrate", "SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_open FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_linestatus <> 'F' GROUP BY c_custkey")
+both("join_left_coalesce", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), s.top) AS segment FROM customer LEFT JOIN (SELECT s_nationkey, min(s_name) AS top FROM supplier GROUP BY s_nationkey) s ON c_nationkey = s.s_nationkey")
+both("join_full_outer", "SELECT coalesce(u.user_id, c.c_custkey) AS id, u.user_id IS NOT NULL AS has_events, c.c_custkey IS NOT NULL AS is_customer, coalesce(u.n, 0) AS n FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) u FULL OUTER JOIN customer c ON u.user_id = c.c_custkey")
+both("join_price_fallback", "SELECT c.item, c.ln, c.pk, c.session, coalesce(e.price, p.price, 0) AS price FROM v_costs c LEFT JOIN (VALUES ('A/F', 3), ('N/O', 2)) AS e(model, price) ON c.model = e.model LEFT JOIN (VALUES ('R', 5), ('N', 1)) AS p(provider, price) ON split_part(c.model, '/', 1) = p.provider")
+
+# -- aggregates ----------------------------------------------------------------------------------------------
+
+both("agg_count_by_tier", "SELECT tier, count(*) AS n FROM v_issues GROUP BY tier")
+both("agg_severity_pivot", "SELECT o_orderstatus, count(*) AS total, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS critical, count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS high, count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM') AS medium, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS low FROM orders GROUP BY o_orderstatus")
+both("agg_zero_filled", "SELECT s.status, count(t.id) AS n FROM (VALUES ('pending'), ('ready'), ('running'), ('implemented'), ('validating'), ('passed'), ('failed'), ('merged'), ('cancelled'), ('blocked'), ('unknown')) AS s(status) LEFT JOIN v_todos t ON t.status = s.status GROUP BY s.status")
+both("agg_bool_cascade", "SELECT owner, CASE WHEN count(*) = 0 THEN 'planning' WHEN count(*) FILTER (WHERE status NOT IN ('merged', 'cancelled')) = 0 THEN 'complete' WHEN count(*) FILTER (WHERE status IN ('failed', 'blocked')) > 0 THEN 'blocked' WHEN count(*) FILTER (WHERE status = 'validating') > 0 THEN 'validating' WHEN count(*) FILTER (WHERE status IN ('running', 'implemented')) > 0 THEN 'running' ELSE 'ready' END AS ledger FROM v_todos GROUP BY owner")
+both("agg_ratio_score", "SELECT user_id, total, CASE WHEN k + s + t = 0 THEN NULL ELSE floor(k * 10000.0E0 / (k + s + t) + 0.5E0) / 100.0E0 END AS score FROM (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'purchase') AS k, count(*) FILTER (WHERE event_type = 'error') AS s, count(*) FILTER (WHERE event_type = 'view') AS t FROM events GROUP BY user_id) q")
+both("agg_conditional_ratio", "SELECT p_brand, CASE WHEN src > 10 AND tst = 0 THEN 'none' WHEN tst < 0.2 * src THEN 'low' ELSE 'ok' END AS tests, src, tst FROM (SELECT p_brand, count(*) FILTER (WHERE p_size > 10) AS src, count(*) FILTER (WHERE p_size <= 10) AS tst FROM part GROUP BY p_brand) q")
+
+
+@query("agg_argmax_latest", """SELECT o_custkey, max(CASE WHEN f = 1 THEN o_orderkey END) AS first_tie, max(CASE WHEN l = 1 THEN o_orderkey END) AS last_tie FROM (
+SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_orderkey) AS f, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_orderkey DESC) AS l FROM orders) GROUP BY o_custkey""")
+def _argmax(spark, d):
+    ready(spark)
+    o = table(spark, d, "orders")
+    a = op.latest(o, ["o_custkey"], "o_orderpriority", "o_orderkey", "first").select("o_custkey", F.col("o_orderkey").alias("first_tie"))
+    return a.join(op.latest(o, ["o_custkey"], "o_orderpriority", "o_orderkey", "last").select("o_custkey", F.col("o_orderkey").alias("last_tie")), "o_custkey")
+
+
+both("agg_cost_rollup", "SELECT model, cast(sum(cost) AS DOUBLE PRECISION) AS cost, cast(sum(prompt + completion) AS BIGINT) AS tokens, count(*) AS entries FROM v_costs GROUP BY model")
+
+
+@query("agg_array_union", "SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey))) AS suppliers FROM lineitem GROUP BY l_orderkey")
+def _array_union(spark, d):
+    ready(spark)
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("suppliers"))
+
+
+both("agg_snapshot", "SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) FILTER (WHERE o_orderstatus = 'F') * 100.0E0 / count(*) AS progress FROM orders GROUP BY o_custkey")
+both("agg_max_severity", "SELECT c_custkey, coalesce(CASE min(cast(substr(o_orderpriority, 1, 1) AS INT)) WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END, 'CLEAN') AS risk, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+both("agg_first_match_fallback", "SELECT lang, coalesce(min(CASE WHEN tier = 'P0' AND status = 'done' THEN id END), min(id)) AS impact, coalesce(min(CASE WHEN status = 'queued' THEN id END), min(CASE WHEN cat < 4 THEN id END)) AS safest FROM v_issues GROUP BY lang")
+both("agg_histogram", "SELECT event_type, CASE WHEN value < 10 THEN 0 WHEN value < 50 THEN 1 WHEN value < 100 THEN 2 ELSE 3 END AS bucket, count(*) AS n FROM events GROUP BY event_type, CASE WHEN value < 10 THEN 0 WHEN value < 50 THEN 1 WHEN value < 100 THEN 2 ELSE 3 END")
+
+
+@query("agg_ordered_concat", "SELECT conv_id, string_agg(concat(role, ': ', text), '\n\n' ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+def _concat(spark, d):
+    ready(spark)
+    turns = table(spark, d, "conversations").select("conv_id", F.struct("turn", F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit(""))).alias("t")).alias("x"))
+    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n\n").alias("transcript"))
+
+
+# -- windows -------------------------------------------------------------------------------------------------
+
+both("win_share_of_total", "SELECT lang, n, cast(floor(n * 100.0E0 / sum(n) OVER () + 0.5E0) AS BIGINT) AS pct, n > 0.3 * sum(n) OVER () AS coupled FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) q")
+both("win_running_cost", "SELECT item, ln, pk, session, cast(sum(cost) OVER (PARTITION BY item ORDER BY ln, pk, session ROWS UNBOUNDED PRECEDING) AS DOUBLE PRECISION) AS running FROM v_costs")
+both("win_threshold_crossing", "SELECT item, min(ln) AS crossed_at FROM (SELECT item, ln, sum(cost) OVER (PARTITION BY item ORDER BY ln, pk, session ROWS UNBOUNDED PRECEDING) AS r FROM v_costs) q WHERE r >= 5000 GROUP BY item")
+
+
+@query("win_consecutive_repeats", """WITH a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS s FROM events),
+b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM a), c AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS run_length FROM b) SELECT user_id, event_id, event_type, cast(run_length AS INT) AS run_length FROM c WHERE run_length >= 3""")
+def _repeats(spark, d):
+    ready(spark)
+    return op.repeats(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", 3).select("user_id", "event_id", "event_type", "run_length")
+
+
+both("win_row_cap", "SELECT event_id, n > 20 AS over_cap FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) q")
+
+
+@query("win_keep_last_n", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 10")
+def _last_n(spark, d):
+    ready(spark)
+    return op.keep_last_n(table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 10).select("user_id", "event_id")
+
+
+both("win_topn_per_group", "SELECT module, path, complexity, complexity * 1.0E0 / greatest(1, max(complexity) OVER ()) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY ord) AS n FROM v_hotspots) q WHERE n <= 5")
+both("win_lead_pairs", "SELECT event_id, event_type, coalesce(lead(event_type) OVER w, first_value(event_type) OVER w) AS next_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+
+
+@query("win_latest_row", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'purchase') WHERE n = 1")
+def _latest_row(spark, d):
+    ready(spark)
+    return op.keep_first(table(spark, d, "events").where("event_type = 'purchase'"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+# -- sorts and top-k -----------------------------------------------------------------------------------------
+
+both("sort_two_rank_keys", "SELECT id, cast(row_number() OVER (ORDER BY cast(substr(tier, 2, 1) AS INT), cat, id) AS BIGINT) AS position FROM v_issues")
+both("topk_complexity", "SELECT path, complexity FROM v_hotspots WHERE complexity > 45 ORDER BY complexity DESC, ord LIMIT 5")
+both("topk_fanout", "SELECT src, count(*) AS n FROM v_edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 10")
+both("topk_claim_next", "SELECT id, priority FROM v_jobs WHERE status = 'queued' AND attempt < 3 AND created_at <= TIMESTAMP '1998-01-01 00:00:00' ORDER BY priority DESC, created_at, id LIMIT 10")
+both("topk_budget_trim", """WITH n AS (SELECT module, id, row_number() OVER (PARTITION BY module ORDER BY importance DESC, id) AS rk FROM v_nodes),
+e AS (SELECT a.module, least(a.rk, coalesce(b.rk, 99999)) AS need FROM v_edges JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst AND b.module = a.module),
+k AS (SELECT n.module, n.rk, (SELECT count(*) FROM e WHERE e.module = n.module AND e.need <= n.rk) AS edges FROM n WHERE n.rk <= 25)
+SELECT module, cast(max(rk) AS BIGINT) AS nodes_kept, max(edges) AS edges_kept FROM k WHERE 40 + 4 * rk + 4 * edges <= 80 GROUP BY module""")
+
+# -- set operations ------------------------------------------------------------------------------------------
+
+
+@query("setop_dedupe_first", duck("SELECT ord, name, version FROM (SELECT *, row_number() OVER (PARTITION BY source_file, version ORDER BY ord) AS n FROM v_packages) WHERE n = 1"))
+def _dedupe(spark, d):
+    return op.keep_first(view(spark, d, "v_packages"), ["source_file", "version"], ["ord"]).select("ord", "name", "version")
+
+
+@query("setop_union_dedupe", duck("SELECT name, kind FROM (SELECT name, kind, row_number() OVER (PARTITION BY name ORDER BY kind, ord) AS n FROM (SELECT name, 0 AS kind, ord FROM v_packages WHERE ecosystem LIKE 'p%' UNION ALL SELECT name, 1 AS kind, ord FROM v_packages)) WHERE n = 1"))
+def _union_dedupe(spark, d):
+    p = view(spark, d, "v_packages").select("name", "ord", "ecosystem")
+    return op.keep_first(op.union_in_order([p.where("ecosystem LIKE 'p%'"), p]), ["name"], ["generator", "ord"]).select("name", F.col("generator").alias("kind"))
+
+
+both("setop_history_page", "SELECT id FROM (SELECT id FROM v_jobs WHERE status IN ('claimed', 'running', 'queued') AND id % 5 <> 0 ORDER BY id DESC LIMIT 50) q WHERE id % 7 <> 0")
+both("setop_feed_union", "SELECT 'event' AS kind, event_id AS id, MS(ts) AS at FROM events UNION ALL SELECT 'order' AS kind, o_orderkey AS id, MS(o_orderdate) AS at FROM orders")
+both("setop_upsert_latest", "SELECT user_id, event_type AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'error' THEN 0 ELSE 1 END, ts DESC, event_id DESC) AS n FROM events) q WHERE n = 1")
+
+# -- scalars -------------------------------------------------------------------------------------------------
+
+both("str_basename", "SELECT ord, regexp_replace(path, '^.*/', '', 'g') AS base FROM v_hotspots")
+both("str_sanitize", "SELECT ord, regexp_replace(full_name, '[^A-Za-z0-9_-]', '_', 'g') AS safe, regexp_replace(full_name, '^@[^/]+/', '', 'g') AS bare FROM v_packages")
+both("str_clean_version", "SELECT ord, coalesce(nullif(regexp_replace(regexp_replace(concat('>=', version, ' <', version), '^[~^>=<]+', '', 'g'), '^.* ', '', 'g'), ''), version) AS clean FROM v_packages")
+both("str_truncate", "SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE concat(substr(text, 1, 57), '...') END AS short FROM documents")
+both("str_first_line", "SELECT doc_id, substr(trim(split_part(text, chr(10), 1)), 1, 80) AS title FROM documents WHERE length(trim(split_part(text, chr(10), 1))) > 0")
+both("str_provider_prefix", "SELECT DISTINCT model, split_part(model, '/', 1) AS provider FROM v_costs")
+both("str_keyword_class", "SELECT doc_id, CASE WHEN RX(lower(text), '(test|verify)') THEN 'test' WHEN RX(lower(text), '(build|compile)') THEN 'build' WHEN RX(lower(text), '(scan|read)') THEN 'analysis' ELSE 'simple' END AS class FROM documents")
+both("str_compact_number", "SELECT o_orderkey, CASE WHEN o_totalprice >= 1000000 THEN concat(cast(cast(floor(o_totalprice / 1000000) AS BIGINT) AS VARCHAR(9)), 'M') WHEN o_totalprice >= 1000 THEN concat(cast(cast(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR(9)), 'K') ELSE cast(cast(floor(o_totalprice) AS BIGINT) AS VARCHAR(9)) END AS compact FROM orders")
+both("str_concat_nonempty", "SELECT conv_id, turn, concat_ws(chr(10), nullif(role, ''), nullif(text, ''), nullif(CASE WHEN turn = 0 THEN 'opening' ELSE '' END, '')) AS prompt FROM conversations")
+both("str_url_normalize", "SELECT page_id, CASE WHEN left(url, 8) = 'https://' THEN concat('https://', lower(split_part(split_part(url, '/', 3), '?', 1)), '/', split_part(split_part(url, '/', 4), '#', 1)) END AS normal FROM pages")
+
+
+@query("str_token_query", """WITH w AS (SELECT doc_id, string_split_regex(text, '[^A-Za-z0-9_./-]+') AS l FROM documents), o AS (SELECT doc_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS i FROM w),
+f AS (SELECT doc_id, t, min(i) AS i FROM o WHERE length(t) > 2 GROUP BY doc_id, t), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f), q AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS q FROM r WHERE n <= 32 GROUP BY doc_id)
+SELECT w.doc_id, coalesce(q.q, '') AS q FROM w LEFT JOIN q ON w.doc_id = q.doc_id""")
+def _token_query(spark, d):
+    ready(spark)
+    w = F.array_distinct(F.filter(F.split("text", "[^A-Za-z0-9_./-]+"), lambda x: F.length(x) > 2))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(w, 1, 32), " ").alias("q"))
+
+
+both("mth_cost_estimate", "SELECT item, ln, pk, session, CASE WHEN cost = 0 THEN prompt * 1.0E-7 + completion * 3.0E-7 ELSE cast(cost AS DOUBLE PRECISION) END AS estimate FROM v_costs")
+both("mth_score_band", "SELECT user_id, CASE WHEN s >= 80 THEN 'good' WHEN s >= 60 THEN 'fair' WHEN s IS NULL THEN 'none' ELSE 'poor' END AS band FROM (SELECT user_id, floor(max(value)) AS s FROM events GROUP BY user_id) q")
+both("dat_prefire", "SELECT event_id, greatest(CASE WHEN user_id % 2 = 0 THEN MS(ts) ELSE MS(ts) + 3600000 - 18000000 END, MS(TIMESTAMP '2024-01-10 00:00:00')) AS prefire FROM events")
+both("dat_timeline", "SELECT event_id, step, MS(ts) + shift AS at FROM events JOIN (VALUES (1, 0), (2, 3600000), (3, 7200000), (4, 18000000), (5, 21600000)) AS t(step, shift) ON event_type = 'signup'")
+both("arr_error_list", "SELECT o_orderkey, concat_ws(';', CASE WHEN o_totalprice < 1000 THEN 'small' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN o_custkey % 3 = 0 THEN 'third' END) AS errors FROM orders")
+both("arr_feature_flags", "SELECT p_brand, count(DISTINCT p_type) > 4 AS many_types, count(*) FILTER (WHERE p_size = 1) > 0 AS has_small, count(*) FILTER (WHERE p_size >= 50) > 0 AS has_large, min(p_type) AS first_type FROM part GROUP BY p_brand")
+both("arr_collapse_single", "SELECT l_orderkey, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN 1 ELSE count(*) END AS units FROM lineitem GROUP BY l_orderkey")
+
+# -- state ---------------------------------------------------------------------------------------------------
+
+
+@query("stm_replay_since", "SELECT event_id AS seq FROM events WHERE event_id > 4000 AND event_id > (SELECT max(event_id) FROM events) - 5000")
+def _replay(spark, d):
+    ready(spark)
+    return state.replay(table(spark, d, "events").select(F.col("event_id").alias("seq")), 4000, 5000)
+
+
+both("stm_quota_status", "SELECT user_id, CASE WHEN f IS NULL THEN 'idle' WHEN age < 3600000 THEN 'active' WHEN age < 18000000 THEN 'exhausted' ELSE 'expired' END AS status FROM (SELECT user_id, min(MS(ts)) AS f, max(MS(ts)) - min(MS(ts)) AS age FROM events GROUP BY user_id) q")
+both("stm_quota_admission", "SELECT event_id, MS(ts) - f < 3600000 OR MS(ts) - f >= 18000000 AS admitted FROM (SELECT event_id, ts, min(MS(ts)) OVER (PARTITION BY user_id) AS f FROM events) q")
+
+
+@query("stm_quota_admission_reset", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id FROM events),
+w AS (SELECT user_id, min(ms) AS s FROM e GROUP BY user_id UNION ALL SELECT * FROM (SELECT w.user_id, (SELECT min(ms) FROM e WHERE e.user_id = w.user_id AND e.ms >= w.s + 18000000) AS s FROM w) WHERE s IS NOT NULL),
+x AS (SELECT event_id AS id, e.user_id AS key, ms, max(s) AS window_start FROM e JOIN w ON w.user_id = e.user_id AND w.s <= e.ms GROUP BY ALL) SELECT id, key, ms, window_start, ms < window_start + 3600000 AS admitted FROM x""")
+def _reset(spark, d):
+    ready(spark)
+    uses = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.expr("unix_millis(cast(ts as timestamp))").alias("ms"))
+    return state.admissions(uses, 18_000_000, 3_600_000)
+
+
+both("stm_transition_valid", "SELECT event_id, prev IS NULL OR t.a IS NOT NULL AS valid FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) q LEFT JOIN (VALUES ('view', 'click'), ('click', 'purchase'), ('signup', 'view'), ('view', 'view'), ('click', 'view')) AS t(a, b) ON q.prev = t.a AND q.event_type = t.b")
+both("stm_stale_actions", "SELECT id, CASE WHEN status = 'claimed' AND age > 120000 THEN CASE WHEN attempt >= 3 THEN 'fail' ELSE 'release_claim' END WHEN status = 'running' AND age > 300000 THEN CASE WHEN attempt >= 3 THEN 'escalate' ELSE 'requeue' END ELSE 'keep' END AS action FROM (SELECT id, status, attempt, MS(TIMESTAMP '1996-01-01 00:00:00') - MS(created_at) AS age FROM v_jobs) q")
+both("stm_idle_sessions", "SELECT user_id, s AS session, count(*) AS n, min(MS(ts)) AS started, max(MS(ts)) AS ended FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN MS(ts) - lag(MS(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 7200000 THEN 0 ELSE 1 END AS new FROM events) a) b GROUP BY user_id, s")
+
+# -- the flagship: five generators of isolated issues, in one ranked list ----------------------------------------
+
+both("flagship_issues", """WITH g AS (
+SELECT 1 AS gen, p.ord, CASE c.severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 4 END AS tier, 0 AS cat, concat(c.catalog_id, ':', p.name) AS title FROM v_packages p JOIN v_catalog c ON right(p.name, 1) = lower(right(c.package, 1)) AND (c.ver = '*' OR left(p.version, length(c.ver)) = c.ver)
+UNION ALL SELECT 3, ord, CASE WHEN complexity > 48 THEN 1 ELSE 2 END, 8, path FROM (SELECT ord, complexity, path, row_number() OVER (ORDER BY complexity DESC, ord) AS rn FROM v_hotspots WHERE complexity > 45) x WHERE rn <= 5
+UNION ALL SELECT 4, ord, 1, 2, id FROM (SELECT n.ord, n.id, row_number() OVER (ORDER BY n.ord) AS rn FROM v_nodes n WHERE NOT EXISTS (SELECT 1 FROM v_edges e WHERE e.dst = n.id)) x WHERE rn <= 5
+UNION ALL SELECT 5, 0, 2, 4, module FROM (SELECT module, count(*) AS n, sum(count(*)) OVER () AS t FROM v_hotspots GROUP BY module) x WHERE n > 0.05 * t
+UNION ALL SELECT 8, 0, 4, 6, module FROM (SELECT module, count(*) AS n FROM v_hotspots GROUP BY module) x WHERE n > 20)
+SELECT cast(row_number() OVER (ORDER BY tier, cat, gen, ord, title) AS BIGINT) AS position, concat('P', cast(tier AS VARCHAR(9))) AS tier, cat, gen, title FROM g""")
