@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SHORT = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 
@@ -58,11 +59,11 @@ def close_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def escape_controls_udf(s: pd.Series) -> pd.Series:
     return s.map(escape_controls)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def close_json_udf(s: pd.Series) -> pd.Series:
     return s.map(close_json)
