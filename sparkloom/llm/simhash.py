@@ -25,7 +25,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from sparkloom.llm.arrowtext import LOWER, raw, steps
 from sparkloom.llm.components import components
@@ -34,6 +33,8 @@ from sparkloom.llm.store import partitions, written
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Nodes of a bucket that one task compares at once.
 BLOCK = 20_000
+#: Large buckets whose keys are sent to every task; more of them are joined by a shuffle.
+HOT_BROADCAST = 100_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -106,14 +107,19 @@ def links(nodes: DataFrame, radius: int = RADIUS, seed: int = SEED, block: int =
     spark = nodes.sparkSession
     tables = F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.lit(_signed(m)).alias("m")) for t, m in enumerate(masks(radius, seed))])
     spread = nodes.select("fp", "node", F.explode(tables).alias("x")).select("fp", "node", F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"))
-    bucket = Window.partitionBy("t", "key")
-    met = spread.withColumn("n", F.count("*").over(bucket)).where("n > 1")
+    # buckets over a block, counted before rows are shuffled; all others are whole in one task
+    hot = written(spread.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > block), "hot")
+    known = hot.count()
+    if known <= HOT_BROADCAST:
+        hot = F.broadcast(hot)
+    small = spread.join(hot.drop("n"), ["t", "key"], "left_anti") if known else spread
+    small = small.select("t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "node").repartition(partitions(spark), "t", "key")
     # blocks of a large bucket meet in pairs: block i goes to the tasks (i, j) and (j, i) of all j
     k = F.ceil(F.col("n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("node"), k.cast("long")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    small = met.where(F.col("n") <= block).select("t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "node")
-    large = met.where(F.col("n") > block).withColumn("k", k).withColumn("own", own).select("t", "key", F.explode(pair).alias("p"), "fp", "node").select("t", "key", "p.i", "p.j", "fp", "node").repartition(partitions(spark), "t", "key", "i", "j")
+    large = spread.join(hot, ["t", "key"]).withColumn("k", k).withColumn("own", own)
+    large = large.select("t", "key", F.explode(pair).alias("p"), "fp", "node").select("t", "key", "p.i", "p.j", "fp", "node").repartition(partitions(spark), "t", "key", "i", "j")
 
     def run(batches):
         # rows come sorted by bucket; the last bucket of a batch may go on in the next
@@ -133,6 +139,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, seed: int = SEED, block: int =
             yield from _walked(rest, [0, rest.num_rows], radius)
 
     both = small.sortWithinPartitions("t", "key", "i", "j").mapInArrow(run, "a long, b long")
+    if not known:
+        return both
     return both.unionByName(large.sortWithinPartitions("t", "key", "i", "j").mapInArrow(run, "a long, b long"))
 
 
