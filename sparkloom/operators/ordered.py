@@ -55,3 +55,14 @@ def repeats(df: DataFrame, keys: list[str], order: list[str], value: str, length
 def union_in_order(parts: list[DataFrame]) -> DataFrame:
     """All parts with the number of the part, which is the tie-break of later sorts."""
     return reduce(DataFrame.unionByName, [p.withColumn("generator", F.lit(i)) for i, p in enumerate(parts)])
+
+
+def positions(df: DataFrame, coarse: list[str], order: str, fine: list[str], width: int = 1_000_000) -> DataFrame:
+    """df with its 1-based position by (coarse, order, fine), without sorting all rows in one task: rows are counted by
+    coarse keys and ranges of `order` (an integer), ranked within these, and shifted by what lies before."""
+    parts = df.withColumn("_part", F.floor(F.col(order) / F.lit(width)))
+    keys = [*coarse, "_part"]
+    sizes = parts.groupBy(*keys).agg(F.count("*").alias("_n"))  # one row a range, ordered by one task
+    shift = sizes.select(*keys, F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    ranked = parts.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order, *fine)))
+    return ranked.join(shift, keys).withColumn("position", F.col("_shift") + F.col("_rank")).drop("_part", "_rank", "_shift")

@@ -323,12 +323,89 @@ both("stm_transition_valid", "SELECT event_id, prev IS NULL OR t.a IS NOT NULL A
 both("stm_stale_actions", "SELECT id, CASE WHEN status = 'claimed' AND age > 120000 THEN CASE WHEN attempt >= 3 THEN 'fail' ELSE 'release_claim' END WHEN status = 'running' AND age > 300000 THEN CASE WHEN attempt >= 3 THEN 'escalate' ELSE 'requeue' END ELSE 'keep' END AS action FROM (SELECT id, status, attempt, MS(TIMESTAMP '1996-01-01 00:00:00') - MS(created_at) AS age FROM v_jobs) q")
 both("stm_idle_sessions", "SELECT user_id, s AS session, count(*) AS n, min(MS(ts)) AS started, max(MS(ts)) AS ended FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN MS(ts) - lag(MS(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 7200000 THEN 0 ELSE 1 END AS new FROM events) a) b GROUP BY user_id, s")
 
-# -- the flagship: five generators of isolated issues, in one ranked list ----------------------------------------
-
-both("flagship_issues", """WITH g AS (
-SELECT 1 AS gen, p.ord, CASE c.severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 4 END AS tier, 0 AS cat, concat(c.catalog_id, ':', p.name) AS title FROM v_packages p JOIN v_catalog c ON right(p.name, 1) = lower(right(c.package, 1)) AND (c.ver = '*' OR left(p.version, length(c.ver)) = c.ver)
-UNION ALL SELECT 3, ord, CASE WHEN complexity > 48 THEN 1 ELSE 2 END, 8, path FROM (SELECT ord, complexity, path, row_number() OVER (ORDER BY complexity DESC, ord) AS rn FROM v_hotspots WHERE complexity > 45) x WHERE rn <= 5
-UNION ALL SELECT 4, ord, 1, 2, id FROM (SELECT n.ord, n.id, row_number() OVER (ORDER BY n.ord) AS rn FROM v_nodes n WHERE NOT EXISTS (SELECT 1 FROM v_edges e WHERE e.dst = n.id)) x WHERE rn <= 5
-UNION ALL SELECT 5, 0, 2, 4, module FROM (SELECT module, count(*) AS n, sum(count(*)) OVER () AS t FROM v_hotspots GROUP BY module) x WHERE n > 0.05 * t
-UNION ALL SELECT 8, 0, 4, 6, module FROM (SELECT module, count(*) AS n FROM v_hotspots GROUP BY module) x WHERE n > 20)
-SELECT cast(row_number() OVER (ORDER BY tier, cat, gen, ord, title) AS BIGINT) AS position, concat('P', cast(tier AS VARCHAR(9))) AS tier, cat, gen, title FROM g""")
+
+@query("stm_idle_capped", """WITH RECURSIVE e AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS ms, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT key, id, ms, rn, ms AS session_start, ms + 3600000 AS deadline FROM e WHERE rn = 1
+UNION ALL SELECT e.key, e.id, e.ms, e.rn, CASE WHEN e.ms >= w.deadline THEN e.ms ELSE session_start END, CASE WHEN e.ms >= w.deadline THEN e.ms + 3600000 ELSE least(e.ms + 3600000, session_start + 10800000) END FROM w JOIN e ON e.key = w.key AND e.rn = w.rn + 1)
+SELECT id, key, ms, session_start, deadline FROM w""")
+def _capped(spark, d):
+    ready(spark)
+    uses = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.expr("unix_millis(cast(ts as timestamp))").alias("ms"))
+    return state.capped_sessions(uses, 3_600_000, 10_800_000)
+
+
+# -- texts that hold arrays, and paths in prose -------------------------------------------------------------------
+
+_LISTS = "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN concat('[\"a', cast(o_orderkey AS VARCHAR(9)), '\", \"b\"]') WHEN 1 THEN '[\"a\", 1, null, \"c\"]' WHEN 2 THEN 'broken [' WHEN 3 THEN '{\"k\": 1}' END AS t FROM orders"
+
+
+@query("arr_parse_or_empty", f"SELECT o_orderkey, CASE WHEN json_valid(t) AND json_type(t) = 'ARRAY' THEN array_to_string(list_transform(list_filter(from_json(t, '[\"JSON\"]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: x->>'$'), ',') ELSE '' END AS items FROM ({_duck(_LISTS)}) x")
+def _parse_or_empty(spark, d):
+    """The strings of a JSON array; anything else is an empty list."""
+    items = F.expr("transform(filter(try_variant_get(try_parse_json(t), '$', 'array<variant>'), x -> schema_of_variant(x) = 'STRING'), x -> cast(x as string))")
+    return sql_frame(spark, d, _LISTS).select("o_orderkey", F.coalesce(F.array_join(items, ","), F.lit("")).alias("items"))
+
+
+_RUNS = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 11 = 0 THEN '  ' WHEN l_partkey % 13 = 0 THEN NULL ELSE 'make' END AS command, CASE WHEN l_suppkey % 17 = 0 THEN cast('NaN' AS DOUBLE PRECISION) WHEN l_suppkey % 19 = 0 THEN NULL ELSE cast(l_suppkey % 3 AS DOUBLE PRECISION) END AS code FROM lineitem"
+
+
+@query("arr_validate_first_error", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM ({_duck(_RUNS)}) x),
+b AS (SELECT l_orderkey, i, CASE WHEN command IS NULL OR trim(command) = '' THEN 'command' WHEN code IS NULL OR isnan(code) OR isinf(code) THEN 'exitCode' END AS bad FROM r)
+SELECT l_orderkey, min_by(concat('entry ', i, ': ', bad), i) FILTER (bad IS NOT NULL) AS first_error FROM b GROUP BY l_orderkey""")
+def _first_error(spark, d):
+    """Per order its lines as an array of runs; the first rule that an entry breaks, with the entry's place."""
+    runs = sql_frame(spark, d, _RUNS).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "command", "code"))).alias("runs"))
+
+    def check(r, i):
+        bad = F.when(r["command"].isNull() | (F.trim(r["command"]) == ""), "command")
+        bad = bad.when(r["code"].isNull() | F.isnan(r["code"]) | (F.abs(r["code"]) == float("inf")), "exitCode")
+        return F.when(bad.isNotNull(), F.concat(F.lit("entry "), i.cast("string"), F.lit(": "), bad))
+
+    return runs.select("l_orderkey", F.get(F.filter(F.transform("runs", check), lambda e: e.isNotNull()), F.lit(0)).alias("first_error"))
+
+
+_PROSE = "SELECT a.ord, concat('Edit `', a.path, '`, then /', b.path, '; see ../x/y.ts and (', a.path, ').') AS t FROM v_hotspots a JOIN v_hotspots b ON b.ord = a.ord + 1"
+#: File kinds that count as paths in prose (fixed values).
+_KINDS = "rs|ts|tsx|js|jsx|mjs|cjs|py|go|java|kt|swift|rb|php|cs|cpp|c|h|hpp|md|toml|json|ya?ml|css|scss|html|sql"
+_PATH = rf"(?:^|[\s`\"(])([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.#-]+)+\.(?:{_KINDS}))"
+_PATH_SQL = _PATH.replace("'", "''")
+
+
+@query("str_extract_paths", f"SELECT ord, p AS path, min(i) AS first_at FROM (SELECT ord, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT ord, regexp_extract_all(t, '{_PATH_SQL}', 1) AS l FROM ({duck(_PROSE)}) x) y) z WHERE position('..' IN p) = 0 GROUP BY ord, p")
+def _paths(spark, d):
+    """Relative paths with a known kind of file, in the order of their first place; none that climbs."""
+    found = sql_frame(spark, d, _with_views(_PROSE)).select("ord", F.posexplode(F.regexp_extract_all("t", F.lit(_PATH), F.lit(1))).alias("i", "path"))
+    return found.where(~F.contains("path", F.lit(".."))).groupBy("ord", "path").agg((F.min("i") + 1).cast("long").alias("first_at"))
+
+
+# -- the flagship: all fourteen generators of isolated issues, in one ranked list ---------------------------------
+
+VIEWS["v_modules"] = "SELECT CASE p_type WHEN 'STANDARD' THEN 'components' WHEN 'LARGE' THEN 'services' WHEN 'SMALL' THEN 'tests' WHEN 'MEDIUM' THEN 'docs-site' WHEN 'ECONOMY' THEN 'Shared' ELSE 'mailQueue' END AS name, count(*) AS files FROM part GROUP BY p_type"
+_UI, _DATA, _TEST = "(?i)^(components?|pages?|views?|ui|frontend)", "(?i)^(api|services?|hooks?|data|backend|server)", "(?i)^(test|tests|spec|specs|__tests__)"
+_OTHER = "(?i)^(node_modules|dist|build|[.])"
+
+#: gen (order of emission), ord (order within it), tier, cat, title. Stand-ins that the tables are too even for have
+#: lower bars: complexity 48 for 60, module share 0.17 for 0.3, edges a file 0.5 for 5.
+_ISSUES = f"""SELECT 1 AS gen, p.ord, CASE c.severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 4 END AS tier, 0 AS cat, concat(c.catalog_id, ':', p.name) AS title FROM v_packages p JOIN v_catalog c ON p.source_file = concat('Brand#1', right(c.package, 1)) AND (c.ver = '*' OR left(p.version, length(c.ver)) = c.ver)
+UNION ALL SELECT 2, n.ord, 0, 1, concat(a.src, ' > ', a.dst) FROM v_edges a JOIN v_edges b ON a.dst = b.src AND b.dst = a.src JOIN v_nodes n ON n.id = a.src WHERE a.src < a.dst
+UNION ALL SELECT 3, ord, CASE WHEN complexity > 48 THEN 1 ELSE 2 END, 8, path FROM (SELECT * FROM v_hotspots WHERE complexity > 45 ORDER BY complexity DESC, ord LIMIT 5) x
+UNION ALL SELECT 4, ord, 1, 2, id FROM (SELECT n.ord, n.id FROM v_nodes n WHERE NOT EXISTS (SELECT 1 FROM v_edges e WHERE e.dst = n.id) ORDER BY n.ord LIMIT 5) x
+UNION ALL SELECT 5, 0, 2, 4, name FROM (SELECT name, files, sum(files) OVER () AS t, count(*) OVER () AS n FROM v_modules) x WHERE n > 1 AND files > 0.17 * t
+UNION ALL SELECT 6, r_regionkey, 1, 9, concat('blocker: ', r_name) FROM region
+UNION ALL SELECT 6, 1000 + n_nationkey, 2, 6, concat('warning: ', n_name) FROM nation
+UNION ALL SELECT 7, 0, 2, 5, 'layers' FROM (SELECT count(*) AS n, count(CASE WHEN RX(name, '{_UI}') THEN 1 END) AS ui, count(CASE WHEN RX(name, '{_DATA}') THEN 1 END) AS dt FROM v_modules) x WHERE n >= 3 AND ui > 0 AND dt > 0
+UNION ALL SELECT 8, 0, 4, 6, module FROM (SELECT module, count(*) AS n FROM v_hotspots GROUP BY module) x WHERE n > 20
+UNION ALL SELECT 9, 0, 3, 3, CASE WHEN tests = 0 THEN 'no tests' ELSE 'few tests' END FROM (SELECT coalesce(sum(CASE WHEN RX(name, '{_TEST}') THEN files END), 0) AS tests, coalesce(sum(CASE WHEN NOT RX(name, '{_TEST}') AND NOT RX(name, '{_OTHER}') THEN files END), 0) AS src FROM v_modules) x WHERE (src > 10 AND tests = 0) OR (src > 0 AND tests > 0 AND tests * 5 < src)
+UNION ALL SELECT 10, ord, 3, 9, path FROM (SELECT ord, path FROM v_hotspots WHERE ord % 7 = 3 AND (SELECT sum(symbols) FROM v_hotspots) > 50 ORDER BY ord LIMIT 2) x
+UNION ALL SELECT 11, 0, 4, 7, 'imports' FROM (SELECT (SELECT count(*) FROM v_edges) AS e, (SELECT count(*) FROM v_nodes) AS f) x WHERE f > 0 AND e > 0.5 * f
+UNION ALL SELECT 12, 0, 5, 10, concat('styles: ', cast(k + c + p AS VARCHAR(9))) FROM (SELECT count(*) AS n, max(CASE WHEN RX(name, '^[a-z]+(-[a-z]+)+$') THEN 1 ELSE 0 END) AS k, max(CASE WHEN RX(name, '^[a-z]+[A-Z]') THEN 1 ELSE 0 END) AS c, max(CASE WHEN RX(name, '^[A-Z]') THEN 1 ELSE 0 END) AS p FROM v_modules) x WHERE n > 2 AND k + c + p >= 2
+UNION ALL SELECT 13, 0, 5, 11, 'guidelines' FROM (SELECT count(*) AS n, sum(files) AS f FROM v_modules) x WHERE f > 15 AND n > 2
+UNION ALL SELECT 14, 0, CASE WHEN killed * 100 < 40 * n THEN 1 ELSE 2 END, 3, 'mutants' FROM (SELECT count(*) AS n, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS killed FROM orders) x WHERE n > 0 AND killed * 100 < 60 * n"""
+
+
+@query("flagship_issues", duck(f"WITH g AS ({_ISSUES}) SELECT cast(row_number() OVER (ORDER BY tier, cat, gen, ord, title) AS BIGINT) AS position, concat('P', cast(tier AS VARCHAR(9))) AS tier, cast(cat AS BIGINT) AS cat, cast(gen AS BIGINT) AS gen, title FROM g"))
+def _flagship(spark, d):
+    """The ranked list; positions come from counts of ranges, as one task could not sort all findings."""
+    issues = sql_frame(spark, d, _with_views(f"WITH g AS ({_ISSUES}) SELECT gen, ord, tier, cat, title FROM g"))
+    placed = op.positions(issues, ["tier", "cat", "gen"], "ord", ["title"])
+    return placed.select("position", F.concat(F.lit("P"), F.col("tier").cast("string")).alias("tier"), F.col("cat").cast("long").alias("cat"), F.col("gen").cast("long").alias("gen"), "title")

@@ -45,3 +45,37 @@ def chat_stream(lines: DataFrame) -> DataFrame:
     body = lines.where("value like 'data: %' and value <> 'data: [DONE]'").select("ord", F.expr("try_parse_json(substr(value, 7))").alias("j")).where("j is not null")
     part = body.select("ord", F.expr("try_variant_get(j, '$.choices[0].delta.content', 'string')").alias("delta"), F.expr("try_variant_get(j, '$.choices[0].finish_reason', 'string')").alias("why"))
     return part.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("delta").isNotNull(), F.struct("ord", "delta")))), lambda x: x["delta"]), "").alias("content"), F.max_by("why", F.when(F.col("why").isNotNull(), F.col("ord"))).alias("finish_reason"))
+
+
+def npm_locks(locks: DataFrame) -> DataFrame:
+    """source_file, name, version of the top-level dependencies of lock files (path, content). A lock file in a folder
+    names the manifest beside it; one at the root, without a leading slash, names none."""
+    j = F.from_json("content", "STRUCT<dependencies: MAP<STRING, STRUCT<version: STRING>>>", {"mode": "PERMISSIVE"})
+    rows = locks.select("path", F.explode(j["dependencies"]).alias("name", "info"))
+    return rows.select(F.regexp_replace("path", "/package-lock\\.json", "/package.json").alias("source_file"), "name", F.col("info.version").alias("version")).where("version <> ''")
+
+
+def yarn_locks(locks: DataFrame) -> DataFrame:
+    """name, version of yarn lock files (path, content): a header's version stands in the four lines after the first
+    line that is equal to it; of several headers of a name the last one that has a version wins."""
+    head = r'^"?(@?[^@ "]+)@[^:]*:\s*$'
+    lines = F.col("lines")
+
+    def entry(line, i):
+        below = F.slice(lines, F.array_position(lines, line).cast("int") + 1, 4)
+        found = F.filter(F.transform(below, lambda b: F.regexp_extract(b, r'\s+version\s+"([^"]+)"', 1)), lambda v: v != "")
+        return F.when(line.rlike(head), F.struct(i.alias("pos"), F.regexp_extract(line, head, 1).alias("name"), F.get(found, F.lit(0)).alias("version")))
+
+    each = locks.withColumn("lines", F.split("content", "\n")).select("path", F.explode(F.transform("lines", entry)).alias("e"))
+    return each.where("e.version is not null").groupBy("e.name").agg(F.max_by("e.version", F.struct("path", "e.pos")).alias("version"))
+
+
+def resolved(rows: DataFrame, npm: DataFrame, yarn: DataFrame) -> DataFrame:
+    """packages() with exact versions: an npm lock sets the first row of its manifest and name, then a yarn lock the
+    first row of a name in any manifest. First rows are found by partial aggregation, so a common name is no hot group."""
+    own = rows.groupBy("source_file", "name").agg(F.min("pos").alias("pos"))
+    any_ = rows.groupBy("name").agg(F.min(F.struct("source_file", "pos")).alias("f")).select("name", "f.source_file", "f.pos")
+    a = own.join(npm, ["source_file", "name"]).select("source_file", "name", "pos", F.col("version").alias("_npm"))
+    b = any_.join(yarn, "name").select("source_file", "name", "pos", F.col("version").alias("_yarn"))
+    out = rows.join(a, ["source_file", "name", "pos"], "left").join(b, ["source_file", "name", "pos"], "left")
+    return out.withColumn("version", F.coalesce("_yarn", "_npm", "version")).select(*rows.columns)

@@ -1,26 +1,85 @@
-"""Keyed state over event streams: windows anchored at a key's first use, sequenced replay, live counts."""
+"""Keyed state over event streams: windows anchored at a key's first use, capped idle sessions, replay, live counts.
+
+A key's events are walked in order by one task, as each step needs the one before; batches are handed on with the
+state of the last key only, so a key of any length needs no more memory than a batch.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def _walk(events: DataFrame, step: Callable, added: dict[str, str]) -> DataFrame:
+    """events (id, key, ms) with the columns that step(state, ms) -> (state, values) adds; state starts as None."""
+    names = list(added)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, None
+        for pdf in batches:
+            out = []
+            for key, ms in zip(pdf["key"].tolist(), pdf["ms"].tolist()):
+                if key != last:
+                    last, held = key, None
+                held, values = step(held, ms)
+                out.append(values)
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+
+    ordered = events.where("key is not null and ms is not null").select("id", "key", "ms").repartition("key").sortWithinPartitions("key", "ms", "id")
+    return ordered.mapInPandas(run, "id long, key long, ms long, " + ", ".join(f"{n} {t}" for n, t in added.items()))
+
+
+def _admit(window_ms: int, burn_ms: int) -> Callable:
+    def step(start, ms):
+        if start is None or ms >= start + window_ms:
+            start = ms
+        return start, (start, ms < start + burn_ms)
+
+    return step
 
 
 def admissions(uses: DataFrame, window_ms: int, burn_ms: int) -> DataFrame:
-    """(key, ms) uses against windows that start at the first use and restart at the first use after they lapse:
-    adds window_start and admitted. One key's uses are walked in order; state is one number a key."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, out = None, []
-        pdf = pdf.sort_values(["ms", "id"])
-        for ms in pdf["ms"]:
-            if start is None or ms >= start + window_ms:
-                start = ms
-            out.append((start, ms < start + burn_ms))
-        return pdf.assign(window_start=[o[0] for o in out], admitted=[o[1] for o in out])
-
-    return uses.select("id", "key", "ms").groupBy("key").applyInPandas(walk, "id long, key long, ms long, window_start long, admitted boolean")
+    """(id, key, ms) uses against windows that start at the first use and restart at the first use after they lapse:
+    adds window_start and admitted. Uses without a key or time are no uses."""
+    return _walk(uses, _admit(window_ms, burn_ms), {"window_start": "long", "admitted": "boolean"})
+
+
+def live_admissions(uses: DataFrame, window_ms: int, burn_ms: int) -> DataFrame:
+    """The same over a stream: a key's window start is kept between micro-batches. Uses of one micro-batch are put in
+    order; one that comes in a later batch than a younger use of its key is judged against the window as it is then."""
+    step = _admit(window_ms, burn_ms)
+
+    def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start = state.get[0] if state.exists else None
+        pdf = pd.concat(list(parts)).sort_values(["ms", "id"])
+        out = []
+        for ms in pdf["ms"].tolist():
+            start, values = step(start, ms)
+            out.append(values)
+        state.update((start,))
+        yield pdf.assign(window_start=[o[0] for o in out], admitted=[o[1] for o in out])[["id", "key", "ms", "window_start", "admitted"]]
+
+    known = uses.where("key is not null and ms is not null").select("id", "key", "ms")
+    return known.groupBy("key").applyInPandasWithState(fold, "id long, key long, ms long, window_start long, admitted boolean", "start long", "append", GroupStateTimeout.NoTimeout)
+
+
+def capped_sessions(events: DataFrame, idle_ms: int, most_ms: int) -> DataFrame:
+    """Sessions that end idle_ms after their last activity, and most_ms after their start at the latest; the first
+    event after the end starts the next. Adds session_start and deadline as of each event."""
+    most_ms = max(idle_ms, most_ms)
+
+    def step(held, ms):
+        if held is None or ms >= held[1]:
+            held = (ms, ms + idle_ms)
+        else:
+            held = (held[0], min(ms + idle_ms, held[0] + most_ms))
+        return held, held
+
+    return _walk(events, step, {"session_start": "long", "deadline": "long"})
 
 
 def replay(events: DataFrame, since: int, retained: int = 10_000) -> DataFrame:

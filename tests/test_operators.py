@@ -53,3 +53,53 @@ def test_stream_counts_match_batch(spark, tmp_path):
     q = state.live_counts(stream).writeStream.outputMode("complete").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("SELECT sum(n) FROM live").first()[0] == events.count()
+
+
+def test_capped_sessions(spark):
+    uses = spark.createDataFrame([(i, 1, ms) for i, ms in enumerate((0, 8, 16, 24, 30, 60))] + [(9, 2, 5), (10, None, 5)], "id long, key long, ms long")
+    got = {(r["key"], r["ms"]): (r["session_start"], r["deadline"]) for r in state.capped_sessions(uses, 10, 25).collect()}
+    assert got == {(1, 0): (0, 10), (1, 8): (0, 18), (1, 16): (0, 25), (1, 24): (0, 25), (1, 30): (30, 40), (1, 60): (60, 70), (2, 5): (5, 15)}
+
+
+def test_walk_over_many_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    uses = spark.createDataFrame([(i, i % 2, i * 7 % 1000) for i in range(400)], "id long, key long, ms long")
+    whole = sorted(tuple(r) for r in state.admissions(uses, 50, 10).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(tuple(r) for r in state.admissions(uses, 50, 10).collect()) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_live_admissions_match_batch(spark, tmp_path):
+    uses = spark.createDataFrame([(i, i % 3, i * 4) for i in range(60)], "id long, key long, ms long")
+    for part in range(3):  # one file a micro-batch, in order of time
+        uses.where(f"id div 20 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{part}"))
+    stream = spark.readStream.schema(uses.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    q = state.live_admissions(stream, 50, 10).writeStream.outputMode("append").format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert sorted(tuple(r) for r in spark.sql("SELECT * FROM admitted").collect()) == sorted(tuple(r) for r in state.admissions(uses, 50, 10).collect())
+
+
+def test_positions(spark):
+    rows = [("b", 3, "x"), ("a", 12, "y"), ("a", -4, "z"), ("a", 12, "w"), ("b", 40, "v"), ("a", 13, "u")]
+    got = op.positions(spark.createDataFrame(rows, "c string, o long, f string"), ["c"], "o", ["f"], width=5)
+    assert [r["position"] for r in got.orderBy("c", "o", "f").collect()] == list(range(1, 7))
+
+
+def test_locks(spark):
+    manifest = spark.createDataFrame([("a/package.json", '{"dependencies": {"x": "^1.0.0", "y": "2.0.0"}}'), ("b/package.json", '{"dependencies": {"x": "1.5.0"}}'), ("package.json", '{"dependencies": {"r": "3.0.0"}}')], "path string, content string")
+    npm = spark.createDataFrame([("a/package-lock.json", '{"dependencies": {"x": {"version": "1.0.9"}, "y": {"version": ""}}}'), ("package-lock.json", '{"dependencies": {"r": {"version": "3.9.9"}}}'), ("c/package-lock.json", "{broken")], "path string, content string")
+    assert sorted(tuple(r) for r in manifests.npm_locks(npm).collect()) == [("a/package.json", "x", "1.0.9"), ("package-lock.json", "r", "3.9.9")]
+    yarn = spark.createDataFrame([("yarn.lock", 'x@^1:\n  version "1.7.0"\n\n"@s/p@npm:1":\n  a\n"@s/p@1":\n  version "4.0.0"\nx@^2:\n  version "2.2.2"\nx@^1:\n  version "8.8.8"\nfar@1:\n\n\n\n\n  version "1.0.0"\n')], "path string, content string")
+    assert sorted(tuple(r) for r in manifests.yarn_locks(yarn).collect()) == [("@s/p", "4.0.0"), ("x", "1.7.0")]
+    got = manifests.resolved(manifests.packages(manifest), manifests.npm_locks(npm), manifests.yarn_locks(yarn))
+    assert sorted((r["source_file"], r["name"], r["version"]) for r in got.collect()) == [("a/package.json", "x", "1.7.0"), ("a/package.json", "y", "2.0.0"), ("b/package.json", "x", "1.5.0"), ("package.json", "r", "3.0.0")]
+
+
+def test_every_generator(spark):
+    from sparkloom.plans import registry
+
+    got = registry.queries()["flagship_issues"](spark, "/root/testdata/sf0.01").select("gen").distinct().collect()
+    assert {r["gen"] for r in got} >= {1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14}
