@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.arrowtext import coded, hashes, raw, steps, words
-from sparkloom.llm.store import partitions
+from sparkloom.llm.store import carried, partitions
 
 WINDOW = 50
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -334,6 +334,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, digest: bool = False) ->
     return by_group.cogroup(earlier.groupBy("_g")).applyInArrow(_marked(window, columns, digest), schema)
 
 
+@carried
 def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without what they repeat of smaller ones; those that lose all their words are dropped."""
     out = deduplicated(docs, window).where("_n_removed = 0 or _n_removed < _n_words")

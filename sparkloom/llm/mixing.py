@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sparkloom.llm.arrowtext import steps, words
-from sparkloom.llm.store import drop, partitions, written
+from sparkloom.llm.store import carried, drop, partitions, written
 
 #: Weights that sources get in turn, in order of their names.
 WEIGHTS = (5, 2, 1)
@@ -95,6 +95,7 @@ def sampled(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: i
     return out.select("doc_id", "source", "th", "size", "source_size", "target", copies(F.col("ahead") + F.col("rn"), expected, offset(seed)).alias("copies"))
 
 
+@carried
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mixture: each document as often as it was drawn, with all its columns."""
     drawn = sampled(docs, **how)

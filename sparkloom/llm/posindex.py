@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.arrowtext import ALNUM, coded, ragged, steps, words
-from sparkloom.llm.store import written
+from sparkloom.llm.store import carried, written
 
 WINDOW = 10
 #: Words of test items in one block: what a search sends to each worker stays below some 20 MB.
@@ -258,6 +258,7 @@ def op5_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     return digest(matches(index(docs), test_blocks(items)))
 
 
+@carried
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no window of a test item."""
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from sparkloom.llm.arrowtext import LOWER, raw, steps
 from sparkloom.llm.components import components
-from sparkloom.llm.store import partitions, written
+from sparkloom.llm.store import carried, partitions, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Nodes of a bucket that one task compares at once.
@@ -181,6 +181,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return first.where("hot_fp is not null").select("doc_id", "fp", F.col("hot_c").alias("component_id"), F.col("hot_n").alias("n_class")).unionByName(rest)
 
 
+@carried
 def kept_one(docs: DataFrame, **how) -> DataFrame:
     """The documents with the smallest doc_id of each group; rows without a doc_id stay, as they can't be ordered."""
     found = near_duplicates(docs, **how)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,19 @@ def _drop_all() -> None:
 def partitions(spark: SparkSession) -> int:
     """The cluster's number of shuffle partitions, which whoever runs it sizes to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: The columns of documents that stages work with; all others are only carried along.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def carried(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that returns the columns of its documents, kept from seeing the names of those it only carries: they are
+    numbered on the way in and named again on the way out, so none can clash with a name the stage uses itself."""
+
+    @wraps(stage)
+    def inner(docs: DataFrame, *args, **how) -> DataFrame:
+        names = [c if c in KNOWN else f"carried_{i}" for i, c in enumerate(docs.columns)]
+        return stage(docs.toDF(*names), *args, **how).toDF(*docs.columns)
+
+    return inner

@@ -275,3 +275,16 @@ def test_pipeline(spark, docs, tmp_path):
     assert SHARED not in now.where("doc_id = 3").first()["text"] and SHARED in now.where("doc_id = 2").first()["text"]
     out = corpus_pipeline.run(spark, d)
     assert {r["doc_id"] for r in out.collect()} <= ids and out.where(F.col("text").isNull()).count() == 0
+
+
+def test_stages_carry_columns_of_any_name(docs, spark):
+    names = ["_key", "_keep", "_g", "_d", "_s", "_t", "_th", "_n", "_total", "_rows", "_turn", "_copy", "_n_words", "_n_removed", "_kept", "_", "a.b", "row", "component_id"]
+    more = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(n + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(n) for n in names])
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    for stage in (simhash.kept_one, anchors.cleaned, lambda d: posindex.clean(d, items), mixing.mixed):
+        out = stage(more)
+        assert out.columns == more.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{'' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in names)
+        plain = stage(docs.select("doc_id", "text", "lang", "source", "n_chars")).collect()
+        assert sorted(str(tuple(r)) for r in plain) == sorted(str(tuple(r)[:5]) for r in rows)
