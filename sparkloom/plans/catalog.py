@@ -112,7 +112,13 @@ def _theta(spark, d):
     return met.where("ver IN ('*', 'all') OR startswith(version, ver)").select("cid", "catalog_id", "ord", "name", "version", "severity").distinct()
 
 
-both("join_broadcast_dim", "SELECT p.ord, p.name, r.risk FROM v_packages p JOIN (VALUES ('economy', 'low'), ('standard', 'medium'), ('promo', 'high'), ('large', 'high')) AS r(eco, risk) ON p.ecosystem = r.eco OR left(p.ecosystem, length(r.eco) + 1) = concat(r.eco, ' ')")
+@query("join_broadcast_dim", duck("SELECT p.ord, p.name, r.risk FROM v_packages p JOIN (VALUES ('economy', 'low'), ('standard', 'medium'), ('promo', 'high'), ('large', 'high')) AS r(eco, risk) ON p.ecosystem = r.eco OR left(p.ecosystem, length(r.eco) + 1) = concat(r.eco, ' ')"))
+def _dim(spark, d):
+    """A name or a name and a space begin the ecosystem: both are equality of its first word."""
+    dim = spark.createDataFrame([("economy", "low"), ("standard", "medium"), ("promo", "high"), ("large", "high")], "eco string, risk string")
+    return view(spark, d, "v_packages").withColumn("eco", F.split_part("ecosystem", F.lit(" "), F.lit(1))).join(F.broadcast(dim), "eco").select("ord", "name", "risk")
+
+
 both("join_anti_orphans", "SELECT id FROM v_nodes n WHERE NOT EXISTS (SELECT 1 FROM v_edges e WHERE e.dst = n.id) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_name = n.id)")
 both("join_anti_tombstone", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 
@@ -150,11 +156,28 @@ both("join_anti_dependencies", "SELECT t.id FROM v_todos t WHERE t.status = 'pen
 
 @query("join_contains", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))")
 def _contains(spark, d):
-    """A stated, small set of passages against all texts: looked up together in one reading of each text."""
+    """A passage with a word between two spaces can only stand where that word does: an equi-join on the longest such
+    word proposes documents, and the whole passage decides. Passages without one are tested in blocks of texts."""
     ready(spark)
-    items = [(r["item_id"], r["p"]) for r in table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("p")).toLocalIterator() if r["p"] is not None]
-    tests = F.array(*[F.when(F.contains("text", F.lit(p)), F.lit(i).cast("long")) for i, p in items]) if items else F.array().cast("array<bigint>")
-    return table(spark, d, "documents").select("doc_id", F.explode(F.array_compact(tests)).alias("item_id")).select("item_id", "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("p")).where("p is not null")
+    parts = F.split("p", " ")
+    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != "")
+    keyed = items.select("item_id", "p", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("w"))
+    by_word = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))  # texts stay behind
+    met = by_word.join(keyed.where("w is not null"), "w").select(F.col("doc_id").alias("met_id"), "item_id", "p").distinct()
+    out = docs.join(met, docs["doc_id"].eqNullSafe(F.col("met_id"))).where("contains(text, p)").select("item_id", "doc_id")
+    block = []
+    for r in keyed.where("w is null").toLocalIterator():
+        block.append((r["item_id"], r["p"]))
+        if len(block) == 200:
+            out, block = out.unionByName(_tested(docs, block)), []
+    return out.unionByName(_tested(docs, block)) if block else out
+
+
+def _tested(docs: DataFrame, passages: list) -> DataFrame:
+    tests = F.array(*[F.when(F.contains("text", F.lit(p)), F.lit(i).cast("long")) for i, p in passages])
+    return docs.select(F.explode(F.array_compact(tests)).alias("item_id"), "doc_id")
 
 
 both("join_anti_synthesize", "SELECT d.doc_id, l.quality AS verdict, 'given' AS kind FROM documents d JOIN labels l ON d.doc_id = l.doc_id UNION ALL SELECT d.doc_id, 0 AS verdict, 'synthetic' AS kind FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -227,7 +250,12 @@ def _last_n(spark, d):
     return op.keep_last_n(table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 10).select("user_id", "event_id")
 
 
-both("win_topn_per_group", "SELECT module, path, complexity, complexity * 1.0E0 / greatest(1, max(complexity) OVER ()) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY ord) AS n FROM v_hotspots) q WHERE n <= 5")
+@query("win_topn_per_group", duck("SELECT module, path, complexity, complexity * 1.0E0 / greatest(1, max(complexity) OVER ()) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY ord) AS n FROM v_hotspots) q WHERE n <= 5"))
+def _topn(spark, d):
+    """The greatest complexity is one aggregated row, not a window over all rows in one task."""
+    return sql_frame(spark, d, _with_views("WITH q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY ord) AS n FROM v_hotspots) x WHERE n <= 5) SELECT module, path, complexity, complexity * 1.0E0 / greatest(1, (SELECT max(complexity) FROM q)) AS ratio FROM q"))
+
+
 both("win_lead_pairs", "SELECT event_id, event_type, coalesce(lead(event_type) OVER w, first_value(event_type) OVER w) AS next_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 
 
@@ -239,14 +267,26 @@ def _latest_row(spark, d):
 
 # -- sorts and top-k -----------------------------------------------------------------------------------------
 
-both("sort_two_rank_keys", "SELECT id, cast(row_number() OVER (ORDER BY cast(substr(tier, 2, 1) AS INT), cat, id) AS BIGINT) AS position FROM v_issues")
+@query("sort_two_rank_keys", duck("SELECT id, cast(row_number() OVER (ORDER BY cast(substr(tier, 2, 1) AS INT), cat, id) AS BIGINT) AS position FROM v_issues"))
+def _ranked(spark, d):
+    issues = view(spark, d, "v_issues").select("id", F.expr("cast(substr(tier, 2, 1) as int)").alias("rank"), "cat")
+    return op.positions(issues, ["rank", "cat"], "id", []).select("id", "position")
+
+
 both("topk_complexity", "SELECT path, complexity FROM v_hotspots WHERE complexity > 45 ORDER BY complexity DESC, ord LIMIT 5")
 both("topk_fanout", "SELECT src, count(*) AS n FROM v_edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 10")
 both("topk_claim_next", "SELECT id, priority FROM v_jobs WHERE status = 'queued' AND attempt < 3 AND created_at <= TIMESTAMP '1998-01-01 00:00:00' ORDER BY priority DESC, created_at, id LIMIT 10")
-both("topk_budget_trim", """WITH n AS (SELECT module, id, row_number() OVER (PARTITION BY module ORDER BY importance DESC, id) AS rk FROM v_nodes),
+@query("topk_budget_trim", duck("""WITH n AS (SELECT module, id, row_number() OVER (PARTITION BY module ORDER BY importance DESC, id) AS rk FROM v_nodes),
 e AS (SELECT a.module, least(a.rk, coalesce(b.rk, 99999)) AS need FROM v_edges JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst AND b.module = a.module),
 k AS (SELECT n.module, n.rk, (SELECT count(*) FROM e WHERE e.module = n.module AND e.need <= n.rk) AS edges FROM n WHERE n.rk <= 25)
-SELECT module, cast(max(rk) AS BIGINT) AS nodes_kept, max(edges) AS edges_kept FROM k WHERE 40 + 4 * rk + 4 * edges <= 80 GROUP BY module""")
+SELECT module, cast(max(rk) AS BIGINT) AS nodes_kept, max(edges) AS edges_kept FROM k WHERE 40 + 4 * rk + 4 * edges <= 80 GROUP BY module"""))
+def _trim(spark, d):
+    """Edges within the first nodes of a module by a running count; the twin counts them anew for every node."""
+    return sql_frame(spark, d, _with_views("""WITH n AS (SELECT module, id, row_number() OVER (PARTITION BY module ORDER BY importance DESC, id) AS rk FROM v_nodes),
+e AS (SELECT a.module, least(a.rk, coalesce(b.rk, 99999)) AS need, count(*) AS m FROM v_edges JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst AND b.module = a.module GROUP BY 1, 2),
+k AS (SELECT n.module, n.rk, sum(coalesce(e.m, 0)) OVER (PARTITION BY n.module ORDER BY n.rk) AS edges FROM n LEFT JOIN e ON e.module = n.module AND e.need = n.rk WHERE n.rk <= 25)
+SELECT module, cast(max(rk) AS BIGINT) AS nodes_kept, max(edges) AS edges_kept FROM k WHERE 40 + 4 * rk + 4 * edges <= 80 GROUP BY module"""))
+
 
 # -- set operations ------------------------------------------------------------------------------------------
 
@@ -292,7 +332,14 @@ def _token_query(spark, d):
 both("mth_cost_estimate", "SELECT item, ln, pk, session, CASE WHEN cost = 0 THEN prompt * 1.0E-7 + completion * 3.0E-7 ELSE cast(cost AS DOUBLE PRECISION) END AS estimate FROM v_costs")
 both("mth_score_band", "SELECT user_id, CASE WHEN s >= 80 THEN 'good' WHEN s >= 60 THEN 'fair' WHEN s IS NULL THEN 'none' ELSE 'poor' END AS band FROM (SELECT user_id, floor(max(value)) AS s FROM events GROUP BY user_id) q")
 both("dat_prefire", "SELECT event_id, greatest(CASE WHEN user_id % 2 = 0 THEN MS(ts) ELSE MS(ts) + 3600000 - 18000000 END, MS(TIMESTAMP '2024-01-10 00:00:00')) AS prefire FROM events")
-both("dat_timeline", "SELECT event_id, step, MS(ts) + shift AS at FROM events JOIN (VALUES (1, 0), (2, 3600000), (3, 7200000), (4, 18000000), (5, 21600000)) AS t(step, shift) ON event_type = 'signup'")
+@query("dat_timeline", duck("SELECT event_id, step, MS(ts) + shift AS at FROM events JOIN (VALUES (1, 0), (2, 3600000), (3, 7200000), (4, 18000000), (5, 21600000)) AS t(step, shift) ON event_type = 'signup'"))
+def _timeline(spark, d):
+    """Five steps of each signup, made where the row is."""
+    made = sql_frame(spark, d, "SELECT event_id, MS(ts) AS ms FROM events WHERE event_type = 'signup'")
+    shifts = F.array(*[F.lit(x).cast("long") for x in (0, 3_600_000, 7_200_000, 18_000_000, 21_600_000)])
+    return made.select("event_id", "ms", F.posexplode(shifts).alias("i", "shift")).select("event_id", (F.col("i") + 1).alias("step"), (F.col("ms") + F.col("shift")).alias("at"))
+
+
 both("arr_error_list", "SELECT o_orderkey, concat_ws(';', CASE WHEN o_totalprice < 1000 THEN 'small' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN o_custkey % 3 = 0 THEN 'third' END) AS errors FROM orders")
 both("arr_feature_flags", "SELECT p_brand, count(DISTINCT p_type) > 4 AS many_types, count(*) FILTER (WHERE p_size = 1) > 0 AS has_small, count(*) FILTER (WHERE p_size >= 50) > 0 AS has_large, min(p_type) AS first_type FROM part GROUP BY p_brand")
 both("arr_collapse_single", "SELECT l_orderkey, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN 1 ELSE count(*) END AS units FROM lineitem GROUP BY l_orderkey")
