@@ -79,3 +79,22 @@ def resolved(rows: DataFrame, npm: DataFrame, yarn: DataFrame) -> DataFrame:
     b = any_.join(yarn, "name").select("source_file", "name", "pos", F.col("version").alias("_yarn"))
     out = rows.join(a, ["source_file", "name", "pos"], "left").join(b, ["source_file", "name", "pos"], "left")
     return out.withColumn("version", F.coalesce("_yarn", "_npm", "version")).select(*rows.columns)
+
+
+def progress_lines(output: DataFrame) -> DataFrame:
+    """Captured output (ord, value) of a process without its blank lines."""
+    return output.where("trim(value) <> ''")
+
+
+def first_existing(found: DataFrame, names: list[str], scope: str) -> DataFrame:
+    """scope and name: the first of `names`, in their order, that a scope's files (scope, name) hold."""
+    rank = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    return found.where(F.col("name").isin(names)).groupBy(scope).agg(F.min_by("name", rank[F.col("name")]).alias("name"))
+
+
+def first_parsed(found: DataFrame, paths: list[str], scope: str) -> DataFrame:
+    """scope, path, report (a variant) and modificationTime of the first of `paths` whose content is valid JSON."""
+    rank = F.create_map(*[x for i, n in enumerate(paths) for x in (F.lit(n), F.lit(i))])
+    valid = found.where(F.col("path").isin(paths) & F.expr("try_parse_json(content) is not null"))
+    best = valid.groupBy(scope).agg(F.min_by(F.struct("path", "content", "modificationTime"), rank[F.col("path")]).alias("b"))
+    return best.select(scope, "b.path", F.expr("try_parse_json(b.content)").alias("report"), "b.modificationTime")

@@ -103,3 +103,29 @@ def test_every_generator(spark):
 
     got = registry.queries()["flagship_issues"](spark, "/root/testdata/sf0.01").select("gen").distinct().collect()
     assert {r["gen"] for r in got} >= {1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14}
+
+
+def test_sinks(spark):
+    from sparkloom.sources import sinks
+
+    current = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "key string, v int")
+    changes = spark.createDataFrame([("a", 9, 1, None), ("a", 8, 2, None), ("b", None, 3, True), ("x", None, 4, True), ("d", 4, 5, False)], "key string, v int, ord int, deleted boolean")
+    assert sorted(tuple(r) for r in sinks.upsert(current, changes, ["key"], "ord").collect()) == [("a", 8), ("c", 3), ("d", 4)]
+    reports = spark.createDataFrame([(1, [("i", "open"), ("j", "open")]), (2, [("i", "open")]), (3, None)], "id int, issues array<struct<id: string, status: string>>")
+    got = {r["id"]: [tuple(i) for i in r["issues"] or []] for r in sinks.updated_issue(reports, 1, "i", "done").collect()}
+    assert got == {1: [("i", "done"), ("j", "open")], 2: [("i", "open")], 3: []}
+    ids = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id int")
+    assert [r["id"] for r in sinks.new_index_rows(spark.createDataFrame([(1,)], "id int"), ids).collect()] == [2]
+    parts = spark.createDataFrame([("k", 2, "two"), ("k", 1, "one"), ("k", 3, None), ("e", 1, None)], "key string, ord int, t string")
+    assert sorted(tuple(r) for r in sinks.joined(parts, ["key"], ["ord"], "t", "|").collect()) == [("e", "", 0), ("k", "one|two", 2)]
+    a = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a")], "key string, ord int, line string")
+    assert [tuple(r) for r in sinks.transcript([("Later", a), ("First", a.where("ord = 1"))], "key").collect()] == [("k", "## Later\na\nb\n\n## First\na", 2)]
+
+
+def test_first_of_several(spark):
+    found = spark.createDataFrame([("r", "b.json", "{}", 1), ("r", "a.json", "{broken", 2), ("s", "a.json", '{"k": 1}', 3), ("s", "z", "{}", 4)], "scope string, path string, content string, modificationTime int")
+    assert sorted((r["scope"], r["path"]) for r in manifests.first_parsed(found, ["a.json", "b.json"], "scope").collect()) == [("r", "b.json"), ("s", "a.json")]
+    names = found.withColumnRenamed("path", "name")
+    assert sorted(tuple(r) for r in manifests.first_existing(names, ["b.json", "a.json"], "scope").collect()) == [("r", "b.json"), ("s", "a.json")]
+    lines = spark.createDataFrame([(1, " "), (2, "x"), (3, None)], "ord int, value string")
+    assert [r["ord"] for r in manifests.progress_lines(lines).collect()] == [2]
