@@ -28,7 +28,7 @@ VIEWS = {
     "v_jobs": "SELECT o_orderkey AS id, 6 - cast(substr(o_orderpriority, 1, 1) AS INT) AS priority, o_orderdate AS created_at, CASE o_orderstatus WHEN 'F' THEN 'claimed' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, o_orderkey % 4 AS attempt, o_custkey AS owner FROM orders",
     "v_costs": "SELECT l_orderkey AS item, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS session, concat(l_returnflag, '/', l_linestatus) AS model, l_quantity AS prompt, l_quantity * 2 AS completion, cast(l_extendedprice AS DECIMAL(18,4)) * cast(l_discount AS DECIMAL(18,4)) AS cost FROM lineitem",
     "v_issues": "SELECT d.doc_id AS id, concat('P', cast(d.doc_id % 6 AS VARCHAR(9))) AS tier, d.doc_id % 12 AS cat, CASE WHEN toxic = 1 THEN 'dismissed' WHEN quality = 1 THEN 'done' WHEN quality = 0 THEN 'queued' ELSE 'open' END AS status, substr(text, 1, 60) AS title, lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
-    "v_todos": "SELECT o_orderkey AS id, o_custkey AS owner, CASE o_orderkey % 10 WHEN 0 THEN 'pending' WHEN 1 THEN 'ready' WHEN 2 THEN 'running' WHEN 3 THEN 'implemented' WHEN 4 THEN 'validating' WHEN 5 THEN 'passed' WHEN 6 THEN 'failed' WHEN 7 THEN 'merged' WHEN 8 THEN 'cancelled' ELSE 'blocked' END AS status FROM orders",
+    "v_todos": "SELECT o_orderkey AS id, o_custkey AS owner, CASE o_orderkey % 10 WHEN 0 THEN 'pending' WHEN 1 THEN 'ready' WHEN 2 THEN 'in_progress' WHEN 3 THEN 'blocked' WHEN 4 THEN 'implemented' WHEN 5 THEN 'validating' WHEN 6 THEN 'needs_changes' WHEN 7 THEN 'passed' WHEN 8 THEN 'merged' ELSE 'cancelled' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'validation' ELSE 'implementation' END AS type FROM orders",
     "v_deps": "SELECT id, id - 1 AS dep FROM v_todos WHERE id > 1 UNION ALL SELECT id, id - 7 AS dep FROM v_todos WHERE id > 7",
     "v_catalog": "SELECT * FROM (VALUES (1, 'C1', 'NAME1', '4', 'critical'), (1, 'C1', 'NAME1', '1', 'critical'), (2, 'C2', 'NAME2', '*', 'high'), (3, 'C3', 'NAME3', '3', 'low')) AS c(cid, catalog_id, package, ver, severity)",
 }
@@ -190,8 +190,7 @@ both("join_price_fallback", "SELECT c.item, c.ln, c.pk, c.session, coalesce(e.pr
 
 both("agg_count_by_tier", "SELECT tier, count(*) AS n FROM v_issues GROUP BY tier")
 both("agg_severity_pivot", "SELECT o_orderstatus, count(*) AS total, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS critical, count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS high, count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM') AS medium, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS low FROM orders GROUP BY o_orderstatus")
-both("agg_zero_filled", "SELECT s.status, count(t.id) AS n FROM (VALUES ('pending'), ('ready'), ('running'), ('implemented'), ('validating'), ('passed'), ('failed'), ('merged'), ('cancelled'), ('blocked'), ('unknown')) AS s(status) LEFT JOIN v_todos t ON t.status = s.status GROUP BY s.status")
-both("agg_bool_cascade", "SELECT owner, CASE WHEN count(*) = 0 THEN 'planning' WHEN count(*) FILTER (WHERE status NOT IN ('merged', 'cancelled')) = 0 THEN 'complete' WHEN count(*) FILTER (WHERE status IN ('failed', 'blocked')) > 0 THEN 'blocked' WHEN count(*) FILTER (WHERE status = 'validating') > 0 THEN 'validating' WHEN count(*) FILTER (WHERE status IN ('running', 'implemented')) > 0 THEN 'running' ELSE 'ready' END AS ledger FROM v_todos GROUP BY owner")
+both("agg_zero_filled", "SELECT s.status, count(t.id) AS n FROM (VALUES ('pending'), ('ready'), ('in_progress'), ('blocked'), ('implemented'), ('validating'), ('needs_changes'), ('passed'), ('merged'), ('cancelled')) AS s(status) LEFT JOIN v_todos t ON t.status = s.status GROUP BY s.status")
 both("agg_ratio_score", "SELECT user_id, total, CASE WHEN k + s + t = 0 THEN NULL ELSE floor(k * 10000.0E0 / (k + s + t) + 0.5E0) / 100.0E0 END AS score FROM (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'purchase') AS k, count(*) FILTER (WHERE event_type = 'error') AS s, count(*) FILTER (WHERE event_type = 'view') AS t FROM events GROUP BY user_id) q")
 both("agg_conditional_ratio", "SELECT p_brand, CASE WHEN src > 10 AND tst = 0 THEN 'none' WHEN tst < 0.2 * src THEN 'low' ELSE 'ok' END AS tests, src, tst FROM (SELECT p_brand, count(*) FILTER (WHERE p_size > 10) AS src, count(*) FILTER (WHERE p_size <= 10) AS tst FROM part GROUP BY p_brand) q")
 
@@ -208,12 +207,6 @@ def _argmax(spark, d):
 both("agg_cost_rollup", "SELECT model, cast(sum(cost) AS DOUBLE PRECISION) AS cost, cast(sum(prompt + completion) AS BIGINT) AS tokens, count(*) AS entries FROM v_costs GROUP BY model")
 
 
-@query("agg_array_union", "SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey))) AS suppliers FROM lineitem GROUP BY l_orderkey")
-def _array_union(spark, d):
-    ready(spark)
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("suppliers"))
-
-
 both("agg_snapshot", "SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) FILTER (WHERE o_orderstatus = 'F') * 100.0E0 / count(*) AS progress FROM orders GROUP BY o_custkey")
 both("agg_max_severity", "SELECT c_custkey, coalesce(CASE min(cast(substr(o_orderpriority, 1, 1) AS INT)) WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END, 'CLEAN') AS risk, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 both("agg_first_match_fallback", "SELECT lang, coalesce(min(CASE WHEN tier = 'P0' AND status = 'done' THEN id END), min(id)) AS impact, coalesce(min(CASE WHEN status = 'queued' THEN id END), min(CASE WHEN cat < 4 THEN id END)) AS safest FROM v_issues GROUP BY lang")
@@ -275,7 +268,6 @@ def _ranked(spark, d):
 
 both("topk_complexity", "SELECT path, complexity FROM v_hotspots WHERE complexity > 45 ORDER BY complexity DESC, ord LIMIT 5")
 both("topk_fanout", "SELECT src, count(*) AS n FROM v_edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 10")
-both("topk_claim_next", "SELECT id, priority FROM v_jobs WHERE status = 'queued' AND attempt < 3 AND created_at <= TIMESTAMP '1998-01-01 00:00:00' ORDER BY priority DESC, created_at, id LIMIT 10")
 @query("topk_budget_trim", duck("""WITH n AS (SELECT module, id, row_number() OVER (PARTITION BY module ORDER BY importance DESC, id) AS rk FROM v_nodes),
 e AS (SELECT a.module, least(a.rk, coalesce(b.rk, 99999)) AS need FROM v_edges JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst AND b.module = a.module),
 k AS (SELECT n.module, n.rk, (SELECT count(*) FROM e WHERE e.module = n.module AND e.need <= n.rk) AS edges FROM n WHERE n.rk <= 25)
@@ -302,7 +294,6 @@ def _union_dedupe(spark, d):
     return op.keep_first(op.union_in_order([p.where("ecosystem LIKE 'p%'"), p]), ["name"], ["generator", "ord"]).select("name", F.col("generator").alias("kind"))
 
 
-both("setop_history_page", "SELECT id FROM (SELECT id FROM v_jobs WHERE status IN ('claimed', 'running', 'queued') AND id % 5 <> 0 ORDER BY id DESC LIMIT 50) q WHERE id % 7 <> 0")
 both("setop_feed_union", "SELECT 'event' AS kind, event_id AS id, MS(ts) AS at FROM events UNION ALL SELECT 'order' AS kind, o_orderkey AS id, MS(o_orderdate) AS at FROM orders")
 both("setop_upsert_latest", "SELECT user_id, event_type AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'error' THEN 0 ELSE 1 END, ts DESC, event_id DESC) AS n FROM events) q WHERE n = 1")
 
@@ -312,12 +303,8 @@ both("str_basename", "SELECT ord, regexp_replace(path, '^.*/', '', 'g') AS base
 both("str_sanitize", "SELECT ord, regexp_replace(full_name, '[^A-Za-z0-9_-]', '_', 'g') AS safe, regexp_replace(full_name, '^@[^/]+/', '', 'g') AS bare FROM v_packages")
 both("str_clean_version", "SELECT ord, coalesce(nullif(regexp_replace(regexp_replace(concat('>=', version, ' <', version), '^[~^>=<]+', '', 'g'), '^.* ', '', 'g'), ''), version) AS clean FROM v_packages")
 both("str_truncate", "SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE concat(substr(text, 1, 57), '...') END AS short FROM documents")
-both("str_first_line", "SELECT doc_id, substr(trim(split_part(text, chr(10), 1)), 1, 80) AS title FROM documents WHERE length(trim(split_part(text, chr(10), 1))) > 0")
 both("str_provider_prefix", "SELECT DISTINCT model, split_part(model, '/', 1) AS provider FROM v_costs")
-both("str_keyword_class", "SELECT doc_id, CASE WHEN RX(lower(text), '(test|verify)') THEN 'test' WHEN RX(lower(text), '(build|compile)') THEN 'build' WHEN RX(lower(text), '(scan|read)') THEN 'analysis' ELSE 'simple' END AS class FROM documents")
-both("str_compact_number", "SELECT o_orderkey, CASE WHEN o_totalprice >= 1000000 THEN concat(cast(cast(floor(o_totalprice / 1000000) AS BIGINT) AS VARCHAR(9)), 'M') WHEN o_totalprice >= 1000 THEN concat(cast(cast(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR(9)), 'K') ELSE cast(cast(floor(o_totalprice) AS BIGINT) AS VARCHAR(9)) END AS compact FROM orders")
 both("str_concat_nonempty", "SELECT conv_id, turn, concat_ws(chr(10), nullif(role, ''), nullif(text, ''), nullif(CASE WHEN turn = 0 THEN 'opening' ELSE '' END, '')) AS prompt FROM conversations")
-both("str_url_normalize", "SELECT page_id, CASE WHEN left(url, 8) = 'https://' THEN concat('https://', lower(split_part(split_part(url, '/', 3), '?', 1)), '/', split_part(split_part(url, '/', 4), '#', 1)) END AS normal FROM pages")
 
 
 @query("str_token_query", """WITH w AS (SELECT doc_id, string_split_regex(text, '[^A-Za-z0-9_./-]+') AS l FROM documents), o AS (SELECT doc_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS i FROM w),
@@ -340,7 +327,6 @@ def _timeline(spark, d):
     return made.select("event_id", "ms", F.posexplode(shifts).alias("i", "shift")).select("event_id", (F.col("i") + 1).alias("step"), (F.col("ms") + F.col("shift")).alias("at"))
 
 
-both("arr_error_list", "SELECT o_orderkey, concat_ws(';', CASE WHEN o_totalprice < 1000 THEN 'small' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN o_custkey % 3 = 0 THEN 'third' END) AS errors FROM orders")
 both("arr_feature_flags", "SELECT p_brand, count(DISTINCT p_type) > 4 AS many_types, count(*) FILTER (WHERE p_size = 1) > 0 AS has_small, count(*) FILTER (WHERE p_size >= 50) > 0 AS has_large, min(p_type) AS first_type FROM part GROUP BY p_brand")
 both("arr_collapse_single", "SELECT l_orderkey, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN 1 ELSE count(*) END AS units FROM lineitem GROUP BY l_orderkey")
 
@@ -367,7 +353,6 @@ def _reset(spark, d):
 
 
 both("stm_transition_valid", "SELECT event_id, prev IS NULL OR t.a IS NOT NULL AS valid FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) q LEFT JOIN (VALUES ('view', 'click'), ('click', 'purchase'), ('signup', 'view'), ('view', 'view'), ('click', 'view')) AS t(a, b) ON q.prev = t.a AND q.event_type = t.b")
-both("stm_stale_actions", "SELECT id, CASE WHEN status = 'claimed' AND age > 120000 THEN CASE WHEN attempt >= 3 THEN 'fail' ELSE 'release_claim' END WHEN status = 'running' AND age > 300000 THEN CASE WHEN attempt >= 3 THEN 'escalate' ELSE 'requeue' END ELSE 'keep' END AS action FROM (SELECT id, status, attempt, MS(TIMESTAMP '1996-01-01 00:00:00') - MS(created_at) AS age FROM v_jobs) q")
 both("stm_idle_sessions", "SELECT user_id, s AS session, count(*) AS n, min(MS(ts)) AS started, max(MS(ts)) AS ended FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN MS(ts) - lag(MS(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 7200000 THEN 0 ELSE 1 END AS new FROM events) a) b GROUP BY user_id, s")
 
 
