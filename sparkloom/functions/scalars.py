@@ -155,8 +155,11 @@ def lines(*parts: Column) -> Column:
 def checks(commands: Column) -> Column:
     """Commands (array of name, command) that verify a change: test, typecheck and lint where they are known, else the
     first one of all, else none."""
-    picked = [F.get(F.filter(commands, lambda c, n=n: c["name"] == n), F.lit(0))["command"] for n in ("test", "typecheck", "lint")]
-    found = F.array_compact(F.array(*picked))
+
+    def first(name):
+        return F.get(F.filter(commands, lambda c: c["name"] == name), F.lit(0))["command"]
+
+    found = F.array_compact(F.array(*map(first, ("test", "typecheck", "lint"))))
     return F.coalesce(F.when(F.size(found) > 0, found).otherwise(F.array_compact(F.array(F.get(commands, F.lit(0))["command"]))), F.array().cast("array<string>"))
 
 
