@@ -9,6 +9,7 @@ from sparkloom.operators import lifecycle
 from sparkloom.plans.catalog import both, duck, sql_frame, view
 from sparkloom.plans.registry import query
 from sparkloom.session import ready, table
+from sparkloom.streaming import state
 
 # -- todos, jobs, sessions, findings -----------------------------------------------------------------------------
 
@@ -98,6 +99,16 @@ def _array_union(spark, d):
 both("setop_history_page", """WITH live AS (SELECT id FROM v_jobs WHERE id % 500 = 0), page AS (SELECT j.id FROM v_jobs j WHERE j.status IN ('claimed', 'running', 'queued') AND NOT EXISTS (SELECT 1 FROM live l WHERE l.id = j.id) ORDER BY j.id DESC LIMIT 50)
 SELECT id, place FROM (SELECT id, 'live' AS place FROM live UNION ALL SELECT id, 'history' AS place FROM page) x WHERE id % 7 <> 0""")
 
+
+@query("win_throttle", """WITH RECURSIVE e AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS ms, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT key, id, ms, rn, ms AS last, true AS kept FROM e WHERE rn = 1 UNION ALL SELECT e.key, e.id, e.ms, e.rn, CASE WHEN e.ms >= w.last + 7200000 THEN e.ms ELSE w.last END, e.ms >= w.last + 7200000 FROM w JOIN e ON e.key = w.key AND e.rn = w.rn + 1)
+SELECT id, key, ms, kept FROM w""")
+def _throttle(spark, d):
+    ready(spark)
+    uses = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.expr("unix_millis(cast(ts as timestamp))").alias("ms"))
+    return state.throttled(uses, 7_200_000)
+
+
 # -- scalars -----------------------------------------------------------------------------------------------------
 
 _SHORT = "CASE WHEN x * 4 = floor(x * 4) AND x * 2 <> floor(x * 2) THEN printf('%.1f', x + 0.01) ELSE printf('%.1f', x) END"

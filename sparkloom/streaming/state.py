@@ -82,6 +82,21 @@ def capped_sessions(events: DataFrame, idle_ms: int, most_ms: int) -> DataFrame:
     return _walk(events, step, {"session_start": "long", "deadline": "long"})
 
 
+def throttled(events: DataFrame, gap_ms: int) -> DataFrame:
+    """Adds kept: whether an event comes at least gap_ms after the last kept one of its key; the first one is."""
+
+    def step(last, ms):
+        kept = last is None or ms >= last + gap_ms
+        return (ms if kept else last), (kept,)
+
+    return _walk(events, step, {"kept": "boolean"})
+
+
+def fresh(rows: DataFrame, seen: str, now, ttl_ms: int) -> DataFrame:
+    """Rows that were last seen at most ttl_ms ago; a row that never was is gone."""
+    return rows.where(F.unix_millis(now) - F.unix_millis(F.col(seen)) <= ttl_ms)
+
+
 def replay(events: DataFrame, since: int, retained: int = 10_000) -> DataFrame:
     """Events after a sequence number, as far back as the log retains."""
     last = events.agg(F.max("seq")).first()[0] or 0
