@@ -31,6 +31,11 @@ MANIFESTS = (
 # Failures of a start that would only fail again, and commands that may be run.
 HOPELESS = r"(?i)unable to register (pinyx )?model|no such provider|requires (unitId|contractId)|model resolution failed"
 SAFE_COMMAND = r'^[a-zA-Z0-9_./-]+(?: [a-zA-Z0-9_./=:"-]+)*\z'
+# What is taken off a model's answer, and what begins its headings.
+THOUGHTS = r"(?is)<think.*?</think>\s*"
+FENCE_BEFORE, FENCE_AFTER = r"(?i)^```(?:markdown|text|plaintext)?\s*", r"\s*```\z"
+HEADING = r"(?m)^#{1,6}\s+\S"
+PREAMBLE = r"(?i)^(?:refined\s+mission\s+(?:description|brief)\s*:?|here\s+is[^:\n]*:?|sure!?\s*,?\s*here[^:\n]*:?)\s*\n+"
 
 
 def basename(path: Column) -> Column:
@@ -140,10 +145,10 @@ def manifest(source_file: Column, ecosystem: Column) -> Column:
 
 def brief(answer: Column) -> Column:
     """A model's answer without reasoning, a fence around it, and talk before the first heading."""
-    out = F.regexp_replace(answer, r"(?is)<think.*?</think>\s*", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?i)^```(?:markdown|text|plaintext)?\s*", ""), r"\s*```\z", "")
-    at = F.regexp_instr(out, F.lit(r"(?m)^#{1,6}\s+\S"))
-    plain = F.regexp_replace(out, r"(?i)^(?:refined\s+mission\s+(?:description|brief)\s*:?|here\s+is[^:\n]*:?|sure!?\s*,?\s*here[^:\n]*:?)\s*\n+", "")
+    out = F.regexp_replace(answer, THOUGHTS, "")
+    out = F.regexp_replace(F.regexp_replace(out, FENCE_BEFORE, ""), FENCE_AFTER, "")
+    at = F.regexp_instr(out, F.lit(HEADING))
+    plain = F.regexp_replace(out, PREAMBLE, "")
     return F.regexp_replace(F.when(at > 1, F.substring(out, at, F.length(out))).otherwise(plain), r"^\s+|\s+\z", "")
 
 

@@ -39,6 +39,11 @@ STALE_MS = {"claimed": 120_000, "running": 300_000, "starting": 300_000, "sessio
 # Fields that a handoff must hold, and reasons that are too short to be any.
 HANDOFF_FIELDS = ["unitId", "featureName", "description", "implemented", "remaining", "rationale", "assumptions", "unresolvedUncertainties", "errorsEncountered", "gitCommitHash"]
 TERSE = r"^(Refactored|Implemented|Fixed|Updated|Changed) [A-Za-z0-9_]+\z"
+# What is said of a handoff that is not complete.
+MISSING = "Missing required field: "
+TOO_BRIEF = "rationale is too brief — must explain the reasoning, not just describe the change"
+NO_RUNS = "commandsRun must contain at least one command"
+NO_OBJECT, NO_COMMAND, NO_CODE = " must be an object with command and exitCode", ".command must be a non-empty string", ".exitCode must be a finite number"
 
 
 def _listed(table: dict[str, list[str]], key: Column) -> Column:
@@ -141,17 +146,17 @@ def bad_run(runs: Column) -> Column:
 
     def check(r, i):
         where = F.concat(F.lit("commandsRun["), i.cast("string"), F.lit("]"))
-        return F.when(r.isNull(), F.concat(where, F.lit(" must be an object with command and exitCode"))).when(
-            F.coalesce(F.trim(r["command"]), F.lit("")) == "", F.concat(where, F.lit(".command must be a non-empty string"))
-        ).when(r["exitCode"].isNull() | F.isnan(r["exitCode"].cast("double")) | (F.abs(r["exitCode"]) == float("inf")), F.concat(where, F.lit(".exitCode must be a finite number")))
+        bad = F.when(r.isNull(), NO_OBJECT).when(F.coalesce(F.trim(r["command"]), F.lit("")) == "", NO_COMMAND)
+        bad = bad.when(r["exitCode"].isNull() | F.isnan(r["exitCode"].cast("double")) | (F.abs(r["exitCode"]) == float("inf")), NO_CODE)
+        return F.concat(where, bad)  # null where nothing is bad
 
     none = runs.isNull() | (F.size(runs) == 0)
-    return F.when(none, "commandsRun must contain at least one command").otherwise(F.get(F.array_compact(F.transform(runs, check)), F.lit(0)))
+    return F.when(none, NO_RUNS).otherwise(F.get(F.array_compact(F.transform(runs, check)), F.lit(0)))
 
 
 def handoff_errors(runs: Column, fields: dict[str, Column] | None = None) -> Column:
     """All that is wrong with a handoff: blank fields in their order, a reason that gives none, a bad run."""
     of = {f: F.col(f) for f in HANDOFF_FIELDS} | (fields or {})
-    blank = [F.when(F.coalesce(F.regexp_replace(of[f], r"^\s+|\s+$", ""), F.lit("")) == "", F.lit(f"Missing required field: {f}")) for f in HANDOFF_FIELDS]
-    terse = F.when(of["rationale"].rlike(TERSE), F.lit("rationale is too brief — must explain the reasoning, not just describe the change"))
+    blank = [F.when(F.coalesce(F.regexp_replace(of[f], r"^\s+|\s+$", ""), F.lit("")) == "", F.lit(MISSING + f)) for f in HANDOFF_FIELDS]
+    terse = F.when(of["rationale"].rlike(TERSE), F.lit(TOO_BRIEF))
     return F.array_compact(F.array(*blank, terse, bad_run(runs)))

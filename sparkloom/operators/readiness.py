@@ -43,6 +43,8 @@ FRAMEWORKS = [
     ("Express", "express", []),
     ("Vitest", "vitest", ["vitest.config.ts"]),
 ]
+# Paths of packages within a repository, of settings and their templates, and of services.
+PACKAGES, ENV, ENV_EXAMPLE, COMPOSE = r"^packages/[^/]+/package\.json$", r"(^|/)\.env$", r"(^|/)\.env(\.example|\.sample|\.template)$", "^docker-compose"
 JS_MANAGERS = ["pnpm", "yarn", "bun"]
 # What is said of a repository that lacks something.
 NO_LOCK = "JavaScript package manifest found without a lockfile; dependency installs may be non-deterministic."
@@ -62,7 +64,7 @@ def profiles(files: DataFrame, key: str = "repo") -> DataFrame:
     some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     rooted = ["Cargo.toml", "go.mod", "pyproject.toml", "pytest.ini", "pnpm-workspace.yaml", "turbo.json", "nx.json", *[n for n, _ in LOCKS], *[f for _, _, fs in FRAMEWORKS for f in fs]]
     flags = {f"at {n}": some(path == n) for n in rooted} | {f"in {n}": some(path.rlike(p)) for n, p in LANGUAGES}
-    flags |= {"packages": some(path.rlike(r"^packages/[^/]+/package\.json$")), "env": some(path.rlike(r"(^|/)\.env$")), "env_example": some(path.rlike(r"(^|/)\.env(\.example|\.sample|\.template)$")), "compose": some(path.rlike("^docker-compose"))}
+    flags |= {"packages": some(path.rlike(PACKAGES)), "env": some(path.rlike(ENV)), "env_example": some(path.rlike(ENV_EXAMPLE)), "compose": some(path.rlike(COMPOSE))}
     lock = r"(^|/)(" + "|".join(n.replace(".", r"\.") for n, _ in LOCKS) + ")$"
     each = files.groupBy(key).agg(*[c.alias(n) for n, c in flags.items()], F.array_sort(F.collect_set(F.when(path.rlike(lock), path))).alias("lockfiles"), F.max(F.when(path == "package.json", F.col("content"))).alias("manifest"))
     kind = "STRUCT<scripts: MAP<STRING, STRING>, dependencies: MAP<STRING, STRING>, devDependencies: MAP<STRING, STRING>>"
