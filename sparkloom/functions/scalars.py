@@ -157,6 +157,12 @@ def lines(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda x: x != ""), "\n")
 
 
+def sections(**parts: Column) -> Column:
+    """Titled parts, a blank line between them; what is null or blank is left out with its title."""
+    each = [F.when(F.trim(v) != "", F.concat(F.lit(f"## {k.replace('_', ' ')}\n"), v)) for k, v in parts.items()]
+    return F.concat_ws("\n\n", *each)
+
+
 def checks(commands: Column) -> Column:
     """Commands (array of name, command) that verify a change: test, typecheck and lint where they are known, else the
     first one of all, else none."""

@@ -13,24 +13,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkloom.operators.lifecycle import JOB_MOVES
 
-def _walk(events: DataFrame, step: Callable, added: dict[str, str]) -> DataFrame:
-    """events (id, key, ms) with the columns that step(state, ms) -> (state, values) adds; state starts as None."""
-    names = list(added)
+# The status of a job after an operation; others leave it as it is.
+JOB_RESULTS = {"markRunning": "running", "complete": "succeeded", "fail": "failed", "requeue": "queued", "cancel": "cancelled"}
+
+
+def _walk(events: DataFrame, step: Callable, added: dict[str, str], more: dict[str, str] | None = None) -> DataFrame:
+    """events (id, key, ms and the columns of `more`) with the columns that step(state, ms, *more) -> (state, values)
+    adds; state starts as None."""
+    names, more = list(added), more or {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, None
         for pdf in batches:
             out = []
-            for key, ms in zip(pdf["key"].tolist(), pdf["ms"].tolist()):
+            for key, ms, *own in zip(pdf["key"].tolist(), pdf["ms"].tolist(), *[pdf[c].tolist() for c in more]):
                 if key != last:
                     last, held = key, None
-                held, values = step(held, ms)
+                held, values = step(held, ms, *own)
                 out.append(values)
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
-    ordered = events.where("key is not null and ms is not null").select("id", "key", "ms").repartition("key").sortWithinPartitions("key", "ms", "id")
-    return ordered.mapInPandas(run, "id long, key long, ms long, " + ", ".join(f"{n} {t}" for n, t in added.items()))
+    ordered = events.where("key is not null and ms is not null").select("id", "key", "ms", *more).repartition("key").sortWithinPartitions("key", "ms", "id")
+    return ordered.mapInPandas(run, "id long, key long, ms long, " + ", ".join(f"{n} {t}" for n, t in (more | added).items()))
 
 
 def _admit(window_ms: int, burn_ms: int) -> Callable:
@@ -92,6 +98,34 @@ def throttled(events: DataFrame, gap_ms: int) -> DataFrame:
     return _walk(events, step, {"kept": "boolean"})
 
 
+def job_log(operations: DataFrame, max_attempts: int = 3) -> DataFrame:
+    """A log of queue operations (id, key: the job, ms, op, token) with whether each was accepted, and the job's status
+    and attempts after it. An operation on a job that is not there, from a status it is not allowed from, without
+    attempts left or with another claim's token is refused and changes nothing."""
+
+    def step(held, ms, op, token):
+        status, claim, tries = held or (None, None, 0)
+        if op == "enqueue":
+            ok, after = status is None, ("queued", None, 0)
+        elif op == "claim":
+            ok, after = status == "queued" and tries < max_attempts, ("claimed", token, tries + 1)
+        else:
+            mine = op in ("requeue", "cancel") or token == claim or (op == "fail" and token is None)
+            ok = status in JOB_MOVES.get(op, ()) and mine
+            after = (JOB_RESULTS.get(op, status), None if op == "requeue" else claim, tries)
+        held = after if ok else held
+        return held, (ok, held[0] if held else None, held[2] if held else 0)
+
+    return _walk(operations, step, {"accepted": "boolean", "status": "string", "attempt": "long"}, {"op": "string", "token": "string"})
+
+
+def current_states(events: DataFrame, sticky: str = "aborted") -> DataFrame:
+    """key and state: the last status by seq of events (key, seq, status), but `sticky` once it was there. One
+    aggregation with partial counts, on a table or, in update or complete mode, on a stream."""
+    last = F.when(F.bool_or(F.col("status") == sticky), sticky).otherwise(F.max_by("status", "seq"))
+    return events.where("status is not null").groupBy("key").agg(last.alias("state"))
+
+
 def fresh(rows: DataFrame, seen: str, now, ttl_ms: int) -> DataFrame:
     """Rows that were last seen at most ttl_ms ago; a row that never was is gone."""
     return rows.where(F.unix_millis(now) - F.unix_millis(F.col(seen)) <= ttl_ms)

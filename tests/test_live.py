@@ -84,3 +84,23 @@ def test_throttle_and_ttl(spark):
     assert [r["id"] for r in state.throttled(uses, 10).where("kept").orderBy("id").collect()] == [0, 3, 5, 6]
     rows = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:00:01"), ("c", None)], "k string, t string").withColumn("t", F.col("t").cast("timestamp"))
     assert [r["k"] for r in state.fresh(rows, "t", F.lit("2024-01-01 01:00:01").cast("timestamp"), 3_600_000).collect()] == ["b"]
+
+
+def test_job_log(spark):
+    ops = [("markRunning", "x"), ("enqueue", None), ("claim", "t1"), ("complete", "t1"), ("markRunning", "t0"), ("markRunning", "t1"), ("heartbeat", "t1"), ("requeue", None), ("claim", "t2"), ("claim", "t3"), ("fail", "t1"), ("requeue", None), ("claim", "t4"), ("requeue", None), ("claim", "t5"), ("fail", None), ("cancel", None), ("enqueue", None), ("odd", None)]
+    log = spark.createDataFrame([(i, 1, i, op, t) for i, (op, t) in enumerate(ops)] + [(90, 2, 0, "enqueue", None), (91, 2, 1, "cancel", None)], "id long, key long, ms long, op string, token string")
+    got = {r["id"]: (r["accepted"], r["status"], r["attempt"]) for r in state.job_log(log).collect()}
+    want = [(False, None, 0), (True, "queued", 0), (True, "claimed", 1), (False, "claimed", 1), (False, "claimed", 1), (True, "running", 1), (True, "running", 1), (True, "queued", 1), (True, "claimed", 2), (False, "claimed", 2), (False, "claimed", 2), (True, "queued", 2), (True, "claimed", 3), (True, "queued", 3), (False, "queued", 3), (True, "failed", 3), (False, "failed", 3), (False, "failed", 3), (False, "failed", 3)]
+    assert [got[i] for i in range(len(ops))] == want and got[91] == (True, "cancelled", 0)
+
+
+def test_current_states(spark, tmp_path):
+    rows = [("a", 2, "running"), ("a", 1, "queued"), ("b", 1, "aborted"), ("b", 2, "completed"), ("c", 1, None)]
+    events = spark.createDataFrame(rows, "key string, seq long, status string")
+    want = {("a", "running"), ("b", "aborted")}
+    assert {tuple(r) for r in state.current_states(events).collect()} == want
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = state.current_states(stream).writeStream.outputMode("complete").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {tuple(r) for r in spark.sql("SELECT * FROM states").collect()} == want

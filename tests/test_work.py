@@ -61,6 +61,7 @@ def test_modules_kinds_and_lines(spark):
     for given, want in {"Run PyTest": "test", "contest": "simple", "docker build": "build", "a mapé": "analysis", "analyse": "analysis", None: "simple"}.items():
         assert one(spark, s.work_kind(C("x"), none, none), given) == want, given
     assert one(spark, s.lines(C("x"), F.lit(""), F.lit("b"), F.lit(None)), "a") == "a\nb"
+    assert one(spark, s.sections(Goal=C("x"), Open_points=F.lit(" "), Notes=F.lit("n")), "a") == "## Goal\na\n\n## Notes\nn"
     kind = "array<struct<name:string,command:string>>"
     assert one(spark, s.checks(C("x")), [("build", "b"), ("lint", "l"), ("test", "t"), ("test", "u")], kind) == ["t", "l"]
     assert one(spark, s.checks(C("x")), [("build", "b")], kind) == ["b"] and one(spark, s.checks(C("x")), [], kind) == []
