@@ -29,7 +29,7 @@ MANIFESTS = (
     ("nuget", "Directory.Build.props"),
 )
 # Failures of a start that would only fail again, and commands that may be run.
-HOPELESS = r"(?i)unable to register (pinyx )?model|no such provider|requires (unitId|contractId)|model resolution failed"
+HOPELESS = r"(?i)unable to register (\w+ )?model|no such provider|requires (unitId|contractId)|model resolution failed"
 SAFE_COMMAND = r'^[a-zA-Z0-9_./-]+(?: [a-zA-Z0-9_./=:"-]+)*\z'
 # What is taken off a model's answer, and what begins its headings.
 THOUGHTS = r"(?is)<think.*?</think>\s*"

@@ -107,3 +107,21 @@ def authorised(requests: DataFrame, repos: DataFrame) -> DataFrame:
     """Requests whose clone address, normalised, is one of the listed repositories'."""
     known = repos.select(clone_url(F.col("clone_url")).alias("_url")).where("_url is not null").distinct()
     return requests.withColumn("_url", clone_url(F.col("clone_url"))).join(known, "_url", "left_semi").drop("_url")
+
+
+def todos_of_verdicts(verdicts: DataFrame, todos: DataFrame) -> DataFrame:
+    """verdict and todo for verdicts (id, mission, failed: array of ids) and todos (id, mission, title, goal, notes,
+    status): todos that a failed id names, is the goal of, or stands in the title, goal or a note of; of verdicts that
+    name no id the todos under validation. A text can only hold an id where its mission is the same, so that is the key."""
+    v = verdicts.select(F.col("id").alias("verdict"), "mission", F.array_compact(F.coalesce("failed", F.array().cast("array<string>"))).alias("failed"))
+    t = todos.select(F.col("id").cast("string").alias("todo"), "mission", "status", F.concat_ws("\n", "title", "goal", "notes").alias("_text"))
+    met = v.join(t, "mission")
+    named = F.exists("failed", lambda f: (f == F.col("todo")) | F.contains(F.col("_text"), f))
+    return met.where(F.when(F.size("failed") > 0, named).otherwise(F.col("status").isin("implemented", "validating"))).select("verdict", "todo")
+
+
+def retries_left(units: DataFrame, retries: DataFrame, budget: int) -> DataFrame:
+    """unit, used and whether it may be tried again, for units (id) and a log of retries (id)."""
+    used = retries.groupBy("id").agg(F.count("*").alias("_n"))
+    n = F.coalesce("_n", F.lit(0))
+    return units.join(used, "id", "left").select(F.col("id").alias("unit"), n.alias("used"), (n < budget).alias("may_retry"))

@@ -54,3 +54,11 @@ def test_missions_and_clones(spark):
     repos = spark.createDataFrame([("https://github.com/a/b.git",), ("bad",)], "clone_url string")
     asked = spark.createDataFrame([("https://github.com/a/b/",), ("bad",), ("https://github.com/a/c",), (None,)], "clone_url string")
     assert [r["clone_url"] for r in m.authorised(asked, repos).collect()] == ["https://github.com/a/b/"]
+
+
+def test_todos_of_verdicts_and_retries(spark):
+    v = spark.createDataFrame([("v", "m", ["7", "u-9"]), ("w", "m", []), ("x", "m", None), ("y", "n", ["7"])], "id string, mission string, failed array<string>")
+    t = spark.createDataFrame([(7, "m", "a", "g", [], "passed"), (8, "m", "b", None, ["see u-9"], "passed"), (5, "m", "c", "g", None, "validating")], "id int, mission string, title string, goal string, notes array<string>, status string")
+    assert sorted(tuple(r) for r in m.todos_of_verdicts(v, t).collect()) == [("v", "7"), ("v", "8"), ("w", "5"), ("x", "5")]
+    units, log = (spark.createDataFrame(x, "id int") for x in ([(1,), (2,)], [(1,), (1,)]))
+    assert sorted(tuple(r) for r in m.retries_left(units, log, 2).collect()) == [(1, 2, False), (2, 0, True)]
