@@ -31,7 +31,7 @@ WINDOW = 10
 #: Words of test items in one block: what a search sends to each worker stays below some 20 MB.
 BLOCK_WORDS = 500_000
 #: Candidate places that one step of a search holds.
-CANDIDATES = 2_000_000
+CANDIDATES = 400_000
 
 
 def index(docs: DataFrame, fold: bytes = ALNUM) -> DataFrame:
