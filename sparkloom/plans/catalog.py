@@ -23,7 +23,7 @@ VIEWS = {
     "v_packages": "SELECT p_partkey AS ord, p_name AS name, concat(cast(p_size AS VARCHAR(9)), '.', cast(p_partkey % 10 AS VARCHAR(9)), '.0') AS version, lower(p_type) AS ecosystem, p_brand AS source_file, concat('@', p_brand, '/', p_name) AS full_name FROM part",
     "v_hotspots": "SELECT p_partkey AS ord, concat(lower(p_type), '/', lower(p_brand), '/', replace(p_name, ' ', '_'), '.ts') AS path, p_brand AS module, p_size AS complexity, p_partkey % 100 AS symbols FROM part",
     "v_nodes": "SELECT s_name AS id, n_name AS module, s_acctbal AS importance, s_suppkey % 50 AS symbols, s_suppkey AS ord FROM supplier JOIN nation ON s_nationkey = n_nationkey",
-    "v_steps": "SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS b FROM lineitem WHERE l_orderkey % 400 = 0",
+    "v_steps": "SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS b FROM lineitem",
     "v_edges": "SELECT DISTINCT f.s_name AS src, t.s_name AS dst FROM v_steps JOIN supplier f ON f.s_suppkey = a JOIN supplier t ON t.s_suppkey = b WHERE a <> b",
     "v_jobs": "SELECT o_orderkey AS id, 6 - cast(substr(o_orderpriority, 1, 1) AS INT) AS priority, o_orderdate AS created_at, CASE o_orderstatus WHEN 'F' THEN 'claimed' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, o_orderkey % 4 AS attempt, o_custkey AS owner FROM orders",
     "v_costs": "SELECT l_orderkey AS item, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS session, concat(l_returnflag, '/', l_linestatus) AS model, l_quantity AS prompt, l_quantity * 2 AS completion, cast(l_extendedprice AS DECIMAL(18,4)) * cast(l_discount AS DECIMAL(18,4)) AS cost FROM lineitem",
