@@ -33,6 +33,30 @@ def ranked_lookup(probe: DataFrame, key: list[str], stages: list[DataFrame], ord
     return probe.join(keep_first(every, key, [F.col("stage"), *order]), key, "left")
 
 
+def cascade(probe: DataFrame, name: str, nodes: DataFrame, hotspots: DataFrame) -> DataFrame:
+    """probe with `resolved` and `stage`: what the entry point `name`, without slashes at its end, stands for. Stages are
+    0 and 2, the node and the hotspot of that id if there is just one; 1 and 3, the node and the hotspot whose id ends in it
+    after a slash; 4 and 5, those whose last part it is. Nodes and hotspots hold id, score and ord; the highest score
+    wins, then the first. Nothing found leaves the entry point and no stage. Candidates are first brought to one a key by
+    aggregation, so that a common key does not multiply."""
+
+    def best(known: DataFrame, exact: int, suffix: int, base: int) -> list[DataFrame]:
+        top = F.min(F.struct((-F.col("score")).alias("score"), "ord", "id"))["id"].alias("hit")
+        parts = F.split("id", "/")
+        n = F.size(parts)
+        # an id of n parts ends in n - 1 shorter ones
+        ends = F.when(n > 1, F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.array_join(F.slice(parts, i, n), "/")))
+        one = known.groupBy(F.col("id").alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("hit")).where("n = 1").select("key", "hit")
+        by_end = known.select(F.explode(ends).alias("key"), "id", "score", "ord").groupBy("key").agg(top)
+        by_base = known.select(F.element_at(parts, -1).alias("key"), "id", "score", "ord").groupBy("key").agg(top)
+        return [x.select("key", F.lit(i).alias("stage"), "hit") for i, x in ((exact, one), (suffix, by_end), (base, by_base))]
+
+    every = reduce(DataFrame.unionByName, [*best(nodes, 0, 1, 4), *best(hotspots, 2, 3, 5)])
+    first = every.groupBy("key").agg(F.min(F.struct("stage", "hit")).alias("_first"))
+    met = probe.join(first, F.regexp_replace(name, "/+$", "") == F.col("key"), "left")
+    return met.select(*[probe[c] for c in probe.columns], F.coalesce("_first.hit", name).alias("resolved"), F.col("_first.stage").alias("stage"))
+
+
 def either_key_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], row: list[str]) -> DataFrame:
     """left join right on any of several equalities, as a union of equi-joins without repeats: an OR of keys in one
     join would be planned as a nested loop. `row` names columns that identify a pair of rows."""

@@ -23,6 +23,7 @@ VIEWS = {
     "v_packages": "SELECT p_partkey AS ord, p_name AS name, concat(cast(p_size AS VARCHAR(9)), '.', cast(p_partkey % 10 AS VARCHAR(9)), '.0') AS version, lower(p_type) AS ecosystem, p_brand AS source_file, concat('@', p_brand, '/', p_name) AS full_name FROM part",
     "v_hotspots": "SELECT p_partkey AS ord, concat(lower(p_type), '/', lower(p_brand), '/', replace(p_name, ' ', '_'), '.ts') AS path, p_brand AS module, p_size AS complexity, p_partkey % 100 AS symbols FROM part",
     "v_nodes": "SELECT s_name AS id, n_name AS module, s_acctbal AS importance, s_suppkey % 50 AS symbols, s_suppkey AS ord FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "v_graph": "SELECT concat(lower(module), '/', id) AS id, module, importance, ord FROM v_nodes",
     "v_steps": "SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS b FROM lineitem",
     "v_edges": "SELECT DISTINCT f.s_name AS src, t.s_name AS dst FROM v_steps JOIN supplier f ON f.s_suppkey = a JOIN supplier t ON t.s_suppkey = b WHERE a <> b",
     "v_jobs": "SELECT o_orderkey AS id, 6 - cast(substr(o_orderpriority, 1, 1) AS INT) AS priority, o_orderdate AS created_at, CASE o_orderstatus WHEN 'F' THEN 'claimed' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, o_orderkey % 4 AS attempt, o_custkey AS owner FROM orders",
@@ -33,7 +34,7 @@ VIEWS = {
     "v_catalog": "SELECT * FROM (VALUES (1, 'C1', 'NAME1', '4', 'critical'), (1, 'C1', 'NAME1', '1', 'critical'), (2, 'C2', 'NAME2', '*', 'high'), (3, 'C3', 'NAME3', '3', 'low')) AS c(cid, catalog_id, package, ver, severity)",
 }
 #: Which stand-ins each stand-in is made of.
-_NEEDS = {"v_edges": ["v_steps"], "v_deps": ["v_todos"]}
+_NEEDS = {"v_graph": ["v_nodes"], "v_edges": ["v_steps"], "v_deps": ["v_todos"]}
 
 
 def _used(sql: str) -> list[str]:
@@ -139,16 +140,24 @@ def _semi_and(spark, d):
     return e.join(n, e["src"] == n["id"], "left_semi").join(n, F.col("dst") == n["id"], "left_semi")
 
 
-@query("join_cascade_resolve", duck("""WITH want AS (SELECT ord AS k, CASE WHEN ord % 2 = 0 THEN path ELSE concat(module, '!') END AS p FROM v_hotspots WHERE ord <= 200),
-m AS (SELECT k, 0 AS stage, complexity AS score, h.ord, h.path AS hit FROM want JOIN v_hotspots h ON h.path = p UNION ALL SELECT k, 1, complexity, h.ord, h.path FROM want JOIN v_hotspots h ON concat(h.module, '!') = p),
+#: Entry points of every hotspot and node: whole, without the first folder, the bare file, with a slash behind, and unknown.
+_WANT = """SELECT ord AS k, CASE ord % 5 WHEN 0 THEN path WHEN 1 THEN substr(path, position('/' IN path) + 1) WHEN 2 THEN concat(replace(name, ' ', '_'), '.ts') WHEN 3 THEN concat(path, '/') ELSE concat(module, '!') END AS p FROM (SELECT h.*, p_name AS name FROM v_hotspots h JOIN part ON p_partkey = ord) x
+UNION ALL SELECT -1 - ord, CASE ord % 3 WHEN 0 THEN id WHEN 1 THEN substr(id, position('/' IN id) + 1) ELSE module END FROM v_graph"""
+
+
+@query("join_cascade_resolve", duck(f"""WITH want AS (SELECT k, p, regexp_replace(p, '/+$', '') AS e FROM ({_WANT}) x),
+m AS (SELECT k, 0 AS stage, importance AS score, g.ord, id AS hit FROM want JOIN v_graph g ON id = e QUALIFY count(*) OVER (PARTITION BY k) = 1
+UNION ALL SELECT k, 1, importance, g.ord, id FROM want JOIN v_graph g ON ends_with(id, '/' || e)
+UNION ALL SELECT k, 2, complexity, h.ord, path FROM want JOIN v_hotspots h ON path = e QUALIFY count(*) OVER (PARTITION BY k) = 1
+UNION ALL SELECT k, 3, complexity, h.ord, path FROM want JOIN v_hotspots h ON ends_with(path, '/' || e)
+UNION ALL SELECT k, 4, importance, g.ord, id FROM want JOIN v_graph g ON regexp_extract(id, '[^/]*$') = e
+UNION ALL SELECT k, 5, complexity, h.ord, path FROM want JOIN v_hotspots h ON regexp_extract(path, '[^/]*$') = e),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY stage, score DESC, ord) AS rn FROM m) SELECT want.k, coalesce(hit, p) AS resolved, coalesce(stage, 9) AS stage FROM want LEFT JOIN r ON want.k = r.k AND rn = 1"""))
 def _cascade(spark, d):
-    h = view(spark, d, "v_hotspots")
-    want = h.where("ord <= 200").select(F.col("ord").alias("k"), F.when(F.col("ord") % 2 == 0, F.col("path")).otherwise(F.concat("module", F.lit("!"))).alias("p"))
-    exact = want.join(h, F.col("p") == F.col("path")).select("k", "complexity", "ord", "path")
-    by_module = want.join(h, F.col("p") == F.concat("module", F.lit("!"))).select("k", "complexity", "ord", "path")
-    out = op.ranked_lookup(want, ["k"], [exact, by_module], [F.desc("complexity"), F.col("ord")])
-    return out.select("k", F.coalesce("path", "p").alias("resolved"), F.coalesce("stage", F.lit(9)).alias("stage"))
+    h = view(spark, d, "v_hotspots").select(F.col("path").alias("id"), F.col("complexity").alias("score"), "ord")
+    g = view(spark, d, "v_graph").select("id", F.col("importance").alias("score"), "ord")
+    out = op.cascade(sql_frame(spark, d, _with_views(_WANT)), "p", g, h)
+    return out.select("k", "resolved", F.coalesce("stage", F.lit(9)).alias("stage"))
 
 
 both("join_anti_dependencies", "SELECT t.id FROM v_todos t WHERE t.status = 'pending' AND NOT EXISTS (SELECT 1 FROM v_deps d LEFT JOIN v_todos x ON x.id = d.dep WHERE d.id = t.id AND (x.status IS NULL OR x.status NOT IN ('passed', 'merged', 'cancelled')))")
