@@ -10,6 +10,10 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 #: Rows that a Python worker is handed at a time.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of such a batch: a thousand short rows, or fewer long ones (one row may be larger).
+BATCH_BYTES, BATCH_BYTES_SET = "spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)
+#: Settings of Python workers: what they free goes back to the system instead of staying with the worker.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 18), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
 #: What a session of ours sets; a cluster's own values win where they are already there.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,6 +42,10 @@ def ready(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     if spark.conf.get(BATCH_ROWS, "10000") == "10000":  # Spark's own default: ten thousand long texts at once
         spark.conf.set(BATCH_ROWS, "1000")
+    if spark.conf.get(BATCH_BYTES, "67108864b") == "67108864b":  # Spark's own default
+        spark.conf.set(BATCH_BYTES, BATCH_BYTES_SET)
+    for key, value in WORKER_MEMORY.items():
+        env.setdefault(key, value)
     return spark
 
 
