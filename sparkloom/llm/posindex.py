@@ -1,25 +1,31 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is a table of segments. A segment is one row and holds a few MB of documents: its terms, and for
-each term the list of positions at which it stands. Documents follow one another with a gap of one position,
+The index is a table of segments. A segment is one row and holds a few MB of documents: its number, its terms, and
+for each term the list of positions at which it stands. Documents follow one another with a gap of one position,
 so no phrase reaches over an end. Segments are built where the documents lie and hold every word; nothing is
 shuffled to build or to search them, and a lost executor costs the segments it was working on.
 
-A search takes the test items in blocks of bounded size. In a segment each test phrase starts from the
-posting list of its rarest term; the list is shifted by the term's place in the phrase and intersected with
-the shifted lists of the other terms, rarest first. Proximity queries intersect within a slop instead.
+A search takes the test items in blocks of bounded size, PASS_BLOCKS of them in one reading of the index. In a
+segment each test phrase starts from the posting list of its rarest term; the list is shifted by the term's place
+in the phrase and intersected with the shifted lists of the other terms, rarest first. Proximity queries intersect
+within a slop instead. What several readings find of a document is put together by segment and row, which are
+stored with the index, so rows that share a doc_id, or have none, stay apart.
 
 Edge cases: null and empty texts have no words and no hits; an item without words is never met; repeated
-items count once by id; repeated documents are rows of their own; extra columns are ignored.
+items count once by id; repeated documents are rows of their own, whether their texts are equal or not; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,18 +34,23 @@ from sparkloom.llm.arrowtext import ALNUM, coded, ragged, steps, words
 from sparkloom.llm.store import carried, written
 
 WINDOW = 10
-#: Words of test items in one block: what a search sends to each worker stays below some 20 MB.
-BLOCK_WORDS = 500_000
+#: Words of test items in one block (an item is never divided), and blocks in one reading of the index: what a search
+#: sends to each worker stays below some 50 MB. More blocks are searched in further readings.
+BLOCK_WORDS, PASS_BLOCKS = 100_000, 8
 #: Candidate places that one step of a search holds.
-CANDIDATES = 400_000
+CANDIDATES = 250_000
 
 
 def index(docs: DataFrame, fold: bytes = ALNUM) -> DataFrame:
-    """The segments: doc_ids, n_words, terms, n_postings and all positions, as a stored table."""
+    """The segments: seg (a number of its own), doc_ids, n_words, terms, n_postings and all positions, as a stored table."""
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("n_words", T.BinaryType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("n_postings", T.BinaryType()), T.StructField("postings", T.BinaryType())])
+    schema = T.StructType([T.StructField("seg", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("n_words", T.BinaryType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("n_postings", T.BinaryType()), T.StructField("postings", T.BinaryType())])
+
+    def one(values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
     def build(batches):
+        seg = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in steps(batch):
                 flat, at = words(part.column("text"), fold)
@@ -48,8 +59,8 @@ def index(docs: DataFrame, fold: bytes = ALNUM) -> DataFrame:
                 place = np.arange(len(code), dtype=np.int32) + np.repeat(np.arange(len(n), dtype=np.int32), n)
                 order = np.argsort(code, kind="stable")
                 lists = np.bincount(code, minlength=len(terms)).astype(np.int32)
-                ids = part.column("doc_id")
-                yield pa.RecordBatch.from_arrays([pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([n.tobytes()], pa.binary()), pa.array([terms.cast(pa.string()).to_pylist()], pa.list_(pa.string())), pa.array([lists.tobytes()], pa.binary()), pa.array([place[order].tobytes()], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), one(part.column("doc_id")), pa.array([n.tobytes()], pa.binary()), one(terms.cast(pa.string())), pa.array([lists.tobytes()], pa.binary()), pa.array([place[order].tobytes()], pa.binary())], names=schema.names)
+                seg += 1
 
     return written(docs.select("doc_id", "text").mapInArrow(build, schema), "postings")
 
@@ -65,15 +76,22 @@ class Segment:
         self.first = np.cumsum(self.count.astype(np.int64)) - self.count
         self.postings = np.frombuffer(postings, np.int32)
         self.length = int((self.n.astype(np.int64) + 1).sum())
-        self._at: np.ndarray | None = None
+        self._keys: np.ndarray | None = None
 
     @property
-    def at(self) -> np.ndarray:
-        """The term at each position: one look-up tells whether a position is in a term's list."""
-        if self._at is None:
-            self._at = np.full(self.length, -1, np.int32)
-            self._at[self.postings] = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count)
-        return self._at
+    def keys(self) -> np.ndarray:
+        """All posting lists one after another, as term * length + position: sorted, so that a search among them is
+        one within the list of its term."""
+        if self._keys is None:
+            self._keys = np.repeat(np.arange(len(self.count), dtype=np.int64) * self.length, self.count) + self.postings
+        return self._keys
+
+    def within(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Which positions stand in the lists of their terms."""
+        key = term * self.length + position
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return self.keys[at] == key
 
     def codes(self, vocabulary: pa.Array) -> np.ndarray:
         """This segment's number of each word, or -1."""
@@ -108,7 +126,7 @@ class Segment:
             which, start = row[which[keep]], start[keep].astype(np.int64)
             for turn in range(1, terms.shape[1]):
                 shift = rarest_first[which, turn]
-                keep = self.at[start + shift] == terms[which, shift]
+                keep = self.within(terms[which, shift], start + shift)
                 which, start = which[keep], start[keep]
             found_phrase.append(alive[which])
             found_start.append(start)
@@ -131,15 +149,16 @@ class Segment:
 
 
 def opened(batches):
-    """The segments of Arrow batches, each with its doc_ids."""
+    """The segments of Arrow batches, each with its number and doc_ids."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            yield row.column("doc_ids").flatten(), Segment(row.column("n_words")[0].as_py(), row.column("terms").flatten(), row.column("n_postings")[0].as_py(), row.column("postings")[0].as_py())
+            yield row.column("seg")[0].as_py(), row.column("doc_ids").flatten(), Segment(row.column("n_words")[0].as_py(), row.column("terms").flatten(), row.column("n_postings")[0].as_py(), row.column("postings")[0].as_py())
 
 
 def test_blocks(items: DataFrame, window: int = WINDOW, fold: bytes = ALNUM, most: int = BLOCK_WORDS):
-    """The items' distinct windows, in blocks: (vocabulary, {length: term numbers}, {length: items of each window}).
+    """The items' distinct windows, in blocks: (vocabulary, item names, {length: (term numbers, from where and how many
+    items of each window, their numbers)}).
 
     Items are read one partition at a time and given out as soon as a block is full.
     """
@@ -158,64 +177,75 @@ def test_blocks(items: DataFrame, window: int = WINDOW, fold: bytes = ALNUM, mos
 
 def _block(held, window):
     number: dict[str, int] = {}
+    names: dict[str, int] = {}
     by_length: dict[int, dict[tuple, set]] = {}
     for item, own in held:
         code = [number.setdefault(w, len(number)) for w in own]
+        who = names.setdefault(item, len(names))
         length = min(window, len(code))
         group = by_length.setdefault(length, {})
         for i in range(len(code) - length + 1):
-            group.setdefault(tuple(code[i : i + length]), set()).add(item)
-    return list(number), {k: np.array(list(g), np.int32) for k, g in by_length.items()}, {k: [sorted(x) for x in g.values()] for k, g in by_length.items()}
-
-
-def matches(segments: DataFrame, blocks) -> DataFrame:
-    """For each document its id, n_words, the merged [from, to) ranges of words inside matches, and the items met.
-
-    A block is broadcast only in its bounded size; several blocks are searched one after another over the stored
-    index and their findings for a document put together.
+            group.setdefault(tuple(code[i : i + length]), set()).add(who)
+    out = {}
+    for length, group in by_length.items():
+        many = np.array([len(x) for x in group.values()], np.int32)
+        out[length] = np.array(list(group), np.int32), np.cumsum(many) - many, many, np.array([i for x in group.values() for i in sorted(x)], np.int32)
+    return pa.array(list(number), pa.string()), list(names), out
+
+
+def _found(seg: Segment, block, edge: np.ndarray, met: dict[int, set]) -> None:
+    """Adds what of a block stands in a segment: where words inside matches begin and end, and the items by document."""
+    vocabulary, names, windows = block
+    code = seg.codes(vocabulary)
+    for length, (rows, first, many, items) in windows.items():
+        phrase, start = seg.phrases(code[rows])
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + length, -1)
+        pairs = np.unique(seg.doc_of(start) * len(rows) + phrase)
+        of, place = ragged(first[pairs % len(rows)], many[pairs % len(rows)])
+        for pair in np.unique(pairs[of] // len(rows) * len(names) + items[place]).tolist():
+            met.setdefault(pair // len(names), set()).add(names[pair % len(names)])
+
+
+def matches(segments: DataFrame, blocks: Iterable) -> DataFrame:
+    """For each document its id, n_words, the [from, to) ranges of words inside matches, and the items met.
+
+    Blocks are broadcast in a bounded number. Where there are more, each reading of the index is stored and what
+    they found for a row put together.
     """
     spark = segments.sparkSession
     kind = segments.schema["doc_ids"].dataType.elementType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("seg", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("ranges", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("seg", T.LongType()), T.StructField("row", T.IntegerType()), T.StructField("n_words", T.LongType()), T.StructField("ranges", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
-    def search_with(block):
-        sent = spark.sparkContext.broadcast(block)
+    def search_with(some: tuple) -> DataFrame:
+        sent = spark.sparkContext.broadcast(some)
 
         def search(batches):
-            vocabulary, windows, items = sent.value
-            vocabulary = pa.array(vocabulary, pa.string())
-            for ids, seg in opened(batches):
-                code = seg.codes(vocabulary)
+            for number, ids, seg in opened(batches):
                 edge = np.zeros(seg.length + 1, np.int32)
                 met: dict[int, set] = {}
-                for length, rows in windows.items():
-                    phrase, start = seg.phrases(code[rows])
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + length, -1)
-                    pairs = np.unique(seg.doc_of(start) * len(rows) + phrase)
-                    for doc, p in zip((pairs // len(rows)).tolist(), (pairs % len(rows)).tolist()):
-                        met.setdefault(doc, set()).update(items[length][p])
+                for block in sent.value:
+                    _found(seg, block, edge, met)
                 inside = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]])
                 change = np.flatnonzero(np.diff(inside))
+                doc = seg.doc_of(change[::2])
                 ranges: dict[int, list] = {}
-                for a, b in zip(change[::2].tolist(), change[1::2].tolist()):
-                    doc = int(seg.doc_of(np.array([a]))[0])
-                    ranges.setdefault(doc, []).extend((a - int(seg.begin[doc]), b - int(seg.begin[doc])))
+                for d, a, b in zip(doc.tolist(), (change[::2] - seg.begin[doc]).tolist(), (change[1::2] - seg.begin[doc]).tolist()):
+                    ranges.setdefault(d, []).extend((a, b))
                 n = len(seg.n)
-                key = np.frombuffer(hashlib.blake2b(seg.postings.tobytes() + seg.n.tobytes(), digest_size=8).digest(), np.int64)[0]
-                yield pa.RecordBatch.from_arrays([ids, pa.array((key ^ np.arange(n)).astype(np.int64)), pa.array(seg.n.astype(np.int64)), pa.array([ranges.get(i, []) for i in range(n)], pa.list_(pa.int32())), pa.array([sorted(met.get(i, ())) for i in range(n)], pa.list_(pa.string()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(n, number, np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(seg.n.astype(np.int64)), pa.array([ranges.get(i, []) for i in range(n)], pa.list_(pa.int32())), pa.array([sorted(met.get(i, ())) for i in range(n)], pa.list_(pa.string()))], names=schema.names)
 
         return segments.mapInArrow(search, schema)
 
-    found = [search_with(b) for b in blocks] or [search_with(([], {}, {}))]
-    if len(found) == 1:
-        return found[0].drop("seg")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    # Equal segments hold equal documents, so rows that share a key also share their findings.
-    rows = every.groupBy("doc_id", "seg", "n_words").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / F.lit(len(found))).cast("int").alias("k"))
-    return rows.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("k")))).select("doc_id", "n_words", "ranges", "items")
+    passes = batched(blocks, PASS_BLOCKS)
+    first, second = next(passes, ()), next(passes, None)
+    if second is None:
+        return search_with(first).drop("seg", "row")
+    every = written(search_with(first), "found")
+    for more in chain([second], passes):
+        every = every.unionByName(written(search_with(more).where("size(ranges) > 0"), "found"))
+    rows = every.groupBy("seg", "row").agg(F.min("doc_id").alias("doc_id"), F.min("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.select("doc_id", "n_words", "ranges", "items")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -245,7 +275,7 @@ def proximity(segments: DataFrame, queries: list[list[str]], slop: int) -> DataF
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("query", T.IntegerType()), T.StructField("position", T.LongType())])
 
     def search(batches):
-        for ids, seg in opened(batches):
+        for _, ids, seg in opened(batches):
             for q, terms in enumerate(queries):
                 spot = seg.near(seg.codes(pa.array(list(dict.fromkeys(terms)), pa.string())), slop)
                 doc = seg.doc_of(spot)

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from sparkloom.llm.arrowtext import LOWER, raw, steps
 from sparkloom.llm.components import components
-from sparkloom.llm.store import carried, partitions, written
+from sparkloom.llm.store import carried, partitions, row_hash, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Nodes of a bucket that one task compares at once.
@@ -56,9 +56,9 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `keep` and fp, the fingerprint as a signed long."""
+    schema = T.StructType([docs.schema["doc_id"], *[docs.schema[c] for c in keep], T.StructField("fp", T.LongType())])
 
     def run(batches):
         for batch in batches:
@@ -67,9 +67,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
                 data = data.translate(LOWER)
                 at = offsets.tolist()
                 fp = np.array([fingerprint(data[a:b], shingle, seed) for a, b in zip(at, at[1:])], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(part.column, keep), pa.array(fp.view(np.int64))], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", *keep, "text").mapInArrow(run, schema)
 
 
 def masks(radius: int = RADIUS, seed: int = SEED) -> list[int]:
@@ -161,10 +161,10 @@ def _walked(batch: pa.RecordBatch, edge: list[int], radius: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """doc_id, fp, component_id of every document, and n_class, the documents of its fingerprint."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `keep`, fp, component_id of every document, and n_class, the documents of its fingerprint."""
     kind = docs.schema["doc_id"].dataType
-    prints = written(fingerprints(docs, shingle, seed), "prints")
+    prints = written(fingerprints(docs, shingle, seed, keep), "prints")
     # classes of one fingerprint: copies are counted before they are shuffled
     classes = written(prints.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("least"), F.count("*").alias("n_class")), "classes")
     nodes = classes.where("least is not null").select("fp", F.col("least").alias("node"))
@@ -177,17 +177,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     least = max(2, prints.count() // 1000)
     hot = named.where(F.col("n_class") > least)
     first = prints.join(F.broadcast(hot.select(F.col("fp").alias("hot_fp"), F.col("component_id").alias("hot_c"), F.col("n_class").alias("hot_n"))), F.col("fp") == F.col("hot_fp"), "left")
-    rest = first.where("hot_fp is null").select("doc_id", "fp").join(named.where(F.col("n_class") <= least), "fp").select("doc_id", "fp", "component_id", "n_class")
-    return first.where("hot_fp is not null").select("doc_id", "fp", F.col("hot_c").alias("component_id"), F.col("hot_n").alias("n_class")).unionByName(rest)
+    rest = first.where("hot_fp is null").select("doc_id", *keep, "fp").join(named.where(F.col("n_class") <= least), "fp").select("doc_id", *keep, "fp", "component_id", "n_class")
+    return first.where("hot_fp is not null").select("doc_id", *keep, "fp", F.col("hot_c").alias("component_id"), F.col("hot_n").alias("n_class")).unionByName(rest)
 
 
 @carried
 def kept_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents with the smallest doc_id of each group; rows without a doc_id stay, as they can't be ordered."""
-    found = near_duplicates(docs, **how)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Of each component one row stays, that of the smallest doc_id; of rows that share it, the one with the smallest hash of
+    the whole row. Rows without a doc_id stay, as they can't be ordered."""
+    named = docs.where("doc_id is not null").withColumn("_rh", row_hash(docs))
+    least = near_duplicates(named, keep=("_rh",), **how).groupBy("component_id").agg(F.min(F.struct("doc_id", "_rh")).alias("k"))
+    kept = named.join(least.select("k.doc_id", "k._rh"), ["doc_id", "_rh"], "left_semi")
+    return kept.dropDuplicates(["doc_id", "_rh"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op10_simhash(docs: DataFrame) -> DataFrame:

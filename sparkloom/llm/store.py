@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set (local tests)."""
+    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set and all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -42,6 +46,22 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def made() -> int:
+    """How many tables there are: a mark for `drop_since`."""
+    return len(_made)
+
+
+def drop_since(mark: int, keep: DataFrame) -> None:
+    """Delete the tables made after a mark, but for one that is still read."""
+    for spark, path in [x for x in _made[mark:] if x[1] != getattr(keep, "_loom_path", None)]:
+        _delete(spark, path)
+
+
+def row_hash(docs: DataFrame):
+    """A hash of a whole row, but for columns that hold maps or other things that can't be hashed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())])
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
