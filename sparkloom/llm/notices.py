@@ -2,11 +2,16 @@
 
 A text is read as its words, lower-cased and joined by one space. A notice that may differ in k characters is
 cut into k + 1 pieces; by the pigeonhole principle one piece survives any k edits unchanged. One Aho-Corasick
-automaton finds all pieces of all notices in one reading; around each piece the regex library looks for the
-whole notice with at most k errors and says where it stands. Every text is read whole.
+automaton finds all pieces of all notices in one reading; in the words around each piece the regex library looks
+for the whole notice with at most k errors and says where it stands. Each piece has a window of its own, no longer
+than the notice and its edits, so the time grows with the text, whatever stands in it. Every text is read whole.
 
-Edge cases: null and empty texts have no words and no labels; overlapping notices are all reported; repeated
-documents are rows of their own; extra columns are ignored; an empty table gives an empty result.
+The words that tell one notice from another, marked by stars, must be there: unchanged, or with one edit from
+LONG_WORD letters on. Of finds of one notice that overlap, the one with the fewest errors counts. The regex library
+takes no character added before the first one of a notice as an edit.
+
+Edge cases: null and empty texts have no words and no labels; overlapping finds of different notices are all reported;
+repeated documents are rows of their own; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,23 +32,50 @@ BASE = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
-#: Notices that are also looked for with edits: (notice as words, label).
+#: Notices that are also looked for with edits: (notice as words, those that tell it apart starred; label).
 NOTICES = (
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("permission is hereby granted free of charge to any person", "mit"),
-    ("spdx license identifier", "spdx"),
-    ("released under the mit license", "mit"),
-    ("redistribution and use in source and binary forms", "bsd"),
-    ("mozilla public license", "mpl"),
-    ("gnu general public license", "gpl"),
-    ("gnu lesser general public license", "lgpl"),
-    ("licensed under cc by", "cc-by"),
-    ("creative commons attribution", "cc-by"),
-    ("all rights reserved", "reserved"),
-    ("this work is in the public domain", "public-domain"),
+    ("licensed under the *apache license version *2 *0", "apache-2.0"),
+    ("permission is hereby *granted *free of *charge to any person", "mit"),
+    ("*spdx license *identifier", "spdx"),
+    ("released under the *mit license", "mit"),
+    ("*redistribution and use in source and *binary *forms", "bsd"),
+    ("*mozilla *public license", "mpl"),
+    ("*gnu *general *public license", "gpl"),
+    ("*gnu *lesser *general *public license", "lgpl"),
+    ("licensed under *cc *by", "cc-by"),
+    ("creative *commons *attribution", "cc-by"),
+    ("all *rights *reserved", "reserved"),
+    ("this work is in the *public *domain", "public-domain"),
 )
-#: One edit for so many characters of a notice; the shortest exact piece.
-CHARACTERS_PER_EDIT, SHORTEST_PIECE = 9, 5
+#: One edit for so many characters of a notice; the shortest exact piece; letters of a telling word that may have an edit.
+CHARACTERS_PER_EDIT, SHORTEST_PIECE, LONG_WORD = 9, 5, 6
+#: Searched windows whose result a scanner keeps.
+KEPT = 20_000
+
+
+def fuzzy(notice: str, edits: int) -> str:
+    """The pattern of a notice: telling words by themselves, everything between them with up to `edits` errors."""
+    parts: list[tuple[bool, str]] = []
+    for i, word in enumerate(notice.split()):
+        telling = word.startswith("*")
+        lead = " " if i else ""
+        if telling:
+            if lead and parts[-1][0]:
+                parts.append((True, " "))
+            elif lead:
+                parts[-1] = False, parts[-1][1] + " "
+            parts.append((True, word[1:]))
+        elif parts and not parts[-1][0]:
+            parts[-1] = False, parts[-1][1] + lead + word
+        else:
+            parts.append((False, lead + word))
+    out = ""
+    for telling, text in parts:
+        most = int(len(text) >= LONG_WORD) if telling else edits
+        own = regex.escape(text, special_only=True)
+        own = f"(?:{own}){{e<={min(most, edits)}}}" if most and edits else own
+        out += rf"(?<![^ ]){own}(?![^ ])" if telling and text != " " else own
+    return rf"(?<![^ ])(?:{out})(?![^ ])"
 
 
 class Scanner:
@@ -51,11 +83,11 @@ class Scanner:
 
     def __init__(self, notices=NOTICES, per_edit: int = CHARACTERS_PER_EDIT):
         self.notices, by_piece = [], {}
-        for text, label in notices:
+        for marked, label in notices:
+            text = marked.replace("*", "")
             edits = max(0, min(len(text) // per_edit, len(text) // SHORTEST_PIECE - 1))
-            pattern = regex.compile(rf"(?<![^ ])(?:{regex.escape(text, special_only=True)}){{e<={edits}}}(?![^ ])", regex.BESTMATCH)
             number = len(self.notices)
-            self.notices.append((text, label, edits, pattern))
+            self.notices.append((text, label, edits, regex.compile(fuzzy(marked, edits), regex.BESTMATCH)))
             cuts = [len(text) * i // (edits + 1) for i in range(edits + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 by_piece.setdefault(text[a:b], []).append((number, a))
@@ -63,27 +95,45 @@ class Scanner:
         for piece, where in by_piece.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
+        self.kept: dict[tuple[int, str], tuple[int, int, int] | None] = {}
+
+    def _best(self, number: int, words: str) -> tuple[int, int, int] | None:
+        """(from, to, errors) of a notice in a few words."""
+        key = number, words
+        if key not in self.kept:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            m = self.notices[number][3].search(words)
+            errors = sum(m.fuzzy_counts) if m else 0
+            self.kept[key] = (m.start(), m.end(), errors) if m and errors <= self.notices[number][2] else None
+        return self.kept[key]
 
     def spans(self, text: str) -> list[tuple[int, int, str, int]]:
         """(from, to, label, errors) of every notice in a text of words joined by spaces, in order, without repeats."""
-        windows: dict[int, list[list[int]]] = {}
+        found: dict[int, set[tuple[int, int, int]]] = {}
         for end, (length, where) in self.automaton.iter(text):
             for number, shift in where:
                 notice, _, edits, _ = self.notices[number]
-                low = max(0, end + 1 - length - shift - edits - 1)
-                high = min(len(text), end + 1 - length - shift + len(notice) + edits + 1)
-                own = windows.setdefault(number, [])
-                if own and low <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], high)
-                else:
-                    own.append([low, high])
-        found = set()
-        for number, own in windows.items():
-            _, label, _, pattern = self.notices[number]
-            for low, high in own:
-                for m in pattern.finditer(text, low, high):
-                    found.add((m.start(), m.end(), label, sum(m.fuzzy_counts)))
-        return sorted(found)
+                begin = end + 1 - length - shift
+                low, high = max(0, begin - edits), min(len(text), begin + len(notice) + edits)
+                if low and text[low - 1] != " ":  # whole words only
+                    low = text.find(" ", low, high) + 1
+                if high < len(text) and text[high] != " ":
+                    high = text.rfind(" ", low, high)
+                if 0 < high - low and (low or begin <= edits) and (m := self._best(number, text[low:high])):
+                    found.setdefault(number, set()).add((low + m[0], low + m[1], m[2]))
+        out = set()
+        for number, spans in found.items():
+            held = None
+            for span in sorted(spans):
+                if held and span[0] < held[1]:
+                    held = min(held, span, key=lambda x: (x[2], x[0]))
+                    continue
+                if held:
+                    out.add((held[0], held[1], self.notices[number][1], held[2]))
+                held = span
+            out.add((held[0], held[1], self.notices[number][1], held[2]))
+        return sorted(out)
 
 
 def places(text: bytes, starts: list[int] | None, phrase: bytes) -> list[int]:
