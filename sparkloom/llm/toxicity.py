@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text.
 
 Folding lower-cases, maps homoglyphs to the Latin letters they imitate, digits and signs inside the alphabet
-to the letters they stand for, and everything else to spaces. The lexicon holds words and word beginnings with
+to the letters they stand for, l to i (1 stands for either), and everything else to spaces; lexicon and exceptions are folded
+alike. The lexicon holds words and word beginnings with
 weights: log odds of standing in a toxic against a clean labelled document. A document's matches (the longest
 at each word beginning) are summed, those inside an exception phrase left out, and normalised by its words; a
 logistic curve over the sum and the density gives the score.
@@ -10,13 +11,15 @@ Lexicon and curve are fitted on a bounded sample: SAMPLE_ROWS labelled rows, cho
 Every text is scored whole.
 
 Edge cases: null and empty texts have no matches and get the score of a text without any; without labels the
-seed words alone count; repeated label rows count once; repeated documents are scored each for itself; null labels are
-ignored; extra columns are ignored.
+seed words alone count; label rows of one document count once, as toxic if any of them says so; repeated documents are
+scored each for itself; null labels are ignored; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -42,9 +45,10 @@ HOMOGLYPHS = {
 }
 #: Digits and signs read as letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "|": "i"}
-FOLD = bytes(ord(DIGITS[chr(b)]) if chr(b) in DIGITS else b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Lead bytes of Greek, Cyrillic and full-width letters, and of joiners and combining marks.
-_FOREIGN = (0xCD, 0xCC, 0xCE, 0xCF, 0xD0, 0xD1, 0xD2, 0xD3, 0xD4, 0xEF, 0xE2)
+_LETTER = {b: DIGITS[chr(b)] for b in range(128) if chr(b) in DIGITS} | {b: chr(b).lower() for b in range(128) if chr(b).isalpha()}
+FOLD = bytes(b if b >= 128 else ord(_LETTER.get(b, " ").replace("l", "i")) for b in range(256))
+#: Lead bytes of Greek, Cyrillic and full-width letters, and of joiners and combining marks; the soft hyphen.
+_FOREIGN = (*(bytes([b]) for b in (0xCD, 0xCC, 0xCE, 0xCF, 0xD0, 0xD1, 0xD2, 0xD3, 0xD4, 0xEF, 0xE2)), b"\xc2\xad")
 _MAP = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)} | {c: None for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)} | {c: None for c in range(0x300, 0x370)}
 #: A word beginning is learned with so many letters, so many toxic documents and such odds.
 PREFIX, LEAST_TOXIC, LEAST_ODDS = (3, 8), 6, 3.0
@@ -54,13 +58,13 @@ def folded_texts(texts: pa.Array) -> list[str]:
     """Each text as ' word word ... ' in the folded alphabet."""
     texts = pc.utf8_lower(texts.cast(pa.string()) if pa.types.is_large_string(texts.type) else texts)
     offsets, data = raw(texts)
-    foreign = any(bytes([b]) in data for b in _FOREIGN)
+    foreign = any(b in data for b in _FOREIGN)
     if foreign:
         at = offsets.tolist()
         out = []
         for a, b in zip(at, at[1:]):
             own = data[a:b]
-            if any(bytes([x]) in own for x in _FOREIGN):
+            if any(x in own for x in _FOREIGN):
                 own = own.decode("utf-8", "replace").translate(_MAP).encode()
             out.append(own.translate(FOLD))
     else:
@@ -70,19 +74,23 @@ def folded_texts(texts: pa.Array) -> list[str]:
     return [f" {b' '.join(x.split()).decode('utf-8', 'replace')} " for x in out]
 
 
+def folded(entry: str) -> str:
+    """A lexicon entry or phrase in the alphabet of folded texts; a space at its end stays."""
+    return folded_texts(pa.array([entry]))[0].strip() + " " * entry.endswith(" ")
+
+
 class Lexicon:
     """Compiled entries {beginning or word: weight}; an entry ending in a space is a whole word."""
 
     def __init__(self, entries: dict[str, float], exceptions=EXCEPTIONS):
         self.automaton = ahocorasick.Automaton()
-        every: dict[str, float] = {}
+        self.weights: dict[str, float] = {}
         for entry, weight in entries.items():
-            for form in {entry, entry.replace("l", "i")}:  # 1 folds to i but may stand for l
-                every[form] = max(weight, every.get(form, 0.0))
-        self.weights = every
-        for entry, weight in every.items():
+            form = folded(entry)
+            self.weights[form] = max(weight, self.weights.get(form, 0.0))
+        for entry, weight in self.weights.items():
             self.automaton.add_word(" " + entry, (len(entry) + 1, weight, False))
-        for phrase in exceptions:
+        for phrase in map(folded, exceptions):
             if " " + phrase + " " not in self.automaton:
                 self.automaton.add_word(" " + phrase + " ", (len(phrase) + 2, 0.0, True))
         self.automaton.make_automaton()
@@ -97,9 +105,11 @@ class Lexicon:
                 exempt.append((start, end))
             elif start not in best or best[start][0] < length:
                 best[start] = (length, weight)
-        total = sum(w for s, (_, w) in best.items() if not any(a <= s < b for a, b in exempt))
-        n = sum(1 for s in best if not any(a <= s < b for a, b in exempt))
-        return total, n, text.count(" ") - 1 if len(text) > 2 else 0
+        if exempt:  # matches that begin inside an exception phrase
+            exempt.sort()
+            starts, reach = [a for a, _ in exempt], list(accumulate((b for _, b in exempt), max))
+            best = {s: m for s, m in best.items() if not ((i := bisect.bisect_right(starts, s)) and reach[i - 1] > s)}
+        return sum(w for _, w in best.values()), len(best), text.count(" ") - 1 if len(text) > 2 else 0
 
 
 def inputs(total: float, words_: int) -> tuple[float, float]:
@@ -137,23 +147,25 @@ def learned(labelled: DataFrame, seeds=SEEDS) -> dict[str, float]:
     entries = counted.select(F.explode(forms).alias("form"), "t", "c").groupBy("form").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     total = counted.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     if not total["t"] or not total["c"]:
-        return {s + " ": SEED_WEIGHT for s in seeds}
+        return {folded(s + " "): SEED_WEIGHT for s in seeds}
     odds = F.log((F.col("t") + 0.5) / (total["t"] + 1.0)) - F.log((F.col("c") + 0.5) / (total["c"] + 1.0))
-    strong = entries.where(F.col("t") >= LEAST_TOXIC).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("t") * F.col("odds")), "form").limit(5000)
-    found = {r["form"]: (r["odds"], r["t"]) for r in strong.collect()}
-    out: dict[str, float] = {s + " ": SEED_WEIGHT for s in seeds}
+    strong = entries.where(F.col("t") >= LEAST_TOXIC).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    found = {r["form"]: (r["odds"], r["t"]) for r in strong.collect()}  # bounded with the sample
+    out: dict[str, float] = {folded(s + " "): SEED_WEIGHT for s in seeds}
     strongest: set[str] = set()
-    for form in sorted(found, key=len):
+    spelled = sorted(found)
+    for form in sorted(found, key=lambda x: (len(x), x)):
         if not any(form[:k] in strongest for k in range(low, len(form))):  # what extends a strong entry adds nothing
             strongest.add(form)
-            out[_specific(form, found)] = found[form][0]
+            out[_specific(form, found, spelled)] = found[form][0]
     return out
 
 
-def _specific(form: str, found: dict[str, tuple[float, int]], share: float = 0.9) -> str:
+def _specific(form: str, found: dict[str, tuple[float, int]], spelled: list[str], share: float = 0.9) -> str:
     """The longest entry that extends this one and keeps nine tenths of its toxic documents at each step."""
     while True:
-        longer = [(f, t) for f, (_, t) in found.items() if len(f) > len(form) and f.startswith(form) and t >= share * found[form][1]]
+        extending = spelled[bisect.bisect_right(spelled, form) : bisect.bisect_left(spelled, form + "\U0010ffff")]
+        longer = [(f, found[f][1]) for f in extending if found[f][1] >= share * found[form][1]]
         if not longer:
             return form
         form = min(longer, key=lambda x: (len(x[0]), -x[1], x[0]))[0]
