@@ -1,12 +1,10 @@
 """Media columns: GIF images written, decoded and described.
 
 `decode` reads any GIF87a or GIF89a stream: colour tables, interlaced rows, LZW code streams of every width,
-graphic control blocks with delays, transparency and disposal. Frames come back as index samples and as
-composited RGB canvases. `encode` stores 8-bit samples losslessly, one 24 x 24 frame for each 576 bytes.
-
-The stored code stream uses literal codes at a constant width and clears the table before it widens, which
-needs no dictionary; it costs an eighth more bytes than the samples and keeps writing and reading vectorised.
-`encode(..., compress=True)` builds the dictionary instead. The decoder takes both.
+graphic control blocks with delays, transparency and disposal. Frames come back as index samples; `timed` applies
+palettes, transparency and disposal and gives each frame's canvas, its time and its colour histograms, which
+`frame_table` stores as columns. `encode` stores 8-bit samples losslessly, one 24 x 24 frame for each 576 bytes,
+in LZW code streams with a growing dictionary.
 
 Edge cases: null and empty texts give one frame of 255; equal texts give equal bytes; a broken stream raises
 ValueError in `decode` (the query only reads what it has written); repeated documents are rows of their own.
@@ -30,227 +28,181 @@ SIDE = 24
 FRAME = SIDE * SIDE
 #: Hundredths of a second for each stored frame.
 DELAY = 4
-#: Literal codes between two clears: the table stays below 512 entries, the code width at 9 bits.
-LITERALS = 253
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 BINS = 8
+#: Text bytes coded at once.
+STEP = 1 << 20
 
 
 # -- LZW ---------------------------------------------------------------------------------------------------
 
 
-def _pack9(codes: np.ndarray) -> np.ndarray:
-    """Rows of 9-bit codes, lowest bit first: eight codes are nine bytes."""
-    n, size = codes.shape
-    whole = np.zeros((n, -(-size // 8), 8), np.uint16)
-    whole.reshape(n, -1)[:, :size] = codes
-    out = np.empty((n, whole.shape[1], 9), np.uint8)
-    out[..., 0] = whole[..., 0] & 255
-    for k in range(1, 8):
-        out[..., k] = (whole[..., k - 1] >> (9 - k) | whole[..., k] << k) & 255
-    out[..., 8] = whole[..., 7] >> 1
-    return out.reshape(n, -1)[:, : -(-size * 9 // 8)]
-
-
-def _unpack9(data: np.ndarray) -> np.ndarray:
-    """The 9-bit codes of rows of bytes."""
-    n, size = data.shape
-    whole = np.zeros((n, -(-size // 9), 9), np.uint16)
-    whole.reshape(n, -1)[:, :size] = data
-    out = np.empty((n, whole.shape[1], 8), np.uint16)
-    for k in range(8):
-        out[..., k] = (whole[..., k] >> k | whole[..., k + 1] << (8 - k)) & 511
-    return out.reshape(n, -1)[:, : size * 8 // 9]
-
-
-def literal_streams(frames: np.ndarray) -> np.ndarray:
-    """Code streams of all frames (rows of samples) at once, as equal rows of bytes."""
-    n, size = frames.shape
-    runs = -(-size // LITERALS)
-    codes = np.empty((n, size + runs + 1), np.uint16)
-    put = 0
-    for r in range(runs):
-        codes[:, put] = 256
-        part = frames[:, r * LITERALS : (r + 1) * LITERALS]
-        codes[:, put + 1 : put + 1 + part.shape[1]] = part
-        put += 1 + part.shape[1]
-    codes[:, put] = 257
-    return _pack9(codes)
+#: Entries that a code table may have.
+MOST_CODES = 4096
+_ROOTS = [bytes([i]) for i in range(256)]
+_known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def lzw_compress(samples: bytes, depth: int = 8) -> bytes:
-    """The usual growing dictionary."""
+def _widths(depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Width of the i-th code after a clear, and its first bit."""
+    if depth not in _known:
+        # before code i is read the table holds clear + 2 + (i - 1) entries
+        entries = (1 << depth) + 1 + np.arange(2 * MOST_CODES)
+        width = np.full(len(entries), depth + 1)
+        for w in range(depth + 1, 12):
+            width[entries >= 1 << w] = w + 1
+        _known[depth] = width, np.cumsum(width) - width
+    return _known[depth]
+
+
+def _runs_of_codes(samples: bytes, clear: int) -> list[list[int]]:
+    """The codes of a growing dictionary, a list for each time it is started anew."""
+    out, rest = [], iter(samples)
+    prefix = next(rest, None)
+    while prefix is not None:
+        codes, table, free = [], {}, clear + 2
+        put, known = codes.append, table.get
+        out.append(codes)
+        for s in rest:
+            code = known(key := prefix << 8 | s)
+            if code is None:
+                put(prefix)
+                prefix = s
+                if free == MOST_CODES:
+                    break
+                table[key] = free
+                free += 1
+            else:
+                prefix = code
+        else:
+            put(prefix)
+            prefix = None
+    return out or [[]]
+
+
+def lzw_compress_all(many: list[bytes], depth: int = 8) -> list[bytes]:
+    """The code streams of many images, their codes put into bytes together."""
     clear = 1 << depth
-    end, width, free = clear + 1, depth + 1, clear + 2
-    table: dict[tuple[int, int], int] = {}
-    out, acc, held = bytearray(), clear, width
-
-    def put(code):
-        nonlocal acc, held
-        acc |= code << held
-        held += width
-        while held >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            held -= 8
-
-    prefix = -1
-    for s in samples:
-        if prefix < 0:
-            prefix = s
-            continue
-        if (code := table.get((prefix, s))) is not None:
-            prefix = code
-            continue
-        put(prefix)
-        if free < 4096:
-            table[prefix, s] = free
-            if free == 1 << width:
-                width += 1
-            free += 1
+    width, first = _widths(depth)
+    codes, at, start, size = [], [], 0, []
+    for samples in many:
+        begin = bit = start
+        codes.append(np.array([clear]))
+        at.append(np.array([bit]))
+        bit += depth + 1
+        runs = _runs_of_codes(samples, clear)
+        for i, run in enumerate(runs):
+            run = np.array([*run, clear + (i == len(runs) - 1)])
+            codes.append(run)
+            at.append(bit + first[: len(run)])
+            bit += int(first[len(run)])
+        start = -(-bit // 8) * 8
+        size.append((start - begin) // 8)
+    if not codes:
+        return []
+    at = np.concatenate(at)
+    value = np.concatenate(codes) << (at & 7)
+    out = sum(np.bincount((at >> 3) + k, value >> 8 * k & 255, start // 8 + 2) for k in range(3)).astype(np.uint8).tobytes()
+    ends = np.cumsum(size).tolist()
+    return [out[b - n : b] for b, n in zip(ends, size)]
+
+
+def lzw_compress(samples: bytes, depth: int = 8) -> bytes:
+    return lzw_compress_all([samples], depth)[0]
+
+
+def _codes(padded: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Codes that begin at these bits; the data must go on for two bytes behind the last."""
+    byte = at >> 3
+    value = padded[byte].astype(np.int64) | padded[byte + 1].astype(np.int64) << 8 | padded[byte + 2].astype(np.int64) << 16
+    return value >> (at & 7) & (1 << width) - 1
+
+
+def _expand(codes: list[int], clear: int) -> bytes:
+    """The samples that codes after a clear stand for."""
+    table = _ROOTS[:clear] + [b"", b""]
+    out, last = [], None
+    for code in codes:
+        if code < len(table):
+            entry = table[code]
+        elif code == len(table) < MOST_CODES and last is not None:  # the entry being made
+            entry = last + last[:1]
         else:
-            put(clear)
-            table.clear()
-            width, free = depth + 1, clear + 2
-        prefix = s
-    if prefix >= 0:
-        put(prefix)
-        if free < 4096 and free == 1 << width:
-            width += 1
-    put(end)
-    if held:
-        out.append(acc & 255)
-    return bytes(out)
+            raise ValueError("a code that is not in the table")
+        out.append(entry)
+        if last is not None and len(table) < MOST_CODES:
+            table.append(last + entry[:1])
+        last = entry
+    return b"".join(out)
 
 
 def lzw_decompress(data: bytes, depth: int, size: int) -> bytes:
     """Samples of a code stream; `size` is how many the image needs.
 
-    The stream falls into runs between clear codes. Within a run the width of the i-th code is known from i
-    alone, so a run is unpacked at once; a run of literals is its own output, any other one is expanded code by
-    code, each entry being a slice of what is already written.
+    The stream falls into runs between clear codes. Within a run the width of the i-th code is known from i alone, so
+    its codes are taken out together, in growing pieces.
     """
-    clear, end = 1 << depth, (1 << depth) + 1
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-    out, at = bytearray(), 0
-    widths = _widths(depth)
-    while len(out) < size:
-        starts = at + widths[1]
-        fit = int(np.searchsorted(starts + widths[0], len(bits), "right"))
-        if fit == 0:
-            break
-        codes, stop = _run(bits, starts, widths[0], fit, clear)
-        if stop is None:  # the stream ends without an end code
-            body, at = codes, len(bits)
-        else:
-            body, at = codes[:stop], int(starts[stop] + widths[0][stop])
-        if len(body):
-            if (body < clear).all():
-                out += body.astype(np.uint8).tobytes()
+    clear = 1 << depth
+    width, first = _widths(depth)
+    padded = np.frombuffer(data + b"\0\0\0", np.uint8)
+    out, have, at, bits = [], 0, 0, 8 * len(data)
+    while have < size:
+        took, run, stop = 0, [], None
+        while stop is None:
+            upto = took + 512 + took
+            w = width[np.minimum(np.arange(took, upto), len(width) - 1)]
+            begin = at + np.where(np.arange(took, upto) < len(first), first[np.minimum(np.arange(took, upto), len(first) - 1)], first[-1] + (np.arange(took, upto) - len(first) + 1) * 12)
+            fit = int(np.searchsorted(begin + w, bits, "right"))
+            codes = _codes(padded, begin[:fit], w[:fit])
+            special = np.flatnonzero((codes == clear) | (codes == clear + 1))
+            if len(special):
+                stop = int(special[0])
+                run.append(codes[:stop])
+                at = int(begin[stop] + w[stop])
             else:
-                _expand(body.tolist(), clear, out)
-        if stop is not None and codes[stop] == end:
+                run.append(codes)
+                if fit < len(w):
+                    break
+                took = upto
+        body = _expand(np.concatenate(run).tolist(), clear)
+        out.append(body)
+        have += len(body)
+        if stop is None or codes[stop] == clear + 1:
             break
-    if len(out) < size:
+    if have < size:
         raise ValueError("the code stream ends early")
-    return bytes(out[:size])
+    return b"".join(out)[:size]
 
 
 def lzw_decompress_all(streams: list[bytes], depths: list[int], sizes: list[int]) -> list[bytes]:
-    """Many streams. Those of 8-bit samples and one length are unpacked together at 9 bits, the width that holds
-    while no run between clears reaches 255 codes; rows where it holds and all codes are literals are done, any
-    other row is decoded by itself."""
+    """Many streams. Codes of small ones are taken out together, as far as a first dictionary reaches; a stream that goes on
+    behind a clear code is decoded by itself."""
     out: list[bytes | None] = [None] * len(streams)
-    alike: dict[tuple[int, int], list[int]] = {}
-    for i, (stream, depth, size) in enumerate(zip(streams, depths, sizes)):
-        if depth == 8:
-            alike.setdefault((len(stream), size), []).append(i)
-    for (length, size), rows in alike.items():
-        for low in range(0, len(rows), 2048):
-            some = rows[low : low + 2048]
-            codes = _unpack9(np.frombuffer(b"".join(streams[i] for i in some), np.uint8).reshape(len(some), length))
-            same = (codes[1:] >> 8 == codes[:1] >> 8).all() if len(codes) else False
-            if same:  # clears, ends and literals stand in the same columns
-                first = codes[0]
-                stop = np.flatnonzero(first == 257)
-                stop = int(stop[0]) if len(stop) else len(first)
-                clears = np.flatnonzero(first[:stop] == 256)
-                runs = np.diff(np.concatenate([[-1], clears, [stop]]))
-                marks = first[:stop] >= 256
-                ok = (codes[:, : stop + 1][:, first[: stop + 1] >= 256] == first[: stop + 1][first[: stop + 1] >= 256]).all()
-                if ok and marks.sum() == len(clears) and runs.max() <= 254 and stop - len(clears) >= size:
-                    literal = codes[:, :stop][:, ~marks][:, :size].astype(np.uint8)
-                    for i, row in zip(some, literal):
-                        out[i] = row.tobytes()
-                    continue
-            for i in some:
-                out[i] = lzw_decompress(streams[i], 8, size)
+    for depth in set(depths):
+        small = [i for i, s in enumerate(streams) if depths[i] == depth and len(s) <= MOST_CODES]
+        width, first = _widths(depth)
+        for low in range(0, len(small), 1024):
+            some = small[low : low + 1024]
+            data = np.frombuffer(b"".join(streams[i] + b"\0\0\0" for i in some), np.uint8)
+            length = np.array([len(streams[i]) for i in some])
+            base = (np.cumsum(length + 3) - length - 3) * 8 + depth + 1  # behind the leading clear
+            many = np.maximum(np.searchsorted(first + width, length * 8 - depth - 1, "right"), 0)
+            row = np.repeat(np.arange(len(some)), many)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            codes = _codes(data, base[row] + first[nth], width[nth])
+            lead = _codes(data, base - depth - 1, np.full(len(some), depth + 1))
+            special = np.flatnonzero(codes >> 1 == 1 << depth - 1)
+            ends = np.cumsum(many)
+            stop = np.append(special, len(codes))[np.searchsorted(special, ends - many)]
+            every = codes.tolist()
+            for k, i in enumerate(some):
+                if lead[k] == 1 << depth and stop[k] < ends[k] and codes[stop[k]] == (1 << depth) + 1:
+                    samples = _expand(every[ends[k] - many[k] : stop[k]], 1 << depth)
+                    if len(samples) >= sizes[i]:
+                        out[i] = samples[: sizes[i]]
     return [lzw_decompress(s, d, n) if done is None else done for s, d, n, done in zip(streams, depths, sizes, out)]
 
 
-_known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _widths(depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Width of the i-th code after a clear, and its first bit."""
-    if depth not in _known:
-        n = 8192
-        # before code i is read the table holds clear + 2 + (i - 1) entries
-        entries = (1 << depth) + 1 + np.arange(n)
-        width = np.full(n, depth + 1)
-        for w in range(depth + 1, 12):
-            width[entries >= 1 << w] = w + 1
-        _known[depth] = width, np.cumsum(width) - width
-    return _known[depth]
-
-
-def _run(bits, starts, width, fit, clear):
-    """Codes from here to the first clear or end code, taken in growing pieces."""
-    took, codes = 0, []
-    piece = 320
-    while took < fit:
-        upto = min(fit, took + piece)
-        w = width[took:upto]
-        most = int(w[-1])
-        grid = starts[took:upto, None] + np.arange(most)
-        one = bits[np.minimum(grid, len(bits) - 1)].astype(np.int32)
-        if int(w[0]) != most:
-            one[np.arange(most) >= w[:, None]] = 0
-        value = (one << np.arange(most)).sum(axis=1)
-        codes.append(value)
-        special = np.flatnonzero((value == clear) | (value == clear + 1))
-        if len(special):
-            return np.concatenate(codes), took + int(special[0])
-        took = upto
-        piece *= 2
-    return np.concatenate(codes), None
-
-
-def _expand(codes: list[int], clear: int, out: bytearray) -> None:
-    first = clear + 2
-    where: list[tuple[int, int]] = []  # entry: where it stands in the output, and how long it is
-    for i, code in enumerate(codes):
-        begin = len(out)
-        if code < clear:
-            out.append(code)
-            length = 1
-        else:
-            k = code - first
-            if k < 0 or k >= len(where) + (i > 0 and len(where) + first < 4096):
-                raise ValueError("a code that is not in the table")
-            if k < len(where):
-                a, length = where[k]
-                out += out[a : a + length]
-            else:  # the entry being made: the last string and its first sample
-                a, length = last
-                out += out[a : a + length]
-                out.append(out[a])
-                length += 1
-        if i and first + len(where) < 4096:
-            where.append((last[0], last[1] + 1))
-        last = (begin, length)
-
-
 # -- the container -----------------------------------------------------------------------------------------
 
 
@@ -264,31 +216,15 @@ CONTROL = b"!\xf9\x04" + struct.pack("<BHB", 1 << 2, DELAY, 0) + b"\0"
 PLACE = b"," + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
 
 
-def encode(payload: bytes, compress: bool = False) -> bytes:
+def encode(payload: bytes) -> bytes:
     """Samples, a multiple of 576, as an animated greyscale GIF."""
-    return encode_all([payload], compress)[0]
-
-
-def encode_all(payloads: list[bytes], compress: bool = False) -> list[bytes]:
-    """Many payloads; all their frames are coded and put in blocks together."""
-    frames = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, FRAME)
-    if compress:
-        bodies = [CONTROL + PLACE + _blocks(lzw_compress(f.tobytes())) for f in frames]
-    else:
-        streams = literal_streams(frames)
-        n, size = streams.shape
-        piece = []
-        for a in range(0, size, 255):
-            part = streams[:, a : a + 255]
-            piece += [np.full((n, 1), part.shape[1], np.uint8), part]
-        lead = np.broadcast_to(np.frombuffer(CONTROL + PLACE, np.uint8), (n, len(CONTROL + PLACE)))
-        bodies = np.concatenate([lead, *piece, np.zeros((n, 1), np.uint8)], axis=1)
-    out, at = [], 0
-    for p in payloads:
-        own = bodies[at : at + len(p) // FRAME]
-        out.append(HEAD + LOOP + (b"".join(own) if compress else own.tobytes()) + b";")
-        at += len(p) // FRAME
-    return out
+    return encode_all([payload])[0]
+
+
+def encode_all(payloads: list[bytes]) -> list[bytes]:
+    """Many payloads; the codes of all their frames are put into bytes together."""
+    streams = iter(lzw_compress_all([p[i : i + FRAME] for p in payloads for i in range(0, len(p), FRAME)]))
+    return [b"".join([HEAD, LOOP, *[CONTROL + PLACE + _blocks(next(streams)) for _ in range(0, len(p), FRAME)], b";"]) for p in payloads]
 
 
 @dataclass
@@ -379,23 +315,31 @@ def _deinterlaced(samples: bytes, w: int, h: int) -> bytes:
     return out.tobytes()
 
 
+def colours(palette: bytes) -> np.ndarray:
+    """A colour table as 256 opaque RGBA values; indexes beyond it are black."""
+    out = np.zeros((256, 4), np.uint8)
+    table = np.frombuffer(palette[: len(palette) // 3 * 3], np.uint8).reshape(-1, 3)
+    out[: len(table), :3] = table
+    out[:, 3] = 255
+    return out
+
+
 def canvases(width: int, height: int, frames: list[Frame]):
     """The RGBA canvas as shown during each frame, after disposal of the one before."""
     canvas = np.zeros((height, width, 4), np.uint8)
+    known: dict[bytes, np.ndarray] = {}
     for f in frames:
         before = canvas.copy() if f.disposal == 3 else None
         index = np.frombuffer(f.samples, np.uint8).reshape(f.height, f.width)
-        colours = np.zeros((256, 4), np.uint8)
-        table = np.frombuffer(f.palette[: len(f.palette) // 3 * 3], np.uint8).reshape(-1, 3)
-        colours[: len(table), :3] = table
-        colours[:, 3] = 255
+        if (table := known.get(f.palette)) is None:
+            table = known[f.palette] = colours(f.palette)
         area = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
         index = index[: area.shape[0], : area.shape[1]]
         if f.transparent is None:
-            area[...] = colours[index]
+            area[...] = table[index]
         else:
             shown = index != f.transparent
-            area[shown] = colours[index[shown]]
+            area[shown] = table[index[shown]]
         yield canvas.copy()
         if f.disposal == 2:
             area[...] = 0
@@ -403,18 +347,36 @@ def canvases(width: int, height: int, frames: list[Frame]):
             canvas = before
 
 
-def histogram(rgba: np.ndarray, bins: int = BINS) -> list[int]:
-    """Visible pixels by luma."""
-    visible = rgba[rgba[..., 3] > 0].astype(np.int64)
-    luma = (visible[:, 0] * 299 + visible[:, 1] * 587 + visible[:, 2] * 114) // 1000
-    return np.bincount(luma * bins // 256, minlength=bins).tolist()
+#: Histogram columns, and how much of a pixel's red, green and blue (in thousandths) each of them counts.
+CHANNELS = {"luma": (299, 587, 114), "red": (1000, 0, 0), "green": (0, 1000, 0), "blue": (0, 0, 1000)}
+_SHARES = np.array(list(CHANNELS.values()), np.int32).T
+_SHELF = np.arange(len(CHANNELS), dtype=np.int32) * BINS
+
+
+def histograms(rgba: np.ndarray) -> np.ndarray:
+    """Visible pixels by luma, red, green and blue: a row of BINS counts each."""
+    pixels = rgba.reshape(-1, 4)
+    pixels = pixels[pixels[:, 3] > 0]
+    level = pixels[:, :3].astype(np.int32) @ _SHARES // 1000 * BINS // 256
+    return np.bincount((level + _SHELF).ravel(), minlength=len(_SHELF) * BINS).reshape(-1, BINS)
 
 
-FRAMES = T.StructType([T.StructField("media_id", T.StringType()), T.StructField("frame", T.IntegerType()), T.StructField("start_cs", T.LongType()), T.StructField("delay_cs", T.IntegerType()), T.StructField("rgba", T.BinaryType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("histogram", T.ArrayType(T.IntegerType()))])
+def timed(width: int, height: int, frames: list[Frame]):
+    """For each frame its number, start and delay in hundredths of a second, canvas and histograms."""
+    clock = 0
+    for i, (f, rgba) in enumerate(zip(frames, canvases(width, height, frames))):
+        yield i, clock, f.delay, rgba, histograms(rgba)
+        clock += f.delay
+
+
+_FRAME_ARROW = pa.schema([("media_id", pa.string()), ("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("rgba", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), *[(c, pa.list_(pa.int32())) for c in CHANNELS]])
+FRAMES = "media_id string, frame int, start_cs long, delay_cs int, rgba binary, width int, height int, " + ", ".join(f"{c} array<int>" for c in CHANNELS)
+#: Bytes of canvases that are handed on at once.
+HANDED_ON = 4 << 20
 
 
 def frame_table(media: DataFrame) -> DataFrame:
-    """Timed frames of a table (media_id, bytes): one row a frame, composited, with its colour histogram."""
+    """Timed frames of a table (media_id, bytes): one row a frame, composited, with its colour histograms."""
 
     def run(batches):
         for batch in batches:
@@ -422,11 +384,10 @@ def frame_table(media: DataFrame) -> DataFrame:
                 if data is None:
                     continue
                 w, h, frames = decode(data)
-                clock, rows = 0, []
-                for i, (f, rgba) in enumerate(zip(frames, canvases(w, h, frames))):
-                    rows.append({"media_id": str(name), "frame": i, "start_cs": clock, "delay_cs": f.delay, "rgba": rgba.tobytes(), "width": w, "height": h, "histogram": histogram(rgba)})
-                    clock += f.delay
-                    if len(rows) >= 64:
+                rows = []
+                for i, start, delay, rgba, bins in timed(w, h, frames):
+                    rows.append({"media_id": str(name), "frame": i, "start_cs": start, "delay_cs": delay, "rgba": rgba.tobytes(), "width": w, "height": h, **dict(zip(CHANNELS, bins.tolist()))})
+                    if len(rows) * 4 * w * h >= HANDED_ON:
                         yield pa.RecordBatch.from_pylist(rows, schema=_FRAME_ARROW)
                         rows = []
                 if rows:
@@ -435,56 +396,49 @@ def frame_table(media: DataFrame) -> DataFrame:
     return media.select("media_id", "bytes").mapInArrow(run, FRAMES)
 
 
-_FRAME_ARROW = pa.schema([("media_id", pa.string()), ("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("rgba", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int32()))])
-
-
 def padded(data: bytes) -> bytes:
     return data + b"\xff" * (FRAME - len(data) if not data else -len(data) % FRAME)
 
 
 def described(media: bytes) -> tuple[bytes, str]:
-    """The samples read back and what they look like: frames, time and luma histogram over all frames.
-
-    Stored greyscale frames cover the canvas and show each sample as its own luma, so their histogram is that of
-    the samples; any other stream is composited frame by frame.
-    """
+    """The samples read back and what their frames look like: how many, how long, and their histograms added up."""
     return shown(*decode(media))
 
 
 def shown(w: int, h: int, frames: list[Frame]) -> tuple[bytes, str]:
-    samples = b"".join(f.samples for f in frames)
-    if all(f.palette == GREY and f.transparent is None and (f.left, f.top, f.width, f.height) == (0, 0, w, h) for f in frames):
-        bins = np.bincount(np.frombuffer(samples, np.uint8) >> 5, minlength=BINS)
-    else:
-        bins = np.sum([histogram(c) for c in canvases(w, h, frames)], axis=0)
-    return samples, f"frames={len(frames)};time={sum(f.delay for f in frames)};luma={','.join(map(str, bins.tolist()))}"
+    n, time, bins = 0, 0, np.zeros((len(CHANNELS), BINS), np.int64)
+    for i, start, delay, _, own in timed(w, h, frames):
+        n, time = i + 1, start + delay
+        bins += own
+    looks = ";".join(f"{c}={','.join(map(str, b))}" for c, b in zip(CHANNELS, bins.tolist()))
+    return b"".join(f.samples for f in frames), f"frames={n};time={time};{looks}"
 
 
-def store(docs: DataFrame, compress: bool = False) -> DataFrame:
+def store(docs: DataFrame) -> DataFrame:
     """media_id and bytes: each text as a GIF."""
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, most=STEP):
                 offsets, data = raw(part.column("text"))
                 at = offsets.tolist()
-                yield pa.RecordBatch.from_arrays([part.column("media_id"), pa.array(encode_all([padded(data[a:b]) for a, b in zip(at, at[1:])], compress), pa.binary())], names=["media_id", "bytes"])
+                yield pa.RecordBatch.from_arrays([part.column("media_id"), pa.array(encode_all([padded(data[a:b]) for a, b in zip(at, at[1:])]), pa.binary())], names=["media_id", "bytes"])
 
     return docs.selectExpr("cast(doc_id as string) as media_id", "text").mapInArrow(run, "media_id string, bytes binary")
 
 
-def digests(docs: DataFrame, compress: bool = False) -> DataFrame:
+def digests(docs: DataFrame) -> DataFrame:
     """Sizes, hashes and features of each text's stored form, all from the bytes read back."""
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())])
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, most=STEP):
                 offsets, data = raw(part.column("text"))
                 at = offsets.tolist()
                 rows = []
-                stored = encode_all([padded(data[a:b]) for a, b in zip(at, at[1:])], compress)
+                stored = encode_all([padded(data[a:b]) for a, b in zip(at, at[1:])])
                 for a, b, media, read in zip(at, at[1:], stored, decode_all(stored)):
                     back, feature = shown(*read)
                     rows.append((b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
