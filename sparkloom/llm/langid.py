@@ -1,54 +1,58 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built of labelled words. A text is parsed against an automaton from
-left to right: the longest match from here on is one phrase (a letter that fits nowhere is one too). The fewer
-phrases a text needs for its length, the closer it is to the language; the language with the fewest phrases a
-letter wins, ties going to the smaller name. Phrases end at word ends, so the phrases of a text are the sum of
-the phrases of its words, and a distinct word of a batch is parsed once, however often it stands there.
+For each language a suffix automaton is built of labelled text. A text is parsed against an automaton from
+left to right: the longest match from here on, across words and spaces, is one phrase (a letter that fits nowhere is
+one too). A phrase costs about the logarithm of the labelled text's length to name, so the language that needs the
+fewest phrases, weighed by that logarithm, for the letters of the text wins, ties going to the smaller name.
 
-The automata are fitted on a bounded sample: SAMPLE_DOCS documents a language, chosen by a hash of doc_id, of
-them the most frequent words up to SAMPLE_CHARS letters. Every text is predicted from all of its words.
+Texts are read as their letters and marks, composed (NFC) and lower-cased, with one space for whatever stands between
+words. The automata are fitted on a bounded sample: the MOST_LANGUAGES most frequent labels, of each of them about
+SAMPLE_DOCS texts of at most SAMPLE_BYTES, chosen by a hash of doc_id, and no more than SAMPLE_ALL in all. They are
+used whole, and every text is predicted from all of its letters.
 
 Edge cases: null, empty and letterless texts are `und` with score 0; without labelled rows every text is
-`und`; repeated rows are predicted each for itself; words are composed (NFC) and lower-cased; extra columns
-are ignored.
+`und`; repeated rows are predicted each for itself; a label none of whose texts is short enough to be sampled is not
+learned; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from sparkloom.llm.arrowtext import LOWER, coded, counts_by_text, remainder, steps, words
+from sparkloom.llm.arrowtext import LOWER, raw, remainder, steps
 
 UND = "und"
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 60_000
-#: Distinct words whose parses a worker keeps.
-KEPT_WORDS = 200_000
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_ALL, MOST_LANGUAGES = 20, 8_000, 200, 64
+#: Texts that are no longer worth a step together.
+FEW = 12
 
 
 class SuffixAutomaton:
-    """All substrings of the words that were added; transitions are one dictionary a state."""
+    """All substrings of the texts that were added; a transition leads from a state by a letter's number."""
 
-    def __init__(self, words_=()):
-        self.next: list[dict[str, int]] = [{}]
+    def __init__(self, texts: Iterable[Iterable[int]] = ()):
+        self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        for w in words_:
-            self.add(w)
+        self.size = 0
+        for text in texts:
+            self.add(text)
 
-    def add(self, word: str) -> None:
-        """Add a word; the generalised construction starts every word from the root."""
+    def add(self, text: Iterable[int]) -> None:
+        """Add a text; the generalised construction starts every text from the root."""
         last = 0
-        for c in word:
+        for c in text:
             last = self._extend(last, c)
+            self.size += 1
 
-    def _extend(self, last: int, c: str) -> int:
+    def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
         q = nxt[last].get(c)
         if q is not None:
@@ -68,7 +72,7 @@ class SuffixAutomaton:
             link[new] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
         return new
 
-    def _clone(self, p: int, c: str, q: int) -> int:
+    def _clone(self, p: int, c: int, q: int) -> int:
         nxt, link, length = self.next, self.link, self.length
         twin = len(nxt)
         nxt.append(dict(nxt[q]))
@@ -80,87 +84,161 @@ class SuffixAutomaton:
             p = link[p]
         return twin
 
-    def phrases(self, word: str) -> int:
-        """Longest matches that it takes to spell the word."""
-        nxt, state, n = self.next, 0, 0
-        for c in word:
-            to = nxt[state].get(c)
-            if to is None:
-                n += state != 0
-                to = nxt[0].get(c)
-                if to is None:
-                    n += 1
-                    state = 0
-                    continue
-            state = to
-        return n + (state != 0)
+    def table(self, width: int, base: int) -> np.ndarray:
+        """Where each state goes by each letter, as one row of `width` entries a state; states are given as where their
+        rows begin, from `base` on, and 0 stands for nowhere."""
+        out = np.zeros(len(self.next) * width, np.int32)
+        for state, to in enumerate(self.next):
+            for c, q in to.items():
+                out[state * width + c] = base + q * width
+        return out
+
+
+class Parser:
+    """The automata of some languages, and the parsing of many texts against all of them."""
+
+    def __init__(self, sample: dict[str, list[str]]):
+        self.names = list(sample)
+        self.number = _Numbered({ord(c): i for i, c in enumerate(sorted({c for own in sample.values() for text in own for c in text}), 1)})
+        width, tables, roots, cost = len(self.number) + 1, [], [], []
+        for own in sample.values():
+            automaton = SuffixAutomaton([self.number[ord(c)] for c in text] for text in own)
+            roots.append(sum(map(len, tables)))
+            tables.append(automaton.table(width, roots[-1]))
+            cost.append(math.log2(2 + automaton.size))
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.roots, self.cost = np.array(roots, np.int32), np.array(cost)
+
+    def phrases(self, texts: list[str]) -> np.ndarray:
+        """Longest matches that it takes to spell each text, by language; a letter that stands nowhere is one by itself.
+
+        All texts advance together by a letter at a time; the last FEW of them are taken to their ends one by one."""
+        size = np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(-size, kind="stable")
+        live = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0)) + 1), "left")
+        letters_ = np.frombuffer("".join(texts[i].translate(self.number) for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)
+        begin = np.cumsum(size[order]) - size[order]
+        state = np.repeat(self.roots[None], len(texts), axis=0)
+        n = np.zeros(state.shape, np.int64)
+        t = 0
+        while t < len(live) - 1 and live[t] > FEW:
+            m = live[t]
+            c = letters_[begin[:m] + t].astype(np.int32)[:, None]
+            to = self.table[state[:m] + c]
+            ended = to == 0
+            n[:m] += ended & (state[:m] != self.roots)
+            to = np.where(ended, self.table[self.roots + c], to)
+            alone = to == 0
+            n[:m] += alone
+            state[:m] = np.where(alone, self.roots, to)
+            t += 1
+        for i in range(live[t] if t < len(live) - 1 else 0):
+            rest = letters_[begin[i] + t : begin[i] + size[order[i]]].tolist()
+            for k, root in enumerate(self.roots.tolist()):
+                more, state[i, k] = _spelled(memoryview(self.table), rest, int(state[i, k]), root)
+                n[i, k] += more
+        out = np.empty_like(n)
+        out[order] = n + (state != self.roots)
+        return out
+
+
+def _spelled(table: memoryview, rest: list[int], state: int, root: int) -> tuple[int, int]:
+    """Phrases that end while going on from a state, and the state at the end."""
+    n = 0
+    for c in rest:
+        to = table[state + c]
+        if not to:
+            n += state != root
+            to = table[root + c]
+            if not to:
+                n += 1
+                to = root
+        state = to
+    return n, state
+
+
+class _Numbered(dict):
+    """Letters by number; one that no labelled text has is 0."""
+
+    def __missing__(self, c: int) -> int:
+        return 0
 
 
 #: ASCII letters in lower case; other ASCII bytes divide words.
 LETTERS = bytes(LOWER[b] if 97 <= LOWER[b] <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def letters(word: str) -> str:
-    """The letters and marks of a word, composed and in lower case; empty if it has no letter."""
-    if word.isascii():
-        return word
-    own = "".join(c for c in unicodedata.normalize("NFC", word).lower() if unicodedata.category(c)[0] in "LM")
-    return own if any(unicodedata.category(c)[0] == "L" for c in own) else ""
+class _Spaced(dict):
+    """Letters and marks as they are, everything else as a space."""
 
+    def __missing__(self, c: int) -> int:
+        self[c] = c if unicodedata.category(chr(c))[0] in "LM" else 32
+        return self[c]
 
-def training_words(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """The most frequent words of a sample of each language, up to `chars` letters.
 
-    Two small aggregates: rows a language (to choose a hash threshold that keeps about `docs` of them) and
-    word counts of the rows kept. Only the bounded word lists reach the driver.
+_spaced = _Spaced()
+
+
+def letters(folded: bytes) -> str:
+    """The words of a text that was folded by LETTERS, joined by one space; empty if it has no letter."""
+    if folded.isascii():
+        return b" ".join(folded.split()).decode()
+    text = unicodedata.normalize("NFC", folded.decode("utf-8", "replace")).lower().translate(_spaced)
+    own = " ".join(text.split())
+    return own if any(unicodedata.category(c)[0] == "L" for c in set(own)) else ""
+
+
+def training_texts(labelled: DataFrame, docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES, most: int = SAMPLE_ALL, languages: int = MOST_LANGUAGES) -> dict[str, list[str]]:
+    """Letters of a bounded sample of texts for each language.
+
+    One small aggregate (sampled rows a language, to choose a hash threshold that keeps about `docs` of them), then
+    the rows kept; only these reach the driver.
     """
-    labelled = labelled.where("lang is not null and text is not null")
-    many = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    space = 1 << 30
+    labelled = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") <= size))
+    many = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not many:
         return {}
-    space = 1 << 30
-    bound = F.element_at(F.create_map(*[x for lang, n in sorted(many.items()) for x in (F.lit(lang), F.lit(int(min(space, space * docs / n)) + 1))]), F.col("lang"))
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(space)) < bound)
+    docs = max(1, min(docs, most // len(many)))
+    bound = F.element_at(F.create_map(*[x for r in many for x in (F.lit(r["lang"]), F.lit(int(min(space, space * 1.5 * docs / r["n"])) + 1))]), F.col("lang"))
+    hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(space))
+    chosen = labelled.where(F.col("lang").isin([r["lang"] for r in many])).withColumn("h", hashed).where(F.col("h") < bound)
+    out: dict[str, list[str]] = {}
+    for r in chosen.select("lang", "h", "text").orderBy("lang", "h", "text").collect():
+        own = out.setdefault(r["lang"], [])
+        if len(own) < docs and (text := letters(r["text"].encode("utf-8", "replace").translate(LETTERS))):
+            own.append(text)
+    return {lang: own for lang, own in out.items() if own}
 
-    def count(batches):
-        for batch in batches:
-            for part in steps(batch, most=1 << 20):
-                langs = part.column("lang").to_pylist()
-                flat, at = words(part.column("text"), LETTERS)
-                by: dict[tuple[str, str], int] = {}
-                own = flat.to_pylist()
-                for i, lang in enumerate(langs):
-                    for w in own[at[i] : at[i + 1]]:
-                        by[lang, w] = by.get((lang, w), 0) + 1
-                clean: dict[tuple[str, str], int] = {}
-                for (lang, w), n in by.items():
-                    if (w := letters(w)):
-                        clean[lang, w] = clean.get((lang, w), 0) + n
-                yield pa.RecordBatch.from_pylist([{"lang": a, "word": b, "n": n} for (a, b), n in clean.items()], schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
-
-    counted = chosen.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    kept = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= chars)
-    kept = kept.withColumn("sum", F.sum(F.length("word")).over(order)).where(F.col("sum") <= chars)
-    out: dict[str, list[str]] = {lang: [] for lang in sorted(many)}
-    for r in kept.orderBy("lang", "r").toLocalIterator():
-        out[r["lang"]].append(r["word"])
-    return {k: v for k, v in out.items() if v}
-
-
-_built: dict[int, tuple[list[str], list[SuffixAutomaton]]] = {}
-
-
-def automata(sample: dict[str, list[str]], key: int) -> tuple[list[str], list[SuffixAutomaton]]:
-    """The languages and their automata, built once a worker."""
+
+_built: dict[int, Parser] = {}
+
+
+def parser(sample: dict[str, list[str]], key: int) -> Parser:
+    """The parser of a broadcast sample, built once a worker."""
     if key not in _built:
         _built.clear()
-        _built[key] = list(sample), [SuffixAutomaton(w) for w in sample.values()]
+        _built[key] = Parser(sample)
     return _built[key]
 
 
+def _judged(own: Parser, texts: list[str]) -> list[pa.Array]:
+    """Language, score and phrases a letter."""
+    rows = []
+    for text, need in zip(texts, own.phrases(texts).tolist()):
+        if not text or not need:
+            rows.append((UND, 0.0, 1.0))
+            continue
+        by = sorted((n * c, name, n) for n, c, name in zip(need, own.cost.tolist(), own.names))
+        least, name, n = by[0]
+        second = by[1][0] if len(by) > 1 else len(text) * own.cost[0]
+        rows.append((name, max(0.0, 1.0 - least / max(second, least)), n / max(1, len(text) - text.count(" "))))
+    lang, score, rate = list(zip(*rows)) or [()] * 3
+    return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
+
+
 def predict(docs: DataFrame, sample: dict[str, list[str]], keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score and phrases per letter of the winner, with the columns of `keep` passed on."""
+    """lang_pred, score and phrases per letter of the winner, with the columns of `keep` passed on."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(sample)
     key = sent._jbroadcast.id() if sent._jbroadcast is not None else 0
@@ -168,45 +246,21 @@ def predict(docs: DataFrame, sample: dict[str, list[str]], keep: tuple[str, ...]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("phrases_per_letter", T.DoubleType())])
 
     def run(batches):
-        names, autos = automata(sent.value, key)
-        k = len(names)
-        kept: dict[str, tuple] = {}
+        own = parser(sent.value, key)
         for batch in batches:
             for part in steps(batch):
-                flat, at = words(part.column("text"), LETTERS)
-                code, distinct = coded(flat)
-                table = np.zeros((len(distinct), k + 1), np.int64)
-                for i, w in enumerate(distinct.to_pylist()):
-                    row = kept.get(w)
-                    if row is None:
-                        own = letters(w)
-                        row = (len(own), *[a.phrases(own) for a in autos]) if own else (0,) * (k + 1)
-                        if len(w) <= 64:
-                            if len(kept) >= KEPT_WORDS:
-                                kept.clear()
-                            kept[w] = row
-                    table[i] = row
-                total = np.stack([counts_by_text(at, table[:, j][code]) for j in range(k + 1)], axis=1) if len(code) else np.zeros((part.num_rows, k + 1), np.int64)
-                length, need = total[:, 0], total[:, 1:].astype(np.float64)
-                if k:
-                    best = need.argmin(axis=1)
-                    least = need[np.arange(len(best)), best]
-                    need[np.arange(len(best)), best] = np.inf
-                    second = need.min(axis=1) if k > 1 else length.astype(np.float64)
-                    known = length > 0
-                    score = np.where(known, np.clip(1.0 - least / np.where(np.isfinite(second) & (second > 0), np.maximum(second, least), 1.0), 0.0, 1.0), 0.0)
-                    pred = [names[b] if ok else UND for b, ok in zip(best.tolist(), known.tolist())]
-                    rate = np.where(known, least / np.maximum(length, 1), 1.0)
-                else:
-                    pred, score, rate = [UND] * part.num_rows, np.zeros(part.num_rows), np.ones(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], names=schema.names)
+                offsets, data = raw(part.column("text"))
+                data = data.translate(LETTERS)
+                at = offsets.tolist()
+                texts = [letters(data[a:b]) for a, b in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *_judged(own, texts)], names=schema.names)
 
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
 
 
-def learned(docs: DataFrame, docs_a_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """Training words of the rows whose remainder by 3 is not 1."""
-    return training_words(docs.where(remainder("doc_id", 3) != 1), docs_a_language, chars)
+def learned(docs: DataFrame, **how) -> dict[str, list[str]]:
+    """Training texts of the rows whose remainder by 3 is not 1."""
+    return training_texts(docs.where(remainder("doc_id", 3) != 1), **how)
 
 
 def op1_langid(docs: DataFrame) -> DataFrame:

@@ -173,8 +173,9 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict = REPLY_SCHEMAS,
     key = ["conv_id", "call_id"]
     one = calls.where("call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "tool", "arguments")).alias("c"), F.count("*").alias("n_calls"))
     answer = results.where("call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
-    both = one["conv_id"].eqNullSafe(answer["conv_id"]) & (one["call_id"] == answer["call_id"])
-    pairs = one.join(answer, both, "full_outer").select(*[F.coalesce(one[k], answer[k]).alias(k) for k in key], "c", "n_calls", "r", "n_results")
+    other = answer.toDF("conv_r", "call_r", "r", "n_results")
+    both = F.col("conv_id").eqNullSafe(F.col("conv_r")) & (F.col("call_id") == F.col("call_r"))
+    pairs = one.join(other, both, "full_outer").select(F.coalesce("conv_id", "conv_r").alias("conv_id"), F.coalesce("call_id", "call_r").alias("call_id"), "c", "n_calls", "r", "n_results")
     no_call, no_result = F.lit(None).cast(one.schema["c"].dataType).alias("c"), F.lit(None).cast(answer.schema["r"].dataType).alias("r")
     zero, single = F.lit(0).cast("long"), F.lit(1).cast("long")
     lone = calls.where("call_id is null").select(*key, F.struct("turn", "tool", "arguments").alias("c"), single.alias("n_calls"), no_result, zero.alias("n_results"))

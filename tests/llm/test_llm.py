@@ -61,8 +61,8 @@ def test_langid(docs, none):
             assert r["lang_pred"] == "und"
         elif len(text) > 100:
             assert r["lang_pred"] == lang
-    a = langid.SuffixAutomaton(["banana", "bandana"])
-    assert [a.phrases(w) for w in ("banana", "anan", "nab", "xx", "")] == [1, 1, 2, 2, 0]
+    a = langid.Parser({"aa": ["banana", "bandana"]})
+    assert a.phrases(["banana", "anan", "nab", "xx", ""]).ravel().tolist() == [1, 1, 2, 2, 0]
 
 
 def test_hmm(docs, none):
@@ -124,8 +124,7 @@ def test_gif(docs, none):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
     for size in (576, 5760):
         for p in (RNG.randbytes(size), b"ab" * (size // 2), bytes(size)):
-            for compress in (False, True):
-                assert gifmedia.described(gifmedia.encode(p, compress))[0] == p
+            assert gifmedia.described(gifmedia.encode(p))[0] == p
     long = RNG.randbytes(30000) + b"abc" * 9000
     assert gifmedia.lzw_decompress(gifmedia.lzw_compress(long), 8, len(long)) == long
     with pytest.raises(ValueError):
