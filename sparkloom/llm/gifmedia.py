@@ -3,8 +3,8 @@
 `decode` reads any GIF87a or GIF89a stream: colour tables, interlaced rows, LZW code streams of every width,
 graphic control blocks with delays, transparency and disposal. Frames come back as index samples; `timed` applies
 palettes, transparency and disposal and gives each frame's canvas, its time and its colour histograms, which
-`frame_table` stores as columns. `encode` stores 8-bit samples losslessly, one 24 x 24 frame for each 576 bytes,
-in LZW code streams with a growing dictionary.
+`frame_table` stores as columns. `encode` stores 8-bit samples losslessly, 24 a row, in frames of up to 72 rows and
+LZW code streams with a growing dictionary.
 
 Edge cases: null and empty texts give one frame of 255; equal texts give equal bytes; a broken stream raises
 ValueError in `decode` (the query only reads what it has written); repeated documents are rows of their own.
@@ -16,6 +16,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from pyspark.sql import types as T
 from sparkloom.llm.arrowtext import raw, steps
 
 SIDE = 24
-FRAME = SIDE * SIDE
+#: Samples that payloads are padded to, and those of a frame: few enough that a code table never fills up.
+BLOCK = SIDE * SIDE
+FRAME = 3 * BLOCK
 #: Hundredths of a second for each stored frame.
 DELAY = 4
 GREY = bytes(v for i in range(256) for v in (i, i, i))
@@ -120,18 +123,26 @@ def _codes(padded: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
 
 def _expand(codes: list[int], clear: int) -> bytes:
     """The samples that codes after a clear stand for."""
+    if not codes:
+        return b""
     table = _ROOTS[:clear] + [b"", b""]
-    out, last = [], None
-    for code in codes:
-        if code < len(table):
+    free = clear + 2
+    if codes[0] >= clear:
+        raise ValueError("a code that is not in the table")
+    last = table[codes[0]]
+    out = [last]
+    put, know = out.append, table.append
+    for code in codes[1:]:
+        if code < free:
             entry = table[code]
-        elif code == len(table) < MOST_CODES and last is not None:  # the entry being made
+        elif code == free < MOST_CODES:  # the entry being made
             entry = last + last[:1]
         else:
             raise ValueError("a code that is not in the table")
-        out.append(entry)
-        if last is not None and len(table) < MOST_CODES:
-            table.append(last + entry[:1])
+        put(entry)
+        if free < MOST_CODES:
+            know(last + entry[:1])
+            free += 1
         last = entry
     return b"".join(out)
 
@@ -210,10 +221,16 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(data[i : i + 255])]) + data[i : i + 255] for i in range(0, len(data), 255)) + b"\0"
 
 
-HEAD = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + GREY
 LOOP = b"!\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"
 CONTROL = b"!\xf9\x04" + struct.pack("<BHB", 1 << 2, DELAY, 0) + b"\0"
-PLACE = b"," + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
+
+
+def _head(rows: int) -> bytes:
+    return b"GIF89a" + struct.pack("<HHBBB", SIDE, rows, 0xF7, 0, 0) + GREY + LOOP
+
+
+def _place(rows: int) -> bytes:
+    return CONTROL + b"," + struct.pack("<HHHHB", 0, 0, SIDE, rows, 0) + b"\x08"
 
 
 def encode(payload: bytes) -> bytes:
@@ -222,9 +239,10 @@ def encode(payload: bytes) -> bytes:
 
 
 def encode_all(payloads: list[bytes]) -> list[bytes]:
-    """Many payloads; the codes of all their frames are put into bytes together."""
-    streams = iter(lzw_compress_all([p[i : i + FRAME] for p in payloads for i in range(0, len(p), FRAME)]))
-    return [b"".join([HEAD, LOOP, *[CONTROL + PLACE + _blocks(next(streams)) for _ in range(0, len(p), FRAME)], b";"]) for p in payloads]
+    """Many payloads; the codes of all their frames are put into bytes together. A last frame may be lower than the canvas."""
+    frames = [[p[i : i + FRAME] for i in range(0, len(p), FRAME)] for p in payloads]
+    streams = iter(lzw_compress_all([f for own in frames for f in own]))
+    return [b"".join([_head(len(own[0]) // SIDE), *[_place(len(f) // SIDE) + _blocks(next(streams)) for f in own], b";"]) for own in frames]
 
 
 @dataclass
@@ -316,17 +334,17 @@ def _deinterlaced(samples: bytes, w: int, h: int) -> bytes:
 
 
 def colours(palette: bytes) -> np.ndarray:
-    """A colour table as 256 opaque RGBA values; indexes beyond it are black."""
+    """A colour table as 256 opaque RGBA values, four bytes in one number; indexes beyond it are black."""
     out = np.zeros((256, 4), np.uint8)
     table = np.frombuffer(palette[: len(palette) // 3 * 3], np.uint8).reshape(-1, 3)
     out[: len(table), :3] = table
     out[:, 3] = 255
-    return out
+    return out.view(np.uint32).ravel()
 
 
 def canvases(width: int, height: int, frames: list[Frame]):
     """The RGBA canvas as shown during each frame, after disposal of the one before."""
-    canvas = np.zeros((height, width, 4), np.uint8)
+    canvas = np.zeros((height, width), np.uint32)
     known: dict[bytes, np.ndarray] = {}
     for f in frames:
         before = canvas.copy() if f.disposal == 3 else None
@@ -340,41 +358,42 @@ def canvases(width: int, height: int, frames: list[Frame]):
         else:
             shown = index != f.transparent
             area[shown] = table[index[shown]]
-        yield canvas.copy()
+        yield canvas.copy().view(np.uint8).reshape(height, width, 4)
         if f.disposal == 2:
             area[...] = 0
         elif f.disposal == 3:
             canvas = before
 
 
-#: Histogram columns, and how much of a pixel's red, green and blue (in thousandths) each of them counts.
-CHANNELS = {"luma": (299, 587, 114), "red": (1000, 0, 0), "green": (0, 1000, 0), "blue": (0, 0, 1000)}
-_SHARES = np.array(list(CHANNELS.values()), np.int32).T
-_SHELF = np.arange(len(CHANNELS), dtype=np.int32) * BINS
+#: Histogram columns.
+CHANNELS = ("luma", "red", "green", "blue")
+#: Bytes of canvases that are looked at, and handed on, at once.
+HANDED_ON = 1 << 20
 
 
 def histograms(rgba: np.ndarray) -> np.ndarray:
-    """Visible pixels by luma, red, green and blue: a row of BINS counts each."""
-    pixels = rgba.reshape(-1, 4)
-    pixels = pixels[pixels[:, 3] > 0]
-    level = pixels[:, :3].astype(np.int32) @ _SHARES // 1000 * BINS // 256
-    return np.bincount((level + _SHELF).ravel(), minlength=len(_SHELF) * BINS).reshape(-1, BINS)
+    """Visible pixels of each canvas by luma, red, green and blue: BINS counts each."""
+    n, size = len(rgba), rgba.shape[1] * rgba.shape[2]
+    pixels = np.ascontiguousarray(rgba).view(np.uint32).ravel()
+    at = np.repeat(np.arange(n, dtype=np.uint32) * BINS, size)
+    if not (visible := pixels >= 1 << 24).all():
+        pixels, at = pixels[visible], at[visible]
+    red, green, blue = pixels & 255, pixels >> 8 & 255, pixels >> 16 & 255
+    levels = ((299 * red + 587 * green + 114 * blue) // 1000, red, green, blue)
+    return np.stack([np.bincount(at + level * BINS // 256, minlength=n * BINS).reshape(n, BINS) for level in levels], axis=1)
 
 
 def timed(width: int, height: int, frames: list[Frame]):
     """For each frame its number, start and delay in hundredths of a second, canvas and histograms."""
-    clock = 0
-    for i, (f, rgba) in enumerate(zip(frames, canvases(width, height, frames))):
-        yield i, clock, f.delay, rgba, histograms(rgba)
-        clock += f.delay
+    clock, many = 0, max(1, HANDED_ON // max(1, 4 * width * height))
+    for low, some in enumerate(batched(zip(frames, canvases(width, height, frames)), many)):
+        for i, ((f, rgba), bins) in enumerate(zip(some, histograms(np.stack([c for _, c in some]))), low * many):
+            yield i, clock, f.delay, rgba, bins
+            clock += f.delay
 
 
 _FRAME_ARROW = pa.schema([("media_id", pa.string()), ("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("rgba", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), *[(c, pa.list_(pa.int32())) for c in CHANNELS]])
 FRAMES = "media_id string, frame int, start_cs long, delay_cs int, rgba binary, width int, height int, " + ", ".join(f"{c} array<int>" for c in CHANNELS)
-#: Bytes of canvases that are handed on at once.
-HANDED_ON = 4 << 20
-
-
 def frame_table(media: DataFrame) -> DataFrame:
     """Timed frames of a table (media_id, bytes): one row a frame, composited, with its colour histograms."""
 
@@ -397,7 +416,7 @@ def frame_table(media: DataFrame) -> DataFrame:
 
 
 def padded(data: bytes) -> bytes:
-    return data + b"\xff" * (FRAME - len(data) if not data else -len(data) % FRAME)
+    return data + b"\xff" * (-len(data) % BLOCK if data else BLOCK)
 
 
 def described(media: bytes) -> tuple[bytes, str]:
