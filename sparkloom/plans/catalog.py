@@ -28,7 +28,7 @@ VIEWS = {
     "v_edges": "SELECT DISTINCT f.s_name AS src, t.s_name AS dst FROM v_steps JOIN supplier f ON f.s_suppkey = a JOIN supplier t ON t.s_suppkey = b WHERE a <> b",
     "v_jobs": "SELECT o_orderkey AS id, 6 - cast(substr(o_orderpriority, 1, 1) AS INT) AS priority, o_orderdate AS created_at, CASE o_orderstatus WHEN 'F' THEN 'claimed' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, o_orderkey % 4 AS attempt, o_custkey AS owner FROM orders",
     "v_costs": "SELECT l_orderkey AS item, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS session, concat(l_returnflag, '/', l_linestatus) AS model, l_quantity AS prompt, l_quantity * 2 AS completion, cast(l_extendedprice AS DECIMAL(18,4)) * cast(l_discount AS DECIMAL(18,4)) AS cost FROM lineitem",
-    "v_issues": "SELECT d.doc_id AS id, concat('P', cast(d.doc_id % 6 AS VARCHAR(9))) AS tier, d.doc_id % 12 AS cat, CASE WHEN toxic = 1 THEN 'dismissed' WHEN quality = 1 THEN 'done' WHEN quality = 0 THEN 'queued' ELSE 'open' END AS status, substr(text, 1, 60) AS title, lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "v_issues": "SELECT d.doc_id AS id, concat('P', cast(d.doc_id % 6 AS VARCHAR(9))) AS tier, d.doc_id % 12 AS cat, CASE WHEN toxic = 1 THEN 'dismissed' WHEN quality = 1 THEN 'done' WHEN quality = 0 THEN 'queued' ELSE 'open' END AS status, substr(text, 1, 60) AS title, text AS body, lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "v_todos": "SELECT o_orderkey AS id, o_custkey AS owner, CASE o_orderkey % 10 WHEN 0 THEN 'pending' WHEN 1 THEN 'ready' WHEN 2 THEN 'in_progress' WHEN 3 THEN 'blocked' WHEN 4 THEN 'implemented' WHEN 5 THEN 'validating' WHEN 6 THEN 'needs_changes' WHEN 7 THEN 'passed' WHEN 8 THEN 'merged' ELSE 'cancelled' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'validation' ELSE 'implementation' END AS type FROM orders",
     "v_deps": "SELECT id, id - 1 AS dep FROM v_todos WHERE id > 1 UNION ALL SELECT id, id - 7 AS dep FROM v_todos WHERE id > 7",
     "v_catalog": "SELECT * FROM (VALUES (1, 'C1', 'NAME1', '4', 'critical'), (1, 'C1', 'NAME1', '1', 'critical'), (2, 'C2', 'NAME2', '*', 'high'), (3, 'C3', 'NAME3', '3', 'low')) AS c(cid, catalog_id, package, ver, severity)",
@@ -94,7 +94,7 @@ def _json(spark, d):
 
 both("prj_coalesce_defaults", "SELECT d.doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, 0) AS toxic, coalesce(nullif(source, ''), 'unknown') AS source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 both("prj_event_case", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'Account opened' WHEN 'purchase' THEN 'Order placed' WHEN 'error' THEN 'Something failed' WHEN 'view' THEN 'Page seen' ELSE concat('Event ', event_type) END AS summary FROM events")
-both("flt_issue_list", "SELECT id, tier, status FROM v_issues WHERE tier = 'P1' AND status <> 'dismissed' AND position(lower('The') IN lower(concat(title, ' ', cast(cat AS VARCHAR(9))))) > 0")
+both("flt_issue_list", "SELECT id, tier, status FROM v_issues WHERE tier = 'P1' AND status <> 'dismissed' AND position(lower('The') IN lower(concat(body, ' ', cast(cat AS VARCHAR(9))))) > 0")
 both("flt_actionable_case", "SELECT id, CASE WHEN tier IN ('P0', 'P1', 'P2') THEN true WHEN status = 'queued' THEN true WHEN cat IN (9, 10, 11) THEN false ELSE tier = 'P3' END AS actionable FROM v_issues")
 both("flt_path_prefix", "SELECT path FROM v_hotspots WHERE left(path, 9) = 'economy/b' OR path = 'small' OR left(path, 6) = 'small/' OR left(path, 9) = 'standard/'")
 both("flt_regex_classify", "SELECT p_partkey, RX(lower(p_name), '^(part|name)') AS ui_like, RX(p_type, '(?i)^(eco|sta)') AS data_like, RX(p_brand, '^Brand#[1-3]') AS low_brand FROM part")
@@ -163,13 +163,13 @@ def _cascade(spark, d):
 both("join_anti_dependencies", "SELECT t.id FROM v_todos t WHERE t.status = 'pending' AND NOT EXISTS (SELECT 1 FROM v_deps d LEFT JOIN v_todos x ON x.id = d.dep WHERE d.id = t.id AND (x.status IS NULL OR x.status NOT IN ('passed', 'merged', 'cancelled')))")
 
 
-@query("join_contains", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))")
+@query("join_contains", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def _contains(spark, d):
     """A passage with a word between two spaces can only stand where that word does: an equi-join on the longest such
     word proposes documents, and the whole passage decides. Passages without one are tested in blocks of texts."""
     ready(spark)
     docs = table(spark, d, "documents").select("doc_id", "text")
-    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("p")).where("p is not null")
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("p")).where("p is not null")
     parts = F.split("p", " ")
     inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != "")
     keyed = items.select("item_id", "p", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("w"))
@@ -328,10 +328,10 @@ def _token_query(spark, d):
 both("mth_cost_estimate", "SELECT item, ln, pk, session, CASE WHEN cost = 0 THEN prompt * 1.0E-7 + completion * 3.0E-7 ELSE cast(cost AS DOUBLE PRECISION) END AS estimate FROM v_costs")
 both("mth_score_band", "SELECT user_id, CASE WHEN s >= 80 THEN 'good' WHEN s >= 60 THEN 'fair' WHEN s IS NULL THEN 'none' ELSE 'poor' END AS band FROM (SELECT user_id, floor(max(value)) AS s FROM events GROUP BY user_id) q")
 both("dat_prefire", "SELECT event_id, greatest(CASE WHEN user_id % 2 = 0 THEN MS(ts) ELSE MS(ts) + 3600000 - 18000000 END, MS(TIMESTAMP '2024-01-10 00:00:00')) AS prefire FROM events")
-@query("dat_timeline", duck("SELECT event_id, step, MS(ts) + shift AS at FROM events JOIN (VALUES (1, 0), (2, 3600000), (3, 7200000), (4, 18000000), (5, 21600000)) AS t(step, shift) ON event_type = 'signup'"))
+@query("dat_timeline", duck("SELECT event_id, step, MS(ts) + shift AS at FROM events JOIN (VALUES (1, 0), (2, 3600000), (3, 7200000), (4, 18000000), (5, 21600000)) AS t(step, shift) ON true"))
 def _timeline(spark, d):
-    """Five steps of each signup, made where the row is."""
-    made = sql_frame(spark, d, "SELECT event_id, MS(ts) AS ms FROM events WHERE event_type = 'signup'")
+    """Five steps of each event, made where the row is."""
+    made = sql_frame(spark, d, "SELECT event_id, MS(ts) AS ms FROM events")
     shifts = F.array(*[F.lit(x).cast("long") for x in (0, 3_600_000, 7_200_000, 18_000_000, 21_600_000)])
     return made.select("event_id", "ms", F.posexplode(shifts).alias("i", "shift")).select("event_id", (F.col("i") + 1).alias("step"), (F.col("ms") + F.col("shift")).alias("at"))
 
