@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every document of a source expects target / size copies. Within its source the documents stand in
-order of (size, doc_id); the running sum of expected copies plus one random offset is cut at the
+order of (size, doc_id, hash of the text); the running sum of expected copies plus one random offset is cut at the
 integers, and a document is emitted once for each integer it crosses. Standing in order of size
 makes the draw stratified: the words taken miss the target by about one large document at most.
 
@@ -77,11 +77,11 @@ def sampled(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: i
     """doc_id, source, th, size, source_size, target, copies for every document.
 
     The rank within a source is computed without gathering a source anywhere: narrow rows are range
-    partitioned by (source, size, doc_id), written with their partition number, ranked inside a partition,
+    partitioned by (source, size, doc_id, th), written with their partition number, ranked inside a partition,
     and shifted by the counts of the partitions before. A hot source spreads over many partitions.
     """
     spark = docs.sparkSession
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last()]
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last(), F.col("th")]
     sized = written(sizes(docs), "sizes")
     dealt = written(sized.repartitionByRange(partitions(spark), *order).withColumn("pid", F.spark_partition_id()), "ranges")
     drop(sized)
