@@ -10,7 +10,7 @@ How it runs: documents are dealt into groups by a hash of doc_id (one shuffle of
 1. Probes and blocks travel as sorted, delta-coded 40-bit hashes, about three bytes each, in one row for each
    group and hash range; a range tells each group which of its hashes are anchors (a block in one document and
    a probe in another).
-2. Groups send the 64-bit hashes of the 50-word windows around anchors with the smallest doc_id that has them; a
+2. Groups send 96 bits of two hashes of the 50-word windows around anchors with the smallest doc_id that has them; a
    range tells each group which windows start in a smaller document elsewhere.
 3. Groups mark the words covered by such windows. No step compares documents in pairs, and a hash that
    thousands of documents share is one entry for each group.
@@ -35,8 +35,8 @@ from sparkloom.llm.arrowtext import coded, hashes, raw, steps, words
 from sparkloom.llm.store import carried, partitions
 
 WINDOW = 50
-_B = np.uint64(0x9E3779B97F4A7C15)
-_B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Odd bases and seeds of the two hashes of windows.
+_FIRST, _SECOND = (0x9E3779B97F4A7C15, 7), (0xC2B2AE3D27D4EB4F, 11)
 #: Bits of an anchor's hash. A chance meeting costs a few more windows in step 2, never a wrong result.
 ANCHOR_BITS = 40
 
@@ -46,33 +46,46 @@ class Rolled:
 
     def __init__(self, texts: pa.Array):
         flat, self.at = words(texts)
-        code, distinct = coded(flat)
+        self.code, self.distinct = coded(flat)
         self.n = self.at[1:] - self.at[:-1]
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
-        size = len(code)
-        token = hashes(distinct, 7)[code] if size else np.zeros(0, np.uint64)
+        self.first, self.second = self._rolled(*_FIRST), None
+
+    def _rolled(self, base: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the words' hashes times powers of a base, and the powers of its inverse."""
+        size = len(self.code)
+        token = hashes(self.distinct, seed)[self.code] if size else np.zeros(0, np.uint64)
+        total = np.zeros(size + 1, np.uint64)
+        power, back = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        power[:1] = back[:1] = 1
         with np.errstate(over="ignore"):
-            power = np.ones(size, np.uint64)
-            power[1:] = _B
             np.cumprod(power, out=power)
-            self.sum = np.zeros(size + 1, np.uint64)
-            np.cumsum(token * power, out=self.sum[1:])
-            self.back = np.ones(size, np.uint64)
-            self.back[1:] = _B_INVERSE
-            np.cumprod(self.back, out=self.back)
+            np.cumsum(token * power, out=total[1:])
+            np.cumprod(back, out=back)
+        return total, back
 
     def starts(self, length: int) -> np.ndarray:
         """Where windows of so many words begin."""
         return np.flatnonzero(np.arange(len(self.doc)) + length <= self.at[1:][self.doc]) if len(self.doc) else np.zeros(0, np.int64)
 
     def windows(self, starts: np.ndarray, length: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            h = (self.sum[starts + length] - self.sum[starts]) * self.back[starts]
-            h ^= h >> np.uint64(30)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(27)
-            h *= np.uint64(0x94D049BB133111EB)
-            return h ^ (h >> np.uint64(31))
+        return _mixed(*self.first, starts, length)
+
+    def checks(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """32 bits of a second hash, made only where windows are compared for good."""
+        if self.second is None:
+            self.second = self._rolled(*_SECOND)
+        return (_mixed(*self.second, starts, length) >> np.uint64(32)).astype(np.uint32)
+
+
+def _mixed(total: np.ndarray, back: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (total[starts + length] - total[starts]) * back[starts]
+        h ^= h >> np.uint64(30)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(27)
+        h *= np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -102,9 +115,12 @@ def _shape(docs: DataFrame, n: int) -> tuple[int, int]:
     return split(GROUP_BYTES), min(32, (split(RANGE_BYTES) - 1).bit_length())
 
 
-def _runs(values: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+def _runs(*values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin; of several arrays, of values that are equal in all."""
+    new = np.zeros(max(0, len(values[0]) - 1), bool)
+    for v in values:
+        new |= v[1:] != v[:-1]
+    return np.flatnonzero(np.concatenate([[True], new])) if len(values[0]) else np.zeros(0, np.int64)
 
 
 def _cut(sorted_: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
@@ -213,15 +229,15 @@ def _extended(bits: int, window: int, block: int):
                     start = start[(met[start + window - block + 1] > met[start]) & there[r.doc[start]]] if len(start) else start
                     if not len(start):
                         continue
-                    h, d = r.windows(start, window), ids[r.doc[start]]
-                    order = np.lexsort((d, h))
-                    order = order[_runs(h[order])]
-                    h, d = h[order], d[order]
+                    h, c, d = r.windows(start, window), r.checks(start, window), ids[r.doc[start]]
+                    order = np.lexsort((d, c, h))
+                    order = order[_runs(h[order], c[order])]
+                    h, c, d = h[order], c[order], d[order]
                     for k, a, b in _cut(h, 64 - bits):
                         by_doc = np.argsort(d[a:b], kind="stable")
                         rows["r"].append(k)
                         rows["g"].append(g)
-                        rows["h"].append(h[a:b][by_doc].tobytes())
+                        rows["h"].append(h[a:b][by_doc].tobytes() + c[a:b][by_doc].tobytes())
                         own = d[a:b][by_doc]
                         at = _runs(own)
                         rows["d"].append(own[at].tobytes() + np.diff(np.append(at, len(own))).astype(np.int32).tobytes())
@@ -230,6 +246,11 @@ def _extended(bits: int, window: int, block: int):
     return run
 
 
+def _hashes_read(rows: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Both hashes of each row's windows."""
+    return [(np.frombuffer(x, np.uint64, len(x) // 12), np.frombuffer(x, np.uint32, -1, len(x) // 12 * 8)) for x in rows]
+
+
 def _runs_read(data: bytes) -> np.ndarray:
     n = len(data) // 12
     return np.repeat(np.frombuffer(data, np.int64, n), np.frombuffer(data, np.int32, n, 8 * n))
@@ -237,46 +258,47 @@ def _runs_read(data: bytes) -> np.ndarray:
 
 def _earlier(table: pa.Table) -> pa.Table:
     """For each group the windows of this range that start in a smaller document, with the smallest one."""
-    each = [np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()]
+    each = _hashes_read(table.column("h").to_pylist())
     docs = [_runs_read(x) for x in table.column("d").to_pylist()]
-    h, d = np.concatenate(each), np.concatenate(docs)
-    order = np.lexsort((d, h))
-    first = _runs(h[order])
+    h, c, d = np.concatenate([x[0] for x in each]), np.concatenate([x[1] for x in each]), np.concatenate(docs)
+    order = np.lexsort((d, c, h))
+    first = _runs(h[order], c[order])
     size = np.diff(np.append(first, len(h)))
     least = np.empty(len(h), np.int64)
     least[order] = np.repeat(d[order][first], size)
-    at = np.cumsum([0, *map(len, each)])
+    at = np.cumsum([0, *map(len, docs)])
     out = {"_g": [], "h": [], "d": []}
     for g, a, b in zip(table.column("g").to_pylist(), at, at[1:]):
         got = np.flatnonzero(least[a:b] < d[a:b])
         if len(got):
-            m, hh = least[a:b][got], h[a:b][got]
-            by = np.argsort(m, kind="stable")
-            m = m[by]
+            by = got[np.argsort(least[a:b][got], kind="stable")]
+            m = least[a:b][by]
             run = _runs(m)
             out["_g"].append(g)
-            out["h"].append(hh[by].tobytes())
+            out["h"].append(h[a:b][by].tobytes() + c[a:b][by].tobytes())
             out["d"].append(m[run].tobytes() + np.diff(np.append(run, len(m))).astype(np.int32).tobytes())
     return pa.table({"_g": pa.array(out["_g"], pa.int32()), "h": pa.array(out["h"], pa.binary()), "d": pa.array(out["d"], pa.binary())})
 
 
-def covered_words(texts: pa.Array, ids: np.ndarray, there: np.ndarray, window: int, known: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def covered_words(texts: pa.Array, ids: np.ndarray, there: np.ndarray, window: int, known: np.ndarray, check: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which words of texts (in order of doc_id) are covered, and where each text's words begin.
 
-    known, least: windows that start in a smaller document of another group, and that document.
+    known, check, least: both hashes, in order, of windows that start in a smaller document of another group, and that document.
     """
     r = Rolled(texts)
     start = r.starts(window)
     start = start[there[r.doc[start]]] if len(start) else start
     edge = np.zeros(len(r.doc) + 1, np.int32)
     if len(start):
-        h, d = r.windows(start, window), ids[r.doc[start]]
-        order = np.argsort(h, kind="stable")
-        first = _runs(h[order])
-        best = d[order][first]
+        h, c, d = r.windows(start, window), r.checks(start, window), ids[r.doc[start]]
+        order = np.lexsort((d, c, h))
+        first = _runs(h[order], c[order])
+        best, own, sure = d[order][first], h[order][first], c[order][first]
         if len(known):
-            i = np.minimum(np.searchsorted(known, h[order][first]), len(known) - 1)
-            best = np.where(known[i] == h[order][first], np.minimum(best, least[i]), best)
+            at = np.searchsorted(known, own)
+            for step in range(int(np.diff(np.append(_runs(known), len(known))).max())):  # one step, but for chance collisions
+                i = np.minimum(at + step, len(known) - 1)
+                best = np.where((known[i] == own) & (check[i] == sure), np.minimum(best, least[i]), best)
         low = np.empty(len(h), np.int64)
         low[order] = np.repeat(best, np.diff(np.append(first, len(h))))
         hit = start[low < d]
@@ -288,15 +310,16 @@ def covered_words(texts: pa.Array, ids: np.ndarray, there: np.ndarray, window: i
 def _marked(window: int, columns: list[str], digest: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.take(pc.sort_indices(left, sort_keys=[("doc_id", "ascending")])).combine_chunks()
-        known, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        known, check, least = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if right.num_rows:
-            known = np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("h").to_pylist()])
+            each = _hashes_read(right.column("h").to_pylist())
+            known, check = np.concatenate([x[0] for x in each]), np.concatenate([x[1] for x in each])
             least = np.concatenate([_runs_read(x) for x in right.column("d").to_pylist()])
-            order = np.lexsort((least, known))
-            order = order[_runs(known[order])]
-            known, least = known[order], least[order]
+            order = np.lexsort((least, check, known))
+            order = order[_runs(known[order], check[order])]
+            known, check, least = known[order], check[order], least[order]
         ids, there = _ids(left.column("doc_id"))
-        gone, at = covered_words(left.column("text").combine_chunks(), ids, there, window, known, least)
+        gone, at = covered_words(left.column("text").combine_chunks(), ids, there, window, known, check, least)
         offsets, data = raw(left.column("text"))
         off = offsets.tolist()
         total = np.concatenate([[0], np.cumsum(gone)])

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sparkloom.llm import gifmedia, hmm, langid, nearcopies, notices, posindex, simhash, store, toolcalls, toxicity
+from sparkloom.llm import anchors, gifmedia, hmm, langid, nearcopies, notices, posindex, simhash, store, toolcalls, toxicity
 
 RNG = random.Random(17)
 
@@ -377,3 +377,21 @@ def test_tables_can_be_dropped_since_a_mark(spark):
     last = store.written(spark.range(5), "c")
     store.drop_since(mark, last)
     assert store.made() == mark + 1 and first.count() == 3 and last.count() == 5
+
+
+def test_anchors_second_hash(monkeypatch):
+    """Windows that share the first hash by chance are told apart by the second."""
+    rng = np.random.default_rng(5)
+    words = [" ".join(f"w{x}" for x in rng.integers(0, 3, 40)) for _ in range(6)]
+    texts, ids = pa.array([*words, *words[:2], words[0] + " tail"]), np.arange(9)
+    there, none = np.ones(9, bool), np.zeros(0, np.uint64)
+    plain = anchors.covered_words(texts, ids, there, 10, none, none.astype(np.uint32), np.zeros(0, np.int64))[0]
+    r = anchors.Rolled(pa.array(words))
+    start = r.starts(10)
+    check = np.unique(r.checks(start, 10))
+    known = np.zeros(len(check), np.uint64)
+    monkeypatch.setattr(anchors.Rolled, "windows", lambda self, starts, length: np.zeros(len(starts), np.uint64))
+    met = anchors.covered_words(texts, ids, there, 10, none, none.astype(np.uint32), np.zeros(0, np.int64))[0]
+    assert plain.sum() > 0 and (met == plain).all()
+    every = anchors.covered_words(texts, ids, there, 10, known, check, np.full(len(check), -1))[0]
+    assert every[:-1].all() and not every[-1]  # all words but the one that no known window holds
