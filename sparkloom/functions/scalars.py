@@ -208,6 +208,21 @@ def supply_label(total: Column, critical: Column, high: Column) -> Column:
     return F.concat_ws(" · ", count, F.when(critical > 0, F.concat(critical.cast("string"), F.lit(" critical"))), F.when(high > 0, F.concat(high.cast("string"), F.lit(" high"))))
 
 
+def fixed(x: Column, places: int) -> Column:
+    """x with so many places (1 to 6), by its exact binary value, ties away from zero: the fraction is taken as an integer
+    in units of 2^-100, from its upper and lower half."""
+    half, whole = F.lit(float(1 << 50)), F.floor(F.abs(x)).cast("long")
+    fraction = F.abs(x) - whole
+    upper = F.floor(fraction * half)
+    lower = F.floor((fraction * half - upper) * half)
+    big = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    units = upper.cast("long").cast("decimal(16,0)") * F.lit(1 << 50).cast("decimal(16,0)") + lower.cast("long").cast("decimal(16,0)")
+    shifted = F.call_function("div", units * F.lit(2 * 10**places).cast("decimal(8,0)") + big(1 << 100), big(1 << 101))
+    carried = shifted >= 10**places
+    rest = F.lpad(F.when(carried, 0).otherwise(shifted).cast("string"), places, "0")
+    return F.concat(F.when(x < 0, "-").otherwise(""), (whole + F.when(carried, 1).otherwise(0)).cast("string"), F.lit("."), rest)
+
+
 def rounded(x: Column, places: int = 0) -> Column:
     """Halves upwards, also below zero."""
     return F.floor(x * F.lit(10.0**places) + F.lit(0.5)) / F.lit(10.0**places)

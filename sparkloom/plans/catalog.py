@@ -63,11 +63,13 @@ def _spark(sql: str) -> str:
 
 
 def sql_frame(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    """A query whose tables are read in place: no view of the caller's session is made or replaced."""
     ready(spark)
-    for t in TABLES:
-        if re.search(rf"\b{t}\b", sql):
-            table(spark, d, t).createOrReplaceTempView(t)
-    return spark.sql(_spark(sql))
+    read = ", ".join(f"{t} AS (SELECT * FROM parquet.`{d}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", sql))
+    body = _spark(sql).strip()
+    if not read:
+        return spark.sql(body)
+    return spark.sql(f"WITH {read}, {body[4:]}" if body.upper().startswith("WITH") else f"WITH {read} {body}")
 
 
 def both(name: str, sql: str) -> None:
@@ -375,7 +377,7 @@ def _capped(spark, d):
     return state.capped_sessions(uses, 3_600_000, 10_800_000)
 
 
-# -- texts that hold arrays, and paths in prose -------------------------------------------------------------------
+# -- texts that hold arrays -------------------------------------------------------------------
 
 _LISTS = "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN concat('[\"a', cast(o_orderkey AS VARCHAR(9)), '\", \"b\"]') WHEN 1 THEN '[\"a\", 1, null, \"c\"]' WHEN 2 THEN 'broken [' WHEN 3 THEN '{\"k\": 1}' END AS t FROM orders"
 
@@ -405,20 +407,6 @@ def _first_error(spark, d):
     return runs.select("l_orderkey", F.get(F.filter(F.transform("runs", check), lambda e: e.isNotNull()), F.lit(0)).alias("first_error"))
 
 
-_PROSE = "SELECT a.ord, concat('Edit `', a.path, '`, then /', b.path, '; see ../x/y.ts and (', a.path, ').') AS t FROM v_hotspots a JOIN v_hotspots b ON b.ord = a.ord + 1"
-#: File kinds that count as paths in prose (fixed values).
-_KINDS = "rs|ts|tsx|js|jsx|mjs|cjs|py|go|java|kt|swift|rb|php|cs|cpp|c|h|hpp|md|toml|json|ya?ml|css|scss|html|sql"
-_PATH = rf"(?:^|[\s`\"(])([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.#-]+)+\.(?:{_KINDS}))"
-_PATH_SQL = _PATH.replace("'", "''")
-
-
-@query("str_extract_paths", f"SELECT ord, p AS path, min(i) AS first_at FROM (SELECT ord, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT ord, regexp_extract_all(t, '{_PATH_SQL}', 1) AS l FROM ({duck(_PROSE)}) x) y) z WHERE position('..' IN p) = 0 GROUP BY ord, p")
-def _paths(spark, d):
-    """Relative paths with a known kind of file, in the order of their first place; none that climbs."""
-    found = sql_frame(spark, d, _with_views(_PROSE)).select("ord", F.posexplode(F.regexp_extract_all("t", F.lit(_PATH), F.lit(1))).alias("i", "path"))
-    return found.where(~F.contains("path", F.lit(".."))).groupBy("ord", "path").agg((F.min("i") + 1).cast("long").alias("first_at"))
-
-
 # -- the flagship: all fourteen generators of isolated issues, in one ranked list ---------------------------------
 
 VIEWS["v_modules"] = "SELECT CASE p_type WHEN 'STANDARD' THEN 'components' WHEN 'LARGE' THEN 'services' WHEN 'SMALL' THEN 'tests' WHEN 'MEDIUM' THEN 'docs-site' WHEN 'ECONOMY' THEN 'Shared' ELSE 'mailQueue' END AS name, count(*) AS files FROM part GROUP BY p_type"
