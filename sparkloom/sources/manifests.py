@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
 SKIPPED = ("node_modules", "dist", "build")
@@ -40,11 +41,61 @@ def scanner_records(lines: DataFrame) -> DataFrame:
     return j.select(field("record_type", "unknown"), field("package_name", ""), field("version", ""), field("severity", "medium"), field("catalog_id", ""))
 
 
+def _scanned(lines: DataFrame, kind: str, fields: dict[str, str]) -> DataFrame:
+    j = lines.where("trim(value) <> ''").withColumn("j", F.expr("try_parse_json(value)")).where("j is not null").drop("value")
+    given = lambda k: F.nullif(F.expr(f"try_variant_get(j, '$.{k}', 'string')"), F.lit(""))
+    made = {k: F.coalesce(given(k), F.lit(d)) for k, d in fields.items()} | {"normalized_name": F.coalesce(given("normalized_name"), given("package_name"), F.lit(""))}
+    own = j.where(F.expr("try_variant_get(j, '$.record_type', 'string')") == kind)
+    return own.select(*[c for c in lines.columns if c != "value"], F.coalesce(given("record_id"), F.uuid()).alias("id"), *[v.alias(k) for k, v in made.items()])
+
+
+def scanned_packages(lines: DataFrame) -> DataFrame:
+    """Package records of NDJSON lines (value, and what is to be carried), with what they lack; others are skipped."""
+    empty = dict.fromkeys(("package_name", "version", "source_type", "source_file"), "")
+    return _scanned(lines, "package", {"ecosystem": "unknown", "confidence": "low"} | empty | {"project_path": None, "package_manager": None})
+
+
+def scanned_findings(lines: DataFrame) -> DataFrame:
+    """Finding records of NDJSON lines (value, and what is to be carried), with what they lack; others are skipped."""
+    empty = dict.fromkeys(("catalog_id", "catalog_name", "ecosystem", "package_name", "version", "source_type", "source_file", "evidence"), "")
+    return _scanned(lines, "finding", {"finding_type": "package_exposure", "severity": "medium", "confidence": "low"} | empty)
+
+
 def chat_stream(lines: DataFrame) -> DataFrame:
-    """Server-sent lines (ord, value) as one row: joined content deltas and the last finish reason."""
-    body = lines.where("value like 'data: %' and value <> 'data: [DONE]'").select("ord", F.expr("try_parse_json(substr(value, 7))").alias("j")).where("j is not null")
-    part = body.select("ord", F.expr("try_variant_get(j, '$.choices[0].delta.content', 'string')").alias("delta"), F.expr("try_variant_get(j, '$.choices[0].finish_reason', 'string')").alias("why"))
-    return part.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("delta").isNotNull(), F.struct("ord", "delta")))), lambda x: x["delta"]), "").alias("content"), F.max_by("why", F.when(F.col("why").isNotNull(), F.col("ord"))).alias("finish_reason"))
+    """One row for each stream of server-sent lines (stream, ord, value): its content deltas joined in order, the last
+    finish reason (`stop` without one) and the last usage; other lines and broken JSON are skipped."""
+    text = F.trim("value")
+    body = lines.withColumn("t", text).where("t like 'data: %' and t <> 'data: [DONE]'").select("stream", "ord", F.expr("try_parse_json(substr(t, 7))").alias("j")).where("j is not null")
+    at = lambda path, kind: F.expr(f"try_variant_get(j, '$.{path}', '{kind}')")
+    used = {k: at(f"usage.{k}", "bigint").alias(k) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
+    usage = F.when(F.expr("schema_of_variant(variant_get(j, '$.usage', 'variant')) like 'OBJECT%'"), F.struct(*used.values()))
+    part = body.select("stream", "ord", at("choices[0].delta.content", "string").alias("delta"), F.nullif(at("choices[0].finish_reason", "string"), F.lit("")).alias("why"), usage.alias("usage"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord")))
+    deltas = F.array_sort(F.collect_list(F.when(F.col("delta").isNotNull(), F.struct("ord", "delta"))))
+    none = F.struct(*[F.lit(0).cast("long").alias(k) for k in used])
+    return part.groupBy("stream").agg(F.array_join(F.transform(deltas, lambda x: x["delta"]), "").alias("content"), F.coalesce(last("why"), F.lit("stop")).alias("finish_reason"), F.coalesce(last("usage"), none).alias("usage"))
+
+
+def listing(paths: DataFrame, depth: int = 4, most: int = 2000) -> DataFrame:
+    """The first files (scope, path, ord) of each scope that are not under more folders than `depth`; files and folders
+    whose names begin with .git, and built folders, do not count."""
+    parts = F.split("path", "/")
+    hidden = F.exists(parts, lambda p: F.startswith(p, F.lit(".git")) | p.isin(*SKIPPED))
+    kept = paths.where(~hidden & (F.size(parts) - 1 <= depth))
+    return kept.withColumn("_n", F.row_number().over(Window.partitionBy("scope").orderBy("ord"))).where(F.col("_n") <= most).drop("_n")
+
+
+def catalog_entries(catalogs: DataFrame) -> DataFrame:
+    """Entries of exposure catalogs (value: JSON) that state a schema_version and hold a list of entries; other texts have none."""
+    entry = "array<struct<id:string,name:string,ecosystem:string,package:string,versions:array<string>,severity:string>>"
+    j = F.from_json("value", f"schema_version string, entries {entry}")
+    return catalogs.withColumn("_j", j).where("_j.schema_version <> '' and _j.entries is not null").select(*[c for c in catalogs.columns if c != "value"], F.posexplode("_j.entries").alias("ord", "_e")).select("*", "_e.*").drop("_e")
+
+
+def repositories(pages: DataFrame) -> DataFrame:
+    """Repositories of a service's pages (value: a JSON list), with the six fields that are shown."""
+    one = "array<struct<id:bigint,full_name:string,clone_url:string,private:boolean,default_branch:string,updated_at:string>>"
+    return pages.select(F.explode(F.from_json("value", one)).alias("r")).select("r.*")
 
 
 def npm_locks(locks: DataFrame) -> DataFrame:

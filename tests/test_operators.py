@@ -36,8 +36,26 @@ def test_manifest_packages(spark, tmp_path):
 def test_scanner_lines_and_chat(spark):
     lines = spark.createDataFrame([('{"record_type": "finding", "severity": ""}',), ("",), ("{broken",)], "value string")
     assert [(r["record_type"], r["severity"]) for r in manifests.scanner_records(lines).collect()] == [("finding", "medium")]
-    chat = spark.createDataFrame([(1, 'data: {"choices": [{"delta": {"content": "a"}}]}'), (2, 'data: {"choices": [{"delta": {"content": "b"}, "finish_reason": "stop"}]}'), (3, "data: [DONE]")], "ord int, value string")
-    assert tuple(manifests.chat_stream(chat).first()) == ("ab", "stop")
+    lines = spark.createDataFrame([(7, '{"record_type": "package", "package_name": "@a/b", "ecosystem": ""}'), (7, '{"record_type": "finding", "record_id": "r", "severity": "low"}'), (8, '{"record_type": "x"}'), (8, "[")], "scan int, value string")
+    found = manifests.scanned_findings(lines).collect()
+    assert [(r["scan"], r["id"], r["severity"], r["finding_type"], r["confidence"], r["evidence"]) for r in found] == [(7, "r", "low", "package_exposure", "low", "")]
+    assert [(r["scan"], len(r["id"]), r["normalized_name"], r["ecosystem"], r["package_manager"]) for r in manifests.scanned_packages(lines).collect()] == [(7, 36, "@a/b", "unknown", None)]
+    part = 'data: {"choices": [{"delta": {"content": "%s"}}]}'
+    used = '{"usage": {"prompt_tokens": %d, "completion_tokens": 2, "total_tokens": 9}}'
+    said = [("a", 3, part % "c"), ("a", 1, part % "a"), ("a", 2, " " + part % "b"), ("a", 4, "data: [DONE]"), ("a", 5, "data: {"), ("a", 6, "data: " + used % 1), ("a", 7, "data: " + used % 7), ("b", 1, 'data: {"choices": [{"finish_reason": "length"}]}'), ("b", 2, "event: x")]
+    got = {r["stream"]: (r["content"], r["finish_reason"], tuple(r["usage"])) for r in manifests.chat_stream(spark.createDataFrame(said, "stream string, ord int, value string")).collect()}
+    assert got == {"a": ("abc", "stop", (7, 2, 9)), "b": ("", "length", (0, 0, 0))}
+
+
+def test_listings_and_catalogs(spark):
+    paths = ["a.ts", ".github/x", "b/node_modules/c", "1/2/3/4/e", "1/2/3/4/5/f", ".gitignore", "dist", "z"]
+    df = spark.createDataFrame([("s", p, i) for i, p in enumerate(paths)] + [("t", "q", 0)], "scope string, path string, ord int")
+    assert sorted((r["scope"], r["path"]) for r in manifests.listing(df, most=2).collect()) == [("s", "1/2/3/4/e"), ("s", "a.ts"), ("t", "q")]
+    texts = ['{"schema_version": "1", "entries": [{"id": "C", "package": "p", "versions": ["*"]}, {"id": "D"}]}', '{"entries": [{"id": "E"}]}', '{"schema_version": "1", "entries": 3}', "broken", None]
+    got = manifests.catalog_entries(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, value string")).collect()
+    assert sorted((r["k"], r["ord"], r["id"], r["versions"]) for r in got) == [(0, 0, "C", ["*"]), (0, 1, "D", None)]
+    repos = manifests.repositories(spark.createDataFrame([('[{"id": 1, "full_name": "a/b", "private": true, "more": 2}]',), ("{",)], "value string")).collect()
+    assert [tuple(r) for r in repos if r["id"] is not None] == [(1, "a/b", None, True, None, None)]
 
 
 def test_window_edges(spark):
