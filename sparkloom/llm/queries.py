@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import anchors, gifmedia, hmm, langid, mixing, notices, posindex, simhash, toolcalls, toxicity, urlrules
+from sparkloom.llm import anchors, gifmedia, hmm, langid, mixing, negatives, notices, posindex, simhash, toolcalls, toxicity, urlrules
 from sparkloom.session import ready, table
 
 
@@ -65,9 +65,14 @@ def op12_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.op12_urlrules(table(spark, sf_dir, "pages"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return negatives.op13_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_hmm, op3_notices, op4_gif, op5_decontamination, op6_toxicity, op7_toolcalls, op8_mixing, op9_anchors, op10_simhash, op12_urlrules)}
+    return {f.__name__: f for f in (op1_langid, op2_hmm, op3_notices, op4_gif, op5_decontamination, op6_toxicity, op7_toolcalls, op8_mixing, op9_anchors, op10_simhash, op12_urlrules, op13_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": posindex.OP5_SQL, "op8_mixing": mixing.OP8_SQL, "op9_anchors": anchors.OP9_SQL, "op12_urlrules": urlrules.OP12_SQL}
+    return {"op5_decontamination": posindex.OP5_SQL, "op8_mixing": mixing.OP8_SQL, "op9_anchors": anchors.OP9_SQL, "op12_urlrules": urlrules.OP12_SQL, "op13_negatives": negatives.OP13_SQL}
