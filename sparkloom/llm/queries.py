@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import anchors, gifmedia, hmm, langid, mixing, negatives, notices, posindex, simhash, toolcalls, toxicity, urlrules
+from sparkloom.llm import anchors, gifmedia, hmm, langid, mixing, negatives, notices, posindex, simhash, toolcalls, toxicity, turnrepair, urlrules
 from sparkloom.session import ready, table
 
 
@@ -60,6 +60,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10_simhash(table(spark, sf_dir, "documents"))
 
 
+def op11_turnrepair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return turnrepair.op11_turnrepair(table(spark, sf_dir, "conversations"))
+
+
 def op12_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return urlrules.op12_urlrules(table(spark, sf_dir, "pages"))
@@ -71,8 +76,8 @@ def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_hmm, op3_notices, op4_gif, op5_decontamination, op6_toxicity, op7_toolcalls, op8_mixing, op9_anchors, op10_simhash, op12_urlrules, op13_negatives)}
+    return {f.__name__: f for f in (op1_langid, op2_hmm, op3_notices, op4_gif, op5_decontamination, op6_toxicity, op7_toolcalls, op8_mixing, op9_anchors, op10_simhash, op11_turnrepair, op12_urlrules, op13_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": posindex.OP5_SQL, "op8_mixing": mixing.OP8_SQL, "op9_anchors": anchors.OP9_SQL, "op12_urlrules": urlrules.OP12_SQL, "op13_negatives": negatives.OP13_SQL}
+    return {"op5_decontamination": posindex.OP5_SQL, "op8_mixing": mixing.OP8_SQL, "op9_anchors": anchors.OP9_SQL, "op11_turnrepair": turnrepair.OP11_SQL, "op12_urlrules": urlrules.OP12_SQL, "op13_negatives": negatives.OP13_SQL}
