@@ -180,10 +180,10 @@ def _feed(spark, d):
     return op.feed(rows(spark, d, "events", "event_id id", "ts", "event_id ord"), 50, 100).select("id")
 
 
-@query("topk_scope_paths", """SELECT cycle, path FROM (SELECT l_orderkey AS cycle, l_suppkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE s_acctbal END DESC, l_linenumber, l_partkey) AS n
+@query("topk_scope_paths", """SELECT cycle, path FROM (SELECT l_orderkey AS cycle, l_suppkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE s_acctbal END DESC, l_linenumber, l_partkey, l_suppkey) AS n
 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) WHERE n <= 3""")
 def _scope_paths(spark, d):
-    paths = rows(spark, d, "lineitem", "l_orderkey cycle", "l_suppkey path", "struct(l_linenumber, l_partkey) ord")
+    paths = rows(spark, d, "lineitem", "l_orderkey cycle", "l_suppkey path", "struct(l_linenumber, l_partkey, l_suppkey) ord")
     nodes = rows(spark, d, "supplier", "s_suppkey id", "s_acctbal importance", "s_suppkey ord").where("id % 3 <> 0")
     return op.scope_paths(paths, nodes).select("cycle", "path")
 
