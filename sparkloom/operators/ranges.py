@@ -97,31 +97,44 @@ ANY = _Any()
 
 class Run:
     """What a run of events makes of every state that it may be entered in: runs compose, so a key's runs can be worked
-    out side by side. States that have met stay one. An entry's unknown mark is told apart from those that events name:
-    the first event to name one splits the entry in two, that with this very mark and that with any other."""
+    out side by side. Entries whose states have met go on as one. An unknown mark is told apart from those that events name:
+    the first event to name one splits off the entry with this very mark."""
 
     def __init__(self, machine: Machine) -> None:
         self.machine = machine
-        self.of = {e: e for e in machine.entries()}  # entry: current state
+        self.groups = {e: [e] for e in machine.entries()}  # current state: entries
+        self.named = set()
 
     def add(self, event: tuple) -> None:
         mark = self.machine.mark(event)
         if mark is not None:
-            for entry, now in list(self.of.items()):
-                if now[2] is ANY and (known := (entry[0], entry[1], mark)) not in self.of:
-                    self.of[known] = (now[0], now[1], mark)
-        step, met = self.machine.step, {}
-        for entry, now in self.of.items():
-            if now not in met:
-                met[now] = step(now, event)[0]
-            self.of[entry] = met[now]
-
-    def out(self, state: tuple) -> tuple:
-        """The state after the run, entered in `state`."""
-        if state in self.of:
-            return self.of[state]
-        status, count, mark = self.of[state[0], state[1], ANY]
-        return status, count, state[2] if mark is ANY else mark
+            for now, entries in list(self.groups.items()):
+                if now[2] is ANY:
+                    fresh = [(e[0], e[1], mark) for e in entries if e[2] is ANY and (e[0], e[1], mark) not in self.named]
+                    self.named.update(fresh)
+                    self.groups.setdefault((now[0], now[1], mark), []).extend(fresh)
+        met: dict = {}
+        for now, entries in self.groups.items():
+            after = self.machine.step(now, event)[0]
+            if after in met:
+                small, large = sorted((met[after], entries), key=len)
+                large.extend(small)
+                met[after] = large
+            else:
+                met[after] = entries
+        self.groups = met
+
+    def ends(self) -> dict[tuple, tuple]:
+        """The state behind the run of each entry."""
+        return {e: now for now, entries in self.groups.items() for e in entries}
+
+
+def left(ends: dict[tuple, tuple], state: tuple) -> tuple:
+    """The state in which a run is left that is entered in `state`."""
+    if state in ends:
+        return ends[state]
+    status, count, mark = ends[state[0], state[1], ANY]
+    return status, count, state[2] if mark is ANY else mark
 
 
 def walked(events: DataFrame, machine: Machine, columns: list[str], added: dict[str, str], key: str = "key", order: tuple[str, ...] = ("ms", "id")) -> DataFrame:
@@ -148,13 +161,13 @@ def walked(events: DataFrame, machine: Machine, columns: list[str], added: dict[
                 else:
                     tail = machine.step(tail, tuple(event))[0]
         if run is not None:
-            yield pd.DataFrame({"range": [TaskContext.get().partitionId()], "run": [pickle.dumps((first, last, run, tail))]})
+            yield pd.DataFrame({"range": [TaskContext.get().partitionId()], "run": [pickle.dumps((first, last, run.ends(), tail))]})
 
     entered, key_before, state = {}, None, machine.START
     for r in sorted(ranges.select(key, *columns).mapInPandas(runs, "range int, run binary").collect(), key=lambda r: r["range"]):
-        first, last, run, tail = pickle.loads(r["run"])
+        first, last, ends, tail = pickle.loads(r["run"])
         entered[r["range"]] = state if first == key_before else machine.START
-        state = run.out(entered[r["range"]]) if tail is None else tail
+        state = left(ends, entered[r["range"]]) if tail is None else tail
         key_before = last
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
