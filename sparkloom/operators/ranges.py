@@ -44,17 +44,20 @@ def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return checkpointed(sorted_.withColumn("_range", F.spark_partition_id()))
 
 
-def running(ranges: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], inclusive: bool = True) -> DataFrame:
-    """`dealt` rows with sums (new name: column) over the rows of their key up to them, or before them. Each range is
-    summed by itself; its offset is the sum of one row for each range before it."""
+def running(ranges: DataFrame, keys: list[str], order: list[str], sums: dict[str, str] | None = None, highest: dict[str, str] | None = None, inclusive: bool = True) -> DataFrame:
+    """`dealt` rows with sums and highest values (new name: column) over the rows of their key up to them, or before them;
+    a sum of nothing is 0, a highest of nothing is null. Each range is summed up by itself; what it starts from comes from
+    one row for each key and range before it."""
     end = Window.currentRow if inclusive else -1
     within = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    per = ranges.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    shift = per.select(*keys, "_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
-    own = ranges.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
-    met = own.alias("a").join(shift.alias("b"), (F.col("a._range") == F.col("b._range")) & _same(keys)).select("a.*", *[f"b._{n}" for n in sums])
-    return met.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop(*[f"_{n}" for n in sums])
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    made = [(n, c, F.sum, lambda a, b: zero(a) + zero(b)) for n, c in (sums or {}).items()] + [(n, c, F.max, F.greatest) for n, c in (highest or {}).items()]
+    per = ranges.groupBy(*keys, "_range").agg(*[f(c).alias(f"_{n}") for n, c, f, _ in made])
+    start = per.select(*keys, "_range", *[f(f"_{n}").over(before).alias(f"_{n}") for n, _, f, _ in made])
+    own = ranges.withColumns({n: f(c).over(within) for n, c, f, _ in made})
+    met = own.alias("a").join(start.alias("b"), (F.col("a._range") == F.col("b._range")) & _same(keys)).select("a.*", *[f"b._{n}" for n, *_ in made])
+    return met.withColumns({n: both(F.col(n), F.col(f"_{n}")) for n, _, _, both in made}).drop(*[f"_{n}" for n, *_ in made])
 
 
 def _same(keys: list[str]):
