@@ -19,10 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, stored in the cluster's checkpoint folder with its partitions and their order; a temporary folder only where
-    none is set and all tasks run on this machine."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary folder only where none is set and all tasks run on this machine."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         found = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +29,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         context.setCheckpointDir(found)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, stored in the shared folder with its partitions and their order."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

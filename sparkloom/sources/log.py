@@ -11,6 +11,7 @@ repeated commit changes nothing. Folders are opened by their URI (a shared mount
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ class _Part(WriterCommitMessage):
 
 class _Folder:
     def __init__(self, uri: str) -> None:
-        self.store, self.root = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+        self.store, self.root = fs.FileSystem.from_uri(re.sub("^(file:)?/+", "file:///", uri))
 
     def commits(self) -> list[dict]:
         """All commits in order of their names."""

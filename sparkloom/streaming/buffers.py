@@ -217,3 +217,34 @@ def live_runs(events: DataFrame, types: list[str], most: int = 100, wait_ms: int
     follows is flushed by a timer."""
     with_store(events.sparkSession)
     return events.groupBy("key").transformWithStateInPandas(_Runs(types, most, wait_ms), "key long, n long, type string, ids array<long>", "Append", "EventTime")
+
+
+def runs(events: DataFrame, types: list[str], most: int = 100, wait_ms: int = 1_000) -> DataFrame:
+    """The same over a table: (key, n, type, ids). A run ends for certain where the type changes or does not go together, and
+    where the next event comes wait_ms later; these places are counted by ranges, and only what lies between is walked."""
+    known = events.where("key is not null and ms is not null").select("key", "id", "ms", "type")
+    ranges = dealt(known.withColumn("_at", F.struct("ms", "id", "type")), ["key"], ["ms", "id"])
+    before = running(ranges, ["key"], ["ms", "id"], None, {"_last": "_at"}, inclusive=False)
+    single = ~F.coalesce(F.col("type").isin(types), F.lit(False))
+    cut = before.withColumn("_cut", F.coalesce(single | ~F.col("type").eqNullSafe(F.col("_last.type")) | (F.col("ms") - F.col("_last.ms") >= wait_ms), F.lit(True)).cast("long"))
+    parts = running(cut, ["key"], ["ms", "id"], {"part": "_cut"})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, first, size, n = None, 0, 0, 0
+        for pdf in batches:
+            out = []
+            for key, part, ms in zip(pdf["key"].tolist(), pdf["part"].tolist(), pdf["ms"].tolist()):
+                if (key, part) != last:
+                    last, first, size, n = (key, part), ms, 0, 0
+                elif size >= most or ms - first >= wait_ms:
+                    first, size, n = ms, 0, n + 1
+                size += 1
+                out.append(n)
+            yield pdf.assign(piece=out)[["key", "id", "ms", "type", "part", "piece"]]
+
+    kind = {f.name: f.dataType.simpleString() for f in known.schema.fields}
+    ordered = parts.select("key", "id", "ms", "type", "part").repartition("key", "part").sortWithinPartitions("key", "part", "ms", "id")
+    walked = ordered.mapInPandas(walk, f"key {kind['key']}, id {kind['id']}, ms {kind['ms']}, type {kind['type']}, part long, piece long")
+    own = walked.groupBy("key", "part", "piece").agg(F.array_sort(F.collect_list(F.struct("ms", "id"))).alias("e"), F.first("type").alias("type"))
+    numbered = running(dealt(own.withColumn("_one", F.lit(1)), ["key"], ["part", "piece"]), ["key"], ["part", "piece"], {"n": "_one"}, inclusive=False)
+    return numbered.select("key", "n", "type", F.transform("e", lambda x: x["id"]).alias("ids"))
