@@ -151,9 +151,9 @@ def _fan_out(spark, d):
 
 
 @query("agg_active_gauge", """WITH r AS (SELECT l_returnflag AS route, l_linestatus AS status, CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS s, CAST(l_shipdate AS DATE) - DATE '1992-01-01' AS e FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
-p AS (SELECT route, status, s AS at FROM r WHERE e >= s UNION SELECT route, status, e FROM r WHERE e >= s), r2 AS (SELECT route, status, s, e, count(*) AS c FROM r GROUP BY ALL),
-n AS (SELECT p.route, p.status, p.at, coalesce(sum(c), 0) AS level FROM p LEFT JOIN r2 ON r2.route = p.route AND r2.status = p.status AND r2.s <= p.at AND r2.e > p.at GROUP BY ALL)
-SELECT route, status, CAST(max(level) AS BIGINT) AS highest, arg_max(at, (level, -at)) AS at, CAST(coalesce((SELECT sum(c) FROM r2 WHERE r2.route = n.route AND r2.status = n.status AND s <= 1300 AND e > 1300), 0) AS BIGINT) AS current FROM n GROUP BY route, status""")
+p AS (SELECT route, status, s AS t FROM r WHERE e >= s UNION SELECT route, status, e FROM r WHERE e >= s), r2 AS (SELECT route, status, s, e, count(*) AS c FROM r GROUP BY ALL),
+n AS (SELECT p.route, p.status, p.t, coalesce(sum(c), 0) AS level FROM p LEFT JOIN r2 ON r2.route = p.route AND r2.status = p.status AND r2.s <= p.t AND r2.e > p.t GROUP BY ALL)
+SELECT route, status, CAST(max(level) AS BIGINT) AS highest, arg_max(t, (level, -t)) AS "at", CAST(coalesce((SELECT sum(c) FROM r2 WHERE r2.route = n.route AND r2.status = n.status AND s <= 1300 AND e > 1300), 0) AS BIGINT) AS current FROM n GROUP BY route, status""")
 def _gauge(spark, d):
     """Lines that are ordered and not yet shipped, by flag and status."""
     day = lambda c: f"cast(datediff(cast({c} as date), date '1992-01-01') as long)"
