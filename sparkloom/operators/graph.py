@@ -76,20 +76,21 @@ def _capped(rows: DataFrame, order: list, most: int) -> DataFrame:
     return rows.withColumn("rk", F.row_number().over(Window.partitionBy("unit").orderBy(*order))).where(F.col("rk") <= most + 1)
 
 
-def scaffolds(units: DataFrame, nodes: DataFrame, edges: DataFrame, hotspots: DataFrame, max_nodes: int = 25, max_edges: int = 20, max_hotspots: int = 10) -> DataFrame:
-    """unit, nodes, edges, hotspots, tokens, truncated for each unit (unit, budget): how many nodes (unit, id, importance,
-    ord) by importance, edges (unit, src, dst, ord) with an end among them by ord, and hotspots (unit, complexity, ord) by
-    complexity fit the budget. 40 tokens are spent at once, 4 a node and an edge, 6 a hotspot. Above the budget hotspots go
-    first, then nodes, and with them edges that lose both ends; as no edge is left without a node, none goes by itself.
+#: Caps and budget of a fix prompt, and how many edges and neighbours it prints.
+PROMPT = {"max_nodes": 8, "max_edges": 10, "max_hotspots": 5}
+PROMPT_BUDGET, PRINTED_EDGES, PRINTED_NEIGHBOURS = 400, 6, 5
 
-    The number of hotspots that fit has a closed form; nodes are tried from none to all over a unit's few kept edges.
-    """
+
+def _fitted(units: DataFrame, nodes: DataFrame, edges: DataFrame, hotspots: DataFrame, max_nodes: int, max_edges: int, max_hotspots: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Each unit with how many nodes (k), edges (e) and hotspots (g) fit, and the ranked nodes, edges and hotspots."""
     ranked = _capped(nodes, [F.desc("importance"), "ord"], max_nodes).withColumn("over", F.col("rk") > max_nodes)
     kept = ranked.where("not over").select("unit", "id", "rk")
-    ends = edges.select("unit", "ord", F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"))
-    held = ends.join(kept, ["unit", "id"]).groupBy("unit", "ord").agg(F.min("rk").alias("need"))
-    some = _capped(held, ["ord"], max_edges).groupBy("unit").agg(F.collect_list(F.when(F.col("rk") <= max_edges, F.col("need"))).alias("needs"), F.max(F.col("rk") > max_edges).alias("cut_e"))
-    hot = _capped(hotspots, [F.desc("complexity"), "ord"], max_hotspots).groupBy("unit").agg(F.count_if(F.col("rk") <= max_hotspots).alias("h"), F.max(F.col("rk") > max_hotspots).alias("cut_h"))
+    ends = edges.select("unit", "ord", "src", "dst", F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"))
+    held = ends.join(kept, ["unit", "id"]).groupBy("unit", "ord", "src", "dst").agg(F.min("rk").alias("need"))
+    some_rows = _capped(held, ["ord"], max_edges)
+    hot_rows = _capped(hotspots, [F.desc("complexity"), "ord"], max_hotspots)
+    some = some_rows.groupBy("unit").agg(F.collect_list(F.when(F.col("rk") <= max_edges, F.col("need"))).alias("needs"), F.max(F.col("rk") > max_edges).alias("cut_e"))
+    hot = hot_rows.groupBy("unit").agg(F.count_if(F.col("rk") <= max_hotspots).alias("h"), F.max(F.col("rk") > max_hotspots).alias("cut_h"))
     own = ranked.groupBy("unit").agg(F.count_if(~F.col("over")).alias("n"), F.max("over").alias("cut_n"))
     no = F.lit(False)
     all_ = units.select("unit", F.col("budget").cast("long").alias("budget")).join(own, "unit", "left").join(some, "unit", "left").join(hot, "unit", "left")
@@ -100,10 +101,48 @@ def scaffolds(units: DataFrame, nodes: DataFrame, edges: DataFrame, hotspots: Da
     all_ = all_.withColumn("k", F.coalesce(F.array_max(fits), F.lit(0)).cast("long")).withColumn("e", F.size(within(F.col("k"))).cast("long"))
     room = F.floor((F.col("budget") - 40 - 4 * F.col("k") - 4 * F.col("e")) / 6)
     all_ = all_.withColumn("g", F.when(F.col("k") < F.col("n"), 0).otherwise(F.greatest(F.lit(0), F.least(F.col("h"), room))).cast("long"))
+    return all_, ranked.where("not over"), some_rows.where(F.col("rk") <= max_edges), hot_rows.where(F.col("rk") <= max_hotspots)
+
+
+def scaffolds(units: DataFrame, nodes: DataFrame, edges: DataFrame, hotspots: DataFrame, max_nodes: int = 25, max_edges: int = 20, max_hotspots: int = 10) -> DataFrame:
+    """unit, nodes, edges, hotspots, tokens, truncated for each unit (unit, budget): how many nodes (unit, id, importance,
+    ord) by importance, edges (unit, src, dst, ord) with an end among them by ord, and hotspots (unit, complexity, ord) by
+    complexity fit the budget. 40 tokens are spent at once, 4 a node and an edge, 6 a hotspot. Above the budget hotspots go
+    first, then nodes, and with them edges that lose both ends; as no edge is left without a node, none goes by itself.
+
+    The number of hotspots that fit has a closed form; nodes are tried from none to all over a unit's few kept edges.
+    """
+    all_, *_ = _fitted(units, nodes, edges, hotspots, max_nodes, max_edges, max_hotspots)
     tokens = 40 + 4 * F.col("k") + 4 * F.col("e") + 6 * F.col("g")
     return all_.select("unit", F.col("k").alias("nodes"), F.col("e").alias("edges"), F.col("g").alias("hotspots"), tokens.alias("tokens"), (F.col("cut") | (F.col("k") < F.col("n")) | (F.col("g") < F.col("h"))).alias("truncated"))
 
 
+def scaffold_rows(units: DataFrame, nodes: DataFrame, edges: DataFrame, hotspots: DataFrame, max_nodes: int = 25, max_edges: int = 20, max_hotspots: int = 10) -> DataFrame:
+    """What `scaffolds` keeps, as rows (unit, kind, nth, id, other, score, truncated): nodes by importance, edges (from id to
+    other) in order, hotspots by complexity, each numbered from 1. All units go through at once, from one table of edges; a
+    unit that keeps nothing has no row."""
+    all_, n, e, h = _fitted(units, nodes, edges, hotspots, max_nodes, max_edges, max_hotspots)
+    cut = all_.select("unit", "k", "g", (F.col("cut") | (F.col("k") < F.col("n")) | (F.col("g") < F.col("h"))).alias("truncated"))
+    none = F.lit(None).cast("string")
+    parts = [
+        n.join(cut, "unit").where("rk <= k").select("unit", F.lit("node").alias("kind"), "rk", F.col("id").cast("string").alias("id"), none.alias("other"), F.col("importance").cast("double").alias("score"), "truncated"),
+        e.join(cut, "unit").where("need <= k").select("unit", F.lit("edge").alias("kind"), "rk", F.col("src").cast("string").alias("id"), F.col("dst").cast("string").alias("other"), F.lit(None).cast("double").alias("score"), "truncated"),
+        h.join(cut, "unit").where("rk <= g").select("unit", F.lit("hotspot").alias("kind"), "rk", F.col("path").cast("string").alias("id"), none.alias("other"), F.col("complexity").cast("double").alias("score"), "truncated"),
+    ]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # a unit has at most the caps' rows of each kind
+    nth = F.row_number().over(Window.partitionBy("unit", "kind").orderBy("rk"))
+    return every.withColumn("nth", nth).select("unit", "kind", "nth", "id", "other", "score", "truncated")
+
+
+def prompt_rows(units: DataFrame, nodes: DataFrame, edges: DataFrame, hotspots: DataFrame) -> DataFrame:
+    """The rows that a fix prompt prints for each unit (unit): its own caps and budget, of the kept edges the first six, of
+    the kept nodes the five most important ones."""
+    rows = scaffold_rows(units.select("unit").withColumn("budget", F.lit(PROMPT_BUDGET)), nodes, edges, hotspots, **PROMPT)
+    most = F.when(F.col("kind") == "edge", PRINTED_EDGES).when(F.col("kind") == "node", PRINTED_NEIGHBOURS).otherwise(PROMPT["max_hotspots"])
+    return rows.where(F.col("nth") <= most)
+
+
 def first_words(nodes: DataFrame, hotspots: DataFrame, most_nodes: int = 15, most_hotspots: int = 10) -> DataFrame:
     """What a planner is shown: the most important nodes, then the most complex files, in this order."""
     top = lambda rows, by, id_, kind, most: rows.orderBy(F.desc(by), "ord").limit(most).select(F.lit(kind).alias("kind"), F.col(id_).alias("id"), F.col(by).cast("double").alias("score"))
