@@ -405,36 +405,3 @@ def _first_error(spark, d):
         return F.when(bad.isNotNull(), F.concat(F.lit("entry "), i.cast("string"), F.lit(": "), bad))
 
     return runs.select("l_orderkey", F.get(F.filter(F.transform("runs", check), lambda e: e.isNotNull()), F.lit(0)).alias("first_error"))
-
-
-# -- the flagship: all fourteen generators of isolated issues, in one ranked list ---------------------------------
-
-VIEWS["v_modules"] = "SELECT CASE p_type WHEN 'STANDARD' THEN 'components' WHEN 'LARGE' THEN 'services' WHEN 'SMALL' THEN 'tests' WHEN 'MEDIUM' THEN 'docs-site' WHEN 'ECONOMY' THEN 'Shared' ELSE 'mailQueue' END AS name, count(*) AS files FROM part GROUP BY p_type"
-_UI, _DATA, _TEST = "(?i)^(components?|pages?|views?|ui|frontend)", "(?i)^(api|services?|hooks?|data|backend|server)", "(?i)^(test|tests|spec|specs|__tests__)"
-_OTHER = "(?i)^(node_modules|dist|build|[.])"
-
-#: gen (order of emission), ord (order within it), tier, cat, title. Stand-ins that the tables are too even for have
-#: lower bars: complexity 48 for 60, module share 0.17 for 0.3, edges a file 0.5 for 5.
-_ISSUES = f"""SELECT 1 AS gen, p.ord, CASE c.severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 4 END AS tier, 0 AS cat, concat(c.catalog_id, ':', p.name) AS title FROM v_packages p JOIN v_catalog c ON p.source_file = concat('Brand#1', right(c.package, 1)) AND (c.ver = '*' OR left(p.version, length(c.ver)) = c.ver)
-UNION ALL SELECT 2, n.ord, 0, 1, concat(a.src, ' > ', a.dst) FROM v_edges a JOIN v_edges b ON a.dst = b.src AND b.dst = a.src JOIN v_nodes n ON n.id = a.src WHERE a.src < a.dst
-UNION ALL SELECT 3, ord, CASE WHEN complexity > 48 THEN 1 ELSE 2 END, 8, path FROM (SELECT * FROM v_hotspots WHERE complexity > 45 ORDER BY complexity DESC, ord LIMIT 5) x
-UNION ALL SELECT 4, ord, 1, 2, id FROM (SELECT n.ord, n.id FROM v_nodes n WHERE NOT EXISTS (SELECT 1 FROM v_edges e WHERE e.dst = n.id) ORDER BY n.ord LIMIT 5) x
-UNION ALL SELECT 5, 0, 2, 4, name FROM (SELECT name, files, sum(files) OVER () AS t, count(*) OVER () AS n FROM v_modules) x WHERE n > 1 AND files > 0.17 * t
-UNION ALL SELECT 6, r_regionkey, 1, 9, concat('blocker: ', r_name) FROM region
-UNION ALL SELECT 6, 1000 + n_nationkey, 2, 6, concat('warning: ', n_name) FROM nation
-UNION ALL SELECT 7, 0, 2, 5, 'layers' FROM (SELECT count(*) AS n, count(CASE WHEN RX(name, '{_UI}') THEN 1 END) AS ui, count(CASE WHEN RX(name, '{_DATA}') THEN 1 END) AS dt FROM v_modules) x WHERE n >= 3 AND ui > 0 AND dt > 0
-UNION ALL SELECT 8, 0, 4, 6, module FROM (SELECT module, count(*) AS n FROM v_hotspots GROUP BY module) x WHERE n > 20
-UNION ALL SELECT 9, 0, 3, 3, CASE WHEN tests = 0 THEN 'no tests' ELSE 'few tests' END FROM (SELECT coalesce(sum(CASE WHEN RX(name, '{_TEST}') THEN files END), 0) AS tests, coalesce(sum(CASE WHEN NOT RX(name, '{_TEST}') AND NOT RX(name, '{_OTHER}') THEN files END), 0) AS src FROM v_modules) x WHERE (src > 10 AND tests = 0) OR (src > 0 AND tests > 0 AND tests * 5 < src)
-UNION ALL SELECT 10, ord, 3, 9, path FROM (SELECT ord, path FROM v_hotspots WHERE ord % 7 = 3 AND (SELECT sum(symbols) FROM v_hotspots) > 50 ORDER BY ord LIMIT 2) x
-UNION ALL SELECT 11, 0, 4, 7, 'imports' FROM (SELECT (SELECT count(*) FROM v_edges) AS e, (SELECT count(*) FROM v_nodes) AS f) x WHERE f > 0 AND e > 0.5 * f
-UNION ALL SELECT 12, 0, 5, 10, concat('styles: ', cast(k + c + p AS VARCHAR(9))) FROM (SELECT count(*) AS n, max(CASE WHEN RX(name, '^[a-z]+(-[a-z]+)+$') THEN 1 ELSE 0 END) AS k, max(CASE WHEN RX(name, '^[a-z]+[A-Z]') THEN 1 ELSE 0 END) AS c, max(CASE WHEN RX(name, '^[A-Z]') THEN 1 ELSE 0 END) AS p FROM v_modules) x WHERE n > 2 AND k + c + p >= 2
-UNION ALL SELECT 13, 0, 5, 11, 'guidelines' FROM (SELECT count(*) AS n, sum(files) AS f FROM v_modules) x WHERE f > 15 AND n > 2
-UNION ALL SELECT 14, 0, CASE WHEN killed * 100 < 40 * n THEN 1 ELSE 2 END, 3, 'mutants' FROM (SELECT count(*) AS n, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS killed FROM orders) x WHERE n > 0 AND killed * 100 < 60 * n"""
-
-
-@query("flagship_issues", duck(f"WITH g AS ({_ISSUES}) SELECT cast(row_number() OVER (ORDER BY tier, cat, gen, ord, title) AS BIGINT) AS position, concat('P', cast(tier AS VARCHAR(9))) AS tier, cast(cat AS BIGINT) AS cat, cast(gen AS BIGINT) AS gen, title FROM g"))
-def _flagship(spark, d):
-    """The ranked list; positions come from counts of ranges, as one task could not sort all findings."""
-    issues = sql_frame(spark, d, _with_views(f"WITH g AS ({_ISSUES}) SELECT gen, ord, tier, cat, title FROM g"))
-    placed = op.positions(issues, ["tier", "cat", "gen"], "ord", ["title"])
-    return placed.select("position", F.concat(F.lit("P"), F.col("tier").cast("string")).alias("tier"), F.col("cat").cast("long").alias("cat"), F.col("gen").cast("long").alias("gen"), "title")
