@@ -6,13 +6,14 @@ one too). A phrase costs about the logarithm of the labelled text's length to na
 fewest phrases, weighed by that logarithm, for the letters of the text wins, ties going to the smaller name.
 
 Texts are read as their letters and marks, composed (NFC) and lower-cased, with one space for whatever stands between
-words. The automata are fitted on a bounded sample: the MOST_LANGUAGES most frequent labels, of each of them about
-SAMPLE_DOCS texts of at most SAMPLE_BYTES, chosen by a hash of doc_id, and no more than SAMPLE_ALL in all. They are
-used whole, and every text is predicted from all of its letters.
+words. The automata are fitted on a bounded sample: SAMPLE_DOCS texts of each label, and no more than SAMPLE_ALL in all, but
+at least one of each. They are chosen by a hash among those of at most SAMPLE_BYTES; where a label has too few of these,
+the shortest of the longer ones follow, as long as the label takes no more room than SAMPLE_DOCS texts of SAMPLE_BYTES would. All
+are used whole, and every text is predicted from all of its letters.
 
 Edge cases: null, empty and letterless texts are `und` with score 0; without labelled rows every text is
-`und`; repeated rows are predicted each for itself; a label none of whose texts is short enough to be sampled is not
-learned; extra columns are ignored.
+`und`; repeated rows are predicted each for itself, and learned from once, as are rows without an id that have the same
+text; a label none of whose texts has a letter is not learned; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sparkloom.llm.arrowtext import LOWER, raw, remainder, steps
+from sparkloom.llm.store import drop, written
 
 UND = "und"
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_ALL, MOST_LANGUAGES = 20, 8_000, 200, 64
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_ALL = 20, 8_000, 200
 #: Texts that are no longer worth a step together.
 FEW = 12
 
@@ -188,27 +191,34 @@ def letters(folded: bytes) -> str:
     return own if any(unicodedata.category(c)[0] == "L" for c in set(own)) else ""
 
 
-def training_texts(labelled: DataFrame, docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES, most: int = SAMPLE_ALL, languages: int = MOST_LANGUAGES) -> dict[str, list[str]]:
-    """Letters of a bounded sample of texts for each language.
+def training_texts(labelled: DataFrame, docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES, most: int = SAMPLE_ALL) -> dict[str, list[str]]:
+    """Letters of a bounded sample of whole texts for each language.
 
-    One small aggregate (sampled rows a language, to choose a hash threshold that keeps about `docs` of them), then
-    the rows kept; only these reach the driver.
+    Rows are told apart by a hash of id and text, so that copies and missing ids count once. Of each label the rows to take
+    are found by hash and length alone; of their texts, only these reach the driver.
     """
-    space = 1 << 30
-    labelled = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") <= size))
-    many = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not many:
+    known = labelled.where(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
+    row = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    narrow = written(known.select("lang", F.octet_length("text").alias("bytes"), row.alias("h")).distinct(), "labelled")
+    labels = narrow.select("lang").distinct().count()
+    if not labels:
+        drop(narrow)
         return {}
-    docs = max(1, min(docs, most // len(many)))
-    bound = F.element_at(F.create_map(*[x for r in many for x in (F.lit(r["lang"]), F.lit(int(min(space, space * 1.5 * docs / r["n"])) + 1))]), F.col("lang"))
-    hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(space))
-    chosen = labelled.where(F.col("lang").isin([r["lang"] for r in many])).withColumn("h", hashed).where(F.col("h") < bound)
+    docs = max(1, min(docs, most // labels))
+    order = Window.partitionBy("lang").orderBy(F.greatest(F.col("bytes"), F.lit(size)), "h")
+    chosen = narrow.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs)
+    # texts longer than usual only as far as they take no more room than usual ones would; the shortest in any case
+    room = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    keys = chosen.withColumn("room", room).where((F.col("n") == 1) | (F.col("room") <= docs * size)).select("lang", "h", "n").collect()
+    drop(narrow)
+    place = {(r["lang"], r["h"]): r["n"] for r in keys}
+    asked = labelled.sparkSession.createDataFrame([(r["lang"], r["h"]) for r in keys], "lang string, h long")
+    met = known.select("lang", row.alias("h"), "text").join(F.broadcast(asked), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
     out: dict[str, list[str]] = {}
-    for r in chosen.select("lang", "h", "text").orderBy("lang", "h", "text").collect():
-        own = out.setdefault(r["lang"], [])
-        if len(own) < docs and (text := letters(r["text"].encode("utf-8", "replace").translate(LETTERS))):
-            own.append(text)
-    return {lang: own for lang, own in out.items() if own}
+    for r in sorted(met.collect(), key=lambda r: (r["lang"], place[r["lang"], r["h"]])):
+        if text := letters(r["text"].encode("utf-8", "replace").translate(LETTERS)):
+            out.setdefault(r["lang"], []).append(text)
+    return out
 
 
 _built: dict[int, Parser] = {}

@@ -124,9 +124,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(remainder("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows)
-    # one row a document: a repeated document counts once
+    # one row a document: a repeated document counts once, with the text whose hash is smallest
     met = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    return written(met.select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).select("text", "toxic"), "labelled")
+    one = met.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return written(one.select("text", "toxic"), "labelled")
 
 
 def learned(labelled: DataFrame, seeds=SEEDS) -> dict[str, float]:

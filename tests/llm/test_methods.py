@@ -4,10 +4,12 @@ import random
 import re
 import struct
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import anchors, gifmedia, hmm, langid, nearcopies, notices, posindex, simhash, store, toolcalls, toxicity
 
@@ -46,14 +48,44 @@ def test_running_letters():
     assert read("  It's 2 o'clock,\tNOW") == "it s o clock now" and read("U\u0308BER  \u2014 x") == "über x" and read("12 \u2014 \u0301") == ""
 
 
-def test_labels_with_long_texts_only_are_not_learned(spark):
-    docs = spark.createDataFrame([(i, "wort " * 5, "de") for i in range(0, 30)] + [(100 + i, "long " * 4000, "xx") for i in range(9)], "doc_id long, text string, lang string")
-    assert set(langid.learned(docs)) == {"de"} and len(langid.training_texts(docs, docs=3)["de"]) <= 3
+def test_every_label_is_learned(spark):
+    rows = [(i, f"wort{i} " * 5, "de") for i in range(0, 30)] + [(100 + i, f"long{'abcdefghi'[i]} " * (1500 + 100 * i), "xx") for i in range(9)] + [(200, "12 34", "no")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.training_texts(docs, docs=3)
+    assert set(found) == {"de", "xx"} and len(found["de"]) == 3
+    assert [t.split()[0] for t in found["xx"]] == ["longa", "longb"]  # the shortest two fit the room of three usual texts
+    many = spark.createDataFrame([(3 * i, f"text {chr(0x4E00 + i)} {k}", f"l{i % 70:02}") for i in range(210) for k in (0,)], "doc_id long, text string, lang string")
+    assert len(langid.training_texts(many)) == 70
+    far = spark.createDataFrame([(i, "x" * 5 + " y" * 9000, f"l{i}") for i in range(0, 12, 3)], "doc_id long, text string, lang string")
+    assert len(langid.training_texts(far)) == 4
+
+
+def test_rows_without_ids_are_a_bounded_sample(spark):
+    docs = spark.range(100_000).selectExpr("cast(null as long) doc_id", "concat('text of ', char(97 + cast(id % 26 as int)), ' ', char(97 + cast(id / 26 % 26 as int)), ' ', id % 5000) text", "'xx' lang")
+    assert 1 < len(langid.training_texts(docs)["xx"]) <= langid.SAMPLE_DOCS
+    same = spark.range(100_000).selectExpr("cast(null as long) doc_id", "'the same text' text", "'xx' lang")
+    assert langid.training_texts(same) == {"xx": ["the same text"]}
+
+
+def test_the_label_of_a_repeated_document_is_learned_from_one_text(spark):
+    own = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    docs = spark.createDataFrame([(own, t) for t in "abcdefgh"], "doc_id long, text string")
+    labels = spark.createDataFrame([(own, 1)], "doc_id long, toxic int")
+    picked = {toxicity.sample(docs.repartition(n), labels).first()["text"] for n in (1, 2, 5)}
+    assert len(picked) == 1
 
 
 # -- hidden Markov model -----------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_model_beats_its_base(spark, sf):
+    """Held-out log10 a token."""
+    out = hmm.op2_hmm(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).where("held_out")
+    model, base = out.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert model > base + 0.05
+
+
 def test_counts_over_cuts_are_those_of_whole_texts(monkeypatch):
     rng = np.random.default_rng(1)
     start, move, emit = rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 5, 3).T
