@@ -6,7 +6,10 @@ conversations use is two calls. A call may depend on others of its conversation,
 wave is its level in topological order: 0 without dependencies, else one more than the highest wave among them, by the same
 rule for every conversation; it is null on a cycle, behind one, and behind a call that is missing. Conversations of up to
 LOCAL calls are levelled where they lie after one shuffle; in larger ones, which may hold a great part of all calls, pointers
-to what is depended on are doubled round by round over a stored table, so a chain of n calls takes log2(n) rounds.
+to what is depended on are doubled round by round over a stored table: a call takes over all pointers of the calls that it
+points at, each with the longest way to it, as long as that makes no more than SPREAD of them. Where n calls stand in rows
+of up to the root of SPREAD that need each other in any way, as in chains and ladders, this takes about log2(n) rounds; where more
+than that are needed at once, a round goes on by a level at least.
 
 Arguments are validated against a JSON schema of their tool (type, required, properties, additionalProperties, enum, minimum,
 maximum, minLength, maxLength, items). Canonical JSON has sorted keys, no spaces and no escapes that are not needed; a lone
@@ -30,6 +33,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.store import drop, partitions, written
 
@@ -37,6 +41,8 @@ from sparkloom.llm.store import drop, partitions, written
 REPLY_SCHEMAS = {"reply": {"type": "object", "required": ["role", "text"], "additionalProperties": False, "properties": {"role": {"type": "string", "enum": ["user", "system", "tool"]}, "text": {"type": "string", "minLength": 1}, "after": {"type": "string"}}}}
 #: Levels that arguments may be nested; calls of a conversation that are put in order in one task.
 DEPTH, LOCAL = 100, 100_000
+#: Pointers that a call may take over at once.
+SPREAD = 256
 KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -125,13 +131,19 @@ def references(value) -> set[str]:
     return set().union(*map(references, value)) if isinstance(value, list) else set()
 
 
+def _kind(rows: DataFrame) -> tuple[str, pa.DataType]:
+    """The type of conversation ids: texts stay texts."""
+    return ("string", pa.string()) if isinstance(rows.schema["conv_id"].dataType, T.StringType) else ("long", pa.int64())
+
+
 def from_conversations(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls (conv_id, turn, call_id, tool, arguments) and results (conv_id, turn, call_id, content) of plain turns.
 
     Everything follows from the row itself: a message answers the turn before it and comes after the call two before.
     """
     own = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower("role").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    conv = F.col("conv_id").cast(_kind(messages)[0])
+    m = messages.select(conv.alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower("role").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     named = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     asked = m.where(F.coalesce(F.col("role"), F.lit("")) != "assistant")
     after = F.when(F.col("turn") >= 2, F.concat(F.lit("$ref:"), F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 2).cast("string"))))
@@ -141,7 +153,7 @@ def from_conversations(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
-ROW = "call_id string, conv_id long, turn long, status string, n_calls long, n_results long, valid boolean, problems array<string>, deps array<string>, json string"
+ROW = "call_id string, conv_id {kind}, turn long, status string, n_calls long, n_results long, valid boolean, problems array<string>, deps array<string>, json string"
 _ARROW = pa.schema([("call_id", pa.string()), ("conv_id", pa.int64()), ("turn", pa.int64()), ("status", pa.string()), ("n_calls", pa.int64()), ("n_results", pa.int64()), ("valid", pa.bool_()), ("problems", pa.list_(pa.string())), ("deps", pa.list_(pa.string())), ("json", pa.string())])
 
 
@@ -182,11 +194,14 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict = REPLY_SCHEMAS,
     stray = results.where("call_id is null").select(*key, no_call, zero.alias("n_calls"), F.struct("turn", "content").alias("r"), single.alias("n_results"))
     flat = pairs.unionByName(lone).unionByName(stray).select(*key, F.col("c.turn").alias("turn"), F.col("c.tool").alias("tool"), F.col("c.arguments").alias("arguments"), F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.coalesce("n_calls", zero).alias("n_calls"), F.coalesce("n_results", zero).alias("n_results"))
 
+    kind, arrow = _kind(calls)
+    shape = _ARROW.set(1, pa.field("conv_id", arrow))
+
     def check(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pylist([_checked(x, schemas) for x in b.to_pylist()], schema=_ARROW)
+            yield pa.RecordBatch.from_pylist([_checked(x, schemas) for x in b.to_pylist()], schema=shape)
 
-    return ordered(written(flat.mapInArrow(check, ROW), "calls"), local)
+    return ordered(written(flat.mapInArrow(check, ROW.format(kind=kind)), "calls"), local)
 
 
 def waves(deps: dict[str, list[str]]) -> dict[str, int | None]:
@@ -215,12 +230,14 @@ def waves(deps: dict[str, list[str]]) -> dict[str, int | None]:
 def _near_waves(nodes: DataFrame) -> DataFrame:
     """conv_id, call_id, wave of whole conversations in a task."""
 
+    kind, arrow = _kind(nodes)
+
     def run(batches):
         now, deps = object(), {}
 
         def done():
             got = waves(deps)
-            return pa.RecordBatch.from_arrays([pa.array([now] * len(got), pa.int64()), pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["conv_id", "call_id", "wave"])
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(got), arrow), pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["conv_id", "call_id", "wave"])
 
         for b in batches:  # rows come sorted by conversation
             for conv, call, own in zip(*[b.column(c).to_pylist() for c in ("conv_id", "call_id", "deps")]):
@@ -233,13 +250,14 @@ def _near_waves(nodes: DataFrame) -> DataFrame:
             yield done()
 
     dealt = nodes.repartition(partitions(nodes.sparkSession), "conv_id").sortWithinPartitions("conv_id")
-    return dealt.mapInArrow(run, "conv_id long, call_id string, wave long")
+    return dealt.mapInArrow(run, f"conv_id {kind}, call_id string, wave long")
 
 
 def _far_waves(nodes: DataFrame) -> DataFrame:
-    """The same by pointer doubling. A call points at what it depends on, each pointer with the steps it spans. In a round a
-    pointer at a settled call is settled too, and one at a call with a single pointer takes that call's target. Once
-    log2(n) + 2 rounds settle nothing, what is left lies on or behind a cycle."""
+    """The same by pointer doubling. A call points at what it depends on, each pointer with the most steps that it spans. In a
+    round a pointer at a settled call is settled too, and one at another call is replaced by that call's own pointers, whose
+    settled part counts as well. A round always settles calls that need settled ones only; once log2(n) + 2 rounds settle
+    nothing, what is left lies on or behind a cycle."""
     far = F.lit(1 << 60)  # steps around a cycle grow without end
     state = written(nodes.select("conv_id", "call_id", F.transform("deps", lambda d: F.struct(d.alias("p"), F.lit(1).cast("long").alias("k"))).alias("ptrs"), (F.size("deps") == 0).alias("done"), F.when(F.size("deps") == 0, F.lit(0)).cast("long").alias("wave")), "waves")
     idle, settled, most = 0, -1, state.count().bit_length() + 2
@@ -248,8 +266,14 @@ def _far_waves(nodes: DataFrame) -> DataFrame:
         asked = state.where("not done").select("conv_id", "call_id", "wave", F.explode("ptrs").alias("x")).select("conv_id", "call_id", "wave", "x.p", "x.k")
         met = asked.join(target, asked["conv_id"].eqNullSafe(F.col("tc")) & (F.col("p") == F.col("tp")), "left")
         over = F.coalesce("td", F.lit(True))  # a missing call is settled, without a wave
-        onward = F.when(F.size("to") == 1, F.struct(F.col("to")[0]["p"].alias("p"), F.least(F.col("k") + F.col("to")[0]["k"], far).alias("k"))).otherwise(F.struct("p", "k"))
-        seen = met.groupBy("conv_id", "call_id").agg(F.collect_list(F.when(~over, onward)).alias("ptrs"), F.max(over & F.col("tw").isNull()).alias("lost"), F.greatest(F.max("wave"), F.max(F.when(over, F.col("tw") + F.col("k")))).alias("wave"))
+        per = met.groupBy("conv_id", "call_id").agg(F.collect_list(F.when(~over, F.struct("p", "k", "to", "tw"))).alias("open"), F.max(over & F.col("tw").isNull()).alias("lost"), F.greatest(F.max("wave"), F.max(F.when(over, F.col("tw") + F.col("k")))).alias("wave"))
+        fits = F.aggregate("open", F.lit(0), lambda n, x: n + F.size(x["to"])) <= SPREAD
+        per = per.withColumn("open", F.transform("open", lambda x: F.struct(x["p"].alias("p"), x["k"].alias("k"), (fits | (F.size(x["to"]) == 1)).alias("on"), x["to"].alias("to"), x["tw"].alias("tw"))))
+        behind = F.array_max(F.transform("open", lambda x: F.when(x["on"], x["tw"] + x["k"])))
+        onward = F.flatten(F.transform("open", lambda x: F.when(x["on"], F.transform(x["to"], lambda y: F.struct(y["p"].alias("p"), F.least(x["k"] + y["k"], far).alias("k")))).otherwise(F.array(F.struct(x["p"].alias("p"), x["k"].alias("k"))))))
+        # of several ways to one call the longest
+        each = per.select("conv_id", "call_id", "lost", F.greatest("wave", behind).alias("wave"), F.explode_outer(onward).alias("x")).groupBy("conv_id", "call_id", "lost", "wave", "x.p").agg(F.max("x.k").alias("k"))
+        seen = each.groupBy("conv_id", "call_id", "lost", "wave").agg(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "k"))).alias("ptrs"))
         done = F.col("lost") | (F.size("ptrs") == 0)
         new = written(state.where("done").unionByName(seen.select("conv_id", "call_id", F.when(done, F.array().cast(state.schema["ptrs"].dataType)).otherwise(F.col("ptrs")).alias("ptrs"), done.alias("done"), F.when(~F.col("lost"), F.col("wave")).alias("wave"))), "waves")
         drop(state)

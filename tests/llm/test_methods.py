@@ -427,3 +427,44 @@ def test_anchors_second_hash(monkeypatch):
     assert plain.sum() > 0 and (met == plain).all()
     every = anchors.covered_words(texts, ids, there, 10, known, check, np.full(len(check), -1))[0]
     assert every[:-1].all() and not every[-1]  # all words but the one that no known window holds
+
+
+def tables_of(nodes):
+    """Levels of one conversation found by rounds, and how many tables that took."""
+    made, own = [], store.written
+
+    def counted(df, name):
+        made.append(name)
+        return own(df, name)
+
+    toolcalls.written, before = counted, toolcalls.written
+    try:
+        got = {r["call_id"]: r["wave"] for r in toolcalls._far_waves(nodes).collect()}
+    finally:
+        toolcalls.written = before
+    return got, len(made)
+
+
+def test_ladders_take_few_rounds(spark):
+    n = 40
+    ladder = {f"c{i}": [f"c{j}" for j in (i - 1, i - 2) if j >= 0] for i in range(n)}
+    layers = {f"r{i}.{j}": [f"r{i - 1}.{k}" for k in range(5)] if i else [] for i in range(30) for j in range(5)}
+    partly = {"a": [], "b": ["a"], "c": ["b"], "d": ["c", "x"], "x": ["y"], "y": ["z"], "z": [], "e": ["d"], "f": ["e"], "g": ["f", "a"]}
+    for deps, most in ((ladder, 10), (layers, 10), (partly, 8)):
+        nodes = spark.createDataFrame([("conv", c, d) for c, d in deps.items()], "conv_id string, call_id string, deps array<string>")
+        got, tables = tables_of(nodes)
+        assert got == toolcalls.waves(deps) and tables <= most
+
+
+def test_rounds_over_random_graphs(spark, monkeypatch):
+    monkeypatch.setattr(toolcalls, "SPREAD", 6)
+    deps = {f"c{i}": sorted({f"c{RNG.randrange(max(1, i))}" for _ in range(RNG.randrange(5))} - {f"c{i}"}) for i in range(120)}
+    deps |= {"k1": ["k2"], "k2": ["k1"], "k3": ["k2", "c5"], "m": ["missing"], "n": ["m", "c3"]}
+    nodes = spark.createDataFrame([(7, c, d) for c, d in deps.items()], "conv_id long, call_id string, deps array<string>")
+    assert tables_of(nodes)[0] == {c: w for c, w in toolcalls.waves(deps).items()}
+
+
+def test_conversations_named_by_texts(spark):
+    rows = [("x-1", 0, "user", "hi"), ("x-1", 1, "assistant", "yes"), ("x-1", 2, "user", "more"), ("y-1", 0, "user", "hi")]
+    got = toolcalls.op7_toolcalls(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert {(r["conv_id"], r["turn"], r["status"], r["wave"]) for r in got} == {("x-1", 0, "linked", 0), ("x-1", 2, "open", 1), ("y-1", 0, "open", 0)}
