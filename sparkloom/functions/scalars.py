@@ -29,7 +29,7 @@ MANIFESTS = (
     ("nuget", "Directory.Build.props"),
 )
 # Failures of a start that would only fail again, and commands that may be run.
-HOPELESS = r"(?i)unable to register (\w+ )?model|no such provider|requires (unitId|contractId)|model resolution failed"
+HOPELESS = r"(?i)unable to register (?:%s )?model|no such provider|requires (unitId|contractId)|model resolution failed"
 SAFE_COMMAND = r'^[a-zA-Z0-9_./-]+(?: [a-zA-Z0-9_./=:"-]+)*\z'
 # What is taken off a model's answer, and what begins its headings.
 THOUGHTS = r"(?is)<think.*?</think>\s*"
@@ -267,8 +267,9 @@ def stamp(ms: Column) -> Column:
     return F.when(known, F.date_format(F.timestamp_millis(F.when(known, ms)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).otherwise("live")
 
 
-def hopeless(message: Column) -> Column:
-    return F.coalesce(message.rlike(HOPELESS), F.lit(False))
+def hopeless(message: Column, runtime: str = r"\w+") -> Column:
+    """Whether a start that failed so would only fail again; `runtime` (a pattern) is what models are registered with."""
+    return F.coalesce(message.rlike(HOPELESS % runtime), F.lit(False))
 
 
 def safe_command(command: Column) -> Column:
