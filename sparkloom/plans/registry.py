@@ -23,7 +23,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from sparkloom.plans import catalog, flagship, graphs, planning, records, streams, texts, work  # noqa: F401
+    from sparkloom.plans import catalog, flagship, graphs, missions, planning, records, streams, texts, work  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
