@@ -26,11 +26,12 @@ VIEWS = {
     "v_graph": "SELECT concat(lower(module), '/', id) AS id, module, importance, ord FROM v_nodes",
     "v_steps": "SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS b FROM lineitem",
     "v_edges": "SELECT DISTINCT f.s_name AS src, t.s_name AS dst FROM v_steps JOIN supplier f ON f.s_suppkey = a JOIN supplier t ON t.s_suppkey = b WHERE a <> b",
+    "v_heavy": "SELECT DISTINCT f.s_name AS src, t.s_name AS dst FROM (SELECT l_suppkey AS a, l_quantity AS q, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS b, lead(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS r FROM lineitem) x JOIN supplier f ON f.s_suppkey = a JOIN supplier t ON t.s_suppkey = b WHERE a <> b AND q >= 49 AND r >= 49",
     "v_jobs": "SELECT o_orderkey AS id, 6 - cast(substr(o_orderpriority, 1, 1) AS INT) AS priority, o_orderdate AS created_at, CASE o_orderstatus WHEN 'F' THEN 'claimed' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, o_orderkey % 4 AS attempt, o_custkey AS owner FROM orders",
     "v_costs": "SELECT l_orderkey AS item, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS session, concat(l_returnflag, '/', l_linestatus) AS model, l_quantity AS prompt, l_quantity * 2 AS completion, cast(l_extendedprice AS DECIMAL(18,4)) * cast(l_discount AS DECIMAL(18,4)) AS cost FROM lineitem",
     "v_issues": "SELECT d.doc_id AS id, concat('P', cast(d.doc_id % 6 AS VARCHAR(9))) AS tier, d.doc_id % 12 AS cat, CASE WHEN toxic = 1 THEN 'dismissed' WHEN quality = 1 THEN 'done' WHEN quality = 0 THEN 'queued' ELSE 'open' END AS status, substr(text, 1, 60) AS title, text AS body, lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "v_todos": "SELECT o_orderkey AS id, o_custkey AS owner, CASE o_orderkey % 10 WHEN 0 THEN 'pending' WHEN 1 THEN 'ready' WHEN 2 THEN 'in_progress' WHEN 3 THEN 'blocked' WHEN 4 THEN 'implemented' WHEN 5 THEN 'validating' WHEN 6 THEN 'needs_changes' WHEN 7 THEN 'passed' WHEN 8 THEN 'merged' ELSE 'cancelled' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'validation' ELSE 'implementation' END AS type FROM orders",
-    "v_deps": "SELECT id, id - 1 AS dep FROM v_todos WHERE id > 1 UNION ALL SELECT id, id - 7 AS dep FROM v_todos WHERE id > 7",
+    "v_deps": "SELECT id, id - 1 AS dep FROM v_todos WHERE id > 1 UNION ALL SELECT id, id - CASE WHEN id % 3 = 0 THEN 2 ELSE 7 END AS dep FROM v_todos WHERE id > 7",
     "v_catalog": "SELECT * FROM (VALUES (1, 'C1', 'NAME1', '4', 'critical'), (1, 'C1', 'NAME1', '1', 'critical'), (2, 'C2', 'NAME2', '*', 'high'), (3, 'C3', 'NAME3', '3', 'low')) AS c(cid, catalog_id, package, ver, severity)",
 }
 #: Which stand-ins each stand-in is made of.
@@ -122,7 +123,7 @@ def _dim(spark, d):
     return view(spark, d, "v_packages").withColumn("eco", F.split_part("ecosystem", F.lit(" "), F.lit(1))).join(F.broadcast(dim), "eco").select("ord", "name", "risk")
 
 
-both("join_anti_orphans", "SELECT id FROM v_nodes n WHERE NOT EXISTS (SELECT 1 FROM v_edges e WHERE e.dst = n.id) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_name = n.id)")
+both("join_anti_orphans", "SELECT id FROM v_nodes n WHERE NOT EXISTS (SELECT 1 FROM v_heavy e WHERE e.dst = n.id) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_name = n.id)")
 both("join_anti_tombstone", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 
 
@@ -280,13 +281,13 @@ def _ranked(spark, d):
 both("topk_complexity", "SELECT path, complexity FROM v_hotspots WHERE complexity > 45 ORDER BY complexity DESC, ord LIMIT 5")
 both("topk_fanout", "SELECT src, count(*) AS n FROM v_edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 10")
 @query("topk_budget_trim", duck("""WITH n AS (SELECT module, id, row_number() OVER (PARTITION BY module ORDER BY importance DESC, id) AS rk FROM v_nodes),
-e AS (SELECT a.module, least(a.rk, coalesce(b.rk, 99999)) AS need FROM v_edges JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst AND b.module = a.module),
+e AS (SELECT a.module, least(a.rk, coalesce(b.rk, 99999)) AS need FROM v_heavy JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst AND b.module = a.module),
 k AS (SELECT n.module, n.rk, (SELECT count(*) FROM e WHERE e.module = n.module AND e.need <= n.rk) AS edges FROM n WHERE n.rk <= 25)
 SELECT module, cast(max(rk) AS BIGINT) AS nodes_kept, max(edges) AS edges_kept FROM k WHERE 40 + 4 * rk + 4 * edges <= 80 GROUP BY module"""))
 def _trim(spark, d):
     """Edges within the first nodes of a module by a running count; the twin counts them anew for every node."""
     return sql_frame(spark, d, _with_views("""WITH n AS (SELECT module, id, row_number() OVER (PARTITION BY module ORDER BY importance DESC, id) AS rk FROM v_nodes),
-e AS (SELECT a.module, least(a.rk, coalesce(b.rk, 99999)) AS need, count(*) AS m FROM v_edges JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst AND b.module = a.module GROUP BY 1, 2),
+e AS (SELECT a.module, least(a.rk, coalesce(b.rk, 99999)) AS need, count(*) AS m FROM v_heavy JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst AND b.module = a.module GROUP BY 1, 2),
 k AS (SELECT n.module, n.rk, sum(coalesce(e.m, 0)) OVER (PARTITION BY n.module ORDER BY n.rk) AS edges FROM n LEFT JOIN e ON e.module = n.module AND e.need = n.rk WHERE n.rk <= 25)
 SELECT module, cast(max(rk) AS BIGINT) AS nodes_kept, max(edges) AS edges_kept FROM k WHERE 40 + 4 * rk + 4 * edges <= 80 GROUP BY module"""))
 
