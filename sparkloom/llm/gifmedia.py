@@ -263,8 +263,11 @@ class Frame:
 
 
 def decode(data: bytes) -> tuple[int, int, list[Frame]]:
-    """Width, height and frames."""
-    return decode_all([data])[0]
+    """Width, height and frames; ValueError for whatever is no whole stream."""
+    try:
+        return decode_all([data])[0]
+    except (struct.error, IndexError) as e:
+        raise ValueError("a block ends early") from e
 
 
 def decode_all(media: list[bytes]) -> list[tuple[int, int, list[Frame]]]:
@@ -305,6 +308,8 @@ def _parsed(data: bytes) -> tuple[int, int, list[Frame]]:
                 size = 3 << ((packed & 7) + 1)
                 palette, at = data[at : at + size], at + size
             depth = data[at]
+            if not 1 <= depth <= 8:
+                raise ValueError(f"samples of {depth} bits")
             body, at = _joined(data, at + 1)
             frames.append(Frame(left, top, w, h, body, palette, delay, disposal, transparent, depth, bool(packed & 0x40)))
             delay, disposal, transparent = 0, 0, None
@@ -392,17 +397,28 @@ def timed(width: int, height: int, frames: list[Frame]):
             clock += f.delay
 
 
-_FRAME_ARROW = pa.schema([("media_id", pa.string()), ("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("rgba", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), *[(c, pa.list_(pa.int32())) for c in CHANNELS]])
-FRAMES = "media_id string, frame int, start_cs long, delay_cs int, rgba binary, width int, height int, " + ", ".join(f"{c} array<int>" for c in CHANNELS)
+_FRAME_ARROW = pa.schema([("media_id", pa.string()), ("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("rgba", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), *[(c, pa.list_(pa.int32())) for c in CHANNELS], ("error", pa.string())])
+FRAMES = "media_id string, frame int, start_cs long, delay_cs int, rgba binary, width int, height int, " + ", ".join(f"{c} array<int>" for c in CHANNELS) + ", error string"
+#: Pixels of a canvas that is shown.
+MOST_PIXELS = 1 << 26
+
+
 def frame_table(media: DataFrame) -> DataFrame:
-    """Timed frames of a table (media_id, bytes): one row a frame, composited, with its colour histograms."""
+    """Timed frames of a table (media_id, bytes): one row a frame, composited, with its colour histograms. A stream that is
+    broken, or whose canvas has over MOST_PIXELS, is one row that says so in `error`; null bytes are none."""
 
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column("media_id").to_pylist(), batch.column("bytes").to_pylist()):
                 if data is None:
                     continue
-                w, h, frames = decode(data)
+                try:
+                    w, h, frames = decode(data)
+                    if w * h > MOST_PIXELS:
+                        raise ValueError(f"a canvas of {w} by {h}")
+                except ValueError as e:
+                    yield pa.RecordBatch.from_pylist([{"media_id": str(name), "error": str(e)}], schema=_FRAME_ARROW)
+                    continue
                 rows = []
                 for i, start, delay, rgba, bins in timed(w, h, frames):
                     rows.append({"media_id": str(name), "frame": i, "start_cs": start, "delay_cs": delay, "rgba": rgba.tobytes(), "width": w, "height": h, **dict(zip(CHANNELS, bins.tolist()))})

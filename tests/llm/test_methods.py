@@ -276,6 +276,39 @@ def test_foreign_images_are_shown_as_a_plain_decoder_shows_them(spark):
                 assert r[name] == np.bincount([p[c] // 32 for row in canvas for p in row if p[3]], minlength=8).tolist()
 
 
+def test_broken_streams(spark, monkeypatch):
+    """Every prefix of a stream, and every change of one byte: decoded, or a ValueError; no row ends the job."""
+    data = gif(*made(2))
+    broken = [data[:k] for k in range(len(data))] + [data[:i] + bytes([data[i] ^ x]) + data[i + 1 :] for i in range(len(data)) for x in (1, 0x80, 0xFF)]
+    failed = 0
+    for b in broken:
+        try:
+            gifmedia.decode(b)
+        except ValueError:
+            failed += 1
+    assert failed >= len(data) - 1
+    monkeypatch.setattr(gifmedia, "MOST_PIXELS", 1000)
+    table = spark.createDataFrame([(f"b{i}", bytearray(b)) for i, b in enumerate(broken[:: max(1, len(broken) // 60)])] + [("whole", bytearray(data)), ("wide", bytearray(gif(2000, 2, *made(1)[2:])))], "media_id string, bytes binary")
+    got = gifmedia.frame_table(table).collect()
+    assert {r["media_id"] for r in got} == {r["media_id"] for r in table.collect()}
+    assert [r["error"] for r in got if r["media_id"] == "whole"] == [None, None] and [r["frame"] for r in got if r["error"]].count(None) > 10
+
+
+def test_majority_fingerprints(spark):
+    """A bit is set if over half of the shingles, repeats included, set it."""
+    import xxhash
+
+    texts = [" ".join(RNG.choice("Aa Bb cC é".split()) for _ in range(RNG.choice([0, 1, 3, 4, 5, 30, 400]))) + RNG.choice(["", "  \t"]) for _ in range(60)] + ["x " * 9000, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash.op10_simhash(docs).collect()}
+    for i, t in enumerate(texts):
+        own = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        grams = [" ".join(own[k : k + 4]) for k in range(max(1, len(own) - 3))] if own else []
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        want = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+        assert got[i] == f"{want:016x}"
+
+
 def test_code_streams_against_a_plain_decoder():
     for depth in (2, 5, 8):
         for size in (1, 2, 576, 9000):
