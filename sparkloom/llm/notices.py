@@ -7,7 +7,7 @@ for the whole notice with at most k errors and says where it stands. Each piece
 than the notice and its edits, so the time grows with the text, whatever stands in it. Every text is read whole.
 
 The words that tell one notice from another, marked by stars, must be there: unchanged, or with one edit from
-LONG_WORD letters on. Of finds of one notice that overlap, the one with the fewest errors counts. The regex library
+LONG_WORD letters on, or with two letters that stand side by side swapped, which is one error. Of finds of one notice that overlap, the one with the fewest errors counts. The regex library
 takes no character added before the first one of a notice as an edit.
 
 Edge cases: null and empty texts have no words and no labels; overlapping finds of different notices are all reported;
@@ -46,6 +46,25 @@ NOTICES = (
     ("creative *commons *attribution", "cc-by"),
     ("all *rights *reserved", "reserved"),
     ("this work is in the *public *domain", "public-domain"),
+    ("licensed under the *mit license", "mit"),
+    ("released under *mit license", "mit"),
+    ("the software is *provided as is without *warranty of any *kind", "mit"),
+    ("permission to use *copy *modify and or *distribute this software for any *purpose", "isc"),
+    ("neither the *name of the copyright holder nor the *names of its *contributors", "bsd-3-clause"),
+    ("the *bsd *2 *clause license", "bsd-2-clause"),
+    ("the *bsd *3 *clause license", "bsd-3-clause"),
+    ("*mozilla *public license version *2 *0", "mpl-2.0"),
+    ("general *public *license version *2", "gpl-2.0"),
+    ("general *public *license version *3", "gpl-3.0"),
+    ("either version *3 of the license or *at *your *option any *later version", "gpl-3.0-or-later"),
+    ("either version *2 of the license or *at *your *option any *later version", "gpl-2.0-or-later"),
+    ("gnu *affero *general *public *license", "agpl"),
+    ("*eclipse *public *license", "epl"),
+    ("*attribution *sharealike *4 *0 international", "cc-by-sa"),
+    ("*attribution *noncommercial *4 *0 international", "cc-by-nc"),
+    ("*attribution *noderivatives *4 *0 international", "cc-by-nd"),
+    ("*cc0 *1 *0 universal", "cc0"),
+    ("this is *free and *unencumbered *software *released into the *public *domain", "unlicense"),
 )
 #: One edit for so many characters of a notice; the shortest exact piece; letters of a telling word that may have an edit.
 CHARACTERS_PER_EDIT, SHORTEST_PIECE, LONG_WORD = 9, 5, 6
@@ -73,7 +92,9 @@ def fuzzy(notice: str, edits: int) -> str:
     for telling, text in parts:
         most = int(len(text) >= LONG_WORD) if telling else edits
         own = regex.escape(text, special_only=True)
+        swaps = [text[:i] + text[i + 1] + text[i] + text[i + 2 :] for i in range(len(text) - 1) if text[i] != text[i + 1]] if telling and most and edits else []
         own = f"(?:{own}){{e<={min(most, edits)}}}" if most and edits else own
+        own = f"(?:{'|'.join([own, *(regex.escape(x, special_only=True) for x in swaps)])})" if swaps else own
         out += rf"(?<![^ ]){own}(?![^ ])" if telling and text != " " else own
     return rf"(?<![^ ])(?:{out})(?![^ ])"
 
@@ -105,6 +126,8 @@ class Scanner:
                 self.kept.clear()
             m = self.notices[number][3].search(words)
             errors = sum(m.fuzzy_counts) if m else 0
+            if m and not errors and m.group() != self.notices[number][0]:  # letters swapped in telling words
+                errors = sum(a != b for a, b in zip(m.group().split(), self.notices[number][0].split()))
             self.kept[key] = (m.start(), m.end(), errors) if m and errors <= self.notices[number][2] else None
         return self.kept[key]
 

@@ -166,6 +166,15 @@ def test_notices_within_their_edits():
     assert met > 300
 
 
+def test_swapped_letters_and_more_licences():
+    scanner = notices.Scanner()
+    said = lambda t: [(label, errors) for *_, label, errors in scanner.spans(t)]
+    assert said("all rigths reserved") == [("reserved", 1)] and said("all rights resevred") == [("reserved", 1)] and said("all rihgst reserved") == []
+    assert said("released under mit license") == [("mit", 0)] and said("mozilla public license version 2 0") == [("mpl", 0), ("mpl-2.0", 0)]
+    assert said("gnu general public license version 2") == [("gpl", 0), ("gpl-2.0", 0)] and said("general public license version 4") == []
+    assert said("attribution sharealike 4 0 international") == [("cc-by-sa", 0)] and said("the bsd 2 clause license") == [("bsd-2-clause", 0)]
+
+
 def test_notices_are_told_apart():
     scanner = notices.Scanner()
     for text in ("released under the gpl license", "released under the bsd license", "released under the isc license", "released under the mitt license", "licensed under cc 0", "all rights reversed", "general public license"):
