@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import ordered as op
-from sparkloom.plans.registry import query
+from sparkloom.plans.registry import oracle, query
 from sparkloom.session import ready, table
 from sparkloom.streaming import state
 
@@ -73,6 +73,11 @@ def sql_frame(spark: SparkSession, d: str, sql: str) -> DataFrame:
     return spark.sql(f"WITH {read}, {body[4:]}" if body.upper().startswith("WITH") else f"WITH {read} {body}")
 
 
+def twin(name: str, sql: str) -> None:
+    """The SQL that a plan of `plans.frames` is held against."""
+    oracle(name, _duck(_with_views(sql)))
+
+
 def both(name: str, sql: str) -> None:
     full = _with_views(sql)
     query(name, _duck(full))(lambda spark, d: sql_frame(spark, d, full))
@@ -95,16 +100,16 @@ def _json(spark, d):
     return table(spark, d, "events").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"))
 
 
-both("prj_coalesce_defaults", "SELECT d.doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, 0) AS toxic, coalesce(nullif(source, ''), 'unknown') AS source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
-both("prj_event_case", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'Account opened' WHEN 'purchase' THEN 'Order placed' WHEN 'error' THEN 'Something failed' WHEN 'view' THEN 'Page seen' ELSE concat('Event ', event_type) END AS summary FROM events")
-both("flt_issue_list", "SELECT id, tier, status FROM v_issues WHERE tier = 'P1' AND status <> 'dismissed' AND position(lower('The') IN lower(concat(body, ' ', cast(cat AS VARCHAR(9))))) > 0")
-both("flt_actionable_case", "SELECT id, CASE WHEN tier IN ('P0', 'P1', 'P2') THEN true WHEN status = 'queued' THEN true WHEN cat IN (9, 10, 11) THEN false ELSE tier = 'P3' END AS actionable FROM v_issues")
-both("flt_path_prefix", "SELECT path FROM v_hotspots WHERE left(path, 9) = 'economy/b' OR path = 'small' OR left(path, 6) = 'small/' OR left(path, 9) = 'standard/'")
-both("flt_regex_classify", "SELECT p_partkey, RX(lower(p_name), '^(part|name)') AS ui_like, RX(p_type, '(?i)^(eco|sta)') AS data_like, RX(p_brand, '^Brand#[1-3]') AS low_brand FROM part")
+twin("prj_coalesce_defaults", "SELECT d.doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, 0) AS toxic, coalesce(nullif(source, ''), 'unknown') AS source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+twin("prj_event_case", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'Account opened' WHEN 'purchase' THEN 'Order placed' WHEN 'error' THEN 'Something failed' WHEN 'view' THEN 'Page seen' ELSE concat('Event ', event_type) END AS summary FROM events")
+twin("flt_issue_list", "SELECT id, tier, status FROM v_issues WHERE tier = 'P1' AND status <> 'dismissed' AND position(lower('The') IN lower(concat(body, ' ', cast(cat AS VARCHAR(9))))) > 0")
+twin("flt_actionable_case", "SELECT id, CASE WHEN tier IN ('P0', 'P1', 'P2') THEN true WHEN status = 'queued' THEN true WHEN cat IN (9, 10, 11) THEN false ELSE tier = 'P3' END AS actionable FROM v_issues")
+twin("flt_path_prefix", "SELECT path FROM v_hotspots WHERE left(path, 9) = 'economy/b' OR path = 'small' OR left(path, 6) = 'small/' OR left(path, 9) = 'standard/'")
+twin("flt_regex_classify", "SELECT p_partkey, RX(lower(p_name), '^(part|name)') AS ui_like, RX(p_type, '(?i)^(eco|sta)') AS data_like, RX(p_brand, '^Brand#[1-3]') AS low_brand FROM part")
 
 # -- joins ---------------------------------------------------------------------------------------------------
 
-both("join_index_lookup", "SELECT c_custkey, o_orderkey, cast(row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS BIGINT) AS pos FROM customer JOIN orders ON c_custkey = o_custkey")
+twin("join_index_lookup", "SELECT c_custkey, o_orderkey, cast(row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS BIGINT) AS pos FROM customer JOIN orders ON c_custkey = o_custkey")
 
 
 @query("join_theta_catalog", duck("SELECT DISTINCT c.cid, c.catalog_id, p.ord, p.name, p.version, c.severity FROM v_catalog c JOIN v_packages p ON (p.name LIKE concat('%', lower(right(c.package, 1))) OR p.source_file = concat('Brand#1', right(c.package, 1))) AND (c.ver IN ('*', 'all') OR left(p.version, length(c.ver)) = c.ver)"))
@@ -124,7 +129,7 @@ def _dim(spark, d):
 
 
 both("join_anti_orphans", "SELECT id FROM v_nodes n WHERE NOT EXISTS (SELECT 1 FROM v_heavy e WHERE e.dst = n.id) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_name = n.id)")
-both("join_anti_tombstone", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+twin("join_anti_tombstone", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 
 
 def _nodes(spark, d):
@@ -163,7 +168,7 @@ def _cascade(spark, d):
     return out.select("k", "resolved", F.coalesce("stage", F.lit(9)).alias("stage"))
 
 
-both("join_anti_dependencies", "SELECT t.id FROM v_todos t WHERE t.status = 'pending' AND NOT EXISTS (SELECT 1 FROM v_deps d LEFT JOIN v_todos x ON x.id = d.dep WHERE d.id = t.id AND (x.status IS NULL OR x.status NOT IN ('passed', 'merged', 'cancelled')))")
+twin("join_anti_dependencies", "SELECT t.id FROM v_todos t WHERE t.status = 'pending' AND NOT EXISTS (SELECT 1 FROM v_deps d LEFT JOIN v_todos x ON x.id = d.dep WHERE d.id = t.id AND (x.status IS NULL OR x.status NOT IN ('passed', 'merged', 'cancelled')))")
 
 
 @query("join_contains", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -192,19 +197,19 @@ def _tested(docs: DataFrame, passages: list) -> DataFrame:
     return docs.select(F.explode(F.array_compact(tests)).alias("item_id"), "doc_id")
 
 
-both("join_anti_synthesize", "SELECT d.doc_id, l.quality AS verdict, 'given' AS kind FROM documents d JOIN labels l ON d.doc_id = l.doc_id UNION ALL SELECT d.doc_id, 0 AS verdict, 'synthetic' AS kind FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-both("join_hydrate", "SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_open FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_linestatus <> 'F' GROUP BY c_custkey")
-both("join_left_coalesce", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), s.top) AS segment FROM customer LEFT JOIN (SELECT s_nationkey, min(s_name) AS top FROM supplier GROUP BY s_nationkey) s ON c_nationkey = s.s_nationkey")
-both("join_full_outer", "SELECT coalesce(u.user_id, c.c_custkey) AS id, u.user_id IS NOT NULL AS has_events, c.c_custkey IS NOT NULL AS is_customer, coalesce(u.n, 0) AS n FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) u FULL OUTER JOIN customer c ON u.user_id = c.c_custkey")
-both("join_price_fallback", "SELECT c.item, c.ln, c.pk, c.session, coalesce(e.price, p.price, 0) AS price FROM v_costs c LEFT JOIN (VALUES ('A/F', 3), ('N/O', 2)) AS e(model, price) ON c.model = e.model LEFT JOIN (VALUES ('R', 5), ('N', 1)) AS p(provider, price) ON split_part(c.model, '/', 1) = p.provider")
+twin("join_anti_synthesize", "SELECT d.doc_id, l.quality AS verdict, 'given' AS kind FROM documents d JOIN labels l ON d.doc_id = l.doc_id UNION ALL SELECT d.doc_id, 0 AS verdict, 'synthetic' AS kind FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+twin("join_hydrate", "SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_open FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_linestatus <> 'F' GROUP BY c_custkey")
+twin("join_left_coalesce", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), s.top) AS segment FROM customer LEFT JOIN (SELECT s_nationkey, min(s_name) AS top FROM supplier GROUP BY s_nationkey) s ON c_nationkey = s.s_nationkey")
+twin("join_full_outer", "SELECT coalesce(u.user_id, c.c_custkey) AS id, u.user_id IS NOT NULL AS has_events, c.c_custkey IS NOT NULL AS is_customer, coalesce(u.n, 0) AS n FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) u FULL OUTER JOIN customer c ON u.user_id = c.c_custkey")
+twin("join_price_fallback", "SELECT c.item, c.ln, c.pk, c.session, coalesce(e.price, p.price, 0) AS price FROM v_costs c LEFT JOIN (VALUES ('A/F', 3), ('N/O', 2)) AS e(model, price) ON c.model = e.model LEFT JOIN (VALUES ('R', 5), ('N', 1)) AS p(provider, price) ON split_part(c.model, '/', 1) = p.provider")
 
 # -- aggregates ----------------------------------------------------------------------------------------------
 
-both("agg_count_by_tier", "SELECT tier, count(*) AS n FROM v_issues GROUP BY tier")
-both("agg_severity_pivot", "SELECT o_orderstatus, count(*) AS total, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS critical, count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS high, count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM') AS medium, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS low FROM orders GROUP BY o_orderstatus")
-both("agg_zero_filled", "SELECT s.status, count(t.id) AS n FROM (VALUES ('pending'), ('ready'), ('in_progress'), ('blocked'), ('implemented'), ('validating'), ('needs_changes'), ('passed'), ('merged'), ('cancelled')) AS s(status) LEFT JOIN v_todos t ON t.status = s.status GROUP BY s.status")
-both("agg_ratio_score", "SELECT user_id, total, CASE WHEN k + s + t = 0 THEN NULL ELSE floor(k * 10000.0E0 / (k + s + t) + 0.5E0) / 100.0E0 END AS score FROM (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'purchase') AS k, count(*) FILTER (WHERE event_type = 'error') AS s, count(*) FILTER (WHERE event_type = 'view') AS t FROM events GROUP BY user_id) q")
-both("agg_conditional_ratio", "SELECT p_brand, CASE WHEN src > 10 AND tst = 0 THEN 'none' WHEN tst < 0.2 * src THEN 'low' ELSE 'ok' END AS tests, src, tst FROM (SELECT p_brand, count(*) FILTER (WHERE p_size > 10) AS src, count(*) FILTER (WHERE p_size <= 10) AS tst FROM part GROUP BY p_brand) q")
+twin("agg_count_by_tier", "SELECT tier, count(*) AS n FROM v_issues GROUP BY tier")
+twin("agg_severity_pivot", "SELECT o_orderstatus, count(*) AS total, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS critical, count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS high, count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM') AS medium, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS low FROM orders GROUP BY o_orderstatus")
+twin("agg_zero_filled", "SELECT s.status, count(t.id) AS n FROM (VALUES ('pending'), ('ready'), ('in_progress'), ('blocked'), ('implemented'), ('validating'), ('needs_changes'), ('passed'), ('merged'), ('cancelled')) AS s(status) LEFT JOIN v_todos t ON t.status = s.status GROUP BY s.status")
+twin("agg_ratio_score", "SELECT user_id, total, CASE WHEN k + s + t = 0 THEN NULL ELSE floor(k * 10000.0E0 / (k + s + t) + 0.5E0) / 100.0E0 END AS score FROM (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'purchase') AS k, count(*) FILTER (WHERE event_type = 'error') AS s, count(*) FILTER (WHERE event_type = 'view') AS t FROM events GROUP BY user_id) q")
+twin("agg_conditional_ratio", "SELECT p_brand, CASE WHEN src > 10 AND tst = 0 THEN 'none' WHEN tst < 0.2 * src THEN 'low' ELSE 'ok' END AS tests, src, tst FROM (SELECT p_brand, count(*) FILTER (WHERE p_size > 10) AS src, count(*) FILTER (WHERE p_size <= 10) AS tst FROM part GROUP BY p_brand) q")
 
 
 @query("agg_argmax_latest", """SELECT o_custkey, max(CASE WHEN f = 1 THEN o_orderkey END) AS first_tie, max(CASE WHEN l = 1 THEN o_orderkey END) AS last_tie FROM (
@@ -216,13 +221,13 @@ def _argmax(spark, d):
     return a.join(op.latest(o, ["o_custkey"], "o_orderpriority", "o_orderkey", "last").select("o_custkey", F.col("o_orderkey").alias("last_tie")), "o_custkey")
 
 
-both("agg_cost_rollup", "SELECT model, cast(sum(cost) AS DOUBLE PRECISION) AS cost, cast(sum(prompt + completion) AS BIGINT) AS tokens, count(*) AS entries FROM v_costs GROUP BY model")
+twin("agg_cost_rollup", "SELECT model, cast(sum(cost) AS DOUBLE PRECISION) AS cost, cast(sum(prompt + completion) AS BIGINT) AS tokens, count(*) AS entries FROM v_costs GROUP BY model")
 
 
-both("agg_snapshot", "SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) FILTER (WHERE o_orderstatus = 'F') * 100.0E0 / count(*) AS progress FROM orders GROUP BY o_custkey")
-both("agg_max_severity", "SELECT c_custkey, coalesce(CASE min(cast(substr(o_orderpriority, 1, 1) AS INT)) WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END, 'CLEAN') AS risk, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
-both("agg_first_match_fallback", "SELECT lang, coalesce(min(CASE WHEN tier = 'P0' AND status = 'done' THEN id END), min(id)) AS impact, coalesce(min(CASE WHEN status = 'queued' THEN id END), min(CASE WHEN cat < 4 THEN id END)) AS safest FROM v_issues GROUP BY lang")
-both("agg_histogram", "SELECT event_type, CASE WHEN value < 10 THEN 0 WHEN value < 50 THEN 1 WHEN value < 100 THEN 2 ELSE 3 END AS bucket, count(*) AS n FROM events GROUP BY event_type, CASE WHEN value < 10 THEN 0 WHEN value < 50 THEN 1 WHEN value < 100 THEN 2 ELSE 3 END")
+twin("agg_snapshot", "SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) FILTER (WHERE o_orderstatus = 'F') * 100.0E0 / count(*) AS progress FROM orders GROUP BY o_custkey")
+twin("agg_max_severity", "SELECT c_custkey, coalesce(CASE min(cast(substr(o_orderpriority, 1, 1) AS INT)) WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END, 'CLEAN') AS risk, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+twin("agg_first_match_fallback", "SELECT lang, coalesce(min(CASE WHEN tier = 'P0' AND status = 'done' THEN id END), min(id)) AS impact, coalesce(min(CASE WHEN status = 'queued' THEN id END), min(CASE WHEN cat < 4 THEN id END)) AS safest FROM v_issues GROUP BY lang")
+twin("agg_histogram", "SELECT event_type, CASE WHEN value < 10 THEN 0 WHEN value < 50 THEN 1 WHEN value < 100 THEN 2 ELSE 3 END AS bucket, count(*) AS n FROM events GROUP BY event_type, CASE WHEN value < 10 THEN 0 WHEN value < 50 THEN 1 WHEN value < 100 THEN 2 ELSE 3 END")
 
 
 @query("agg_ordered_concat", "SELECT conv_id, string_agg(concat(role, ': ', text), '\n\n' ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
@@ -234,9 +239,9 @@ def _concat(spark, d):
 
 # -- windows -------------------------------------------------------------------------------------------------
 
-both("win_share_of_total", "SELECT lang, n, cast(floor(n * 100.0E0 / sum(n) OVER () + 0.5E0) AS BIGINT) AS pct, n > 0.3 * sum(n) OVER () AS coupled FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) q")
-both("win_running_cost", "SELECT item, ln, pk, session, cast(sum(cost) OVER (PARTITION BY item ORDER BY ln, pk, session ROWS UNBOUNDED PRECEDING) AS DOUBLE PRECISION) AS running FROM v_costs")
-both("win_threshold_crossing", "SELECT item, min(ln) AS crossed_at FROM (SELECT item, ln, sum(cost) OVER (PARTITION BY item ORDER BY ln, pk, session ROWS UNBOUNDED PRECEDING) AS r FROM v_costs) q WHERE r >= 5000 GROUP BY item")
+twin("win_share_of_total", "SELECT lang, n, cast(floor(n * 100.0E0 / sum(n) OVER () + 0.5E0) AS BIGINT) AS pct, n > 0.3 * sum(n) OVER () AS coupled FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) q")
+twin("win_running_cost", "SELECT item, ln, pk, session, cast(sum(cost) OVER (PARTITION BY item ORDER BY ln, pk, session ROWS UNBOUNDED PRECEDING) AS DOUBLE PRECISION) AS running FROM v_costs")
+twin("win_threshold_crossing", "SELECT item, min(ln) AS crossed_at FROM (SELECT item, ln, sum(cost) OVER (PARTITION BY item ORDER BY ln, pk, session ROWS UNBOUNDED PRECEDING) AS r FROM v_costs) q WHERE r >= 5000 GROUP BY item")
 
 
 @query("win_consecutive_repeats", """WITH a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS s FROM events),
@@ -246,7 +251,7 @@ def _repeats(spark, d):
     return op.repeats(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", 3).select("user_id", "event_id", "event_type", "run_length")
 
 
-both("win_row_cap", "SELECT event_id, n > 20 AS over_cap FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) q")
+twin("win_row_cap", "SELECT event_id, n > 20 AS over_cap FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) q")
 
 
 @query("win_keep_last_n", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 10")
@@ -261,7 +266,7 @@ def _topn(spark, d):
     return sql_frame(spark, d, _with_views("WITH q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY ord) AS n FROM v_hotspots) x WHERE n <= 5) SELECT module, path, complexity, complexity * 1.0E0 / greatest(1, (SELECT max(complexity) FROM q)) AS ratio FROM q"))
 
 
-both("win_lead_pairs", "SELECT event_id, event_type, coalesce(lead(event_type) OVER w, first_value(event_type) OVER w) AS next_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+twin("win_lead_pairs", "SELECT event_id, event_type, coalesce(lead(event_type) OVER w, first_value(event_type) OVER w) AS next_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 
 
 @query("win_latest_row", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'purchase') WHERE n = 1")
@@ -306,17 +311,17 @@ def _union_dedupe(spark, d):
     return op.keep_first(op.union_in_order([p.where("ecosystem LIKE 'p%'"), p]), ["name"], ["generator", "ord"]).select("name", F.col("generator").alias("kind"))
 
 
-both("setop_feed_union", "SELECT 'event' AS kind, event_id AS id, MS(ts) AS at FROM events UNION ALL SELECT 'order' AS kind, o_orderkey AS id, MS(o_orderdate) AS at FROM orders")
-both("setop_upsert_latest", "SELECT user_id, event_type AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'error' THEN 0 ELSE 1 END, ts DESC, event_id DESC) AS n FROM events) q WHERE n = 1")
+twin("setop_feed_union", "SELECT 'event' AS kind, event_id AS id, MS(ts) AS at FROM events UNION ALL SELECT 'order' AS kind, o_orderkey AS id, MS(o_orderdate) AS at FROM orders")
+twin("setop_upsert_latest", "SELECT user_id, event_type AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'error' THEN 0 ELSE 1 END, ts DESC, event_id DESC) AS n FROM events) q WHERE n = 1")
 
 # -- scalars -------------------------------------------------------------------------------------------------
 
-both("str_basename", "SELECT ord, regexp_replace(path, '^.*/', '', 'g') AS base FROM v_hotspots")
-both("str_sanitize", "SELECT ord, regexp_replace(full_name, '[^A-Za-z0-9_-]', '_', 'g') AS safe, regexp_replace(full_name, '^@[^/]+/', '', 'g') AS bare FROM v_packages")
+twin("str_basename", "SELECT ord, regexp_replace(path, '^.*/', '', 'g') AS base FROM v_hotspots")
+twin("str_sanitize", "SELECT ord, regexp_replace(full_name, '[^A-Za-z0-9_-]', '_', 'g') AS safe, regexp_replace(full_name, '^@[^/]+/', '', 'g') AS bare FROM v_packages")
 both("str_clean_version", "SELECT ord, coalesce(nullif(regexp_replace(regexp_replace(concat('>=', version, ' <', version), '^[~^>=<]+', '', 'g'), '^.* ', '', 'g'), ''), version) AS clean FROM v_packages")
-both("str_truncate", "SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE concat(substr(text, 1, 57), '...') END AS short FROM documents")
-both("str_provider_prefix", "SELECT DISTINCT model, split_part(model, '/', 1) AS provider FROM v_costs")
-both("str_concat_nonempty", "SELECT conv_id, turn, concat_ws(chr(10), nullif(role, ''), nullif(text, ''), nullif(CASE WHEN turn = 0 THEN 'opening' ELSE '' END, '')) AS prompt FROM conversations")
+twin("str_truncate", "SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE concat(substr(text, 1, 57), '...') END AS short FROM documents")
+twin("str_provider_prefix", "SELECT DISTINCT model, split_part(model, '/', 1) AS provider FROM v_costs")
+twin("str_concat_nonempty", "SELECT conv_id, turn, concat_ws(chr(10), nullif(role, ''), nullif(text, ''), nullif(CASE WHEN turn = 0 THEN 'opening' ELSE '' END, '')) AS prompt FROM conversations")
 
 
 @query("str_token_query", """WITH w AS (SELECT doc_id, string_split_regex(text, '[^A-Za-z0-9_./-]+') AS l FROM documents), o AS (SELECT doc_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS i FROM w),
@@ -329,7 +334,7 @@ def _token_query(spark, d):
 
 
 both("mth_cost_estimate", "SELECT item, ln, pk, session, CASE WHEN cost = 0 THEN prompt * 1.0E-7 + completion * 3.0E-7 ELSE cast(cost AS DOUBLE PRECISION) END AS estimate FROM v_costs")
-both("mth_score_band", "SELECT user_id, CASE WHEN s >= 80 THEN 'good' WHEN s >= 60 THEN 'fair' WHEN s IS NULL THEN 'none' ELSE 'poor' END AS band FROM (SELECT user_id, floor(max(value)) AS s FROM events GROUP BY user_id) q")
+twin("mth_score_band", "SELECT user_id, CASE WHEN s >= 80 THEN 'good' WHEN s >= 60 THEN 'fair' WHEN s IS NULL THEN 'none' ELSE 'poor' END AS band FROM (SELECT user_id, floor(max(value)) AS s FROM events GROUP BY user_id) q")
 both("dat_prefire", "SELECT event_id, greatest(CASE WHEN user_id % 2 = 0 THEN MS(ts) ELSE MS(ts) + 3600000 - 18000000 END, MS(TIMESTAMP '2024-01-10 00:00:00')) AS prefire FROM events")
 @query("dat_timeline", duck("SELECT event_id, step, MS(ts) + shift AS at FROM events JOIN (VALUES (1, 0), (2, 3600000), (3, 7200000), (4, 18000000), (5, 21600000)) AS t(step, shift) ON true"))
 def _timeline(spark, d):
@@ -340,7 +345,7 @@ def _timeline(spark, d):
 
 
 both("arr_feature_flags", "SELECT p_brand, count(DISTINCT p_type) > 4 AS many_types, count(*) FILTER (WHERE p_size = 1) > 0 AS has_small, count(*) FILTER (WHERE p_size >= 50) > 0 AS has_large, min(p_type) AS first_type FROM part GROUP BY p_brand")
-both("arr_collapse_single", "SELECT l_orderkey, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN 1 ELSE count(*) END AS units FROM lineitem GROUP BY l_orderkey")
+twin("arr_collapse_single", "SELECT l_orderkey, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN 1 ELSE count(*) END AS units FROM lineitem GROUP BY l_orderkey")
 
 # -- state ---------------------------------------------------------------------------------------------------
 
@@ -352,7 +357,7 @@ def _replay(spark, d):
 
 
 both("stm_quota_status", "SELECT user_id, CASE WHEN f IS NULL THEN 'idle' WHEN age < 3600000 THEN 'active' WHEN age < 18000000 THEN 'exhausted' ELSE 'expired' END AS status FROM (SELECT user_id, min(MS(ts)) AS f, max(MS(ts)) - min(MS(ts)) AS age FROM events GROUP BY user_id) q")
-both("stm_quota_admission", "SELECT event_id, MS(ts) - f < 3600000 OR MS(ts) - f >= 18000000 AS admitted FROM (SELECT event_id, ts, min(MS(ts)) OVER (PARTITION BY user_id) AS f FROM events) q")
+twin("stm_quota_admission", "SELECT event_id, MS(ts) - f < 3600000 OR MS(ts) - f >= 18000000 AS admitted FROM (SELECT event_id, ts, min(MS(ts)) OVER (PARTITION BY user_id) AS f FROM events) q")
 
 
 @query("stm_quota_admission_reset", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id FROM events),
@@ -364,8 +369,8 @@ def _reset(spark, d):
     return state.admissions(uses, 18_000_000, 3_600_000)
 
 
-both("stm_transition_valid", "SELECT event_id, prev IS NULL OR t.a IS NOT NULL AS valid FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) q LEFT JOIN (VALUES ('view', 'click'), ('click', 'purchase'), ('signup', 'view'), ('view', 'view'), ('click', 'view')) AS t(a, b) ON q.prev = t.a AND q.event_type = t.b")
-both("stm_idle_sessions", "SELECT user_id, s AS session, count(*) AS n, min(MS(ts)) AS started, max(MS(ts)) AS ended FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN MS(ts) - lag(MS(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 7200000 THEN 0 ELSE 1 END AS new FROM events) a) b GROUP BY user_id, s")
+twin("stm_transition_valid", "SELECT event_id, prev IS NULL OR t.a IS NOT NULL AS valid FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) q LEFT JOIN (VALUES ('view', 'click'), ('click', 'purchase'), ('signup', 'view'), ('view', 'view'), ('click', 'view')) AS t(a, b) ON q.prev = t.a AND q.event_type = t.b")
+twin("stm_idle_sessions", "SELECT user_id, s AS session, count(*) AS n, min(MS(ts)) AS started, max(MS(ts)) AS ended FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN MS(ts) - lag(MS(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 7200000 THEN 0 ELSE 1 END AS new FROM events) a) b GROUP BY user_id, s")
 
 
 @query("stm_idle_capped", """WITH RECURSIVE e AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS ms, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),

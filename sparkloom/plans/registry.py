@@ -22,8 +22,13 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def oracle(name: str, sql: str) -> None:
+    """The SQL of a query that is registered by itself."""
+    _oracles[name] = sql
+
+
 def _load() -> None:
-    from sparkloom.plans import catalog, flagship, graphs, missions, planning, records, streams, texts, work  # noqa: F401
+    from sparkloom.plans import catalog, flagship, frames, graphs, missions, planning, records, streams, texts, work  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,11 +1,11 @@
-"""Every registered query against its SQL twin on the smallest tables."""
+"""Every registered query against its SQL twin on small tables."""
 
 import duckdb
 import pytest
 
 from sparkloom.plans import registry
 
-DIR = "/root/testdata/sf0.001"
+DIR = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
