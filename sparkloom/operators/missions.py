@@ -146,3 +146,40 @@ def page_size(asked: Column, most: int = 50, usual: int = 10) -> Column:
     """What a page's limit comes to: a number within 0 and `most`; none, or no number, is the usual one."""
     number = F.try_to_number(F.regexp_extract(asked, r"^\s*([+-]?\d{1,9})", 1), F.lit("S999999999")).cast("long")
     return F.when(asked.isNull(), usual).otherwise(F.least(F.greatest(F.coalesce(number, F.lit(0)), F.lit(0)), F.lit(most))).cast("long")
+
+
+# What is shown of a status: in the list, as a heading, and its sign.
+SHOWN = {
+    "queued": ("Queued", "QUEUED", "◷"),
+    "planning": ("Running", "PLANNING", "▶"),
+    "executing": ("Running", "EXECUTING", "▶"),
+    "running": ("Running", "EXECUTING", "▶"),
+    "waiting_checkpoint": ("Checkpoint", "PAUSED", "⏸"),
+    "paused": ("Checkpoint", "PAUSED", "⏸"),
+    "completed": ("Done", "COMPLETE", "✓"),
+    "failed": ("Failed", "FAILED", "✕"),
+    "aborted": ("Stopped", "ABORTED", "■"),
+}
+
+
+def shown(status: Column) -> Column:
+    """label, heading and sign of a status; one that is not known stands for itself."""
+    known = F.create_map(*[x for k, v in SHOWN.items() for x in (F.lit(k), F.struct(*[F.lit(t).alias(n) for n, t in zip(("label", "heading", "sign"), v)]))])
+    return F.coalesce(known[status], F.struct(status.alias("label"), F.upper(status).alias("heading"), F.lit("•").alias("sign")))
+
+
+def merged_findings(catalog: DataFrame, rules: DataFrame, scan: str, mission: str) -> DataFrame:
+    """Findings (ord, package, version, catalog_id) of a catalog and, behind them, of rules: the first of each package and
+    catalog id, so a second version of a package is left out; with the ids of the scan and the mission they belong to."""
+    every = catalog.select("ord", "package", "version", "catalog_id", F.lit(0).alias("_from")).unionByName(rules.select("ord", "package", "version", "catalog_id", F.lit(1).alias("_from")))
+    first = every.groupBy("package", "catalog_id").agg(F.min(F.struct("_from", "ord", "version")).alias("f"))
+    return first.select("package", "catalog_id", "f.version", F.lit(scan).alias("scan_id"), F.lit(mission).alias("mission_id"))
+
+
+def feed_page(logs: DataFrame, events: DataFrame, most: int) -> DataFrame:
+    """The newest of logs (ord, ms, message) and events (ord, message) as kind, ord, ms, message. Events have no time of their own:
+    they come after all logs, a millisecond apart, in their order (ord counts from 0). Of equal times logs come first."""
+    last = logs.agg(F.greatest(F.coalesce(F.max("ms"), F.lit(0)), F.lit(0)).alias("_last"))
+    told = events.join(F.broadcast(last), F.lit(True)).select(F.lit("event").alias("kind"), "ord", (F.col("_last") + F.col("ord") + 1).alias("ms"), "message")
+    every = logs.select(F.lit("log").alias("kind"), "ord", "ms", "message").unionByName(told)
+    return every.orderBy(F.desc("ms"), F.desc("kind"), "ord").limit(most)

@@ -87,3 +87,25 @@ def _newest(spark, d):
 def _page_size(spark, d):
     asked = "CASE c_custkey % 5 WHEN 1 THEN cast(c_custkey as string) WHEN 2 THEN 'many' WHEN 3 THEN concat('-', c_custkey) WHEN 4 THEN concat(' ', c_custkey % 60, 'px') END"
     return rows(spark, d, "customer", "c_custkey", f"{asked} a").select("c_custkey", missions.page_size(F.col("a")).alias("size"))
+
+
+@query("prj_status_shown", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Running' WHEN 1 THEN 'Checkpoint' WHEN 2 THEN 'Done' ELSE o_orderpriority END AS label, CASE o_orderkey % 4 WHEN 0 THEN 'EXECUTING' WHEN 1 THEN 'PAUSED' WHEN 2 THEN 'COMPLETE' ELSE upper(o_orderpriority) END AS heading,
+CASE o_orderkey % 4 WHEN 0 THEN '▶' WHEN 1 THEN '⏸' WHEN 2 THEN '✓' ELSE '•' END AS sign FROM orders""")
+def _status_shown(spark, d):
+    status = "CASE o_orderkey % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'waiting_checkpoint' WHEN 2 THEN 'completed' ELSE o_orderpriority END"
+    return rows(spark, d, "orders", "o_orderkey", f"{status} s").select("o_orderkey", missions.shown(F.col("s")).alias("x")).select("o_orderkey", "x.*")
+
+
+@query("set_merged_findings", """WITH f AS (SELECT 0 AS src, p_partkey AS ord, p_name AS package, CAST(p_size AS VARCHAR) AS version, 'C' || p_partkey % 3 AS cid FROM part WHERE p_size > 20 UNION ALL SELECT 1, p_partkey, p_name, 'any', CASE WHEN p_partkey % 2 = 0 THEN 'C0' ELSE 'H' END FROM part)
+SELECT package, cid AS catalog_id, version, 's1' AS scan_id, 'm1' AS mission_id FROM f QUALIFY row_number() OVER (PARTITION BY package, cid ORDER BY src, ord) = 1""")
+def _merged_findings(spark, d):
+    catalog = rows(spark, d, "part", "p_partkey ord", "p_name package", "cast(p_size as string) version", "concat('C', p_partkey % 3) catalog_id", "p_size").where("p_size > 20")
+    rules = rows(spark, d, "part", "p_partkey ord", "p_name package", "'any' version", "CASE WHEN p_partkey % 2 = 0 THEN 'C0' ELSE 'H' END catalog_id")
+    return missions.merged_findings(catalog, rules, "s1", "m1")
+
+
+@query("set_feed_times", """WITH l AS (SELECT event_id AS ord, epoch_us(ts) // 1000 AS ms FROM events), e AS (SELECT p_partkey - 1 AS ord FROM part),
+f AS (SELECT 'log' AS kind, ord, ms FROM l UNION ALL SELECT 'event', ord, (SELECT max(ms) FROM l) + ord + 1 FROM e) SELECT kind, ord, ms FROM f ORDER BY ms DESC, kind DESC, ord LIMIT 5000""")
+def _feed_times(spark, d):
+    logs = rows(spark, d, "events", "event_id ord", "unix_millis(cast(ts as timestamp)) ms", "event_type message")
+    return missions.feed_page(logs, rows(spark, d, "part", "p_partkey - 1 ord", "p_name message"), 5000).select("kind", "ord", "ms")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import events as event_texts
 from sparkloom.functions import scalars, text
 from sparkloom.operators import lifecycle, matching
 from sparkloom.plans.records import rows
@@ -204,3 +205,103 @@ def _settled(spark, d):
     """Pending todos whose one dependency, one or two before, is settled."""
     todos = rows(spark, d, "orders", "o_orderkey id", "CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'passed' WHEN 2 THEN 'merged' ELSE 'blocked' END status")
     return lifecycle.settled_dependencies(todos, rows(spark, d, "orders", "o_orderkey id", "o_orderkey - 1 - o_custkey % 2 needs")).select("id")
+
+
+@query("join_lost_missions", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus IN ('O', 'P') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N')")
+def _lost_missions(spark, d):
+    """Orders that should be running without a line that runs."""
+    listed = rows(spark, d, "orders", "o_orderkey id", "CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'P' THEN 'planning' ELSE 'completed' END status")
+    return matching.orphans(listed, rows(spark, d, "lineitem", "l_orderkey id", "l_returnflag").where("l_returnflag = 'N'")).select("id")
+
+
+@query("agg_mission_states", "SELECT count(*) FILTER (o_orderstatus <> 'F') AS active, count(*) FILTER (o_orderstatus = 'F') AS ended FROM orders")
+def _mission_states(spark, d):
+    return matching.counts_by_state(rows(spark, d, "orders", "CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'P' THEN 'paused' ELSE 'failed' END status"))
+
+
+@query("join_authorised", "SELECT c_custkey FROM customer WHERE c_custkey % 4 IN (0, 1) AND c_nationkey % 2 = 0")
+def _authorised(spark, d):
+    """Requests for repositories by address, with and without an ending, by another host and without a name."""
+    repos = rows(spark, d, "nation", "n_nationkey", "concat('https://github.com/acme/r', n_nationkey, '.git') clone_url").where("n_nationkey % 2 = 0")
+    url = "CASE c_custkey % 4 WHEN 0 THEN concat('https://github.com/acme/r', c_nationkey) WHEN 1 THEN concat('https://github.com/acme/r', c_nationkey, '.git') WHEN 2 THEN concat('https://elsewhere.org/acme/r', c_nationkey) ELSE 'https://github.com/acme' END"
+    return matching.authorised(rows(spark, d, "customer", "c_custkey", f"{url} clone_url"), repos).select("c_custkey")
+
+
+@query("agg_evidence", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS branch, CASE WHEN o_orderkey % 3 = 0 THEN 'a,b,c' ELSE 'a,b' END AS commits, CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 1 END AS tests FROM orders""")
+def _evidence(spark, d):
+    old = rows(spark, d, "orders", "o_orderkey", "'old' branch", "'pass' verdict", "array('a', 'b') commits", "array('f') files", "cast(null as array<string>) notes", "array('t') tests")
+    new = rows(spark, d, "orders", "o_orderkey", "'new' branch", "cast(null as string) verdict", "array('b', 'c') commits", "array('f') files", "array('n') notes", "array('t', 'u') tests").where("o_orderkey % 3 = 0")
+    got = matching.merged_evidence(old, new, "o_orderkey")
+    return got.select("o_orderkey", "branch", F.array_join("commits", ",").alias("commits"), F.size("tests").alias("tests"))
+
+
+_PAYLOAD = """CASE event_id % 6 WHEN 0 THEN concat('{"agentType":"worker","status":"in_progress","agentId":"a', user_id, '"}') WHEN 1 THEN concat('{"code":"E_', user_id, '","message":"it broke"}') WHEN 2 THEN '{"summary":{"totalFindings":7},"missionId":"m1"}' WHEN 3 THEN concat('{"missionId":"mission-', user_id, '","finalState":"completed"}') WHEN 4 THEN concat('{"missionId":"mission-', user_id, '"}') ELSE '{}' END"""
+_TYPE = "CASE event_id % 6 WHEN 0 THEN 'agent_status' WHEN 1 THEN 'mission_error' WHEN 2 THEN 'scan_completed' WHEN 3 THEN 'mission_completed' WHEN 4 THEN 'escalation' ELSE 'odd_thing' END"
+
+
+def _told(spark, d):
+    return rows(spark, d, "events", "event_id seq", f"{_TYPE} type", f"parse_json({_PAYLOAD}) payload")
+
+
+@query("prj_feed_items", """SELECT event_id AS seq, CASE event_id % 6 WHEN 0 THEN 'agent' WHEN 1 THEN 'error' WHEN 2 THEN 'scan' ELSE 'event' END AS kind, CASE event_id % 6 WHEN 0 THEN 'AGENT' WHEN 1 THEN 'E ' || user_id WHEN 2 THEN 'SCAN' WHEN 3 THEN 'DONE' WHEN 4 THEN 'ESCALATION' ELSE 'ODD_THING' END AS label,
+CASE event_id % 6 WHEN 0 THEN 'worker → in progress' WHEN 1 THEN 'it broke' WHEN 2 THEN 'scan complete: 7 findings' WHEN 3 THEN 'mission completed' WHEN 4 THEN 'escalation' ELSE 'odd thing' END AS message FROM events""")
+def _feed_items(spark, d):
+    return event_texts.feed(_told(spark, d)).select("seq", "kind", "label", "message")
+
+
+@query("prj_summaries", """SELECT event_id AS seq, CASE event_id % 6 WHEN 0 THEN 'worker a' || user_id || ' -> in_progress' WHEN 1 THEN 'E_' || user_id || ': it broke' WHEN 2 THEN 'm1' WHEN 3 THEN 'mission-' || user_id WHEN 4 THEN 'mission-' || user_id ELSE '<odd_thing>' END AS summary FROM events""")
+def _summaries(spark, d):
+    return _told(spark, d).select("seq", event_texts.summary(F.col("type"), F.col("payload")).alias("summary"))
+
+
+@query("prj_notifications", """SELECT 'mission-' || user_id AS mission_id, CASE event_id % 6 WHEN 3 THEN 'completed' ELSE 'escalation' END AS notice, min(event_id) AS seq FROM events WHERE event_id % 6 IN (3, 4) GROUP BY ALL""")
+def _notifications(spark, d):
+    return event_texts.notifications(_told(spark, d)).select("mission_id", "notice", "seq")
+
+
+@query("src_repositories", "SELECT c_custkey AS id, 'acme/' || c_name AS full_name, c_custkey % 2 = 0 AS private FROM customer")
+def _repositories(spark, d):
+    """Pages of a service with all repositories of a nation each."""
+    one = """concat('{"id":', c_custkey, ',"full_name":"acme/', c_name, '","private":', CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END, ',"stars":5}')"""
+    pages = rows(spark, d, "customer", "c_nationkey", f"{one} r").groupBy("c_nationkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value"))
+    return manifests.repositories(pages).select("id", "full_name", "private")
+
+
+@query("src_first_existing", "SELECT o_orderkey AS scope, CASE WHEN o_orderkey % 3 = 0 THEN 'pnpm-lock.yaml' ELSE 'yarn.lock' END AS name FROM orders WHERE o_orderkey % 3 < 2")
+def _first_existing(spark, d):
+    found = rows(spark, d, "orders", "o_orderkey scope", "explode(CASE o_orderkey % 3 WHEN 0 THEN array('yarn.lock', 'pnpm-lock.yaml', 'x') WHEN 1 THEN array('README.md', 'yarn.lock') ELSE array('x') END) name")
+    return manifests.first_existing(found, ["pnpm-lock.yaml", "yarn.lock"], "scope")
+
+
+@query("src_first_parsed", "SELECT o_orderkey AS scope, CASE WHEN o_orderkey % 2 = 0 THEN 'b.json' ELSE 'a.json' END AS path, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey + 1 END AS k FROM orders WHERE o_orderkey % 5 > 0")
+def _first_parsed(spark, d):
+    """Reports in two places, of which the first is broken for every second and both for every fifth."""
+    content = "CASE WHEN path = 'a.json' AND o_orderkey % 2 = 0 OR o_orderkey % 5 = 0 THEN '{\"k\":' WHEN path = 'a.json' THEN concat('{\"k\":', o_custkey + 1, '}') ELSE concat('{\"k\":', o_custkey, '}') END"
+    found = rows(spark, d, "orders", "o_orderkey", "o_custkey", "explode(array('b.json', 'a.json', 'c.json')) path").selectExpr("o_orderkey scope", "path", f"{content} content", "1 modificationTime")
+    return manifests.first_parsed(found, ["a.json", "b.json"], "scope").select("scope", "path", F.try_variant_get("report", "$.k", "bigint").alias("k"))
+
+
+@query("snk_issue_status", "SELECT o_custkey AS id, count(*) AS n, count(*) FILTER (o_orderkey % 7 = 0 AND o_custkey = 7) AS done FROM orders GROUP BY o_custkey")
+def _issue_status(spark, d):
+    """Reports of a customer's orders; issue 0 of report 7 is done."""
+    reports = rows(spark, d, "orders", "o_custkey id", "named_struct('id', o_orderkey % 7, 'status', 'open') i").groupBy("id").agg(F.collect_list("i").alias("issues"))
+    got = sinks.updated_issue(reports, 7, 0, "done")
+    return got.select("id", F.size("issues").cast("long").alias("n"), F.size(F.filter("issues", lambda i: i["status"] == "done")).cast("long").alias("done"))
+
+
+@query("snk_new_index_rows", "SELECT DISTINCT user_id AS id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def _new_index_rows(spark, d):
+    return sinks.new_index_rows(rows(spark, d, "customer", "c_custkey id").where("id % 2 = 0"), rows(spark, d, "events", "user_id id"))
+
+
+@query("snk_transcripts", """SELECT c_nationkey AS key, '## Events' || chr(10) || string_agg(c_name, chr(10) ORDER BY c_custkey) || CASE WHEN c_nationkey % 2 = 0 THEN chr(10) || chr(10) || '## Costs' || chr(10) || 'n' || c_nationkey ELSE '' END AS document FROM customer GROUP BY c_nationkey""")
+def _transcripts(spark, d):
+    sections = [("Events", rows(spark, d, "customer", "c_nationkey key", "c_custkey ord", "c_name line")), ("Costs", rows(spark, d, "nation", "n_nationkey key", "0 ord", "concat('n', n_nationkey) line").where("key % 2 = 0"))]
+    got = sinks.transcript(sections, "key").select("key", "document")
+    return got.join(rows(spark, d, "customer", "c_nationkey key").distinct(), "key", "left_semi")
+
+
+@query("stm_fresh_rows", "SELECT event_id FROM events WHERE event_id % 3 > 0 AND epoch_us(TIMESTAMP '2024-01-20 00:00:00') // 1000 - epoch_us(ts) // 1000 <= 864000000")
+def _fresh_rows(spark, d):
+    seen = rows(spark, d, "events", "event_id", "CASE WHEN event_id % 3 > 0 THEN cast(ts as timestamp) END seen")
+    return state.fresh(seen, "seen", F.lit("2024-01-20").cast("timestamp"), 864_000_000).select("event_id")
