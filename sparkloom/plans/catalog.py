@@ -1,8 +1,7 @@
 """The engine's queries over the driver's tables.
 
-Most are one SQL text that both engines read, over stand-in views (VIEWS) for the relations that the tables do not
-hold; `both` adapts the few functions that are named differently. Queries on ordered operators are DataFrame
-plans with an SQL twin of their own.
+Stand-in views (VIEWS) take the place of relations that the tables do not hold. `twin` gives the SQL that a plan of
+`plans.frames` is held against; the other queries are plans with an SQL twin beside them.
 """
 
 from __future__ import annotations
@@ -78,11 +77,6 @@ def twin(name: str, sql: str) -> None:
     oracle(name, _duck(_with_views(sql)))
 
 
-def both(name: str, sql: str) -> None:
-    full = _with_views(sql)
-    query(name, _duck(full))(lambda spark, d: sql_frame(spark, d, full))
-
-
 def view(spark: SparkSession, d: str, name: str) -> DataFrame:
     return sql_frame(spark, d, _with_views(f"SELECT * FROM {name}"))
 
@@ -128,7 +122,7 @@ def _dim(spark, d):
     return view(spark, d, "v_packages").withColumn("eco", F.split_part("ecosystem", F.lit(" "), F.lit(1))).join(F.broadcast(dim), "eco").select("ord", "name", "risk")
 
 
-both("join_anti_orphans", "SELECT id FROM v_nodes n WHERE NOT EXISTS (SELECT 1 FROM v_heavy e WHERE e.dst = n.id) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_name = n.id)")
+twin("join_anti_orphans", "SELECT id FROM v_nodes n WHERE NOT EXISTS (SELECT 1 FROM v_heavy e WHERE e.dst = n.id) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_name = n.id)")
 twin("join_anti_tombstone", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 
 
@@ -283,8 +277,8 @@ def _ranked(spark, d):
     return op.positions(issues, ["rank", "cat"], "id", []).select("id", "position")
 
 
-both("topk_complexity", "SELECT path, complexity FROM v_hotspots WHERE complexity > 45 ORDER BY complexity DESC, ord LIMIT 5")
-both("topk_fanout", "SELECT src, count(*) AS n FROM v_edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 10")
+twin("topk_complexity", "SELECT path, complexity FROM v_hotspots WHERE complexity > 45 ORDER BY complexity DESC, ord LIMIT 5")
+twin("topk_fanout", "SELECT src, count(*) AS n FROM v_edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 10")
 @query("topk_budget_trim", duck("""WITH n AS (SELECT module, id, row_number() OVER (PARTITION BY module ORDER BY importance DESC, id) AS rk FROM v_nodes),
 e AS (SELECT a.module, least(a.rk, coalesce(b.rk, 99999)) AS need FROM v_heavy JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst AND b.module = a.module),
 k AS (SELECT n.module, n.rk, (SELECT count(*) FROM e WHERE e.module = n.module AND e.need <= n.rk) AS edges FROM n WHERE n.rk <= 25)
@@ -318,7 +312,7 @@ twin("setop_upsert_latest", "SELECT user_id, event_type AS state FROM (SELECT *,
 
 twin("str_basename", "SELECT ord, regexp_replace(path, '^.*/', '', 'g') AS base FROM v_hotspots")
 twin("str_sanitize", "SELECT ord, regexp_replace(full_name, '[^A-Za-z0-9_-]', '_', 'g') AS safe, regexp_replace(full_name, '^@[^/]+/', '', 'g') AS bare FROM v_packages")
-both("str_clean_version", "SELECT ord, coalesce(nullif(regexp_replace(regexp_replace(concat('>=', version, ' <', version), '^[~^>=<]+', '', 'g'), '^.* ', '', 'g'), ''), version) AS clean FROM v_packages")
+twin("str_clean_version", "SELECT ord, coalesce(nullif(regexp_replace(regexp_replace(concat('>=', version, ' <', version), '^[~^>=<]+', '', 'g'), '^.* ', '', 'g'), ''), version) AS clean FROM v_packages")
 twin("str_truncate", "SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE concat(substr(text, 1, 57), '...') END AS short FROM documents")
 twin("str_provider_prefix", "SELECT DISTINCT model, split_part(model, '/', 1) AS provider FROM v_costs")
 twin("str_concat_nonempty", "SELECT conv_id, turn, concat_ws(chr(10), nullif(role, ''), nullif(text, ''), nullif(CASE WHEN turn = 0 THEN 'opening' ELSE '' END, '')) AS prompt FROM conversations")
@@ -333,9 +327,9 @@ def _token_query(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(w, 1, 32), " ").alias("q"))
 
 
-both("mth_cost_estimate", "SELECT item, ln, pk, session, CASE WHEN cost = 0 THEN prompt * 1.0E-7 + completion * 3.0E-7 ELSE cast(cost AS DOUBLE PRECISION) END AS estimate FROM v_costs")
+twin("mth_cost_estimate", "SELECT item, ln, pk, session, CASE WHEN cost = 0 THEN prompt * 1.0E-7 + completion * 3.0E-7 ELSE cast(cost AS DOUBLE PRECISION) END AS estimate FROM v_costs")
 twin("mth_score_band", "SELECT user_id, CASE WHEN s >= 80 THEN 'good' WHEN s >= 60 THEN 'fair' WHEN s IS NULL THEN 'none' ELSE 'poor' END AS band FROM (SELECT user_id, floor(max(value)) AS s FROM events GROUP BY user_id) q")
-both("dat_prefire", "SELECT event_id, greatest(CASE WHEN user_id % 2 = 0 THEN MS(ts) ELSE MS(ts) + 3600000 - 18000000 END, MS(TIMESTAMP '2024-01-10 00:00:00')) AS prefire FROM events")
+twin("dat_prefire", "SELECT event_id, greatest(CASE WHEN user_id % 2 = 0 THEN MS(ts) ELSE MS(ts) + 3600000 - 18000000 END, MS(TIMESTAMP '2024-01-10 00:00:00')) AS prefire FROM events")
 @query("dat_timeline", duck("SELECT event_id, step, MS(ts) + shift AS at FROM events JOIN (VALUES (1, 0), (2, 3600000), (3, 7200000), (4, 18000000), (5, 21600000)) AS t(step, shift) ON true"))
 def _timeline(spark, d):
     """Five steps of each event, made where the row is."""
@@ -344,7 +338,7 @@ def _timeline(spark, d):
     return made.select("event_id", "ms", F.posexplode(shifts).alias("i", "shift")).select("event_id", (F.col("i") + 1).alias("step"), (F.col("ms") + F.col("shift")).alias("at"))
 
 
-both("arr_feature_flags", "SELECT p_brand, count(DISTINCT p_type) > 4 AS many_types, count(*) FILTER (WHERE p_size = 1) > 0 AS has_small, count(*) FILTER (WHERE p_size >= 50) > 0 AS has_large, min(p_type) AS first_type FROM part GROUP BY p_brand")
+twin("arr_feature_flags", "SELECT p_brand, count(DISTINCT p_type) > 4 AS many_types, count(*) FILTER (WHERE p_size = 1) > 0 AS has_small, count(*) FILTER (WHERE p_size >= 50) > 0 AS has_large, min(p_type) AS first_type FROM part GROUP BY p_brand")
 twin("arr_collapse_single", "SELECT l_orderkey, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN 1 ELSE count(*) END AS units FROM lineitem GROUP BY l_orderkey")
 
 # -- state ---------------------------------------------------------------------------------------------------
@@ -356,7 +350,7 @@ def _replay(spark, d):
     return state.replay(table(spark, d, "events").select(F.col("event_id").alias("seq")), 4000, 5000)
 
 
-both("stm_quota_status", "SELECT user_id, CASE WHEN f IS NULL THEN 'idle' WHEN age < 3600000 THEN 'active' WHEN age < 18000000 THEN 'exhausted' ELSE 'expired' END AS status FROM (SELECT user_id, min(MS(ts)) AS f, max(MS(ts)) - min(MS(ts)) AS age FROM events GROUP BY user_id) q")
+twin("stm_quota_status", "SELECT user_id, CASE WHEN f IS NULL THEN 'idle' WHEN age < 3600000 THEN 'active' WHEN age < 18000000 THEN 'exhausted' ELSE 'expired' END AS status FROM (SELECT user_id, min(MS(ts)) AS f, max(MS(ts)) - min(MS(ts)) AS age FROM events GROUP BY user_id) q")
 twin("stm_quota_admission", "SELECT event_id, MS(ts) - f < 3600000 OR MS(ts) - f >= 18000000 AS admitted FROM (SELECT event_id, ts, min(MS(ts)) OVER (PARTITION BY user_id) AS f FROM events) q")
 
 

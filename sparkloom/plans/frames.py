@@ -12,6 +12,7 @@ from sparkloom.operators.ranges import dealt, running
 from sparkloom.plans.catalog import view
 from sparkloom.plans.records import rows
 from sparkloom.plans.registry import query
+from sparkloom.sources import manifests
 from sparkloom.streaming import state
 
 c = F.col
@@ -302,3 +303,61 @@ def _idle(spark, d):
     new = gaps.withColumn("new", F.when(c("ms") - c("last") < 7_200_000, 0).otherwise(1))
     numbered = running(new, ["user_id"], ["ts", "event_id"], {"session": "new"})
     return numbered.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ms").alias("started"), F.max("ms").alias("ended"))
+
+
+@query("join_anti_orphans")
+def _orphans(spark, d):
+    """Nodes that no heavy edge leads to."""
+    known = view(spark, d, "v_heavy").select(c("dst").alias("id")).unionByName(rows(spark, d, "nation", "n_name id"))
+    return view(spark, d, "v_nodes").select("id").join(known, "id", "left_anti")
+
+
+@query("topk_complexity")
+def _complexity(spark, d):
+    return view(spark, d, "v_hotspots").where("complexity > 45").orderBy(F.desc("complexity"), "ord").limit(5).select("path", "complexity")
+
+
+@query("topk_fanout")
+def _fanout(spark, d):
+    return view(spark, d, "v_edges").groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(10)
+
+
+@query("str_clean_version")
+def _clean_version(spark, d):
+    given = F.concat(F.lit(">="), "version", F.lit(" <"), "version")
+    return view(spark, d, "v_packages").select("ord", manifests.clean_version(given).alias("clean"))
+
+
+@query("mth_cost_estimate")
+def _estimate(spark, d):
+    paid = F.to_variant_object(F.struct(c("cost").cast("double").alias("total")))
+    return view(spark, d, "v_costs").select("item", "ln", "pk", "session", scalars.cost(paid, c("prompt"), c("completion")).alias("estimate"))
+
+
+@query("dat_prefire")
+def _prefire(spark, d):
+    """An hour's burn at the end of a window of five hours, for every second user; never before a given time."""
+    at = c("ms") - F.when(c("odd"), 5 * 3_600_000 - 3_600_000).otherwise(0)
+    e = rows(spark, d, "events", "event_id", "user_id % 2 = 1 odd", f"{_ms('ts')} ms")
+    return e.select("event_id", F.greatest(at, F.lit(1_704_844_800_000)).alias("prefire"))
+
+
+@query("arr_feature_flags")
+def _flags(spark, d):
+    by_type = rows(spark, d, "part", "p_brand", "p_type", "p_size").groupBy("p_brand", "p_type").agg(F.min("p_size").alias("a"), F.max("p_size").alias("z"))
+    return by_type.groupBy("p_brand").agg((F.count("*") > 4).alias("many_types"), (F.min("a") == 1).alias("has_small"), (F.max("z") >= 50).alias("has_large"), F.min("p_type").alias("first_type"))
+
+
+@query("stm_quota_status")
+def _quota_status(spark, d):
+    of = rows(spark, d, "events", "user_id", f"{_ms('ts')} ms").groupBy("user_id").agg((F.max("ms") - F.min("ms")).alias("age"))
+    return of.select("user_id", F.when(c("age") < 3_600_000, "active").when(c("age") < 18_000_000, "exhausted").otherwise("expired").alias("status"))
+
+
+@query("setop_history_page")
+def _history_page(spark, d):
+    """What is live, and a page of the rest; removed ones go after the page was cut."""
+    jobs = view(spark, d, "v_jobs").select("id", "status")
+    live = jobs.where("id % 500 = 0").select("id", F.lit("live").alias("place"))
+    page = jobs.where(c("status").isin("claimed", "running", "queued")).join(live, "id", "left_anti").orderBy(F.desc("id")).limit(50)
+    return live.unionByName(page.select("id", F.lit("history").alias("place"))).where("id % 7 <> 0")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import scalars
 from sparkloom.operators import lifecycle
-from sparkloom.plans.catalog import both, duck, sql_frame, view
+from sparkloom.plans.catalog import duck, sql_frame, twin, view
 from sparkloom.plans.registry import query
 from sparkloom.session import ready, table
 from sparkloom.streaming import state
@@ -96,7 +96,7 @@ def _array_union(spark, d):
     return lines.select("l_orderkey", F.array_distinct(F.transform("x", lambda x: x["l_suppkey"])).alias("suppliers"))
 
 
-both("setop_history_page", """WITH live AS (SELECT id FROM v_jobs WHERE id % 500 = 0), page AS (SELECT j.id FROM v_jobs j WHERE j.status IN ('claimed', 'running', 'queued') AND NOT EXISTS (SELECT 1 FROM live l WHERE l.id = j.id) ORDER BY j.id DESC LIMIT 50)
+twin("setop_history_page", """WITH live AS (SELECT id FROM v_jobs WHERE id % 500 = 0), page AS (SELECT j.id FROM v_jobs j WHERE j.status IN ('claimed', 'running', 'queued') AND NOT EXISTS (SELECT 1 FROM live l WHERE l.id = j.id) ORDER BY j.id DESC LIMIT 50)
 SELECT id, place FROM (SELECT id, 'live' AS place FROM live UNION ALL SELECT id, 'history' AS place FROM page) x WHERE id % 7 <> 0""")
 
 
