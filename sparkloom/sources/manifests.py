@@ -44,6 +44,7 @@ def scanner_records(lines: DataFrame) -> DataFrame:
 def _scanned(lines: DataFrame, kind: str, fields: dict[str, str]) -> DataFrame:
     # a record without an id is named by all that is known of it, so that it has the same name on a rerun
     named = F.md5(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in lines.columns if c != "value"], F.col("value")))
+    named = F.regexp_replace(named, "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
     j = lines.where("trim(value) <> ''").withColumns({"j": F.expr("try_parse_json(value)"), "_named": named}).where("j is not null").drop("value")
     given = lambda k: F.nullif(F.expr(f"try_variant_get(j, '$.{k}', 'string')"), F.lit(""))
     made = {k: F.coalesce(given(k), F.lit(d)) for k, d in fields.items()} | {"normalized_name": F.coalesce(given("normalized_name"), given("package_name"), F.lit(""))}
