@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.functions.scalars import manifest
 from sparkloom.operators import graph, ordered
 from sparkloom.operators.ranges import checkpointed
 
-# Order of the categories, tiers of severities, and the file that stands for a package of an ecosystem.
+# Order of the categories, and tiers of severities.
 CATEGORIES = ["security", "critical_path", "dead_code", "test_coverage", "coupling", "layer_violation", "structure", "performance", "complexity", "documentation", "naming", "style"]
 SEVERITIES = {"critical": 0, "high": 1, "medium": 2, "low": 4}
-MANIFESTS = [("npm", "package.json"), ("node", "package.json"), ("pypi", "requirements.txt"), ("python", "requirements.txt"), ("cargo", "Cargo.toml"), ("rust", "Cargo.toml"), ("go", "go.mod"), ("maven", "pom.xml"), ("java", "pom.xml"), ("nuget", "Directory.Build.props")]
 # Names of modules by what they hold, and of naming styles.
 UI, DATA = "(?i)^(components?|pages?|views?|ui|frontend)", "(?i)^(api|services?|hooks?|data|backend|server)"
 TESTS, NO_SOURCE = "(?i)^(test|tests|spec|specs|__tests__)", "(?i)^(test|tests|spec|specs|__tests__|node_modules|dist|build|[.])"
@@ -80,15 +80,10 @@ def _issue(rows: DataFrame, gen: int, category: str, tier, title: Column, paths:
 def _found(r: Review) -> DataFrame:
     """Packages that the catalog names, whole or bare, in a version it lists."""
     met = graph.catalog_matches(r.catalog, r.packages)
-    named = F.trim(F.coalesce("source_file", F.lit("")))
-    path = F.when(named != "", named)
-    for part, file in MANIFESTS:
-        path = path.when(F.contains(F.lower(F.coalesce("ecosystem", F.lit(""))), F.lit(part)), file)
-    path = path.otherwise("package.json")
     tier = F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv]), F.col("severity"))
     title = F.concat(F.when(F.col("severity") == "critical", "Remove or upgrade ").otherwise("Audit "), F.col("name"), F.lit("@"), F.col("version"))
     # one order for (entry, package): entries are few
-    return _issue(met, 1, "security", tier, title, F.array(path), None, F.col("entry").cast("long") * (1 << 40) + F.col("ord"))
+    return _issue(met, 1, "security", tier, title, F.array(manifest(F.col("source_file"), F.col("ecosystem"))), None, F.col("entry").cast("long") * (1 << 40) + F.col("ord"))
 
 
 def _cycles(r: Review) -> DataFrame:
