@@ -190,7 +190,8 @@ def compact_number(value: Column) -> Column:
         whole, rest = F.floor(t / 10).cast("string"), (t % 10).cast("string")
         return F.concat(whole, F.when(t % 10 == 0, "").otherwise(F.concat(F.lit("."), rest)), F.lit(unit))
 
-    small = F.regexp_replace(F.round(v, 3).cast("decimal(12,3)").cast("string"), r"\.?0+$", "")
+    # thousandths of the binary value: rounding its shortest decimal form instead takes some fives up that lie below a half
+    small = F.regexp_replace((F.round(v * 1000) / 1000).cast("decimal(12,3)").cast("string"), r"\.?0+$", "")
     return F.when(v >= 1_000_000, short(v / 1_000_000, "M")).when(v >= 1_000, short(v / 1_000, "K")).otherwise(small)
 
 
