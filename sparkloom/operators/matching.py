@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalars import clone_url
-from sparkloom.operators.ordered import ranked_lookup
 
 # Statuses of a unit that a retry without named units starts over, and of a mission that has ended.
 RETRIED = ["completed", "failed", "timed_out"]
@@ -22,12 +21,13 @@ def todo_of_unit(units: DataFrame, todos: DataFrame) -> DataFrame:
     ord, title, goal, type, files): the first todo with the unit's description as goal, else one whose title begins
     the description, else an implementation todo that lists all of the unit's paths."""
     u = units.select(F.col("id").alias("unit"), "mission", "description", "paths")
-    t = todos.select(F.col("id").alias("todo"), "mission", "ord", "title", "goal", "type", "files")
-    goal = u.join(t, (u["mission"] == t["mission"]) & (u["description"] == t["goal"]))
-    begins = u.join(t, (u["mission"] == t["mission"]) & F.startswith(u["description"], t["title"]))
-    by_file = t.where("type = 'implementation'").select("todo", "mission", "ord", "files", F.explode(F.array_distinct("files")).alias("file"))
-    lists = u.join(by_file, (u["mission"] == by_file["mission"]) & (F.get(u["paths"], F.lit(0)) == by_file["file"])).where("size(array_except(paths, files)) = 0")
-    return ranked_lookup(u.select("unit"), ["unit"], [x.select("unit", "todo", "ord") for x in (goal, begins, lists)], [F.col("ord")]).select("unit", "todo", "stage")
+    t = todos.select(F.col("id").alias("todo"), F.col("mission").alias("_m"), "ord", "title", "goal", "type", "files")
+    lists = (F.col("type") == "implementation") & F.get("paths", F.lit(0)).isNotNull() & (F.size(F.array_except("paths", "files")) == 0)
+    stage = F.when(F.col("description") == F.col("goal"), 0).when(F.startswith("description", "title"), 1).when(lists, 2)
+    # one join, which only hands on what matches; its rows lie by mission, so the best of each unit needs no further shuffle
+    met = u.join(t, (F.col("mission") == F.col("_m")) & stage.isNotNull(), "left")
+    best = met.groupBy("mission", "unit").agg(F.min(F.when(F.col("todo").isNotNull(), F.struct(stage.alias("stage"), "ord", "todo"))).alias("best"))
+    return best.select("unit", "best.todo", "best.stage")
 
 
 def units_to_retry(units: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import events as event_texts
 from sparkloom.functions import scalars, text
 from sparkloom.operators import lifecycle, matching
+from sparkloom.operators.ranges import width
 from sparkloom.plans.records import rows
 from sparkloom.plans.registry import query
 from sparkloom.session import ready, table
@@ -158,7 +159,9 @@ t AS (SELECT l_orderkey AS mission, CASE l_partkey % 3 WHEN 0 THEN 'goal ' || l_
 m AS (SELECT id, CASE WHEN goal = 'goal ' || l_partkey THEN 0 WHEN starts_with('goal ' || l_partkey, title) THEN 1 WHEN f = l_suppkey THEN 2 END AS stage FROM l JOIN t ON mission = l_orderkey) SELECT id AS unit, min(stage) AS stage FROM m GROUP BY id""")
 def _todo_of_unit(spark, d):
     """Lines of an order as units and as todos: some have a line's goal, some begin it, all list their supplier."""
-    lines = rows(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{_UNIT} id").distinct()
+    lines = rows(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    # dealt once by order, in as many pieces as a shuffle has: repeats are dropped and orders joined where they lie
+    lines = lines.repartition(width(spark), "l_orderkey").distinct().selectExpr("*", f"{_UNIT} id")
     units = lines.selectExpr("id", "l_orderkey mission", "concat('goal ', l_partkey) description", "array(l_suppkey) paths")
     todos = lines.selectExpr("id", "l_orderkey mission", "id ord", "CASE l_partkey % 3 WHEN 0 THEN concat('goal ', l_partkey) ELSE 'other' END goal", "CASE WHEN l_partkey % 3 = 1 THEN concat('goal ', substr(l_partkey, 1, 2)) ELSE 'none' END title", "'implementation' type", "array(l_suppkey) files")
     return matching.todo_of_unit(units, todos).select("unit", "stage")
