@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.operators import levels
-from sparkloom.operators.ranges import shared_dir
+from sparkloom.operators.ranges import shared_dir, width
 from sparkloom.plans.catalog import sql_frame
 from sparkloom.plans.records import rows
 from sparkloom.plans.registry import query
@@ -96,9 +97,10 @@ def _message_bus(spark, d):
 def _first_findings(spark, d):
     """Each line of an order reports all suppliers so far."""
     lines = rows(spark, d, "lineitem", "l_orderkey scan", "l_linenumber line", "l_suppkey s", "timestamp_seconds(l_linenumber) ts")
-    so_far = lines.alias("a").join(lines.alias("b"), (F.col("a.scan") == F.col("b.scan")) & (F.col("b.line") <= F.col("a.line")))
-    snapshots = so_far.groupBy("a.scan", "a.ts").agg(F.array_sort(F.collect_list(F.struct(F.col("b.line").alias("line"), F.col("b.s").alias("id")))).alias("findings"))
-    first = buffers.first_findings(snapshots.withColumn("findings", F.transform("findings", lambda x: F.struct(x["id"].alias("id"), x["line"].alias("line")))))
+    so_far = Window.partitionBy("scan").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.repartition(width(spark), "scan")  # in as many pieces as a shuffle has
+    snapshots = lines.select("scan", "ts", F.collect_list(F.struct(F.col("s").alias("id"), "line")).over(so_far).alias("findings"))
+    first = buffers.first_findings(snapshots)
     return first.select("scan", "finding_id", F.col("finding.line").alias("first_line"))
 
 
