@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from sparkloom.functions import scalars
 from sparkloom.operators import lifecycle, matching
 from sparkloom.operators.ranges import dealt, running
-from sparkloom.plans.catalog import view
+from sparkloom.plans.catalog import edge_keys, view
 from sparkloom.plans.records import rows
 from sparkloom.plans.registry import query
 from sparkloom.sources import manifests
@@ -319,7 +319,9 @@ def _complexity(spark, d):
 
 @query("topk_fanout")
 def _fanout(spark, d):
-    return view(spark, d, "v_edges").groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(10)
+    pairs, names = edge_keys(spark, d)
+    n = pairs.groupBy(c("a").alias("key")).agg(F.count("*").alias("n"))
+    return n.join(names, "key").select(c("name").alias("src"), "n").orderBy(F.desc("n"), "src").limit(10)
 
 
 @query("str_clean_version")
