@@ -90,7 +90,8 @@ def _fitted(units: DataFrame, nodes: DataFrame, edges: DataFrame, hotspots: Data
     ranked = _capped(nodes, [F.desc("importance"), "ord"], max_nodes).withColumn("over", F.col("rk") > max_nodes)
     kept = ranked.where("not over").select("unit", "id", "rk")
     ends = edges.select("unit", "ord", "src", "dst", F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"))
-    held = ends.join(kept, ["unit", "id"]).groupBy("unit", "ord", "src", "dst").agg(F.min("rk").alias("need"))
+    # kept has a unit's cap of rows at most: it is what tasks hash, and edges, of which one may come twice, are not sorted
+    held = ends.join(kept.hint("shuffle_hash"), ["unit", "id"]).groupBy("unit", "ord", "src", "dst").agg(F.min("rk").alias("need"))
     some_rows = _capped(held, ["ord"], max_edges)
     hot_rows = _capped(hotspots, [F.desc("complexity"), "ord"], max_hotspots)
     some = some_rows.groupBy("unit").agg(F.collect_list(F.when(F.col("rk") <= max_edges, F.col("need"))).alias("needs"), F.max(F.col("rk") > max_edges).alias("cut_e"))
