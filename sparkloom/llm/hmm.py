@@ -6,10 +6,12 @@ its own share of the class, (c + 0.1) / (C + 0.1 (V + 1)), c being its training
 totals; an unknown word has c = 0. So the hidden part has a bounded size, while every training word keeps its
 exact count, and the probability of a text is that of its symbols times the shares of its class words.
 
-Start values come from a bounded sample (SAMPLE_DOCS texts of at most SAMPLE_BYTES); then ROUNDS of Baum-Welch run over
+Nothing is learned from a sample. Start values come from the numbers of neighbouring words in all training texts, by BUCKETS
+hashes of words: states whose moves and emissions make these numbers likely. Then ROUNDS of Baum-Welch run over
 every training text: each partition adds up expected starts, transitions and emissions of its whole texts, and the sums are
-aggregated across partitions. How far a state's emissions are drawn to those of all states is chosen in each round on DEV_DOCS
-training texts, whose own counts are taken out for that; drawn all the way, the model is the unigram base. Scores come from the scaled forward recursion over whole texts.
+aggregated across partitions. How far a state's emissions are drawn to those of all states is chosen in each round by leaving
+each token of all training texts out once; drawn all the way, the model is the unigram base. Scores come from the scaled forward
+recursion over whole texts. Counts are expected in single precision and added up in double; scores are in double.
 
 Both recursions work on pieces of at most SEGMENT tokens, many side by side, and are exact: a piece behind the first one of
 its text is first multiplied out as a matrix of states by states, the messages that reach each piece from either side follow
@@ -34,31 +36,45 @@ from sparkloom.llm.arrowtext import LOWER, coded, counts_by_text, ragged, remain
 from sparkloom.llm.store import written
 
 STATES, HEAD, CLASSES = 8, 100_000, 256
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_ROUNDS, ROUNDS = 300, 20_000, 12, 2
+BUCKETS, START_ROUNDS, ROUNDS = 512, 60, 2
 #: Tokens of a piece, and of the pieces whose states are held at once.
 SEGMENT, HELD = 512, 250_000
 ALPHA = 0.1
 #: Uniform tokens that a state's transitions are smoothed by, and unigram tokens that its emissions may be; with the last
 #: of these every state has the unigram's own emissions, so that the model is its base.
 SMOOTH_MOVE, SMOOTH_EMIT = 1.0, (50.0, 500.0, 5_000.0, 50_000.0, 500_000.0, 1e15)
-#: Texts set aside to choose among them, a tenth of all at most.
-DEV_DOCS = 300
 SEED = 42
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """word, c over all training texts, as a stored table."""
+    """word, c over all training texts, as a stored table; and, with a blank and a number for a word, neighbours: how often a word
+    or end of bucket i is followed in its text by one of bucket j, under i * (BUCKETS + 1) + j. The end also comes before the first word."""
+    size = BUCKETS + 1
 
     def count(batches):
+        pairs = np.zeros(size * size, np.int64)
         for batch in batches:
             for part in steps(batch):
-                flat, _ = words(part.column("text"), LOWER)
+                flat, at = words(part.column("text"), LOWER)
                 code, distinct = coded(flat)
+                own = np.array([bucket_of(w) for w in distinct.cast(pa.string()).to_pylist()], np.int64)
+                line = np.full(len(code) + len(at), BUCKETS, np.int64)  # texts with an end before, between and behind them
+                n = at[1:] - at[:-1]
+                line[np.arange(len(code)) + np.repeat(np.arange(len(n)), n) + 1] = own[code] if len(code) else 0
+                pairs += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
                 yield pa.RecordBatch.from_arrays([distinct.cast(pa.string()), pa.array(np.bincount(code, minlength=len(distinct)).astype(np.int64))], names=["word", "c"])
+        used = np.flatnonzero(pairs)
+        for low in range(0, len(used), 50_000):
+            some = used[low : low + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([f" {x}" for x in some.tolist()], pa.string()), pa.array(pairs[some])], names=["word", "c"])
 
     return written(train.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
 
 
+def bucket_of(word: str) -> int:
+    return zlib.crc32(word.encode()) % BUCKETS
+
+
 def class_of(word: str) -> int:
     return zlib.crc32(word[-2:].encode()) % CLASSES
 
@@ -138,11 +154,11 @@ def _vectors(obs, begin, size, first, move, emit) -> tuple[np.ndarray, np.ndarra
 def _matrices(obs, begin, size, move, emit, lanes: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Each piece, with the step into it, as a matrix of sum 1, and log10 of the factor that was taken out."""
     k = len(move)
-    out, log = np.empty((len(size), k, k)), np.zeros(len(size))
+    out, log = np.empty((len(size), k, k), emit.dtype), np.zeros(len(size))
     for low in range(0, len(size), lanes):
         order, live = _side_by_side(size[low : low + lanes])
         own, at = begin[low : low + lanes][order], order + low
-        now = np.broadcast_to(np.eye(k), (len(order), k, k))
+        now = np.broadcast_to(np.eye(k, dtype=emit.dtype), (len(order), k, k))
         for t in range(len(live) - 1):
             m = live[t]
             out[at[m : len(now)]] = now[m:]
@@ -170,7 +186,7 @@ def _passed_on(obs, at, start, move, emit, segment):
     matrix, scale = _matrices(obs, begin[rest], size[rest], move, emit)
     nth = np.full(len(place), -1)
     nth[rest] = np.arange(len(rest))
-    before = np.zeros((len(place), len(start)))
+    before = np.zeros((len(place), len(start)), emit.dtype)
     now = heads
     while len(now := now[now + 1 < len(place)] + 1) and len(now := now[place[now] > 0]):
         before[now] = after[text[now]]
@@ -190,7 +206,7 @@ def expected(obs: np.ndarray, at: np.ndarray, start: np.ndarray, move: np.ndarra
     """Baum-Welch counts of whole sequences: starts, transitions and emissions (symbol by state)."""
     k = len(start)
     text, place, begin, size, matrix, nth, before, _ = _passed_on(obs, at, start, move, emit, segment)
-    behind = np.ones((len(place), k))  # what follows a piece, by the state of its last token
+    behind = np.ones((len(place), k), emit.dtype)  # what follows a piece, by the state of its last token
     last = np.flatnonzero(np.append(text[1:] != text[:-1], True))
     now = last[place[last] > 0]
     while len(now):
@@ -221,10 +237,10 @@ def _counted(obs, begin, size, head, before, behind, start, move, emit, started,
         scales.append(s)
         seen.append((o, e))
     gammas = [None] * top
-    beta = np.zeros((0, len(start)))
+    beta = np.zeros((0, len(start)), emit.dtype)
     for t in range(top - 1, -1, -1):
         m, ahead = live[t], live[t + 1]
-        now = np.empty((m, len(start)))
+        now = np.empty((m, len(start)), emit.dtype)
         if ahead:
             w = seen[t + 1][1] * beta / scales[t + 1]
             moved += move * (alphas[t][:ahead].T @ w)
@@ -249,44 +265,53 @@ def maximised(started, moved, emitted, unigram, smooth=SMOOTH_EMIT[0]):
     return start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
 
 
-def smoothing(sym: Symbols, dev, sums, parameters) -> float:
-    """The smoothing of emissions under which texts set aside are likeliest, when their own counts are taken out of the
-    corpus's sums (starts, transitions, emissions) and of its unigram."""
-    if dev is None:
-        return SMOOTH_EMIT[0]
-    obs, at = dev
-    rest = [np.maximum(a - b, 0) for a, b in zip(sums, expected(obs, at, *parameters))]
-    unigram = sym.unigram(np.bincount(obs, minlength=sym.n))
-    fit = [forward(obs, at, *maximised(*rest, unigram, s)).sum() for s in SMOOTH_EMIT]
+def smoothing(sym: Symbols, emitted: np.ndarray) -> float:
+    """The smoothing of emissions under which all training tokens are likeliest, each with its own share taken out of the
+    expected emissions (symbol by state) and out of the unigram."""
+    seen = emitted.sum(axis=1)
+    used = seen > 0
+    e, n = emitted[used], seen[used, None]
+    share = e / n  # the states of a token of each symbol
+    unigram = sym.unigram(np.where(used, 1.0, 0.0))[used, None]
+    rest, total = np.maximum(e - share, 0), emitted.sum(axis=0) - share
+    fit = [(seen[used] * np.log((share * (rest + s * unigram) / (np.maximum(total, 0) + s)).sum(axis=1))).sum() for s in SMOOTH_EMIT]
     return SMOOTH_EMIT[int(np.argmax(fit))]
 
 
-def trained(train: DataFrame, sym: Symbols, states: int = STATES, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS):
+def begun(near: np.ndarray, sym: Symbols, states: int, rounds: int = START_ROUNDS):
+    """start, move, emit under which the numbers of neighbours (bucket by bucket, the end last) are likely: EM over pairs."""
+    rng = np.random.default_rng(SEED)
+    near = near / max(1.0, near.sum())
+    mass = (near.sum(axis=0) + near.sum(axis=1)) / 2 + 1e-9
+    mass /= mass.sum()
+    own = mass[:, None] * np.exp(0.5 * rng.standard_normal((len(mass), states)))
+    own /= own.sum(axis=0)
+    joint = rng.random((states, states)) + 0.5 + 2.0 * states * np.eye(states)
+    joint /= joint.sum()
+    for _ in range(rounds):
+        ratio = near / (own @ joint @ own.T + 1e-300)
+        left, right = own * (ratio @ own @ joint.T), own * (ratio.T @ own @ joint)
+        joint = joint * (own.T @ ratio @ own) + 1e-9
+        joint /= joint.sum()
+        own = left + right + 1e-6 * mass[:, None]
+        own /= own.sum(axis=0)
+    move = joint / joint.sum(axis=1, keepdims=True)
+    ends = joint.sum(axis=1) * own[-1]
+    lift = own / mass[:, None]  # how much more often than on the whole a state has a word of the bucket
+    at = np.array([bucket_of(w) for w in sym.head], np.int64)
+    emit = sym.unigram()[:, None] * np.concatenate([lift[at].reshape(-1, states), np.ones((CLASSES, states)), lift[-1:]])
+    start = ends @ move
+    return start / start.sum(), move, emit / emit.sum(axis=0)
+
+
+def trained(train: DataFrame, sym: Symbols, near: np.ndarray, states: int = STATES, rounds: int = ROUNDS):
     """start, move, emit."""
     spark = train.sparkSession
     unigram = sym.unigram()
-    rng = np.random.default_rng(SEED)
-    emit = unigram[:, None] * np.exp(0.5 * rng.standard_normal((sym.n, states)))
-    emit /= emit.sum(axis=0)
-    move = rng.random((states, states)) + 0.5 + 2.0 * states * np.eye(states)
-    move /= move.sum(axis=1, keepdims=True)
-    start = np.full(states, 1.0 / states)
-    space = 1 << 30
-    row = F.xxhash64(F.col("doc_id").cast("string"), "text")  # rows without an id are told apart by their text
-    short = train.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).select(F.pmod(row, F.lit(space)).alias("h"), "text")
-    share = lambda docs: int(space * min(1.0, 2.0 * docs / max(1, sym.texts))) + 1
-    # start values only: a bounded sample, and of it a bounded number of rows
-    rows = short.where(F.col("h") < share(sample_docs)).orderBy("h", "text").limit(sample_docs).select("text").collect()
-    if rows:
-        obs, at, *_ = symbols_of(pa.array([r["text"] for r in rows], pa.string()), sym, pa.array(sym.head, pa.string()))
-        for _ in range(SAMPLE_ROUNDS):
-            start, move, emit = maximised(*expected(obs, at, start, move, emit), unigram)
-    aside = min(DEV_DOCS, -(-sym.texts // 10))
-    aside = short.where(F.col("h") >= space - share(aside)).orderBy(F.desc("h"), "text").limit(aside).select("text").collect()
-    dev = symbols_of(pa.array([r["text"] for r in aside], pa.string()), sym, pa.array(sym.head, pa.string()))[:2] if aside else None
+    start, move, emit = begun(near, sym, states)
     fields = ", ".join(f"g{j} double" for j in range(states))
     for _ in range(rounds if sym.texts else 0):
-        sent = spark.sparkContext.broadcast((sym, start, move, emit))
+        sent = spark.sparkContext.broadcast((sym, *[x.astype(np.float32) for x in (start, move, np.maximum(emit, 1e-30))]))
 
         def count(batches):
             own, s, m, e = sent.value
@@ -308,8 +333,7 @@ def trained(train: DataFrame, sym: Symbols, states: int = STATES, sample_docs: i
         started, moved, emitted = value[key == -1][0], np.zeros((states, states)), np.zeros((sym.n, states))
         moved[-2 - key[key <= -2]] = value[key <= -2]
         emitted[key[key >= 0]] = value[key >= 0]
-        smooth = smoothing(sym, dev, (started, moved, emitted), (start, move, emit))
-        start, move, emit = maximised(started, moved, emitted, unigram, smooth)
+        start, move, emit = maximised(started, moved, emitted, unigram, smoothing(sym, emitted))
     return start, move, emit
 
 
@@ -358,9 +382,12 @@ def scored(docs: DataFrame, counts: DataFrame, sym: Symbols, start, move, emit)
 
 def model(train: DataFrame, head: int = HEAD, **how):
     """Counts, alphabet and parameters."""
-    counts = word_counts(train)
+    both = word_counts(train)
+    counts, pairs = both.where("word not like ' %'"), both.where("word like ' %'").toArrow()  # a row for two buckets
     sym = alphabet(counts, train.count(), head)
-    return counts, sym, trained(train, sym, **how)
+    near = np.zeros((BUCKETS + 1) ** 2)
+    near[[int(x) for x in pairs["word"].to_pylist()]] = pairs["c"].to_numpy()
+    return counts, sym, trained(train, sym, near.reshape(BUCKETS + 1, -1), **how)
 
 
 def op2_hmm(docs: DataFrame) -> DataFrame:

@@ -510,3 +510,16 @@ def test_conversations_named_by_texts(spark):
     rows = [("x-1", 0, "user", "hi"), ("x-1", 1, "assistant", "yes"), ("x-1", 2, "user", "more"), ("y-1", 0, "user", "hi")]
     got = toolcalls.op7_toolcalls(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
     assert {(r["conv_id"], r["turn"], r["status"], r["wave"]) for r in got} == {("x-1", 0, "linked", 0), ("x-1", 2, "open", 1), ("y-1", 0, "open", 0)}
+
+
+def test_hidden_model_learns_from_every_text(spark):
+    """Nothing of the model is fitted on rows picked from the corpus: texts come to the driver nowhere."""
+    import inspect
+
+    from sparkloom.llm import hmm
+
+    for f in (hmm.trained, hmm.begun, hmm.smoothing, hmm.model):
+        assert ".limit(" not in inspect.getsource(f) and ".collect(" not in inspect.getsource(f)
+    docs = spark.createDataFrame([(i, "a b c d " * 3 if i % 2 else "e f g h " * 3) for i in range(40)], "doc_id long, text string")
+    counts, sym, (start, move, emit) = hmm.model(docs)
+    assert abs(start.sum() - 1) < 1e-9 and abs(emit.sum(axis=0) - 1).max() < 1e-9
