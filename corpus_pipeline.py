@@ -23,7 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 and more) the document with the smallest doc_id stays."""
+    """Of each group of near copies (op10's fingerprints within 4 bits, or five-word shingles with a similarity of 0.8 and more) the document with the smallest doc_id stays."""
     ready(spark)
     return nearcopies.kept_one(docs)
 

@@ -1,4 +1,5 @@
-"""Near copies by their shingles of five words: two texts are linked if their sets have a Jaccard similarity of 0.8 or more.
+"""Near copies by SimHash fingerprints and by shingles of five words: two texts are linked if their fingerprints differ in 4
+bits at most, found by op10's covering tables, or if their shingle sets have a Jaccard similarity of 0.8 or more.
 
 Candidates come from minimum hashes: BANDS keys of ROWS minima each. A pair of similarity s shares a key with probability
 1 - (1 - s^ROWS)^BANDS, which is 0.9999 at 0.8 and more above. Texts are joined with the smallest one of each key into
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.llm import simhash
 from sparkloom.llm.arrowtext import LOWER, raw, steps
 from sparkloom.llm.components import components
 from sparkloom.llm.store import carried, partitions, row_hash, written
@@ -80,24 +82,29 @@ def keys(h: np.ndarray) -> np.ndarray:
 
 
 def _read(batches, what):
-    """The batches' slices with the results of `what` for each text's shingle set."""
+    """The batches' slices with the results of `what` for each text, as lower-cased bytes."""
     for batch in batches:
         for part in steps(batch, most=STEP):
             offsets, data = raw(part.column("text"))
             data = data.translate(LOWER)
             at = offsets.tolist()
-            yield part, [what(shingles(data[a:b])) for a, b in zip(at, at[1:])]
+            yield part, [what(data[a:b]) for a, b in zip(at, at[1:])]
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, rh (the row's hash), node (the digest of the shingle set), n (its size) and keys."""
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("rh long, node long, n long, keys array<long>").fields])
+    """doc_id, rh (the row's hash), node (the digest of the shingle set), n (its size), fp (op10's fingerprint) and keys."""
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("rh long, node long, n long, fp long, keys array<long>").fields])
+
+    def of(text):
+        h = shingles(text)
+        return digest(h), len(h), keys(h), simhash.fingerprint(text)
 
     def run(batches):
-        for part, got in _read(batches, lambda h: (digest(h), len(h), keys(h))):
-            at = np.cumsum([0, *[len(k) for _, _, k in got]]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([k for _, _, k in got])))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rh"), pa.array([x for x, _, _ in got], pa.int64()), pa.array([n for _, n, _ in got], pa.int64()), lists], names=schema.names)
+        for part, got in _read(batches, of):
+            at = np.cumsum([0, *[len(k) for _, _, k, _ in got]]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([k for _, _, k, _ in got])))
+            fp = pa.array(np.array([x for *_, x in got], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rh"), pa.array([x for x, *_ in got], pa.int64()), pa.array([n for _, n, *_ in got], pa.int64()), fp, lists], names=schema.names)
 
     return docs.select("doc_id", row_hash(docs).alias("rh"), "text").mapInArrow(run, schema)
 
@@ -163,7 +170,7 @@ def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
     schema = "node long, text string"
 
     def again(batches):
-        for part, got in _read(batches, digest):
+        for part, got in _read(batches, lambda text: digest(shingles(text))):
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), part.column("text")], names=["node", "text"])
 
     unnamed = unnamed.select("text").mapInArrow(again, schema).dropDuplicates(["node"])
@@ -199,12 +206,20 @@ def _linked(sets: dict):
         yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in got], pa.int64()), pa.array([nodes[y] for _, y in got], pa.int64())], names=["a", "b"])
 
 
+def by_fingerprint(read: DataFrame) -> DataFrame:
+    """(a, b) node pairs that join all nodes whose fingerprints are the same or within op10's radius."""
+    own = read.select("node", "fp").distinct()
+    first = written(own.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    same = own.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return simhash.links(first.select("fp", F.col("first").alias("node"))).unionByName(same)
+
+
 def grouped(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """node, group and least (the smallest doc_id and row hash of the node) of every distinct shingle set."""
     read = written(prints(docs), "prints")
     classes = written(read.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").cast("long").alias("doc_id"), "rh"))).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
     # written, so that a task does not hold a worker that walks and one that reduces links at once
-    found = components(written(links(docs, classes, block), "walked"))
+    found = components(written(by_fingerprint(read), "close").unionByName(written(links(docs, classes, block), "walked")))
     return classes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("group"), "least")
 
 

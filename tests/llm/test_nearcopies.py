@@ -72,3 +72,17 @@ def test_blocks_rows_without_an_id_and_short_texts(spark):
     for block in (nearcopies.BLOCK, 700):
         got = nearcopies.kept_one(docs, block=block).collect()
         assert {r["doc_id"] for r in got} == {10, 40, 42, 43, None} and len(got) == 6
+
+
+def test_close_fingerprints_are_linked_too(spark):
+    """Op10's links count, also where shingle sets are less alike than the stage asks for."""
+    from sparkloom.llm import nearcopies, simhash
+
+    text = "a b c d"
+    other = "a b c d a b c d a b c d a b c d a b c d"
+    docs = spark.createDataFrame([(1, text), (2, other), (3, "x y z w v u t s")], "doc_id long, text string")
+    read = nearcopies.prints(docs)
+    fp = {r["doc_id"]: r["fp"] & (1 << 64) - 1 for r in read.collect()}
+    assert fp == {d: simhash.fingerprint(t.encode()) for d, t in ((1, text), (2, other), (3, "x y z w v u t s"))}
+    near = spark.createDataFrame([(10, 0), (11, 15), (12, -1), (13, -1)], "node long, fp long")
+    assert {tuple(sorted(r)) for r in nearcopies.by_fingerprint(near).distinct().collect()} == {(10, 11), (12, 13)}
