@@ -13,9 +13,10 @@ aggregated across partitions. How far a state's emissions are drawn to those of
 each token of all training texts out once; drawn all the way, the model is the unigram base. Scores come from the scaled forward
 recursion over whole texts. Counts are expected in single precision and added up in double; scores are in double.
 
+Texts are split into words twice: to count these, and to store each text as symbols, which all rounds and the scores read.
 Both recursions work on pieces of at most SEGMENT tokens, many side by side, and are exact: a piece behind the first one of
 its text is first multiplied out as a matrix of states by states, the messages that reach each piece from either side follow
-from these matrices, and the recursion inside a piece starts from its messages.
+from these matrices, and the recursion inside a piece starts from its messages. A text of one piece needs no messages.
 
 Edge cases: null and empty texts are one end token; without training rows every word is unknown and the model
 is uniform; repeated rows are scored each for itself; extra columns are ignored.
@@ -32,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.arrowtext import LOWER, coded, counts_by_text, ragged, remainder, steps, words
+from sparkloom.llm.arrowtext import LOWER, STEP_BYTES, coded, counts_by_text, ragged, raw, remainder, steps, words
 from sparkloom.llm.store import written
 
 STATES, HEAD, CLASSES = 8, 100_000, 256
 BUCKETS, START_ROUNDS, ROUNDS = 512, 60, 2
 #: Tokens of a piece, and of the pieces whose states are held at once.
 SEGMENT, HELD = 512, 250_000
+#: Text bytes whose words are counted at once: the more, the fewer rows a word.
+COUNTED_BYTES = 16_000_000
 ALPHA = 0.1
 #: Uniform tokens that a state's transitions are smoothed by, and unigram tokens that its emissions may be; with the last
 #: of these every state has the unigram's own emissions, so that the model is its base.
@@ -53,16 +56,17 @@ def word_counts(train: DataFrame) -> DataFrame:
 
     def count(batches):
         pairs = np.zeros(size * size, np.int64)
-        for batch in batches:
-            for part in steps(batch):
-                flat, at = words(part.column("text"), LOWER)
-                code, distinct = coded(flat)
-                own = np.array([bucket_of(w) for w in distinct.cast(pa.string()).to_pylist()], np.int64)
-                line = np.full(len(code) + len(at), BUCKETS, np.int64)  # texts with an end before, between and behind them
-                n = at[1:] - at[:-1]
-                line[np.arange(len(code)) + np.repeat(np.arange(len(n)), n) + 1] = own[code] if len(code) else 0
-                pairs += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
-                yield pa.RecordBatch.from_arrays([distinct.cast(pa.string()), pa.array(np.bincount(code, minlength=len(distinct)).astype(np.int64))], names=["word", "c"])
+        for part in gathered(batches, "text", COUNTED_BYTES):
+            flat, at = words(part.column("text"), LOWER)
+            code, distinct = coded(flat)
+            own = checksums(distinct) % BUCKETS
+            line = np.full(len(code) + len(at), BUCKETS, np.int64)  # texts with an end before, between and behind them
+            n = at[1:] - at[:-1]
+            line[np.arange(len(code)) + np.repeat(np.arange(len(n)), n) + 1] = own[code] if len(code) else 0
+            pairs += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
+            times = np.bincount(code, minlength=len(distinct)).astype(np.int64)
+            for low in range(0, len(distinct), 50_000):
+                yield pa.RecordBatch.from_arrays([distinct.slice(low, 50_000).cast(pa.string()), pa.array(times[low : low + 50_000])], names=["word", "c"])
         used = np.flatnonzero(pairs)
         for low in range(0, len(used), 50_000):
             some = used[low : low + 50_000]
@@ -75,8 +79,32 @@ def bucket_of(word: str) -> int:
     return zlib.crc32(word.encode()) % BUCKETS
 
 
-def class_of(word: str) -> int:
-    return zlib.crc32(word[-2:].encode()) % CLASSES
+def checksums(strings: pa.Array) -> np.ndarray:
+    """CRC-32 of each string."""
+    offsets, data = raw(strings)
+    at = offsets.tolist()
+    return np.fromiter((zlib.crc32(data[a:b]) for a, b in zip(at, at[1:])), np.int64, len(at) - 1)
+
+
+def classes_of(strings: pa.Array) -> np.ndarray:
+    """The class of each word."""
+    code, ends = coded(pc.utf8_slice_codeunits(strings, -2))
+    return (checksums(ends) % CLASSES)[code] if len(code) else np.zeros(0, np.int64)
+
+
+def gathered(batches, column: str, most: int):
+    """All rows in batches of about `most` bytes of a column, made of whole batches where these are small and slices of large ones."""
+    held, size = [], 0
+    for batch in batches:
+        for part in steps(batch, column, most):
+            own = (pc.sum(pc.binary_length(part.column(column))).as_py() or 0) + 16 * part.num_rows
+            if held and size + own > most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
+        yield pa.concat_batches(held)
 
 
 class Symbols:
@@ -112,61 +140,80 @@ def alphabet(counts: DataFrame, texts: int, head: int = HEAD) -> Symbols:
 
 
 def symbols_of(texts: pa.Array, sym: Symbols, head: pa.Array):
-    """Symbols of all texts with their ends, where texts begin, and the class words: (text, word, times)."""
+    """Symbols of all texts with their ends, where texts begin, code and text of each word, the distinct words, and which of them
+    are class words."""
     flat, at = words(texts, LOWER)
     code, distinct = coded(flat)
     number = pc.fill_null(pc.index_in(distinct.cast(pa.string()), value_set=head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     rare = np.flatnonzero(number < 0)
-    spelled = distinct.take(pa.array(rare)).to_pylist()
-    number[rare] = [len(sym.head) + class_of(w) for w in spelled]
+    number[rare] = len(sym.head) + classes_of(distinct.take(pa.array(rare)))
     n = at[1:] - at[:-1]
     text = np.repeat(np.arange(len(n)), n)
     out = np.full(len(code) + len(n), sym.end, np.int64)
     if len(code):
         out[np.arange(len(code)) + text] = number[code]
     is_rare = number >= len(sym.head)
-    return out, at + np.arange(len(at)), code, text, distinct, is_rare, number
+    return out, at + np.arange(len(at)), code, text, distinct, is_rare
+
 
+def stored_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts of a batch of `spelled`, and where texts begin (one more entry than texts)."""
+    at, data = raw(column)
+    return np.frombuffer(data, "<i4"), at // 4
 
-def _side_by_side(size: np.ndarray):
-    """The order of pieces by length, and how many are longer than t tokens, for each t."""
+
+def _groups(size: np.ndarray) -> list[np.ndarray]:
+    """Pieces by length, longest first, in groups of about HELD tokens."""
     order = np.argsort(-size, kind="stable")
-    return order, np.searchsorted(-size[order], -np.arange(int(size.max()) + 1), "left")
+    return np.split(order, np.flatnonzero(np.diff(np.cumsum(size[order]) // HELD)) + 1) if len(size) else []
 
 
-def _vectors(obs, begin, size, first, move, emit) -> tuple[np.ndarray, np.ndarray]:
-    """State probabilities behind each piece, and log10 of its probability, from weights of the states of its first token."""
-    order, live = _side_by_side(size)
-    begin = begin[order]
-    log, alpha, out = np.zeros(len(size)), first[order], np.empty_like(first)
-    for t in range(len(live) - 1):
-        m = live[t]
-        if m < len(alpha):
-            out[order[m : len(alpha)]] = alpha[m:]
-        alpha = (alpha[:m] if t == 0 else alpha[:m] @ move) * emit[obs[begin[:m] + t]]
-        scale = alpha.sum(axis=1, keepdims=True)
-        alpha /= scale
-        log[order[:m]] += np.log10(scale[:, 0])
-    out[order[: len(alpha)]] = alpha
-    return out, log
+def _stepwise(obs, begin, size):
+    """Tokens of pieces that come longest first: the first of each, then the second ones, and so on; the piece of each token, and
+    where each step's tokens begin (one more entry than steps)."""
+    live = np.searchsorted(-size, -np.arange(int(size[0])), "left")
+    step, lane = ragged(np.zeros(len(live), np.int64), live)
+    return obs[begin[lane] + step], lane, [0, *np.cumsum(live).tolist()]
 
 
-def _matrices(obs, begin, size, move, emit, lanes: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def _vectors(obs, begin, size, first, move, wide) -> tuple[np.ndarray, np.ndarray]:
+    """State probabilities behind each piece, and log10 of its probability, from weights of the states of its first token."""
+    log, after, onward = np.zeros(len(size)), np.empty_like(first), np.ascontiguousarray(move.T)
+    for some in _groups(size):
+        seen, lane, cut = _stepwise(obs, begin[some], size[some])
+        e = wide.take(seen, axis=1)  # a row for each state, so that all steps work along the pieces
+        scale, alpha = np.empty(len(seen), e.dtype), np.ascontiguousarray(first[some].T)
+        out = np.empty_like(alpha)
+        for low, high in zip(cut, cut[1:]):
+            m = high - low
+            if m < alpha.shape[1]:
+                out[:, m : alpha.shape[1]] = alpha[:, m:]
+            alpha = (alpha[:, :m] if low == 0 else onward @ alpha[:, :m]) * e[:, low:high]
+            alpha /= np.add.reduce(alpha, axis=0, out=scale[low:high])
+        out[:, : alpha.shape[1]] = alpha
+        after[some] = out.T
+        log[some] = np.bincount(lane, np.log10(scale), minlength=len(some))
+    return after, log
+
+
+def _matrices(obs, begin, size, move, wide) -> tuple[np.ndarray, np.ndarray]:
     """Each piece, with the step into it, as a matrix of sum 1, and log10 of the factor that was taken out."""
     k = len(move)
-    out, log = np.empty((len(size), k, k), emit.dtype), np.zeros(len(size))
-    for low in range(0, len(size), lanes):
-        order, live = _side_by_side(size[low : low + lanes])
-        own, at = begin[low : low + lanes][order], order + low
-        now = np.broadcast_to(np.eye(k, dtype=emit.dtype), (len(order), k, k))
-        for t in range(len(live) - 1):
-            m = live[t]
-            out[at[m : len(now)]] = now[m:]
-            now = (now[:m].reshape(-1, k) @ move).reshape(-1, k, k) * emit[obs[own[:m] + t]][:, None, :]
-            scale = now.sum(axis=(1, 2))
-            now /= scale[:, None, None]
-            log[at[:m]] += np.log10(scale)
-        out[at[: len(now)]] = now
+    out, log, onward = np.empty((len(size), k, k), wide.dtype), np.zeros(len(size)), np.ascontiguousarray(move.T)
+    for some in _groups(size):
+        seen, lane, cut = _stepwise(obs, begin[some], size[some])
+        e = wide.take(seen, axis=1)
+        scale, now = np.empty(len(seen), e.dtype), np.repeat(np.eye(k, dtype=e.dtype)[:, :, None], len(some), axis=2)
+        own = np.empty_like(now)
+        for low, high in zip(cut, cut[1:]):
+            m = high - low
+            if m < now.shape[2]:
+                own[:, :, m : now.shape[2]] = now[:, :, m:]
+            now = (onward @ now[:, :, :m]) * e[:, low:high]
+            now /= np.add.reduce(now, axis=(0, 1), out=scale[low:high])
+        own[:, :, : now.shape[2]] = now
+        out[some] = own.transpose(2, 0, 1)
+        log[some] = np.bincount(lane, np.log10(scale), minlength=len(some))
     return out, log
 
 
@@ -177,16 +224,20 @@ def _pieces(at: np.ndarray, segment: int):
     return text, place, begin, np.minimum(segment, at[text + 1] - begin)
 
 
-def _passed_on(obs, at, start, move, emit, segment):
-    """The pieces, the messages that reach them from before, and log10 of the probability of each text."""
+def _passed_on(obs, at, start, move, wide, segment, whole=True):
+    """The pieces, the messages that reach them from before, and log10 of the probability of each text; if these are not
+    wanted, texts of one piece are passed over."""
     text, place, begin, size = _pieces(at, segment)
     heads = np.flatnonzero(place == 0)
-    after, log = _vectors(obs, begin[heads], size[heads], np.broadcast_to(start, (len(heads), len(start))).copy(), move, emit)
+    if not whole:
+        heads = heads[np.append(place, 0)[heads + 1] > 0]
+    after, log = np.zeros((len(at) - 1, len(start)), wide.dtype), np.zeros(len(at) - 1)
+    after[text[heads]], log[text[heads]] = _vectors(obs, begin[heads], size[heads], np.broadcast_to(start, (len(heads), len(start))), move, wide)
     rest = np.flatnonzero(place > 0)
-    matrix, scale = _matrices(obs, begin[rest], size[rest], move, emit)
+    matrix, scale = _matrices(obs, begin[rest], size[rest], move, wide)
     nth = np.full(len(place), -1)
     nth[rest] = np.arange(len(rest))
-    before = np.zeros((len(place), len(start)), emit.dtype)
+    before = np.zeros((len(place), len(start)), wide.dtype)
     now = heads
     while len(now := now[now + 1 < len(place)] + 1) and len(now := now[place[now] > 0]):
         before[now] = after[text[now]]
@@ -199,13 +250,13 @@ def _passed_on(obs, at, start, move, emit, segment):
 
 def forward(obs: np.ndarray, at: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
     """log10 probability of each sequence; emit has a row for each symbol."""
-    return _passed_on(obs, at, start, move, emit, segment)[-1] if len(at) > 1 else np.zeros(0)
+    return _passed_on(obs, at, start, move, np.ascontiguousarray(emit.T), segment)[-1] if len(at) > 1 else np.zeros(0)
 
 
 def expected(obs: np.ndarray, at: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, segment: int = SEGMENT):
     """Baum-Welch counts of whole sequences: starts, transitions and emissions (symbol by state)."""
-    k = len(start)
-    text, place, begin, size, matrix, nth, before, _ = _passed_on(obs, at, start, move, emit, segment)
+    k, wide = len(start), np.ascontiguousarray(emit.T)
+    text, place, begin, size, matrix, nth, before, _ = _passed_on(obs, at, start, move, wide, segment, whole=False)
     behind = np.ones((len(place), k), emit.dtype)  # what follows a piece, by the state of its last token
     last = np.flatnonzero(np.append(text[1:] != text[:-1], True))
     now = last[place[last] > 0]
@@ -213,49 +264,42 @@ def expected(obs: np.ndarray, at: np.ndarray, start: np.ndarray, move: np.ndarra
         got = np.einsum("nij,nj->ni", matrix[nth[now]], behind[now])
         behind[now - 1] = got / got.sum(axis=1, keepdims=True)
         now = now[place[now] > 1] - 1
-    started, moved, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((len(emit), k))
-    order = np.argsort(-size, kind="stable")
-    group = np.cumsum(size[order]) // HELD
-    for g in range(int(group[-1]) + 1):
-        if len(some := order[group == g]):
-            _counted(obs, begin[some], size[some], place[some] == 0, before[some], behind[some], start, move, emit, started, moved, emitted)
-    return started, moved, emitted
-
-
-def _counted(obs, begin, size, head, before, behind, start, move, emit, started, moved, emitted) -> None:
-    """Adds the counts of pieces that come in order of length, longest first."""
-    live = np.searchsorted(-size, -np.arange(int(size[0]) + 1), "left")
-    top = len(live) - 1
-    alphas, scales, seen = [], [], []
-    for t in range(top):
-        m = live[t]
-        o = obs[begin[:m] + t]
-        e = emit[o]
-        a = e * np.where(head[:, None], start, before @ move) if t == 0 else (alphas[-1][:m] @ move) * e
-        s = a.sum(axis=1, keepdims=True)
-        alphas.append(a / s)
-        scales.append(s)
-        seen.append((o, e))
-    gammas = [None] * top
-    beta = np.zeros((0, len(start)), emit.dtype)
-    for t in range(top - 1, -1, -1):
-        m, ahead = live[t], live[t + 1]
-        now = np.empty((m, len(start)), emit.dtype)
+    started, moved, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(emit)))
+    for some in _groups(size):
+        _counted(obs, begin[some], size[some], place[some] == 0, before[some].T, behind[some].T, start, move, wide, started, moved, emitted)
+    return started, moved, emitted.T
+
+
+def _counted(obs, begin, size, head, before, behind, start, move, wide, started, moved, emitted) -> None:
+    """Adds the counts of pieces that come in order of length, longest first; emitted has a row for each state."""
+    seen, _, cut = _stepwise(obs, begin, size)
+    e = wide.take(seen, axis=1)
+    alpha, beta, scale, onward = np.empty_like(e), np.empty_like(e), np.empty(len(seen), e.dtype), np.ascontiguousarray(move.T)
+    now = np.where(head, start[:, None], onward @ before)
+    for low, high in zip(cut, cut[1:]):
+        a = alpha[:, low:high]
+        np.multiply(now[:, : high - low] if low == 0 else onward @ now[:, : high - low], e[:, low:high], out=a)
+        a /= np.add.reduce(a, axis=0, out=scale[low:high])
+        now = a
+    e /= scale
+    ahead = 0
+    for low, high in zip(cut[-2::-1], cut[:0:-1]):
+        m = high - low
         if ahead:
-            w = seen[t + 1][1] * beta / scales[t + 1]
-            moved += move * (alphas[t][:ahead].T @ w)
-            now[:ahead] = w @ move.T
-        ended = behind[ahead:m]  # scaled so that the states of the last token add up to 1
-        now[ahead:] = ended / (alphas[t][ahead:m] * ended).sum(axis=1, keepdims=True)
-        beta = now
-        gammas[t] = alphas[t] * beta
-    into = ~head
-    moved += move * (before[into].T @ (seen[0][1] * beta / scales[0])[into])
-    started += gammas[0][head].sum(axis=0)
-    every = np.concatenate([o for o, _ in seen])
-    gamma = np.concatenate(gammas)
+            w = e[:, high : high + ahead]
+            w *= beta[:, high : high + ahead]
+            moved += move * (alpha[:, low : low + ahead] @ w.T)
+            np.matmul(move, w, out=beta[:, low : low + ahead])
+        if m > ahead:  # scaled so that the states of the last token add up to 1
+            ended = behind[:, ahead:m]
+            beta[:, low + ahead : high] = ended / (alpha[:, low + ahead : high] * ended).sum(axis=0)
+        ahead = m
+    into = np.flatnonzero(~head)
+    moved += move * (before[:, into] @ (e[:, into] * beta[:, into]).T)
+    alpha *= beta
+    started += alpha[:, : len(head)][:, head].sum(axis=1)
     for j in range(len(start)):
-        emitted[:, j] += np.bincount(every, gamma[:, j], minlength=len(emit))
+        emitted[j] += np.bincount(seen, alpha[j], minlength=wide.shape[1])
 
 
 def maximised(started, moved, emitted, unigram, smooth=SMOOTH_EMIT[0]):
@@ -304,31 +348,54 @@ def begun(near: np.ndarray, sym: Symbols, states: int, rounds: int = START_ROUND
     return start / start.sum(), move, emit / emit.sum(axis=0)
 
 
+def spelled(docs: DataFrame, sym: Symbols) -> DataFrame:
+    """All texts as symbols, stored once for all rounds and the scores: doc_id, th (a hash of the text), n_tokens, known and base (those
+    of words that are not of classes), symbols (four bytes each) and the class words."""
+    sent = docs.sparkSession.sparkContext.broadcast(sym)
+    rare = T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("n", T.IntegerType())]))
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("th", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("symbols", T.BinaryType()), T.StructField("rare", rare)])
+
+    def run(batches):
+        own = sent.value
+        head = pa.array(own.head, pa.string())
+        base = np.concatenate([own.base(own.head_counts.astype(float)), np.zeros(CLASSES), own.base(np.array([float(own.texts)]))])
+        for part in gathered(batches, "text", STEP_BYTES):
+            obs, at, code, text, distinct, is_rare = symbols_of(part.column("text"), own, head)
+            in_head = (obs < len(own.head)) | ((obs == own.end) & (own.texts > 0))
+            known, sums = counts_by_text(at, in_head.astype(np.int64)), counts_by_text(at, base[obs])
+            pick = np.flatnonzero(is_rare[code]) if len(code) else np.zeros(0, np.int64)
+            pair, times = np.unique(text[pick] * len(distinct) + code[pick], return_counts=True)
+            owner = pair // max(1, len(distinct))
+            cut = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
+            inner = pa.StructArray.from_arrays([distinct.take(pa.array(pair % max(1, len(distinct)))).cast(pa.string()), pa.array(times.astype(np.int32))], names=["w", "n"])
+            symbols = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(4 * at), pa.py_buffer(obs.astype("<i4"))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(at[1:] - at[:-1]), pa.array(known), pa.array(sums), symbols, pa.ListArray.from_arrays(pa.array(cut), inner)], names=schema.names)
+
+    return written(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema), "symbols")
+
+
 def trained(train: DataFrame, sym: Symbols, near: np.ndarray, states: int = STATES, rounds: int = ROUNDS):
-    """start, move, emit."""
+    """start, move, emit, from rows of `spelled`."""
     spark = train.sparkSession
     unigram = sym.unigram()
     start, move, emit = begun(near, sym, states)
     fields = ", ".join(f"g{j} double" for j in range(states))
     for _ in range(rounds if sym.texts else 0):
-        sent = spark.sparkContext.broadcast((sym, *[x.astype(np.float32) for x in (start, move, np.maximum(emit, 1e-30))]))
+        sent = spark.sparkContext.broadcast([x.astype(np.float32) for x in (start, move, np.maximum(emit, 1e-30))])
 
         def count(batches):
-            own, s, m, e = sent.value
-            head = pa.array(own.head, pa.string())
-            total = [np.zeros(states), np.zeros((states, states)), np.zeros((own.n, states))]
-            for batch in batches:
-                for part in steps(batch, most=1_500_000):
-                    obs, at, *_ = symbols_of(part.column("text"), own, head)
-                    for x, y in zip(total, expected(obs, at, s, m, e)):
-                        x += y
+            s, m, e = sent.value
+            total = [np.zeros(states), np.zeros((states, states)), np.zeros((states, len(e))).T]
+            for part in gathered(batches, "symbols", STEP_BYTES):
+                for x, y in zip(total, expected(*stored_symbols(part.column("symbols")), s, m, e)):
+                    x += y
             used = np.flatnonzero(total[2].sum(axis=1) > 0)
             key = np.concatenate([[-1], -2 - np.arange(states), used])
             value = np.concatenate([total[0][None], total[1], total[2][used]])
             for low in range(0, len(key), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[low : low + 50_000].astype(np.int64))] + [pa.array(np.ascontiguousarray(value[low : low + 50_000, j])) for j in range(states)], names=["key", *[f"g{j}" for j in range(states)]])
 
-        sums = train.select("text").mapInArrow(count, f"key long, {fields}").groupBy("key").agg(*[F.sum(f"g{j}").alias(f"g{j}") for j in range(states)]).toArrow()  # a row a symbol
+        sums = train.select("symbols").mapInArrow(count, f"key long, {fields}").groupBy("key").agg(*[F.sum(f"g{j}").alias(f"g{j}") for j in range(states)]).toArrow()  # a row a symbol
         key, value = sums["key"].to_numpy(), np.stack([sums[f"g{j}"].to_numpy() for j in range(states)], axis=1)
         started, moved, emitted = value[key == -1][0], np.zeros((states, states)), np.zeros((sym.n, states))
         moved[-2 - key[key <= -2]] = value[key <= -2]
@@ -337,34 +404,19 @@ def trained(train: DataFrame, sym: Symbols, near: np.ndarray, states: int = STAT
     return start, move, emit
 
 
-def scored(docs: DataFrame, counts: DataFrame, sym: Symbols, start, move, emit) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every text."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((sym, start, move, emit))
-    kind = docs.schema["doc_id"].dataType
-    rare = T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("n", T.IntegerType())]))
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("th", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("hidden", T.DoubleType()), T.StructField("rare", rare)])
+def rated(texts: DataFrame, counts: DataFrame, sym: Symbols, start, move, emit) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every row of `spelled`."""
+    sent = texts.sparkSession.sparkContext.broadcast((start, move, emit))
+    schema = T.StructType([f for f in texts.schema if f.name not in ("symbols", "rare")]).add("hidden", T.DoubleType())
 
     def run(batches):
-        own, s, m, e = sent.value
-        head = pa.array(own.head, pa.string())
-        base = np.concatenate([own.base(own.head_counts.astype(float)), np.zeros(CLASSES), own.base(np.array([float(own.texts)]))])
-        for batch in batches:
-            for part in steps(batch):
-                obs, at, code, text, distinct, is_rare, number = symbols_of(part.column("text"), own, head)
-                hidden = forward(obs, at, s, m, e)
-                in_head = (obs < len(own.head)) | ((obs == own.end) & (own.texts > 0))
-                known, sums = counts_by_text(at, in_head.astype(np.int64)), counts_by_text(at, base[obs])
-                pick = np.flatnonzero(is_rare[code]) if len(code) else np.zeros(0, np.int64)
-                pair, times = np.unique(text[pick] * len(distinct) + code[pick], return_counts=True)
-                owner = pair // max(1, len(distinct))
-                cut = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
-                inner = pa.StructArray.from_arrays([distinct.take(pa.array(pair % max(1, len(distinct)))).cast(pa.string()), pa.array(times.astype(np.int32))], names=["w", "n"])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(at[1:] - at[:-1]), pa.array(known), pa.array(sums), pa.array(hidden), pa.ListArray.from_arrays(pa.array(cut), inner)], names=schema.names)
-
-    first = written(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema), "forward")
+        for part in gathered(batches, "symbols", STEP_BYTES):
+            hidden = forward(*stored_symbols(part.column("symbols")), *sent.value)
+            yield pa.RecordBatch.from_arrays([*(part.column(f) for f in schema.names[:-1]), pa.array(hidden)], names=schema.names)
+
+    first = written(texts.drop("rare").select(*schema.names[:-1], "symbols").mapInArrow(run, schema), "forward")
     # counts of class words: joined by word, added up by text; the frequent words, which would be skewed, are not among them
-    words_ = first.select("doc_id", "th", F.explode("rare").alias("x")).select("doc_id", "th", F.col("x.w").alias("word"), F.col("x.n").alias("n"))
+    words_ = texts.select("doc_id", "th", F.explode("rare").alias("x")).select("doc_id", "th", F.col("x.w").alias("word"), F.col("x.n").alias("n"))
     met = words_.join(counts, "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0)) + F.lit(ALPHA)
     k = F.pmod(F.crc32(F.substring("word", -2, 2).cast("binary")), F.lit(CLASSES)).cast("int")
@@ -380,18 +432,28 @@ def scored(docs: DataFrame, counts: DataFrame, sym: Symbols, start, move, emit)
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("k", zero).cast("long")).alias("n_known"), (F.col("base") + F.coalesce("b", zero)).alias("base_score"), (F.col("hidden") + F.coalesce("s", zero)).alias("score"))
 
 
-def model(train: DataFrame, head: int = HEAD, **how):
-    """Counts, alphabet and parameters."""
+def scored(docs: DataFrame, counts: DataFrame, sym: Symbols, start, move, emit) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every text."""
+    return rated(spelled(docs, sym), counts, sym, start, move, emit)
+
+
+def counted(train: DataFrame, head: int = HEAD):
+    """Counts, alphabet and numbers of neighbours."""
     both = word_counts(train)
     counts, pairs = both.where("word not like ' %'"), both.where("word like ' %'").toArrow()  # a row for two buckets
-    sym = alphabet(counts, train.count(), head)
     near = np.zeros((BUCKETS + 1) ** 2)
     near[[int(x) for x in pairs["word"].to_pylist()]] = pairs["c"].to_numpy()
-    return counts, sym, trained(train, sym, near.reshape(BUCKETS + 1, -1), **how)
+    return counts, alphabet(counts, train.count(), head), near.reshape(BUCKETS + 1, -1)
+
+
+def model(train: DataFrame, head: int = HEAD, **how):
+    """Counts, alphabet and parameters."""
+    counts, sym, near = counted(train, head)
+    return counts, sym, trained(spelled(train, sym), sym, near, **how)
 
 
 def op2_hmm(docs: DataFrame) -> DataFrame:
-    train = docs.where(remainder("doc_id", 10) != 0)
-    counts, sym, parameters = model(train)
-    out = scored(docs, counts, sym, *parameters)
+    counts, sym, near = counted(docs.where(remainder("doc_id", 10) != 0))
+    texts = spelled(docs, sym)
+    out = rated(texts, counts, sym, *trained(texts.where(remainder("doc_id", 10) != 0), sym, near))
     return out.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(sym.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -523,3 +523,37 @@ def test_hidden_model_learns_from_every_text(spark):
     docs = spark.createDataFrame([(i, "a b c d " * 3 if i % 2 else "e f g h " * 3) for i in range(40)], "doc_id long, text string")
     counts, sym, (start, move, emit) = hmm.model(docs)
     assert abs(start.sum() - 1) < 1e-9 and abs(emit.sum(axis=0) - 1).max() < 1e-9
+
+
+def test_texts_are_spelled_once_and_rounds_read_symbols_only(spark):
+    rows = [(1, "b A a"), (2, None), (3, ""), (4, " a\tzz\U0001F600 Größe\n"), (None, "b q " * 700), (5, "a"), (5, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    counts, sym, near = hmm.counted(docs, head=2)
+    texts = hmm.spelled(docs, sym)
+    assert "text" not in texts.columns and sym.head == ["b", "q"]
+
+    def spell(text):
+        own = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        return [sym.head.index(w) if w in sym.head else 2 + zlib.crc32(w[-2:].encode()) % hmm.CLASSES for w in own] + [sym.end]
+
+    got = texts.toArrow().combine_chunks().to_batches()[0]
+    symbols, at = hmm.stored_symbols(got.column("symbols"))
+    assert sorted(symbols[a:b].tolist() for a, b in zip(at, at[1:])) == sorted(spell(t) for _, t in rows)
+    assert {r["doc_id"]: {x["w"]: x["n"] for x in r["rare"]} for r in texts.collect()}[1] == {"a": 2}
+    start, move, emit = hmm.trained(texts.select("symbols"), sym, near)
+    assert np.isfinite(emit).all() and abs(emit.sum(axis=0) - 1).max() < 1e-9
+    assert hmm.rated(texts, counts, sym, start, move, emit).count() == len(rows)
+    batches = [pa.record_batch({"text": pa.array(x, pa.string())}) for x in (["ab"], [], [None, "cd"], ["e" * 90, "f"], ["g"], [None] * 30)]
+    some = list(hmm.gathered(iter(batches), "text", 100))
+    assert [x for b in some for x in b.column("text").to_pylist()] == [x for b in batches for x in b.column("text").to_pylist()]
+    assert max(b.num_rows for b in some) <= 6 and len(some) < 12
+
+
+def test_counts_of_short_texts_take_one_pass_forward(monkeypatch):
+    """Before the counting itself, only pieces of cut texts are gone through."""
+    rng = np.random.default_rng(3)
+    start, move, emit = rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 5, 3).T
+    passed, plain = [], hmm._vectors
+    monkeypatch.setattr(hmm, "_vectors", lambda obs, begin, size, *rest: passed.append(int(size.sum())) or plain(obs, begin, size, *rest))
+    hmm.expected(rng.integers(0, 5, 60), np.array([0, 4, 9, 10, 60]), start, move, emit, 20)
+    assert sum(passed) == 20
