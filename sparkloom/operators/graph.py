@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.operators.ordered import either_key_join, keep_first
-from sparkloom.operators.ranges import checkpointed
+from sparkloom.operators.ranges import checkpointed, spread
 from sparkloom.operators.records import scope_paths
 
 
@@ -39,22 +39,22 @@ def cycle_paths(cycles: DataFrame, nodes: DataFrame, edges: DataFrame, most: int
     parts = cycles.select("cycle", n.alias("n"), "segments", F.posexplode("segments").alias("i", "segment"))
     ends = checkpointed(nodes.select(F.explode(endings(F.col("id"))).alias("key"), F.col("id").alias("path"), F.col("ord").alias("at")))
     none = F.lit(0).cast("long")
-    first = checkpointed(parts.join(ends, F.col("segment") == F.col("key")).groupBy("cycle", "path").agg(F.min(F.struct(F.col("at").cast("long").alias("a"), none.alias("b"), none.alias("c"))).alias("ord")))
-    rest = parts.join(first.select("cycle").distinct(), "cycle", "left_anti")
+    first = checkpointed(parts.join(spread(ends), F.col("segment") == F.col("key")).groupBy("cycle", "path").agg(F.min(F.struct(F.col("at").cast("long").alias("a"), none.alias("b"), none.alias("c"))).alias("ord")))
+    rest = parts.join(spread(first.select("cycle").distinct()), "cycle", "left_anti")
     keys = ends.select("key", "path").unionByName(nodes.select(F.col("module").alias("key"), F.col("id").alias("path"))).distinct()
     pairs = rest.where("n >= 2").select("cycle", "i", "segment", F.expr("segments[(i + 1) % n]").alias("next"))
     # each edge once for each pair of segments that it joins, however many cycles have that pair
     wanted = pairs.select("segment", "next").distinct()
-    begun = keys.join(wanted.select("segment").distinct(), F.col("key") == F.col("segment")).select("segment", F.col("path").alias("src"))
-    ended = keys.join(wanted.select("next").distinct(), F.col("key") == F.col("next")).select("next", F.col("path").alias("dst"))
-    joins = edges.select("src", "dst", F.col("ord").alias("at")).join(begun, "src").join(ended, "dst").join(wanted, ["segment", "next"], "left_semi")
+    begun = keys.join(spread(wanted.select("segment").distinct()), F.col("key") == F.col("segment")).select("segment", F.col("path").alias("src"))
+    ended = keys.join(spread(wanted.select("next").distinct()), F.col("key") == F.col("next")).select("next", F.col("path").alias("dst"))
+    joins = edges.select("src", "dst", F.col("ord").alias("at")).join(spread(begun), "src").join(spread(ended), "dst").join(spread(wanted), ["segment", "next"], "left_semi")
     sides = joins.select("segment", "next", "at", F.posexplode(F.array("src", "dst")).alias("side", "path")).groupBy("segment", "next", "path").agg(F.min(F.struct("at", "side")).alias("first"))
     at, side = F.col("first.at").cast("long").alias("b"), F.col("first.side").cast("long").alias("c")
-    second = checkpointed(pairs.join(sides, ["segment", "next"]).groupBy("cycle", "path").agg(F.min(F.struct(F.col("i").cast("long").alias("a"), at, side)).alias("ord")))
-    left = rest.join(second.select("cycle").distinct(), "cycle", "left_anti")
+    second = checkpointed(pairs.join(spread(sides), ["segment", "next"]).groupBy("cycle", "path").agg(F.min(F.struct(F.col("i").cast("long").alias("a"), at, side)).alias("ord")))
+    left = rest.join(spread(second.select("cycle").distinct()), "cycle", "left_anti")
     own = nodes.select(F.explode(F.array_distinct(F.array("module", "id"))).alias("key"), "id", "importance", "ord")
     best = own.groupBy("key").agg(F.min(F.struct((-F.col("importance")).alias("x"), "ord", "id"))["id"].alias("path"))
-    third = left.join(best, F.col("segment") == F.col("key")).groupBy("cycle", "path").agg(F.min(F.struct(F.col("i").cast("long").alias("a"), none.alias("b"), none.alias("c"))).alias("ord"))
+    third = left.join(spread(best), F.col("segment") == F.col("key")).groupBy("cycle", "path").agg(F.min(F.struct(F.col("i").cast("long").alias("a"), none.alias("b"), none.alias("c"))).alias("ord"))
     found = first.unionByName(second).unionByName(third)
     return scope_paths(found, nodes, most).select("cycle", "path", "importance", "nth")
 

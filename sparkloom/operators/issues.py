@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from sparkloom.functions.scalars import manifest
 from sparkloom.operators import graph, ordered
-from sparkloom.operators.ranges import checkpointed
+from sparkloom.operators.ranges import checkpointed, spread
 
 # Order of the categories, and tiers of severities.
 CATEGORIES = ["security", "critical_path", "dead_code", "test_coverage", "coupling", "layer_violation", "structure", "performance", "complexity", "documentation", "naming", "style"]
@@ -79,7 +79,7 @@ def _issue(rows: DataFrame, gen: int, category: str, tier, title: Column, paths:
 
 def _found(r: Review) -> DataFrame:
     """Packages that the catalog names, whole or bare, in a version it lists."""
-    met = graph.catalog_matches(r.catalog, r.packages)
+    met = graph.catalog_matches(F.broadcast(r.catalog), r.packages)
     tier = F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv]), F.col("severity"))
     title = F.concat(F.when(F.col("severity") == "critical", "Remove or upgrade ").otherwise("Audit "), F.col("name"), F.lit("@"), F.col("version"))
     # one order for (entry, package): entries are few
@@ -89,7 +89,7 @@ def _found(r: Review) -> DataFrame:
 def _cycles(r: Review) -> DataFrame:
     some = r.cycles.where(F.size("segments") > 0)
     paths = graph.cycle_paths(some, r.nodes, r.edges, r.bars.scope).groupBy("cycle").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "path"))), lambda x: x["path"]).alias("paths"))
-    met = some.join(paths, "cycle", "left")
+    met = some.join(spread(paths), "cycle", "left")
     return _issue(met, 2, "critical_path", 0, F.concat(F.lit("Break cycle "), F.array_join("segments", " > ")), F.coalesce("paths", _none()), F.slice(F.array_distinct("segments"), 1, r.bars.scope), F.col("cycle"))
 
 
@@ -168,8 +168,8 @@ def isolated(r: Review) -> DataFrame:
     # the modules of the files that an issue names, for those that say no other; a cycle's own segments only where no file has one
     module = r.hotspots.groupBy("path").agg(F.min_by("module", "ord").alias("module"))
     asked = every.where(F.col("gen").isin(1, 2, 10, 11)).select("gen", "ord", "title", F.posexplode("paths").alias("at", "path"))
-    met = asked.join(module, "path").groupBy("gen", "ord", "title").agg(F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "module"))), lambda x: x["module"])), 1, b.scope).alias("_own"))
-    out = every.join(met, ["gen", "ord", "title"], "left").withColumn("modules", F.coalesce("_own", "modules")).drop("_own")
+    met = asked.join(spread(module), "path").groupBy("gen", "ord", "title").agg(F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "module"))), lambda x: x["module"])), 1, b.scope).alias("_own"))
+    out = every.join(spread(met), ["gen", "ord", "title"], "left").withColumn("modules", F.coalesce("_own", "modules")).drop("_own")
     out = out.withColumn("rank", F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category")).cast("long") - 1)
     placed = ordered.positions(checkpointed(out), ["tier", "rank", "gen"], "ord", ["title"])
     return placed.select("position", F.concat(F.lit("P"), F.col("tier").cast("string")).alias("tier"), "category", "gen", "title", "paths", "modules")

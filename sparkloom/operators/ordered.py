@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.operators.ranges import spread
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
@@ -53,7 +55,7 @@ def cascade(probe: DataFrame, name: str, nodes: DataFrame, hotspots: DataFrame)
 
     every = reduce(DataFrame.unionByName, [*best(nodes, 0, 1, 4), *best(hotspots, 2, 3, 5)])
     first = every.groupBy("key").agg(F.min(F.struct("stage", "hit")).alias("_first"))
-    met = probe.join(first, F.regexp_replace(name, "/+$", "") == F.col("key"), "left")
+    met = probe.join(spread(first), F.regexp_replace(name, "/+$", "") == F.col("key"), "left")
     return met.select(*[probe[c] for c in probe.columns], F.coalesce("_first.hit", name).alias("resolved"), F.col("_first.stage").alias("stage"))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.operators.ordered import keep_first, positions
+from sparkloom.operators.ranges import spread
+from sparkloom.operators.ranges import spread
 
 # Recoverable errors that are shown as warnings.
 WARNING_CODES = (
@@ -201,7 +203,7 @@ def feed(events: DataFrame, limit: int, offset: int = 0) -> DataFrame:
 def scope_paths(paths: DataFrame, nodes: DataFrame, most: int = 3) -> DataFrame:
     """Of each cycle the most important paths; a path that is no node has importance 0."""
     known = keep_first(nodes, ["id"], ["ord"]).select(F.col("id").alias("path"), "importance")
-    met = paths.join(known, "path", "left").withColumn("importance", F.coalesce("importance", F.lit(0.0)))
+    met = paths.join(spread(known), "path", "left").withColumn("importance", F.coalesce("importance", F.lit(0.0)))
     nth = F.row_number().over(Window.partitionBy("cycle").orderBy(F.desc("importance"), "ord"))
     return met.withColumn("nth", nth).where(F.col("nth") <= most)
 

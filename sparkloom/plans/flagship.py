@@ -76,12 +76,24 @@ SELECT row_number() OVER (ORDER BY tier, rank, i.gen, i.ord, i.title) AS positio
 FROM i LEFT JOIN q ON q.gen = i.gen AND q.ord = i.ord AND q.title = i.title"""
 
 
+def _entries(spark, d):
+    """_ENTRIES, with suppliers and parts cut down to the few nations' before they are looked up: look-ups as subqueries send
+    the looked-up table to all tasks."""
+    read = lambda text: sql_frame(spark, d, text)
+    nations = read("SELECT n_nationkey AS ord, n_name FROM nation")
+    few = F.broadcast(nations.select("ord"))
+    suppliers = read("SELECT s_suppkey AS ord, s_name FROM supplier").join(few, "ord", "left_semi")
+    parts = read(f"SELECT p_partkey AS ord, {_PATH} AS path, concat(replace(p_name, ' ', '_'), '_', p_partkey, '.ts') AS file FROM part").join(few, "ord", "left_semi")
+    entry = "CASE ord % 5 WHEN 0 THEN 'nowhere.ts' WHEN 1 THEN s_name WHEN 2 THEN concat(coalesce(path, ''), '//') WHEN 3 THEN file ELSE concat('src/', lower(n_name)) END AS entry"
+    return nations.join(suppliers, "ord", "left").join(parts, "ord", "left").selectExpr("ord", entry)
+
+
 def review(spark, d) -> issues.Review:
     ready(spark)
     cycles = sql_frame(spark, d, _CYCLES).select("cycle", F.array_compact(F.array("a", "b", "c")).alias("segments"))
     catalog = spark.createDataFrame(_CATALOG, "entry int, package string, versions array<string>, severity string")
     read = lambda text: sql_frame(spark, d, text)
-    return issues.Review(read(_PACKAGES), catalog, cycles, read(_FILES), _nodes(spark, d), _links(spark, d), read(_MODULES), read(_ENTRIES), read(_READINESS), read(_SCORE))
+    return issues.Review(read(_PACKAGES), catalog, cycles, read(_FILES), _nodes(spark, d), _links(spark, d), read(_MODULES), _entries(spark, d), read(_READINESS), read(_SCORE))
 
 
 @query("flagship_issues", _twin())
