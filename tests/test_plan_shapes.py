@@ -60,7 +60,7 @@ def test_entry_points_look_up_few_rows(spark):
     assert plan(looked_up).count("LeftSemi") == 2 and "LeftSingle" not in plan(looked_up)
 
 
-@pytest.mark.parametrize("name", ["flagship_issues"])
+@pytest.mark.parametrize("name", ["flagship_issues", "agg_issue_generators"])
 def test_issues_find_modules_by_dealt_out_rows(spark, monkeypatch, name):
     seen, stored = [], issues.checkpointed
     monkeypatch.setattr(issues, "checkpointed", lambda df: (seen.append(plan(df)), stored(df))[1])
