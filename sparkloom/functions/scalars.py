@@ -262,9 +262,9 @@ def valid_durations(window_ms: Column, burn_ms: Column) -> Column:
     return finite(window_ms) & finite(burn_ms) & F.coalesce(burn_ms <= window_ms, F.lit(False))
 
 
-def stamp(ms: Column) -> Column:
-    """ISO time of milliseconds; `live` where they are not a time after the year 2000."""
-    known = F.coalesce(ms >= 946_684_800_000, F.lit(False))
+def stamp(ms: Column, since: int = 946_684_800_000) -> Column:
+    """ISO time of milliseconds; `live` where they are not a time from `since` on, which is the year 2000."""
+    known = F.coalesce(ms >= since, F.lit(False))
     return F.when(known, F.date_format(F.timestamp_millis(F.when(known, ms)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).otherwise("live")
 
 

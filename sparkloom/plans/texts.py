@@ -129,10 +129,11 @@ def _stamps(spark, d):
     e = rows(spark, d, "events", "event_id", "coalesce(event_id % 3 = 0, false) live", "cast(ts as timestamp) t", "CASE event_id % 5 WHEN 0 THEN -1 WHEN 1 THEN cast('Infinity' as double) ELSE 10 END w", "CASE event_id % 5 WHEN 4 THEN 11 ELSE 10 END b")
     # an event without a time has neither text nor age, and one without an id no verdict
     timed = lambda x: F.when(F.col("live") | F.col("t").isNotNull(), x)
-    t = F.when(~F.col("live"), F.col("t"))
+    # any time is one here; milliseconds are cut towards 1970, and years of five digits bear no sign
+    t = F.when(~F.col("live"), F.timestamp_millis(F.expr("unix_micros(t) div 1000")))
     return e.select(
         "event_id",
-        timed(scalars.stamp(F.coalesce(F.unix_millis(t), F.lit(5)))).alias("stamp"),
+        timed(F.regexp_replace(scalars.stamp(F.unix_millis(t), -(1 << 63)), "^[+]", "")).alias("stamp"),
         F.when(F.col("event_id").isNotNull(), scalars.valid_durations(F.col("w"), F.col("b").cast("double"))).alias("valid"),
         timed(scalars.age_ms(F.timestamp_millis(F.lit(1706659200000)), t)).alias("age"),
     )

@@ -40,3 +40,15 @@ def test_same_rows(spark, odd, name):
     at = [want.columns.index(x) for x in columns]
     got = sorted(tuple(str(r[x]) for x in columns) for r in df.collect())
     assert got == sorted(tuple(str(r[i]) for i in at) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["dat_stamps", "stm_quota_check"])
+@pytest.mark.parametrize("years", [-80, 9000])
+def test_far_times(spark, tmp_path, name, years):
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT * REPLACE (ts + INTERVAL '{years} years' AS ts) FROM '{DIR}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = registry.queries()[name](spark, str(tmp_path))
+    want = c.sql(registry.oracle_sql()[name])
+    at = [want.columns.index(x) for x in df.columns]
+    assert sorted(tuple(map(str, r)) for r in df.collect()) == sorted(tuple(str(r[i]) for i in at) for r in want.fetchall())
